@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality
+from . import chat, decontamination, html_text, mixing, quality, secrets, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules)}
-ORACLES = {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.oracle()}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.curve(token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents"))))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.scanned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+_ALL = (op1_chat_format, op2_quality_rules, op5_mixing, op6_token_counts, op7_decontamination, op8_secret_scan, op10_html_extraction)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.oracle(), "op5_mixing": mixing.oracle()}
