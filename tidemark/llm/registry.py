@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, html_text, mixing, quality, secrets, token_counts
+from . import chat, decontamination, fuzzy_lines, html_text, mixing, near_duplicates, quality, secrets, substrings, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.counted(table(spark, sf_dir, "documents"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.grouped(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -37,10 +45,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
-_ALL = (op1_chat_format, op2_quality_rules, op5_mixing, op6_token_counts, op7_decontamination, op8_secret_scan, op10_html_extraction)
+_ALL = (op1_chat_format, op2_quality_rules, op3_line_dedup, op4_near_duplicates, op5_mixing, op6_token_counts, op7_decontamination, op8_secret_scan, op9_repeated_substrings, op10_html_extraction)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.oracle(), "op5_mixing": mixing.oracle()}
