@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, fuzzy_lines, mixing, near_duplicates, quality
 from tidemark.llm.scratch import written
@@ -10,8 +11,8 @@ from tidemark.llm.scratch import written
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdict = quality.judged(docs).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi")
+    verdict = quality.judged(docs).where("kept").select(F.col("doc_id").alias("k1"), F.col("text_key").alias("k2"))
+    return docs.join(verdict, docs.doc_id.eqNullSafe(verdict.k1) & (quality.text_key() == verdict.k2), "left_semi")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +21,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    kept = near_duplicates.grouped(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of near copies, of rows that share a doc_id one; rows without doc_id stay unless they repeat."""
+    kept = near_duplicates.grouped(docs).where("kept").select(F.col("doc_id").alias("k"))
+    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.k), "left_semi").withColumn("_own", F.when(F.col("doc_id").isNull(), quality.text_key()))
+    return rows.dropDuplicates(["doc_id", "_own"]).drop("_own")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,11 @@ def _repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(_bound(_bound(F.sort_array(windows), again), covered))
 
 
+def text_key() -> Column:
+    """With doc_id, names a row: rows that agree in both are the same row repeated."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def features(documents: DataFrame) -> DataFrame:
     """Counts of each document's whole text; a null text counts as an empty one, and rows with equal doc_id stay apart."""
     text = F.coalesce("text", F.lit(""))
@@ -71,7 +76,7 @@ def features(documents: DataFrame) -> DataFrame:
         return F.transform(F.coalesce(own, F.array().cast("array<string>")), lambda x: F.size(c) - F.size(F.array_remove(c, x)))
 
     found = documents.select(
-        "doc_id", F.coalesce("lang", F.lit("")).alias("lang"),
+        "doc_id", text_key().alias("text_key"), F.coalesce("lang", F.lit("")).alias("lang"),
         _bound(tokens(text), of_words).alias("of_words"),
         _bound(F.filter(F.split(F.lower(text), f"{SPACE}+"), lambda x: x.isin(all_common)), of_common).alias("common"),
         _bound(lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -82,7 +87,7 @@ def features(documents: DataFrame) -> DataFrame:
     base = F.when(F.col("n_words") < 50, True).otherwise(100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = found.select("*", "of_words.*").drop("of_words").withColumns({f"w_{i}": F.coalesce(F.get("common", F.lit(i)), F.lit(0)).cast("long") for i in range(SLOTS)})
     return found.select(
-        "doc_id", "lang", "n_words", (F.col("n_chars") - F.col("c_space")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
+        "doc_id", "text_key", "lang", "n_words", (F.col("n_chars") - F.col("c_space")).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         *CHAR_BINS[:-1], (F.col("n_chars") - sum(F.col(c) for c in CHAR_BINS[:-1])).alias("c_other"),
         *WORD_BINS[:-1], (F.col("n_words") - sum(F.col(c) for c in WORD_BINS[:-1])).alias("w_other"),
     )
@@ -119,7 +124,7 @@ def judged(documents: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word:
     far = ((F.col("n_words") >= min_words) & (F.col("char_distance") > max_char)) | ((n_common >= min_common) & (F.col("word_distance") > max_word))
     return held.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "char_distance", "word_distance",
+        (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "char_distance", "word_distance", "text_key",
     )
 
 

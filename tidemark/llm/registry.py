@@ -18,7 +18,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents"))
-    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+    return found.drop("text_key").withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
