@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 
+def _modules() -> list:
+    from . import funnels, retention
+
+    return [funnels, retention]
+
+
 def queries() -> dict:
-    return {}
+    return {name: query for m in _modules() for name, (query, _) in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _modules() for name, (_, sql) in m.QUERIES.items() if sql}
