@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import funnels, retention
+    from . import funnels, quality, retention
 
-    return [funnels, retention]
+    return [funnels, retention, quality]
 
 
 def queries() -> dict:
