@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import funnels, quality, retention
+    from . import churn, funnels, quality, retention
 
-    return [funnels, retention, quality]
+    return [funnels, retention, quality, churn]
 
 
 def queries() -> dict:
