@@ -9,8 +9,10 @@ mark the same anchor, so their suffixes from there are equal too, and about one
    passage makes up much of the corpus. A bucket sorts its suffixes by multikey quicksort, neighbours compare
    tokens, and the ends of buckets are compared across their boundaries. Only suffixes whose first token
    repeats can belong to a repeated string; where two tokens repeat, the 400 bytes from the anchor do.
-2. What lies between two repeated strings less than 400 bytes apart is covered. Only the edges of repeated
-   regions are open: there, all 400-byte strings that share an anchor piece with an edge are compared by hash.
+2. Anchors also carry the hash of all bytes that their strings span. Where that repeats, all their strings do.
+   What lies between two repeated strings less than 400 bytes apart is covered. Only the edges of repeated
+   regions are open: there, the 400-byte strings of the anchors that share an edge's piece are compared by
+   hash, one anchor for each different span.
 3. Each document drops the union of its repeated strings.
 """
 
@@ -36,7 +38,7 @@ NONE = np.iinfo(np.int64).min
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, text and the two numbers that name a row: rows that agree in both are the same row repeated."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("k1"), F.xxhash64(text).alias("k2"))
+    return documents.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("k1"), F.hash(text).cast("long").alias("k2"))
 
 
 def anchors(data: np.ndarray, sums: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,9 +57,10 @@ def anchors(data: np.ndarray, sums: np.ndarray, begin: int, end: int) -> tuple[n
 
 
 def suffixes(column: pa.Array):
-    """(row, place, token 1, token 2, own) of all anchors of a column, in slices; token 2 is 0 where the text ends before.
+    """(row, place, token 1, token 2, own, span) of all anchors of a column, in slices; token 2 is 0 where the text ends before.
 
-    own packs how far before the anchor its strings start: 256 times the farthest plus the nearest.
+    own packs how far before the anchor its strings start: 256 times the farthest plus the nearest. span is the
+    hash of all bytes that those strings cover.
     """
     for a, b, data, ends in parts(column, SLICE):
         sums = prefix(data)
@@ -74,7 +77,8 @@ def suffixes(column: pa.Array):
             whole = start + SPAN <= ends[row - a + 1]
             one = spans(sums, start, start + LEAD)
             two = np.where(whole, spans(sums, np.minimum(start + LEAD, len(data)), np.minimum(start + SPAN, len(data))) | U(1), U(0))
-            yield row, place, one, two, np.concatenate(owns)
+            own = np.concatenate(owns)
+            yield row, place, one, two, own, spans(sums, start - own // 256, start - own % 256 + SPAN)
 
 
 def sort_keys(one: np.ndarray, two: np.ndarray, k1: np.ndarray, k2: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -99,7 +103,7 @@ def multikey(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-SUFFIX = "bucket int, one long, two long, k1 long, k2 long, place int, own int"
+SUFFIX = "bucket int, one long, two long, span long, k1 long, k2 long, place int, own int"
 
 
 def _dealt(rows: DataFrame, splitters) -> DataFrame:
@@ -107,11 +111,11 @@ def _dealt(rows: DataFrame, splitters) -> DataFrame:
         cuts = np.array(splitters.value, "S40") if splitters is not None else np.zeros(0, "S40")
         for batch in batches:
             k1, k2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for row, place, one, two, own in suffixes(batch.column(0)):
+            for row, place, one, two, own, span in suffixes(batch.column(0)):
                 bucket = np.searchsorted(cuts, sort_keys(one, two, k1[row], k2[row], place), side="right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), *(pa.array(x.view(np.int64)) for x in (one, two)), pa.array(k1[row]), pa.array(k2[row]), pa.array(place.astype(np.int32)), pa.array(own.astype(np.int32))],
-                    ["bucket", "one", "two", "k1", "k2", "place", "own"],
+                    [pa.array(bucket), *(pa.array(x.view(np.int64)) for x in (one, two, span)), pa.array(k1[row]), pa.array(k2[row]), pa.array(place.astype(np.int32)), pa.array(own.astype(np.int32))],
+                    ["bucket", "one", "two", "span", "k1", "k2", "place", "own"],
                 )
 
     return rows.select("text", "k1", "k2").mapInArrow(deal, SUFFIX)
@@ -130,7 +134,7 @@ def _splitters(rows: DataFrame, n: int) -> list[bytes]:
 
 
 def repeated_suffixes(rows: DataFrame) -> DataFrame:
-    """Anchored suffixes whose first token repeats: k1, k2, place, own, one, and whether both tokens do."""
+    """Anchored suffixes whose first token repeats: k1, k2, place, own, one, span, and whether both tokens do."""
     spark = rows.sparkSession
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     splitters = spark.sparkContext.broadcast(_splitters(rows, n))  # one key per bucket
@@ -140,7 +144,7 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
         if not got:
             return
         table = pa.Table.from_batches(got)
-        bucket, one, two, k1, k2, place, own = (c.to_numpy() for c in table.columns)
+        bucket, one, two, span, k1, k2, place, own = (c.to_numpy() for c in table.columns)
         order = multikey([one.view(U), two.view(U), k1, k2, place])
         one, two = one[order], two[order]
         first = one[1:] == one[:-1]
@@ -150,10 +154,10 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
         edge[0] |= 1
         edge[-1] |= 2
         keep = np.flatnonzero(rep1 | (edge > 0))
-        cols = [bucket[order][keep], edge[keep], one[keep], two[keep], k1[order][keep], k2[order][keep], place[order][keep], own[order][keep], rep1[keep], rep2[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "edge", "one", "two", "k1", "k2", "place", "own", "rep1", "rep2"])
+        cols = [bucket[order][keep], edge[keep], one[keep], two[keep], span[order][keep], k1[order][keep], k2[order][keep], place[order][keep], own[order][keep], rep1[keep], rep2[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "edge", "one", "two", "span", "k1", "k2", "place", "own", "rep1", "rep2"])
 
-    schema = "bucket int, edge int, one long, two long, k1 long, k2 long, place int, own int, rep1 boolean, rep2 boolean"
+    schema = "bucket int, edge int, one long, two long, span long, k1 long, k2 long, place int, own int, rep1 boolean, rep2 boolean"
     found = written(_dealt(rows, splitters).repartitionById(n, F.col("bucket")).mapInArrow(compare, schema), "suffixes")
     ends = found.where("edge > 0").select("bucket", "edge", "one", "two").orderBy("bucket", "edge").collect()  # two a bucket at most
     fixed = {}
@@ -165,7 +169,7 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
     across = spark.createDataFrame([(b, e, w) for (b, e), w in fixed.items()], "bucket int, edge int, both boolean")
     found = found.join(F.broadcast(across), ["bucket", "edge"], "left")  # no more than two rows a bucket
     whole = F.col("rep2") | F.coalesce("both", F.lit(False))
-    return found.where("rep1 OR both IS NOT NULL").select("k1", "k2", "place", "own", "one", whole.alias("whole"))
+    return found.where("rep1 OR both IS NOT NULL").select("k1", "k2", "place", "own", "one", "span", whole.alias("whole"))
 
 
 def _listed(rows: DataFrame, *names: str) -> DataFrame:
@@ -181,16 +185,20 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
 
 def open_edges(found: DataFrame) -> DataFrame:
-    """The suffixes whose anchor piece stands at an edge of some repeated region: k1, k2, place, own."""
+    """Anchors at edges of repeated regions, and one for each other span that shares their piece: k1, k2, place, own.
+
+    ``found`` has ``same``, whether the whole span repeats.
+    """
 
     def edges(batches):
         for batch in batches:
             row, x = _flat(batch.column(2))
             order = np.lexsort((x["place"], row))
-            row, place, own, one, whole = row[order], x["place"][order].astype(np.int64), x["own"][order], x["one"][order], x["whole"][order]
+            row, place, own, one, span = row[order], x["place"][order].astype(np.int64), x["own"][order], x["one"][order], x["span"][order]
+            whole, same = x["whole"][order], x["same"][order]
             low, high = place - own // 256, place - own % 256
             base = row.astype(np.int64) << 40
-            q = (base + place)[whole]
+            q = np.unique(np.concatenate([(base + place)[whole], (base + low)[same], (base + high)[same]]))
             if len(q):
                 last = np.flatnonzero(np.r_[q[1:] - q[:-1] > SPAN, True])
                 reach = q[last[np.searchsorted(last, np.arange(len(q)))]]
@@ -199,10 +207,13 @@ def open_edges(found: DataFrame) -> DataFrame:
             else:
                 ok = np.zeros(len(row), bool)
             k1, k2 = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(place.astype(np.int32)), pa.array(own), pa.array(one), pa.array(~ok)], ["k1", "k2", "place", "own", "one", "open"])
+            cols = [k1, k2, place.astype(np.int32), own, one, span, ~ok]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "place", "own", "one", "span", "open"])
 
-    marked = written(_listed(found, "place", "own", "one", "whole").mapInArrow(edges, "k1 long, k2 long, place int, own int, one long, open boolean"), "edges")
-    return marked.join(marked.where("open").select("one").distinct(), "one", "left_semi").select("k1", "k2", "place", "own")
+    marked = _listed(found, "place", "own", "one", "span", "whole", "same").mapInArrow(edges, "k1 long, k2 long, place int, own int, one long, span long, open boolean")
+    each = marked.groupBy("one", "span").agg(F.min(F.struct("k1", "k2", "place", "own")).alias("at"), F.bool_or("open").alias("open"))
+    each = written(each, "edges")
+    return each.join(each.where("open").select("one").distinct(), "one", "left_semi").select("at.*")
 
 
 def repeated_windows(rows: DataFrame, at: DataFrame) -> DataFrame:
@@ -230,6 +241,7 @@ def repeated_windows(rows: DataFrame, at: DataFrame) -> DataFrame:
 
     texts = rows.join(_listed(at, "place", "own"), ["k1", "k2"]).select("doc_id", "text", "k1", "k2", "marks")
     cut = texts.mapInArrow(windows, "piece long, string long, k1 long, k2 long, place int")
+    cut = cut.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "piece", "string")  # once, for grouping and join
     again = cut.groupBy("piece", "string").agg(F.count("*").alias("n")).where("n > 1").select("piece", "string")
     return cut.join(again, ["piece", "string"], "left_semi").select("k1", "k2", "place")
 
@@ -249,7 +261,11 @@ def marked(documents: DataFrame) -> DataFrame:
     """doc_id, text, k1, k2 of each row with marks, the starts of its repeated strings (null if there are none)."""
     rows = keyed(documents)
     found = written(repeated_suffixes(rows), "repeated")
-    starts = found.where("whole").select("k1", "k2", "place").union(repeated_windows(rows, open_edges(found)))
+    again = found.groupBy("one", "span").agg(F.count("*").alias("n")).where("n > 1").select("one", "span", F.lit(True).alias("same"))
+    found = written(found.join(again, ["one", "span"], "left").withColumn("same", F.coalesce("same", F.lit(False))), "spans")
+    ends = F.explode(F.array(F.expr("CAST(place - own DIV 256 AS INT)"), F.expr("place - own % 256")))
+    starts = found.where("whole").select("k1", "k2", "place").union(found.where("same").select("k1", "k2", ends.alias("place")))
+    starts = starts.union(repeated_windows(rows, open_edges(found)))
     return rows.join(_listed(starts, "place"), ["k1", "k2"], "left").select("doc_id", "text", "k1", "k2", "marks")
 
 
