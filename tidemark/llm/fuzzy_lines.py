@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import SPACES, U, parts, prefix, spans, words
-from .linking import linked, shared
+from .linking import linked, meeting
 from .scratch import written
 from .substrings import _flat, keyed
 
@@ -134,13 +134,10 @@ def dropped_lines(documents: DataFrame, percent: int = PERCENT, min_words: int =
     rows = keyed(documents)
     lines = written(fingerprinted(rows, min_words), "lines")
     nodes = lines.groupBy("node").agg(F.first("simhash").alias("simhash"))
-    met = shared(bucketed(nodes, blocks_for(nodes.count())))
-    met = met.join(nodes.withColumnRenamed("simhash", "size"), "node").select("key", "node", "size")
-    mates = met.withColumnsRenamed({"node": "mate", "size": "mate_size"})
-    near = (met.key == mates.key) & F.expr(f"node <> mate AND bit_count(size ^ mate_size) <= {DISTANCE}")
-    buckets = written(met.join(mates, near, "left_semi"), "buckets")  # without chance meetings
+    fits = f"bit_count(s ^ t) <= {DISTANCE}"
+    buckets = written(meeting(bucketed(nodes, blocks_for(nodes.count())), nodes.withColumnRenamed("simhash", "size"), fits), "buckets")
     texts = written(line_texts(rows, lines, buckets.select("node").distinct()), "texts")
-    groups = linked(buckets, lambda pairs: confirmed(pairs, texts, percent), f"bit_count(s ^ t) <= {DISTANCE}")
+    groups = linked(buckets, lambda pairs: confirmed(pairs, texts, percent), fits)
     placed = lines.select("k1", "k2", "line", "node")
     if groups is not None:
         placed = placed.join(groups, "node", "left").select("k1", "k2", "line", F.coalesce("component", "node").alias("group"))

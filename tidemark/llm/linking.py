@@ -17,7 +17,7 @@ from .components import components
 from .scratch import dropped, written
 
 #: Further rounds of centres before pairs across groups, while those pairs are more than so many times the rows.
-ROUNDS, PAIRS_A_ROW = 4, 20
+ROUNDS, PAIRS_A_ROW = 1, 200
 
 
 def shared(buckets: DataFrame) -> DataFrame:
@@ -26,6 +26,16 @@ def shared(buckets: DataFrame) -> DataFrame:
     return buckets.join(several, "key")
 
 
+def meeting(buckets: DataFrame, sizes: DataFrame, fits: str) -> DataFrame:
+    """Rows (key, node, size) of shared buckets whose node has a partner there that ``fits``; the others can't have a link.
+
+    ``sizes`` is (node, size). Each row only asks whether a partner exists, so no pairs come out.
+    """
+    rows = shared(buckets).join(sizes, "node").select("key", "node", F.col("size").alias("s"))
+    mates = rows.select("key", F.col("node").alias("mate"), F.col("s").alias("t"))
+    return rows.join(mates, (rows.key == mates.key) & F.expr(f"node <> mate AND {fits}"), "left_semi").withColumnRenamed("s", "size")
+
+
 def _grouped(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
     """Buckets with the group of each node, of which a bucket shows more than one."""
     if groups is None:
@@ -51,12 +61,13 @@ def _across(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b"), F.col("size").alias("s"), F.col("size_c").alias("t"))
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: str) -> DataFrame | None:
+def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: str, tighten: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
     """(node, component) of the nodes that have a link, or None if none has.
 
-    ``buckets`` (key, node, size) holds shared buckets, as a scratch table; ``verify`` takes pairs (a, b) and
+    ``buckets`` (key, node, size) is what ``meeting`` returns, as a scratch table; ``verify`` takes pairs (a, b) and
     returns those that are links; ``fits`` is a condition on the sizes s and t, or whatever else ``size``
-    holds of a node, that every link obeys.
+    holds of a node, that every link obeys. ``tighten`` takes the rows that are left after the first centres
+    and returns those that may still link to any other of them, with better sizes.
     """
     if buckets.isEmpty():
         return None
@@ -66,7 +77,7 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: s
         rows = _grouped(buckets, groups)
         last = False
         if turn:
-            rows = written(rows, "mixed")
+            rows = written(tighten(rows) if tighten else rows, "mixed")
             counts = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
             n, pairs = counts.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()
             if not n:

@@ -6,7 +6,9 @@ t + j all elements meet in bin j. Every coordinate fills, with an element that i
 an independent hash, after about t log t hashed elements instead of t times the set. Bands of coordinates
 become bucket keys, and full shingle sets confirm what buckets suggest.
 
-With bands of 4 of 128 coordinates two sets of similarity 0.75 share no band with a chance of about 5e-6.
+With bands of 4 of 128 coordinates two sets of similarity 0.75 share no band with a chance of about 5e-6. One
+bit of each coordinate comes along: sets of similarity 0.75 differ in 16 of the 128 bits on average, in more
+than 32 with a chance of about 2e-5, and such pairs are not confirmed further.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import FOLD, SPACES, U, fold_windows, mixed, parts, prefix, spans, words
-from .linking import linked, shared
+from .linking import linked, meeting
 from .scratch import dropped, written
 
-SHINGLE, SIMILAR, COORDINATES, BANDS, SLICE = 5, 75, 128, 32, 1 << 20
+SHINGLE, SIMILAR, COORDINATES, BANDS, MAX_BITS, SLICE = 5, 75, 128, 32, 32, 1 << 20
 FULL = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -76,11 +78,11 @@ def banded(filled: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketched(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the shingle set, and its band keys."""
+    """doc_id, n_shingles, a 128-bit name of the shingle set, its band keys, and a bit of each coordinate."""
 
     def sketch(batches):
         for batch in batches:
-            sizes, names, others, keys = [], [], [], []
+            sizes, names, others, keys, bits = [], [], [], [], []
             for a, b, row, found in shingles(batch.column(1)):
                 n = b - a
                 sizes.append(np.bincount(row, minlength=n))
@@ -89,15 +91,19 @@ def sketched(documents: DataFrame) -> DataFrame:
                 np.add.at(other, row, mixed(found + U(2)))
                 names.append(name)
                 others.append(other)
-                keys.append(banded(sketches(row, found, n)))
+                filled = sketches(row, found, n)
+                keys.append(banded(filled))
+                bits.append(np.packbits((mixed(filled) & U(1)).astype(np.uint8), axis=1).view(">i8").astype(np.int64))
             join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, U)
             bands = join(keys).reshape(-1).view(np.int64)
+            half = join(bits).astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(join(sizes).astype(np.int64)), pa.array(join(names).view(np.int64)), pa.array(join(others).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), pa.array(bands)),
-            ], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()),
+            ], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits_a", "bits_b"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits_a long, bits_b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -124,6 +130,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def covered(rows: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The rows whose node shares enough shingles with all other nodes together to have a link, size.c being how many.
+
+    A link needs an intersection of similar / (100 + similar) of both sizes, and no intersection is larger
+    than the part of a set that any other set has too. Counting shingles tells that without pairs.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            for a, _, row, found in shingles(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a + row]), pa.array(found.view(np.int64))], ["node", "shingle"])
+
+    nodes = rows.select("node").distinct()
+    each = texts.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", "text").mapInArrow(cut, "node long, shingle long")
+    common = each.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("shingle")
+    counts = each.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("c"))
+    held = rows.join(counts, "node").where(f"{100 + similar} * c >= {similar} * (size.n + ceil(size.n * {similar} / 100))")
+    return held.withColumn("size", F.struct("size.n", "size.a", "size.b", "c")).drop("c")
+
+
 def grouped(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept.
 
@@ -134,12 +161,13 @@ def grouped(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     rows = written(sketched(documents), "sketches")
     real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    mine = real.select("doc_id", "set_a", "set_b", F.col("n_shingles").alias("size"), "bands").join(nodes.select("set_a", "set_b", F.col("node").alias("doc_id")), ["doc_id", "set_a", "set_b"], "left_semi")
-    buckets = mine.select(F.col("doc_id").alias("node"), "size", F.explode("bands").alias("key")).select("key", "node", "size")
-    buckets = written(shared(buckets), "buckets")
+    mine = real.join(nodes.select("set_a", "set_b", F.col("node").alias("doc_id")), ["doc_id", "set_a", "set_b"], "left_semi")
+    sizes = mine.select(F.col("doc_id").alias("node"), F.struct(F.col("n_shingles").alias("n"), F.col("bits_a").alias("a"), F.col("bits_b").alias("b"), F.col("n_shingles").alias("c")).alias("size"))
+    fits = f"100 * least(s.n, t.n) >= {similar} * greatest(s.n, t.n) AND bit_count(s.a ^ t.a) + bit_count(s.b ^ t.b) <= {MAX_BITS} AND {100 + similar} * least(s.c, t.c) >= {similar} * (s.n + t.n)"
+    buckets = written(meeting(mine.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key")), sizes.dropDuplicates(["node"]), fits), "buckets")
     asked = buckets.select(F.col("node").alias("doc_id")).distinct()
     texts = written(documents.select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    groups = linked(buckets, lambda pairs: confirmed(pairs, texts, similar), f"100 * least(s, t) >= {similar} * greatest(s, t)")
+    groups = linked(buckets, lambda pairs: confirmed(pairs, texts, similar), fits, lambda rows: covered(rows, texts, similar))
     named = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(nodes, ["set_a", "set_b"], "left")
     if groups is not None:
         named = named.join(groups, "node", "left")
