@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import churn, funnels, quality, retention
+    from . import churn, funnels, quality, recommend, retention
 
-    return [funnels, retention, quality, churn]
+    return [funnels, retention, quality, churn, recommend]
 
 
 def queries() -> dict:
