@@ -1,7 +1,7 @@
 """Line dedup: keep one occurrence of every group of nearly equal lines.
 
-Lines are normalised, and equal ones become one node before anything is compared. SimHash of the words gives
-64 bits; two lines are candidates if at most three bits differ. Cut into m blocks, such fingerprints agree in
+Lines are normalised, and equal ones become one node before anything is compared. SimHash of the distinct words
+(frequent ones would make all long lines alike) gives 64 bits; two lines are candidates if at most three bits differ. Cut into m blocks, such fingerprints agree in
 m - 3 blocks at least, so every choice of m - 3 blocks is a bucket key and no candidate is missed, whatever m
 is. More blocks make more but longer keys: m follows from the number of distinct lines, so that chance
 meetings stay below the number of lines. Edit similarity confirms candidates, groups are connected links.
@@ -24,12 +24,13 @@ from .scratch import written
 from .substrings import _flat, keyed
 
 DISTANCE, PERCENT, MIN_WORDS = 3, 90, 4
-DIGITS, OTHER = re.compile(r"\d"), re.compile(r"[\W_]+")
+#: Runs of what is no letter or digit, but for single spaces.
+DIGITS, OTHER = re.compile(r"[1-9]"), re.compile(r"(?:[^\w\n ]|_| (?=[^\w\n]|_))(?:[^\w\n]|_)*")
 
 
-def normalised(line: str) -> str:
-    """Lower case, every digit 0, everything else between words one space."""
-    return OTHER.sub(" ", DIGITS.sub("0", line.lower())).strip()
+def normalised(text: str) -> list[str]:
+    """The lines of a text in lower case, with every digit 0 and one space for everything else between words."""
+    return [line.strip() for line in OTHER.sub(" ", DIGITS.sub("0", text.lower())).split("\n")]
 
 
 def simhashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -39,12 +40,19 @@ def simhashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         start, end, row = words(data, ends, SPACES)
         if not len(row):
             continue
-        bits = np.unpackbits(spans(prefix(data), start, end).astype(">u8").view(np.uint8)).reshape(-1, 64)
+        found = spans(prefix(data), start, end)
+        total = np.bincount(row, minlength=b - a)
+        order = np.lexsort((found, row))
+        row, found = row[order], found[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (found[1:] != found[:-1])]
+        row, found = row[new], found[new]
+        bits = np.unpackbits(found.astype(">u8").view(np.uint8)).reshape(-1, 64)
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
         counts = np.diff(np.r_[first, len(row)])
         majority = np.packbits(2 * votes > counts[:, None], axis=1).view(">u8").ravel().astype(U)
-        fingerprints[a + row[first]], sizes[a + row[first]] = majority, counts
+        fingerprints[a + row[first]] = majority
+        sizes[a:b] = total
     return fingerprints, sizes
 
 
@@ -59,10 +67,10 @@ def fingerprinted(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 row, number, lines = [], [], []
                 for i, text in enumerate(texts.slice(lo, 256).to_pylist(), lo):
-                    for j, line in enumerate((text or "").split("\n")):
-                        row.append(i)
-                        number.append(j)
-                        lines.append(normalised(line))
+                    mine = normalised(text or "")
+                    row += [i] * len(mine)
+                    number += range(len(mine))
+                    lines += mine
                 fingerprint, size = simhashes(lines)
                 keep = np.flatnonzero(size >= min_words)
                 node = np.array([xxhash.xxh3_64_intdigest(lines[i].encode("utf-8", "surrogatepass")) for i in keep], U).view(np.int64)
@@ -108,8 +116,8 @@ def line_texts(rows: DataFrame, lines: DataFrame, asked: DataFrame) -> DataFrame
             at, split, out = -1, [], []
             for r, line in zip(row.tolist(), x["line"].tolist()):
                 if r != at:
-                    at, split = r, texts[r].split("\n")
-                out.append(normalised(split[line]))
+                    at, split = r, normalised(texts[r])
+                out.append(split[line])
             yield pa.RecordBatch.from_arrays([pa.array(x["node"]), pa.array(x["simhash"]), pa.array(out, pa.string())], ["node", "simhash", "text"])
 
     found = rows.join(marks, ["k1", "k2"]).select("text", "marks").mapInArrow(read, "node long, simhash long, text string")
