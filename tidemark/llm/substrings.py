@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import U, parts, prefix, spans
-from .scratch import written
+from .scratch import dropped, written
 
 SPAN, LEAD, SLICE = 400, 200, 1 << 20
 CHOICES = SPAN - LEAD + 1
@@ -133,8 +133,8 @@ def _splitters(rows: DataFrame, n: int) -> list[bytes]:
     return sorted({keys[len(keys) * i // n] for i in range(1, n)})
 
 
-def repeated_suffixes(rows: DataFrame) -> DataFrame:
-    """Anchored suffixes whose first token repeats: k1, k2, place, own, one, span, and whether both tokens do."""
+def repeated_suffixes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchored suffixes whose first token repeats: k1, k2, place, own, one, span, and whether both tokens do; and the scratch table they are read from."""
     spark = rows.sparkSession
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     splitters = spark.sparkContext.broadcast(_splitters(rows, n))  # one key per bucket
@@ -158,8 +158,8 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "edge", "one", "two", "span", "k1", "k2", "place", "own", "rep1", "rep2"])
 
     schema = "bucket int, edge int, one long, two long, span long, k1 long, k2 long, place int, own int, rep1 boolean, rep2 boolean"
-    found = written(_dealt(rows, splitters).repartitionById(n, F.col("bucket")).mapInArrow(compare, schema), "suffixes")
-    ends = found.where("edge > 0").select("bucket", "edge", "one", "two").orderBy("bucket", "edge").collect()  # two a bucket at most
+    table = written(_dealt(rows, splitters).repartitionById(n, F.col("bucket")).mapInArrow(compare, schema), "suffixes")
+    ends = table.where("edge > 0").select("bucket", "edge", "one", "two").orderBy("bucket", "edge").collect()  # two a bucket at most
     fixed = {}
     for x, y in zip(ends, ends[1:]):
         if x.bucket != y.bucket and x.one == y.one:
@@ -167,9 +167,9 @@ def repeated_suffixes(rows: DataFrame) -> DataFrame:
                 old = fixed.get((r.bucket, r.edge), False)
                 fixed[r.bucket, r.edge] = old or (x.two == y.two and x.two != 0)
     across = spark.createDataFrame([(b, e, w) for (b, e), w in fixed.items()], "bucket int, edge int, both boolean")
-    found = found.join(F.broadcast(across), ["bucket", "edge"], "left")  # no more than two rows a bucket
+    found = table.join(F.broadcast(across), ["bucket", "edge"], "left")  # no more than two rows a bucket
     whole = F.col("rep2") | F.coalesce("both", F.lit(False))
-    return found.where("rep1 OR both IS NOT NULL").select("k1", "k2", "place", "own", "one", "span", whole.alias("whole"))
+    return found.where("rep1 OR both IS NOT NULL").select("k1", "k2", "place", "own", "one", "span", whole.alias("whole")), table
 
 
 def _listed(rows: DataFrame, *names: str) -> DataFrame:
@@ -260,9 +260,10 @@ def _removed(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def marked(documents: DataFrame) -> DataFrame:
     """doc_id, text, k1, k2 of each row with marks, the starts of its repeated strings (null if there are none)."""
     rows = keyed(documents)
-    found = written(repeated_suffixes(rows), "repeated")
+    found, table = repeated_suffixes(rows)
     again = found.groupBy("one", "span").agg(F.count("*").alias("n")).where("n > 1").select("one", "span", F.lit(True).alias("same"))
     found = written(found.join(again, ["one", "span"], "left").withColumn("same", F.coalesce("same", F.lit(False))), "spans")
+    dropped(table)
     ends = F.explode(F.array(F.expr("CAST(place - own DIV 256 AS INT)"), F.expr("place - own % 256")))
     starts = found.where("whole").select("k1", "k2", "place").union(found.where("same").select("k1", "k2", ends.alias("place")))
     starts = starts.union(repeated_windows(rows, open_edges(found)))
