@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .flat import SPACES, U, parts, prefix, spans, words
 from .linking import linked, meeting
 from .scratch import written
-from .substrings import _flat, keyed
+from .substrings import _flat, keyed, row_keys
 
 DISTANCE, PERCENT, MIN_WORDS = 3, 90, 4
 #: Runs of what is no letter or digit, but for single spaces.
@@ -172,7 +172,8 @@ def deduplicated(documents: DataFrame, percent: int = PERCENT, min_words: int =
     """
     _, gone = dropped_lines(documents, percent, min_words)
     gone = gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("_dropped"))
-    named = documents.withColumn("_k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))).withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
+    k1, k2 = row_keys()
+    named = documents.withColumn("_k1", k1).withColumn("_k2", k2)
     held = named.join(gone.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
     held = held.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left)).where("_dropped IS NULL OR text RLIKE '\\\\S'")
