@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import dropped, written
 
-#: Further rounds of centres before pairs across groups, while those pairs are more than so many times the rows.
-ROUNDS, PAIRS_A_ROW = 1, 200
+#: Further rounds of centres, while pairs across groups are more than so many times the rows.
+ROUNDS, PAIRS_A_ROW = 0, 200
 
 
 def shared(buckets: DataFrame) -> DataFrame:
