@@ -126,10 +126,10 @@ def _dealt(rows: DataFrame, splitters) -> DataFrame:
 
 
 def _splitters(rows: DataFrame, n: int) -> list[bytes]:
-    """n - 1 sampled splitters of all suffixes, from documents whose name hashes low; at most 64 n keys reach the driver."""
+    """n - 1 sampled splitters of all suffixes, from documents whose name hashes low; at most 16 n keys reach the driver."""
     total = rows.count()
     sample = _dealt(rows.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(max(1, total // SAMPLE_DOCUMENTS))) == 0), None)
-    some = sample.orderBy(F.xxhash64("k2", "place")).limit(64 * n).collect()
+    some = sample.orderBy(F.xxhash64("k2", "place")).limit(16 * n).collect()
     if not some:
         return []
     col = lambda name: np.array([r[name] for r in some], np.int64)
