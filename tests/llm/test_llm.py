@@ -178,6 +178,17 @@ def test_mixing_respects_budgets(docs):
         assert used[k] <= r.leaf_budget <= 3 * r.leaf_tokens
 
 
+def test_mixing_with_blank_leaf_and_weight_of_zero(spark):
+    rows = [(1, "a b c d e f g h i j", "en", "src0"), (2, None, "en", "src4"), (3, " \n", "de", "src1"), (4, "k l m n", "fr", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.source: r.leaf_budget for r in mixing.budgets(mixing.sized(docs.where("lang = 'en'"))).collect()} == {"src0": 6, "src4": 0}
+    budget = {(r.domain, r.lang, r.source): r.leaf_budget for r in mixing.budgets(mixing.sized(docs)).collect()}
+    assert budget == {("d0", "en", "src0"): 5, ("d0", "en", "src4"): 0, ("d0", "fr", "src0"): 2, ("d1", "de", "src1"): 0}
+    out = mixing.budgets(mixing.sized(docs), weights={**mixing.WEIGHTS, "lang": {"fr": 0}})
+    assert {(r.lang, r.source): r.leaf_budget for r in out.collect()} == {("en", "src0"): 8, ("en", "src4"): 0, ("de", "src1"): 0, ("fr", "src0"): 0}
+    assert {r.doc_id for r in mixing.mixed(docs, weights={**mixing.WEIGHTS, "lang": {"fr": 0}}).collect()} <= {1, 2}
+
+
 def test_html(spark):
     page = '<table><tr><th>Name<th>Qty<tr><td>apple<td>3</table><p>one<p>two<ul><li>a<ul><li>b</ul><li>c</ul><ol start=3><li>x<li value=9>y</ol><div hidden>no</div><script>var t="</p>"</script>x<br>y <b>z</b> &amp; <span style="display:none">q</span>w'
     want = "Name  | Qty\napple | 3\n\none\n\ntwo\n\n- a\n  - b\n- c\n\n3. x\n9. y\n\nx\ny z & w"

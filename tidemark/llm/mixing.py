@@ -43,10 +43,10 @@ def filled(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     """Budget of each child, of the parent's ``budget``, by ``weight`` and within ``capacity``; all whole numbers.
 
     Children ordered by capacity per weight fill up one after another, so the full ones are a prefix and
-    running sums find it. Shares are rounded down.
+    running sums find it. Shares are rounded down. A child without capacity or weight comes first and gets nothing.
     """
     siblings = Window.partitionBy(*parent)
-    order = siblings.orderBy((F.col("capacity") / F.col("weight")).asc_nulls_first(), name)
+    order = siblings.orderBy(F.try_divide("capacity", "weight").asc_nulls_first(), name)
     sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     open_ = (F.col("weight") > 0) & (F.col("capacity") > 0)
     rows = children.withColumn("weight", F.when(open_, F.col("weight")).otherwise(0)).withColumn("capacity", F.when(open_, F.col("capacity")).otherwise(0))
