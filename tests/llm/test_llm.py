@@ -121,6 +121,27 @@ def test_line_dedup(spark):
     assert kept == {1: rows[0][1], 2: "short\nshort", 4: None, 5: "", 6: "short\nshort"}
 
 
+def test_line_candidates_reach_recall_in_every_length_class():
+    r = random.Random(11)
+    lexicon = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(3000)]
+    sizes = [(10, 19), (20, 44), (45, 79), (80, 149), (150, 299), (300, 600)]
+    for low, high in sizes:
+        pairs = []
+        while len(pairs) < 300:
+            line = " ".join(r.choice(lexicon) for _ in range(120))[: r.randint(low, high)].strip()
+            allowed, left, out = len(line) // 10, len(line) // 10, line
+            while left and (out == line or r.random() < 0.6):  # a word or part of one replaced, put in or taken out
+                n = r.randint(1, min(left, 9))
+                at = r.randrange(len(out) - n)
+                out = out[:at] + r.choice(lexicon)[: n if r.random() < 0.8 else 0] + out[at + n :]
+                left -= n
+            if len(line) >= low and out.strip() != line and 10 * (allowed - left) <= min(len(line), len(out)):
+                pairs.append((line, out.strip()))
+        flat, bits = fuzzy_lines.bucket_keys([x for p in pairs for x in p])
+        met = [bool(set(flat[i].tolist()) & set(flat[i + 1].tolist())) and (min(map(len, pairs[i // 2])) < fuzzy_lines.LONG or (int(bits[i]) ^ int(bits[i + 1])).bit_count() <= fuzzy_lines.MAX_BITS) for i in range(0, len(flat), 2)]
+        assert sum(met) >= 0.9 * len(met), (low, high, sum(met))
+
+
 def test_pigeonhole_finds_all_within_distance(spark):
     r = random.Random(3)
     codes = [r.getrandbits(63) for _ in range(200)]

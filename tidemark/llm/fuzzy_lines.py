@@ -1,29 +1,31 @@
 """Line dedup: keep one occurrence of every group of nearly equal lines.
 
-Lines are normalised, and equal ones become one node before anything is compared. SimHash of the distinct words
-(frequent ones would make all long lines alike) gives 64 bits; two lines are candidates if at most three bits differ. Cut into m blocks, such fingerprints agree in
-m - 3 blocks at least, so every choice of m - 3 blocks is a bucket key and no candidate is missed, whatever m
-is. More blocks make more but longer keys: m follows from the number of distinct lines, so that chance
-meetings stay below the number of lines. Edit similarity confirms candidates, groups are connected links.
+Lines are normalised, and equal ones become one node before anything is compared. Edit similarity alone makes
+a link; what meets in a bucket is compared. Lines of LONG characters and more have a similarity sketch of their
+runs of five bytes in bands of four, those up to TOP of runs of three in bands of three, for an edit takes more
+of a short line's runs. Up to TINY characters a link is one edit, and lines with that distance share a key
+among those of the line and of the line less one character. Groups are connected links.
 """
 
 from __future__ import annotations
 
 import re
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import SPACES, U, parts, prefix, spans, words
+from .flat import U, mixed, parts, prefix, spans
 from .linking import linked, meeting
+from .near_duplicates import sketches
 from .scratch import written
 from .substrings import _flat, keyed, row_keys
 
 DISTANCE, PERCENT, MIN_WORDS = 3, 90, 4
+#: Lengths in characters that change the kind of keys; one and the next overlap by what a link allows.
+TINY, SHORT, LONG, TOP, COORDINATES, MAX_BITS = 19, 18, 45, 49, 64, 26
 #: Runs of what is no letter or digit, but for single spaces.
 DIGITS, OTHER = re.compile(r"[1-9]"), re.compile(r"(?:[^\w\n ]|_| (?=[^\w\n]|_))(?:[^\w\n]|_)*")
 
@@ -33,31 +35,46 @@ def normalised(text: str) -> list[str]:
     return [line.strip() for line in OTHER.sub(" ", DIGITS.sub("0", text.lower())).split("\n")]
 
 
-def simhashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit SimHash and number of words of each line."""
-    fingerprints, sizes = np.zeros(len(lines), U), np.zeros(len(lines), np.int64)
-    for a, b, data, ends in parts(pa.array(lines, pa.string()), 1 << 18):
-        start, end, row = words(data, ends, SPACES)
-        if not len(row):
-            continue
-        found = spans(prefix(data), start, end)
-        total = np.bincount(row, minlength=b - a)
-        order = np.lexsort((found, row))
-        row, found = row[order], found[order]
-        new = np.r_[True, (row[1:] != row[:-1]) | (found[1:] != found[:-1])]
-        row, found = row[new], found[new]
-        bits = np.unpackbits(found.astype(">u8").view(np.uint8)).reshape(-1, 64)
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        counts = np.diff(np.r_[first, len(row)])
-        majority = np.packbits(2 * votes > counts[:, None], axis=1).view(">u8").ravel().astype(U)
-        fingerprints[a + row[first]] = majority
-        sizes[a:b] = total
-    return fingerprints, sizes
+def bands(lines: list[str], width: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of each line's runs of ``width`` bytes, and one bit of each coordinate of the sketch."""
+    n = COORDINATES // rows
+    keys, bits = np.zeros((len(lines), n), U), np.zeros(len(lines), U)
+    for a, b, data, ends in parts(pa.array([x.encode("utf-8", "surrogatepass") for x in lines], pa.binary()), 1 << 18):
+        start = np.arange(max(0, len(data) - width + 1))
+        row = np.searchsorted(ends, start, side="right") - 1
+        inside = start + width <= ends[row + 1]
+        start, row = start[inside], row[inside]
+        filled = sketches(row, spans(prefix(data), start, start + width), b - a, COORDINATES)
+        split = filled[:, : n * rows].reshape(b - a, n, rows)
+        for k in range(rows):
+            keys[a:b] = mixed(keys[a:b] * U(0xD1342543DE82EF95) + split[:, :, k])
+        bits[a:b] = np.packbits((mixed(filled) & U(1)).astype(np.uint8), axis=1).view(">u8").ravel().astype(U)
+    return mixed(keys + np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(width)), bits
+
+
+def bucket_keys(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bucket keys of each line, and the bits of its sketch where it is a long one."""
+    import xxhash
+
+    out: list = [[] for _ in lines]
+    bits = np.zeros(len(lines), U)
+    size = np.array([len(x) for x in lines], np.int64)
+    for fits, width, rows in (((size >= SHORT) & (size <= TOP), 3, 3), (size >= LONG, 5, 4)):
+        at = np.flatnonzero(fits)
+        keys, own = bands([lines[i] for i in at], width, rows)
+        for i, some in zip(at.tolist(), keys, strict=True):
+            out[i].append(some)
+        if width == 5:
+            bits[at] = own
+    for i in np.flatnonzero((size >= 10) & (size <= TINY)).tolist():
+        x = lines[i]
+        less = {x, *(x[:k] + x[k + 1 :] for k in range(len(x)))}
+        out[i].append(np.array([xxhash.xxh3_64_intdigest(y.encode("utf-8", "surrogatepass"), 1) for y in less], U))
+    return [np.concatenate(x) if x else np.zeros(0, U) for x in out], bits
 
 
 def fingerprinted(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """k1, k2, line number, name and SimHash of every line of ``min_words`` words and more."""
+    """k1, k2, line number, name, length, bits and bucket keys of every line of ``min_words`` words and more."""
 
     def scan(batches):
         import xxhash
@@ -65,32 +82,32 @@ def fingerprinted(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             texts, k1, k2 = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for lo in range(0, batch.num_rows, 256):
-                row, number, lines = [], [], []
+                row, number, name = [], [], []
+                own: dict[str, int] = {}
                 for i, text in enumerate(texts.slice(lo, 256).to_pylist(), lo):
-                    mine = normalised(text or "")
-                    row += [i] * len(mine)
-                    number += range(len(mine))
-                    lines += mine
-                fingerprint, size = simhashes(lines)
-                keep = np.flatnonzero(size >= min_words)
-                node = np.array([xxhash.xxh3_64_intdigest(lines[i].encode("utf-8", "surrogatepass")) for i in keep], U).view(np.int64)
-                at = np.array(row, np.int64)[keep]
-                cols = [k1[at], k2[at], np.array(number, np.int32)[keep], node, fingerprint[keep].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "line", "node", "simhash"])
-
-    return rows.select("text", "k1", "k2").mapInArrow(scan, "k1 long, k2 long, line int, node long, simhash long")
-
-
-def blocks_for(n: int, distance: int = DISTANCE) -> int:
-    """The least number of blocks with which n random fingerprints make no more than n chance candidates."""
-    m = distance + 1
-    while m < 12 and n * comb(m, distance) > 1 << (64 * (m - distance) // m):
-        m += 1
-    return m
+                    for j, line in enumerate(normalised(text or "")):
+                        if line and line.count(" ") + 1 >= min_words:
+                            row.append(i)
+                            number.append(j)
+                            name.append(own.setdefault(line, len(own)))
+                lines = list(own)
+                keys, bits = bucket_keys(lines)
+                node = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], U).view(np.int64)
+                size = np.array([len(x) for x in lines], np.int32)
+                at, which = np.array(row, np.int64), np.array(name, np.int64)
+                first = np.zeros(len(name), bool)
+                first[np.unique(which, return_index=True)[1]] = True  # keys once a slice
+                held = [keys[w] if f else None for w, f in zip(name, first.tolist(), strict=True)]
+                flat = np.concatenate([x for x in held if x is not None] or [np.zeros(0, U)]).view(np.int64)
+                ends = np.r_[0, np.cumsum([0 if x is None else len(x) for x in held])].astype(np.int32)
+                cols = [k1[at], k2[at], np.array(number, np.int32), node[which], size[which], bits.view(np.int64)[which], first]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["k1", "k2", "line", "node", "n", "bits", "keyed", "keys"])
+
+    return rows.select("text", "k1", "k2").mapInArrow(scan, "k1 long, k2 long, line int, node long, n int, bits long, keyed boolean, keys array<long>")
 
 
 def bucketed(nodes: DataFrame, m: int, distance: int = DISTANCE) -> DataFrame:
-    """(key, node) for each choice of m - distance blocks of the fingerprint."""
+    """(key, node) for each choice of m - distance blocks of a 64-bit fingerprint ``simhash``."""
     cuts = [64 * i // m for i in range(m + 1)]
 
     def key(i: int, chosen: tuple[int, ...]):
@@ -105,9 +122,9 @@ def bucketed(nodes: DataFrame, m: int, distance: int = DISTANCE) -> DataFrame:
 
 
 def line_texts(rows: DataFrame, lines: DataFrame, asked: DataFrame) -> DataFrame:
-    """(node, simhash, text) of the asked nodes, each read from one place where it occurs."""
-    one = lines.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2", "line", "simhash")).alias("at"))
-    marks = one.select("at.k1", "at.k2", "at.line", "at.simhash", "node").groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "simhash", "node")).alias("marks"))
+    """(node, text) of the asked nodes, each read from one place where it occurs."""
+    one = lines.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2", "line")).alias("at"))
+    marks = one.select("at.k1", "at.k2", "at.line", "node").groupBy("k1", "k2").agg(F.collect_list(F.struct("line", "node")).alias("marks"))
 
     def read(batches):
         for batch in batches:
@@ -118,19 +135,18 @@ def line_texts(rows: DataFrame, lines: DataFrame, asked: DataFrame) -> DataFrame
                 if r != at:
                     at, split = r, normalised(texts[r])
                 out.append(split[line])
-            yield pa.RecordBatch.from_arrays([pa.array(x["node"]), pa.array(x["simhash"]), pa.array(out, pa.string())], ["node", "simhash", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(x["node"]), pa.array(out, pa.string())], ["node", "text"])
 
-    found = rows.join(marks, ["k1", "k2"]).select("text", "marks").mapInArrow(read, "node long, simhash long, text string")
+    found = rows.join(marks, ["k1", "k2"]).select("text", "marks").mapInArrow(read, "node long, text string")
     return found.dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, distance: int = DISTANCE) -> DataFrame:
-    """The pairs (a, b) of at most ``distance`` different bits and ``percent`` hundredths of edit similarity."""
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of ``percent`` hundredths of edit similarity."""
     for side in "ab":
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("simhash").alias(f"h_{side}"), F.col("text").alias(f"t_{side}")), side)
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"t_{side}")), side)
     longest = "greatest(length(t_a), length(t_b))"
-    near = pairs.where(f"bit_count(h_a ^ h_b) <= {distance} AND 100 * least(length(t_a), length(t_b)) >= {percent} * {longest}")
-    return near.where(f"levenshtein(t_a, t_b, CAST({longest} * {100 - percent} DIV 100 AS INT)) >= 0").select("a", "b")
+    return pairs.where(f"levenshtein(t_a, t_b, CAST({longest} * {100 - percent} DIV 100 AS INT)) >= 0").select("a", "b")
 
 
 def dropped_lines(documents: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -141,9 +157,10 @@ def dropped_lines(documents: DataFrame, percent: int = PERCENT, min_words: int =
     """
     rows = keyed(documents)
     lines = written(fingerprinted(rows, min_words), "lines")
-    nodes = lines.groupBy("node").agg(F.first("simhash").alias("simhash"))
-    fits = f"bit_count(s ^ t) <= {DISTANCE}"
-    buckets = written(meeting(bucketed(nodes, blocks_for(nodes.count())), nodes.withColumnRenamed("simhash", "size"), fits), "buckets")
+    nodes = written(lines.where("keyed").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
+    fits = f"100 * least(s.n, t.n) >= {percent} * greatest(s.n, t.n) AND (least(s.n, t.n) < {LONG} OR bit_count(s.bits ^ t.bits) <= {MAX_BITS})"
+    sizes = nodes.select("node", F.struct("n", "bits").alias("size"))
+    buckets = written(meeting(nodes.select(F.explode("keys").alias("key"), "node"), sizes, fits), "buckets")
     texts = written(line_texts(rows, lines, buckets.select("node").distinct()), "texts")
     groups = linked(buckets, lambda pairs: confirmed(pairs, texts, percent), fits)
     placed = lines.select("k1", "k2", "line", "node")
