@@ -142,6 +142,13 @@ def test_line_candidates_reach_recall_in_every_length_class():
         assert sum(met) >= 0.9 * len(met), (low, high, sum(met))
 
 
+def test_line_dedup_without_spaces_and_with_one_word_changed(spark):
+    text = "the old harbour town had a market where people from many villages sold their bread"
+    rows = [(1, "今日は天気がいいですね\nhttps://example.org/a/very/long/path\n" + text), (2, "今日は天気がいいですね\nhttps://example.org/a/very/long/path\n" + text.replace("bread", "wool")), (3, "new entry page\nno"), (4, "new entry pages\nno")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: list(r.dropped) for r in fuzzy_lines.counted(docs).collect()} == {1: [], 2: [0, 1, 2], 3: [], 4: [0]}
+
+
 def test_pigeonhole_finds_all_within_distance(spark):
     r = random.Random(3)
     codes = [r.getrandbits(63) for _ in range(200)]

@@ -23,7 +23,7 @@ from .near_duplicates import sketches
 from .scratch import written
 from .substrings import _flat, keyed, row_keys
 
-DISTANCE, PERCENT, MIN_WORDS = 3, 90, 4
+DISTANCE, PERCENT, MIN_WORDS, MIN_BYTES = 3, 90, 4, 6
 #: Lengths in characters that change the kind of keys; one and the next overlap by what a link allows.
 TINY, SHORT, LONG, TOP, COORDINATES, MAX_BITS = 19, 18, 45, 49, 64, 26
 #: Runs of what is no letter or digit, but for single spaces.
@@ -74,7 +74,7 @@ def bucket_keys(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def fingerprinted(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """k1, k2, line number, name, length, bits and bucket keys of every line of ``min_words`` words and more."""
+    """k1, k2, line number, name, length, bits and bucket keys of every line of ``min_words`` words or MIN_BYTES bytes and more."""
 
     def scan(batches):
         import xxhash
@@ -86,7 +86,7 @@ def fingerprinted(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 own: dict[str, int] = {}
                 for i, text in enumerate(texts.slice(lo, 256).to_pylist(), lo):
                     for j, line in enumerate(normalised(text or "")):
-                        if line and line.count(" ") + 1 >= min_words:
+                        if line and (line.count(" ") + 1 >= min_words or len(line) >= MIN_BYTES or len(line.encode("utf-8", "surrogatepass")) >= MIN_BYTES):
                             row.append(i)
                             number.append(j)
                             name.append(own.setdefault(line, len(own)))
@@ -153,7 +153,7 @@ def dropped_lines(documents: DataFrame, percent: int = PERCENT, min_words: int =
     """The named rows of the documents, and (k1, k2, line) of every line that repeats an earlier one.
 
     Earlier means a smaller doc_id, then a smaller line number; a null doc_id comes first. Lines of fewer than
-    ``min_words`` words never go. A row that is there twice is one document.
+    ``min_words`` words and MIN_BYTES bytes never go. A row that is there twice is one document.
     """
     rows = keyed(documents)
     lines = written(fingerprinted(rows, min_words), "lines")
