@@ -237,6 +237,13 @@ def test_secrets(spark):
     assert sum(got[100 + i].n_net for i in range(20)) >= 16 and sum(got[i].n_net for i in range(60)) <= 6
 
 
+def test_secrets_without_digits_are_scored(spark):
+    text = "abc kQzRwTbXnLpVyHdM and internationalization x aB3dEfGhIjKlMnOp"
+    assert [text[a:b] for a, b in secrets.candidates(text, secrets.base_spans(text))] == ["kQzRwTbXnLpVyHdM", "internationalization", "aB3dEfGhIjKlMnOp"]
+    rows = [(i, f"{text} password={i:016x}") for i in range(5)]
+    assert all(r.net_score is not None for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     benchmark = spark.createDataFrame([(1, "a b")], "item_id long, text string")
