@@ -244,6 +244,13 @@ def test_secrets_without_digits_are_scored(spark):
     assert all(r.net_score is not None for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
+def test_secret_threshold_keeps_recall_when_secrets_look_like_tokens():
+    r = random.Random(9)
+    alike = lambda: (" see ", "".join(r.choice("abcdefghij0123456789") for _ in range(20)), " there")
+    net = secrets.trained([alike() for _ in range(300)], [alike() for _ in range(1200)])
+    assert net.recall >= secrets.MIN_RECALL and 0 < net.precision <= 1 and net.threshold < 0.5
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     benchmark = spark.createDataFrame([(1, "a b")], "item_id long, text string")
