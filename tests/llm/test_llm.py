@@ -225,6 +225,16 @@ def test_html(spark):
     assert {r.url: r.text for r in html_text.extracted(rows).collect()} == {"u": want, None: "", "v": "", "w": "deep"}
 
 
+def test_html_shows_formulas_drawings_fallback_and_forms():
+    page = "a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> <svg><title>no</title><desc>no</desc><text>drawn</text></svg> <object>instead</object>"
+    assert html_text.rendered(page) == "a x=2 drawn instead"
+    assert html_text.rendered("<textarea>\none  two\nthree</textarea>") == "one  two\nthree"
+    assert html_text.rendered("pick <select>no<option>red<option selected>green<option>blue</select> now") == "pick green now"
+    assert html_text.rendered("<select><option disabled>pick<optgroup label=g><option>red<option>blue</select>") == "red"
+    assert html_text.rendered("<select multiple><option>red<option>blue</select>") == "red\nblue"
+    assert html_text.rendered("a<datalist><option>x</datalist><canvas>no</canvas><video>no</video><script>no</script>") == "a"
+
+
 def test_secrets(spark):
     r = random.Random(5)
     token = lambda n=32: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
