@@ -149,16 +149,118 @@ def test_line_dedup_without_spaces_and_with_one_word_changed(spark):
     assert {r.doc_id: list(r.dropped) for r in fuzzy_lines.counted(docs).collect()} == {1: [], 2: [0, 1, 2], 3: [], 4: [0]}
 
 
-def test_pigeonhole_finds_all_within_distance(spark):
+def test_lines_that_differ_in_fewer_features_than_classes_share_a_block():
     r = random.Random(3)
-    codes = [r.getrandbits(63) for _ in range(200)]
-    codes += [c ^ sum(1 << b for b in r.sample(range(63), r.randint(0, 3))) for c in codes[:100]]
-    nodes = spark.createDataFrame(list(enumerate(codes)), "node long, simhash long")
-    near = {(a, b) for a in range(300) for b in range(a) if (codes[a] ^ codes[b]).bit_count() <= 3}
-    for m in (4, 5, 6):
-        keys = fuzzy_lines.bucketed(nodes, m)
-        met = keys.alias("x").join(keys.alias("y"), "key").where("x.node > y.node").select("x.node", "y.node").distinct()
-        assert near <= {tuple(p) for p in met.collect()}
+    lexicon = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(5, 9))) for _ in range(5000)]
+    for size, (_, classes, _) in ((40, fuzzy_lines.TIERS[2]), (100, fuzzy_lines.TIERS[3])):
+        for _ in range(50):
+            words = [r.choice(lexicon) for _ in range(size)]
+            other = list(words)
+            for i in r.sample(range(size), (classes - 1) // 6):  # a word may be cut once or more, so it counts as three each way at most
+                other[i] = r.choice(lexicon)
+            keys, _ = fuzzy_lines.bucket_keys([" ".join(words), " ".join(other)])
+            assert set(keys[0].tolist()) & set(keys[1].tolist())
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Lines that differ after normalisation: edited one to three times, in chains, and in a bucket beyond SMALL."""
+    r = random.Random(5)
+    lexicon = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    lines = []
+    for n in (6, 9, 14, 22, 40):
+        for _ in range(8):
+            line = " ".join(r.choice(lexicon) for _ in range(n))
+            lines.append(line)
+            for _ in range(r.randint(0, 3)):
+                line = list(line)
+                for _ in range(r.randint(1, 3)):
+                    line[r.randrange(len(line))] = r.choice("abcdefgh")
+                line = "".join(line)
+                lines.append(line)
+    base = [r.choice(lexicon) for _ in range(30)]
+    lines += [" ".join(r.choice(lexicon) if r.random() < 0.06 else w for w in base) for _ in range(60)]
+    r.shuffle(lines)
+    docs = [(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range((len(lines) + 3) // 4)]
+    place = [(d, k, x.strip()) for d, t in docs for k, x in enumerate(t.split("\n"))]
+    group = list(range(len(place)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    links = 0
+    for i, (_, _, a) in enumerate(place):
+        for j in range(i):
+            b = place[j][2]
+            most = max(len(a), len(b)) // 10
+            if abs(len(a) - len(b)) <= most and edits(a, b) <= most:
+                links += 1
+                group[max(find(i), find(j))] = min(find(i), find(j))
+    want = {(d, k) for i, (d, k, _) in enumerate(place) if find(i) != i}
+    got = {(x.doc_id, k) for x in fuzzy_lines.counted(spark.createDataFrame(docs, "doc_id long, text string")).collect() for k in x.dropped}
+    assert links > 100 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_line_keys_that_are_frequent_are_settled_in_their_task():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    keys = np.concatenate([r.integers(0, 1 << 63, 500, dtype=np.uint64), np.full(300, 12345 << 41, np.uint64)])
+    nodes = np.arange(800, dtype=np.uint64)
+    sent = list(fuzzy_lines.flushed(keys, nodes, 7))
+    settled = [np.frombuffer(d, np.uint64) for _, s, d in sent if s]
+    assert sum(len(x) // 2 for x in settled) == 300 and len({p for p, s, _ in sent if s}) == 7
+    alone = [fuzzy_lines.unpacked(p, d) for p, s, d in sent if not s]
+    assert sum(len(k) for k, _ in alone) == 501 and {int(k[0]) for x in settled for k in [x[: len(x) // 2]]} <= {int(k) for ks, _ in alone for k in ks}
+
+
+def test_rows_of_any_doc_id(spark):
+    """Text ids, null ids and ids that several texts share, in all operators that name rows; columns with their inner names."""
+    texts = ["one two three four five six seven eight nine ten " * 9, "unlike " + " ".join(f"w{i}" for i in range(80))]
+    rows = [("b", texts[0]), ("a", texts[1]), ("a", texts[0] + "end"), ("c", texts[1] + " end"), (None, texts[1]), (None, None), ("d", "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, [4]) for i, t in rows], "doc_id string, text string, k1 int, k2 int, dropped int, node array<int>")
+    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates.grouped(docs).collect())
+    assert got == [("None", None, True), ("None", None, True), ("a", "a", True), ("a", "a", True), ("b", "a", False), ("c", "a", False), ("d", "d", True)]
+    assert fuzzy_lines.counted(docs).count() == 7 and substrings.deduplicated(docs).count() == 7
+    kept = fuzzy_lines.deduplicated(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, "a", "d"}
+
+
+def test_near_duplicates_beyond_a_small_bucket(spark, monkeypatch):
+    """A large group of near copies, some just below the limit, in cells of few documents."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(70):
+        w = list(base)
+        for k in r.sample(range(120), r.randint(0, 7)):
+            w[k] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    group = list(range(70))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(70):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                group[max(find(a), find(b))] = min(find(a), find(b))
+    monkeypatch.setattr(near_duplicates, "TEXTS", 16)
+    got = {x.doc_id: x.component_id for x in near_duplicates.grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got == {i: find(i) for i in range(70)} and len(set(got.values())) > 1
 
 
 def test_quality_handles_odd_rows(docs):

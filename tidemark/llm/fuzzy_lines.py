@@ -1,124 +1,300 @@
 """Line dedup: keep one occurrence of every group of nearly equal lines.
 
-Lines are normalised, and equal ones become one node before anything is compared. Edit similarity alone makes
-a link; what meets in a bucket is compared. Lines of LONG characters and more have a similarity sketch of their
-runs of five bytes in bands of four, those up to TOP of runs of three in bands of three, for an edit takes more
-of a short line's runs. Up to TINY characters a link is one edit, and lines with that distance share a key
-among those of the line and of the line less one character. Groups are connected links.
+Lines are normalised, and equal ones become one node before anything is compared. A line's SimHash comes in
+blocks: its features, which are its words, are dealt to classes by hash, and each class is one block. An edit
+touches the classes of the few features that it takes or brings, so two lines that differ in fewer features than
+they have classes agree in a block for certain (pigeonhole); several dealings make that likely for more. Lines
+that share a block are candidates, the distance of whole SimHashes thins them out, and the edit similarity of
+their texts decides. Short lines have too few words: those up to SHORT characters meet by sketches of their runs
+of three bytes, those up to TINY when they share a key among the line and the line less one character.
+
+Block keys travel as packed bytes, a part for each range of keys. Keys that are frequent within a task are
+settled there, so that no part gathers a frequent key.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import combinations
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .flat import U, mixed, parts, prefix, spans
-from .linking import linked, meeting
+from .linking import SMALL, celled, centred, linked, within
 from .near_duplicates import sketches
-from .scratch import written
-from .substrings import _flat, keyed, row_keys
-
-DISTANCE, PERCENT, MIN_WORDS, MIN_BYTES = 3, 90, 4, 6
-#: Lengths in characters that change the kind of keys; one and the next overlap by what a link allows.
-TINY, SHORT, LONG, TOP, COORDINATES, MAX_BITS = 19, 18, 45, 49, 64, 26
-#: Runs of what is no letter or digit, but for single spaces.
-DIGITS, OTHER = re.compile(r"[1-9]"), re.compile(r"(?:[^\w\n ]|_| (?=[^\w\n]|_))(?:[^\w\n]|_)*")
+from .rows import fresh, keyed, row_keys
+from .scratch import dropped, written
+from .substrings import _flat
+
+#: Lines of fewer bytes are layout (brackets, dashes, "no"): their repeats say nothing, so they never go.
+PERCENT, MIN_BYTES = 90, 6
+#: Lengths in characters: up to TINY deletions are keys, below SHORT sketches, from LONG on blocks.
+TINY, SHORT, LONG, COORDINATES, MAX_BITS = 19, 96, 86, 64, 24
+#: (shortest line, classes, dealings); a line belongs to every tier that lines of nine tenths to all of its length reach.
+TIERS = ((96, 5, 6), (128, 9, 3), (256, 18, 1), (512, 28, 1), (1024, 40, 1))
+#: A block speaks for a line if its features have so many bytes beyond two each.
+LEAST = 9
+STEP = U(0x9E3779B97F4A7C15)
+FOLD = np.full(256, 32, np.uint8)  # what is no letter, digit or line end becomes a space, a digit 0
+FOLD[[10, *range(97, 123), *range(128, 256)]] = [10, *range(97, 123), *range(128, 256)]
+FOLD[65:91], FOLD[48:58] = np.arange(97, 123), 48
+PACK = np.array([sum((v >> j & 1) << (10 * j) for j in range(5)) for v in range(32)], np.float64)
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """Lower-case bytes with spaces for punctuation, that of other scripts included."""
+    out = FOLD[data]
+    near = np.r_[data[1:], np.zeros(2, np.uint8)]
+    wide = np.flatnonzero((data == 0xE2) & ((near[: len(data)] | 1) == 0x81) | (data == 0xE3) & (near[: len(data)] == 0x80) | (data == 0xEF) & (near[: len(data)] == 0xBC) & (near[1:] < 0x90))
+    for k in range(3):
+        out[wide + k] = 32
+    latin = np.flatnonzero((data == 0xC2) & (near[: len(data)] >= 0xA0) & ~np.isin(near[: len(data)], (0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA)))
+    out[latin] = out[latin + 1] = 32
+    return out
+
+
+def lines_of(column: pa.Array, limit: int = 1 << 20):
+    """(bytes, start, end, row, number) of the normalised lines of slices of a column; a line end stands after each."""
+    for a, b, data, ends in parts(pc.utf8_lower(column.cast(pa.large_string())), limit):
+        data = folded(data)
+        place = np.arange(len(data)) + np.repeat(np.arange(b - a), np.diff(ends))
+        out = np.full(len(data) + b - a, 10, np.uint8)
+        out[place] = data
+        n_lines = np.add.reduceat(np.r_[out == 10, False].astype(np.int64), ends[:-1] + np.arange(b - a)) if b > a else np.zeros(0, np.int64)
+        gap = (out == 32) | (out == 10)
+        out = out[(out != 32) | np.r_[False, ~gap[:-1]]]
+        out = out[(out != 32) | np.r_[out[1:] != 10, True]]
+        end = np.flatnonzero(out == 10)
+        start = np.r_[0, end[:-1] + 1][: len(end)]
+        row = np.repeat(np.arange(a, b), n_lines)
+        number = np.arange(len(end)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+        yield out, start, end, row, number
+
+
+def characters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    seen = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    return seen[end] - seen[start]
+
+
+def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, hash and bytes of each feature: words, which also end where four bytes hash low, one place in sixteen."""
+    n = len(data)
+    inside = (data != 32) & (data != 10)
+    x = data.astype(np.uint32)
+    four = x.copy()
+    for k in range(1, 4):
+        four[k:] |= x[:-k] << np.uint32(8 * k)
+    cut = np.zeros(n, bool)
+    cut[1:] = inside[:-1] & ((four[:-1] * np.uint32(2654435761)) >> np.uint32(28) == 0)
+    for k in range(4):  # four bytes of this line
+        at = start + k
+        cut[at[at < n]] = False
+    begins = inside & (~np.r_[False, inside[:-1]] | cut)
+    edges = np.flatnonzero(~inside | begins)
+    which = np.flatnonzero(begins[edges])
+    first, last = edges[which], np.r_[edges, n][which + 1]
+    low = np.searchsorted(first, start)
+    counts = np.searchsorted(first, end) - low
+    mine = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    first, last = first[mine], last[mine]
+    return np.repeat(np.arange(len(start)), counts), spans(prefix(data), first, last), last - first
+
+
+def simhash(line: np.ndarray, found: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """64 bits of each line: whether most of its features of four bytes and more have the bit."""
+    line, found = line[size >= 4], mixed(found[size >= 4] + U(5))
+    counts = np.bincount(line, minlength=n)
+    out = np.zeros(n, U)
+    many = 5 if counts.max(initial=0) < 1024 else 1  # bits that one sum of doubles holds
+    for g in range(0, 64, many):
+        sums = np.bincount(line, PACK[((found >> U(g)) & U((1 << many) - 1)).astype(np.int64)], n).astype(np.int64)
+        for j in range(min(many, 64 - g)):
+            out |= (2 * (sums >> (10 * j) & 1023 if many > 1 else sums) > counts).astype(U) << U(g + j)
+    return out
+
+
+def blocks(line: np.ndarray, found: np.ndarray, size: np.ndarray, n: int, tier: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key of each block of a tier's dealings; blocks of hardly any bytes stay out."""
+    _, classes, dealings = TIERS[tier]
+    one, two = (mixed(found + U(77)) >> U(24)).astype(np.float64), (mixed(found + U(78)) >> U(40)).astype(np.float64)
+    rows, keys = [], []
+    for r in range(dealings):
+        slot = line * classes + (mixed(found + U((r + 1) * int(STEP) % (1 << 64))) % U(classes)).astype(np.int64)
+        told = np.flatnonzero(np.bincount(slot, np.maximum(size - 2, 0), n * classes) >= LEAST)
+        a, b = (np.bincount(slot, x, n * classes)[told].astype(U) for x in (one, two))
+        keys.append(mixed(mixed(a + U(tier * 64 + r)) * STEP + b + (told % classes).astype(U)))
+        rows.append(told // classes)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def bands(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = 3, rows: int = 3) -> np.ndarray:
+    """Band keys of the sketches of each line's runs of ``width`` bytes."""
+    n = COORDINATES // rows
+    count = np.maximum(end - start - width + 1, 0)
+    line = np.repeat(np.arange(len(start)), count)
+    at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    split = sketches(line, spans(prefix(data), at, at + width), len(start), COORDINATES)[:, : n * rows].reshape(len(start), n, rows)
+    keys = np.zeros((len(start), n), U)
+    for k in range(rows):
+        keys = mixed(keys * U(0xD1342543DE82EF95) + split[:, :, k])
+    return mixed(keys + np.arange(1, n + 1, dtype=U) * STEP + U(width))
+
+
+def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line and bucket key of all keys of some lines, and each line's SimHash."""
+    size = characters(data, start, end)
+    line, found, bytes_ = features(data, start, end)
+    rows, keys = [], []
+    for t, (low, _, _) in enumerate(TIERS):
+        high = TIERS[t + 1][0] if t + 1 < len(TIERS) else math.inf
+        mine = ((10 * size >= 9 * low) & (size < high))[line]
+        if mine.any():
+            r, k = blocks(line[mine], found[mine], bytes_[mine], len(start), t)
+            rows.append(r)
+            keys.append(k)
+    short = np.flatnonzero((size >= TINY - 1) & (size < SHORT))
+    if len(short):
+        k = bands(data, start[short], end[short])
+        rows.append(np.repeat(short, k.shape[1]))
+        keys.append(k.ravel())
+    for i in np.flatnonzero((size >= 10) & (size <= TINY)).tolist():
+        x = data[start[i] : end[i]].tobytes().decode("utf-8", "replace")
+        less = [y.encode() for y in sorted({x, *(x[:k] + x[k + 1 :] for k in range(len(x)))})]
+        ends = np.r_[0, np.cumsum([len(y) for y in less])]
+        rows.append(np.full(len(less), i))
+        keys.append(mixed(spans(prefix(np.frombuffer(b"".join(less), np.uint8)), ends[:-1], ends[1:]) + U(TINY)))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*rows, none]), np.concatenate([*keys, none.view(U)]), simhash(line, found, bytes_, len(start))
 
 
-def normalised(text: str) -> list[str]:
-    """The lines of a text in lower case, with every digit 0 and one space for everything else between words."""
-    return [line.strip() for line in OTHER.sub(" ", DIGITS.sub("0", text.lower())).split("\n")]
+def bucket_keys(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bucket keys and the SimHash of each normalised line."""
+    made = [x.encode("utf-8", "surrogatepass") for x in lines]
+    end = np.cumsum([len(x) + 1 for x in made]) - 1
+    rows, keys, bits = line_keys(np.frombuffer(b"".join(x + b"\n" for x in made), np.uint8), end - [len(x) for x in made], end)
+    order = np.argsort(rows, kind="stable")
+    return np.split(keys[order], np.searchsorted(rows[order], np.arange(1, len(lines)))), bits
 
 
-def bands(lines: list[str], width: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys of each line's runs of ``width`` bytes, and one bit of each coordinate of the sketch."""
-    n = COORDINATES // rows
-    keys, bits = np.zeros((len(lines), n), U), np.zeros(len(lines), U)
-    for a, b, data, ends in parts(pa.array([x.encode("utf-8", "surrogatepass") for x in lines], pa.binary()), 1 << 18):
-        start = np.arange(max(0, len(data) - width + 1))
-        row = np.searchsorted(ends, start, side="right") - 1
-        inside = start + width <= ends[row + 1]
-        start, row = start[inside], row[inside]
-        filled = sketches(row, spans(prefix(data), start, start + width), b - a, COORDINATES)
-        split = filled[:, : n * rows].reshape(b - a, n, rows)
-        for k in range(rows):
-            keys[a:b] = mixed(keys[a:b] * U(0xD1342543DE82EF95) + split[:, :, k])
-        bits[a:b] = np.packbits((mixed(filled) & U(1)).astype(np.uint8), axis=1).view(">u8").ravel().astype(U)
-    return mixed(keys + np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(width)), bits
+def near(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether two lines' lengths and SimHashes allow a link."""
+    low, high = np.minimum(x["n"][a], x["n"][b]), np.maximum(x["n"][a], x["n"][b])
+    return (100 * low.astype(np.int64) >= percent * high.astype(np.int64)) & ((low < LONG) | (np.bitwise_count((x["bits"][a] ^ x["bits"][b]).view(U)) <= MAX_BITS))
 
 
-def bucket_keys(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The bucket keys of each line, and the bits of its sketch where it is a long one."""
-    import xxhash
-
-    out: list = [[] for _ in lines]
-    bits = np.zeros(len(lines), U)
-    size = np.array([len(x) for x in lines], np.int64)
-    for fits, width, rows in (((size >= SHORT) & (size <= TOP), 3, 3), (size >= LONG, 5, 4)):
-        at = np.flatnonzero(fits)
-        keys, own = bands([lines[i] for i in at], width, rows)
-        for i, some in zip(at.tolist(), keys, strict=True):
-            out[i].append(some)
-        if width == 5:
-            bits[at] = own
-    for i in np.flatnonzero((size >= 10) & (size <= TINY)).tolist():
-        x = lines[i]
-        less = {x, *(x[:k] + x[k + 1 :] for k in range(len(x)))}
-        out[i].append(np.array([xxhash.xxh3_64_intdigest(y.encode("utf-8", "surrogatepass"), 1) for y in less], U))
-    return [np.concatenate(x) if x else np.zeros(0, U) for x in out], bits
+def fits(percent: int) -> str:
+    return f"100 * least(s.n, t.n) >= {percent} * greatest(s.n, t.n) AND (least(s.n, t.n) < {LONG} OR bit_count(s.bits ^ t.bits) <= {MAX_BITS})"
 
 
-def fingerprinted(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """k1, k2, line number, name, length, bits and bucket keys of every line of ``min_words`` words or MIN_BYTES bytes and more."""
+def fingerprinted(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """doc_id, k1, k2, line number, name, characters and SimHash of every line of ``min_bytes`` bytes and more."""
+    schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("k1 long, k2 long, line int, node long, n int, bits long").fields])
 
     def scan(batches):
-        import xxhash
+        for batch in batches:
+            for data, start, end, row, number in lines_of(batch.column(3)):
+                keep = np.flatnonzero(end - start >= min_bytes)
+                start, end, row = start[keep], end[keep], row[keep]
+                bits = simhash(*features(data, start, end), len(start))
+                node = spans(prefix(data), start, end)
+                at = pa.array(row)
+                cols = [number[keep].astype(np.int32), node.view(np.int64), characters(data, start, end).astype(np.int32), bits.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *map(pa.array, cols)], schema.names)
+
+    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(scan, schema)
+
+
+#: Entries of a packed part: five bytes of the key, whose others name the part, and the node. HEAVY: so often in one
+#: flush, a key is settled there. SEEN: places of a task's memory of lines whose keys it has sent.
+ENTRY, FLUSH, HEAVY, SEEN, PART_ENTRIES = 13, 1 << 19, 64, 1 << 18, 1 << 21
+
+
+def packed(keys: np.ndarray, nodes: np.ndarray) -> bytes:
+    out = np.empty((len(keys), ENTRY), np.uint8)
+    out[:, :5] = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    out[:, 5:] = nodes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return out.tobytes()
+
+
+def unpacked(part: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(data, np.uint8).reshape(-1, ENTRY)
+    keys = np.zeros((len(x), 8), np.uint8)
+    keys[:, :5] = x[:, :5]
+    return keys.view("<u8").ravel() | U(part << 40), np.ascontiguousarray(x[:, 5:]).view("<u8").ravel()
+
+
+def flushed(keys: np.ndarray, nodes: np.ndarray, n_parts: int):
+    """(part, settled, bytes) for entries: those of frequent keys go to their node's part, settled, but for the first of each."""
+    keys = (keys >> U(40)) % U(n_parts) << U(40) | keys & U((1 << 40) - 1)
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    size = np.diff(np.r_[np.flatnonzero(new), len(keys)])
+    heavy = np.repeat(size >= HEAVY, size)
+    part = keys >> U(40)
+    for settled, mine in ((False, ~heavy | new), (True, heavy)):
+        where = nodes % U(n_parts) if settled else part
+        at = np.flatnonzero(mine)
+        at = at[np.argsort(where[at], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, where[at][1:] != where[at][:-1]]) if len(at) else at
+        for some in np.split(at, edges[1:]) if len(at) else []:
+            data = packed(keys[some], nodes[some]) if not settled else keys[some].tobytes() + nodes[some].tobytes()
+            yield int(where[some[0]]), settled, data
+
+
+def buckets(rows: DataFrame, n_parts: int, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(key, node) of every key that several lines share."""
+
+    def send(batches):
+        seen = np.zeros(SEEN, np.int64)
+        keys, nodes, held = [], [], 0
+
+        def flush():
+            out = list(flushed(np.concatenate(keys), np.concatenate(nodes), n_parts)) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], ["part", "settled", "data"])
 
         for batch in batches:
-            texts, k1, k2 = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for lo in range(0, batch.num_rows, 256):
-                row, number, name = [], [], []
-                own: dict[str, int] = {}
-                for i, text in enumerate(texts.slice(lo, 256).to_pylist(), lo):
-                    for j, line in enumerate(normalised(text or "")):
-                        if line and (line.count(" ") + 1 >= min_words or len(line) >= MIN_BYTES or len(line.encode("utf-8", "surrogatepass")) >= MIN_BYTES):
-                            row.append(i)
-                            number.append(j)
-                            name.append(own.setdefault(line, len(own)))
-                lines = list(own)
-                keys, bits = bucket_keys(lines)
-                node = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], U).view(np.int64)
-                size = np.array([len(x) for x in lines], np.int32)
-                at, which = np.array(row, np.int64), np.array(name, np.int64)
-                first = np.zeros(len(name), bool)
-                first[np.unique(which, return_index=True)[1]] = True  # keys once a slice
-                held = [keys[w] if f else None for w, f in zip(name, first.tolist(), strict=True)]
-                flat = np.concatenate([x for x in held if x is not None] or [np.zeros(0, U)]).view(np.int64)
-                ends = np.r_[0, np.cumsum([0 if x is None else len(x) for x in held])].astype(np.int32)
-                cols = [k1[at], k2[at], np.array(number, np.int32), node[which], size[which], bits.view(np.int64)[which], first]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["k1", "k2", "line", "node", "n", "bits", "keyed", "keys"])
-
-    return rows.select("text", "k1", "k2").mapInArrow(scan, "k1 long, k2 long, line int, node long, n int, bits long, keyed boolean, keys array<long>")
-
-
-def bucketed(nodes: DataFrame, m: int, distance: int = DISTANCE) -> DataFrame:
-    """(key, node) for each choice of m - distance blocks of a 64-bit fingerprint ``simhash``."""
-    cuts = [64 * i // m for i in range(m + 1)]
-
-    def key(i: int, chosen: tuple[int, ...]):
-        out = F.lit(i).cast("long")
-        for c in chosen:
-            width = cuts[c + 1] - cuts[c]
-            out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("simhash", cuts[c]).bitwiseAND(F.lit((1 << width) - 1)))
-        return out
-
-    keys = [key(i, c) for i, c in enumerate(combinations(range(m), m - distance))]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "node")
+            for data, start, end, _, _ in lines_of(batch.column(0)):
+                keep = end - start >= min_bytes
+                start, end = start[keep], end[keep]
+                node = spans(prefix(data), start, end).view(np.int64)
+                first = np.unique(node, return_index=True)[1]
+                first = np.sort(first[seen[node[first] & (SEEN - 1)] != node[first]])
+                seen[node[first] & (SEEN - 1)] = node[first]
+                row, key, _ = line_keys(data, start[first], end[first])
+                keys.append(key)
+                nodes.append(node[first][row].view(U))
+                held += len(key)
+                if held >= FLUSH:
+                    yield flush()
+                    keys, nodes, held = [], [], 0
+        yield flush()
+
+    def meet(batches):
+        none = np.zeros(0, U)
+        sent: dict[bool, list] = {False: [(none, none)], True: [(none, none)]}
+        for batch in batches:
+            for part, settled, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                both = np.frombuffer(data, U) if settled else None
+                sent[settled].append((both[: len(both) // 2], both[len(both) // 2 :]) if settled else unpacked(part, data))
+        for settled, some in sent.items():
+            k, v = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.lexsort((v, k))
+            k, v = k[order], v[order]
+            keep = np.ones(len(k), bool)
+            keep[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
+            k, v = k[keep], v[keep]
+            same = k[1:] == k[:-1]
+            on = np.r_[False, same] | np.r_[same, False] if len(k) else np.zeros(0, bool)
+            on |= settled
+            yield pa.RecordBatch.from_arrays([pa.array(k[on].view(np.int64)), pa.array(v[on].view(np.int64))], ["key", "node"])
+
+    sent = rows.select("text").mapInArrow(send, "part int, settled boolean, data binary")
+    return sent.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "key long, node long")
 
 
 def line_texts(rows: DataFrame, lines: DataFrame, asked: DataFrame) -> DataFrame:
@@ -128,16 +304,17 @@ def line_texts(rows: DataFrame, lines: DataFrame, asked: DataFrame) -> DataFrame
 
     def read(batches):
         for batch in batches:
-            row, x = _flat(batch.column(1))
-            texts = batch.column(0).to_pylist()
-            at, split, out = -1, [], []
-            for r, line in zip(row.tolist(), x["line"].tolist()):
-                if r != at:
-                    at, split = r, normalised(texts[r])
-                out.append(split[line])
-            yield pa.RecordBatch.from_arrays([pa.array(x["node"]), pa.array(out, pa.string())], ["node", "text"])
-
-    found = rows.join(marks, ["k1", "k2"]).select("text", "marks").mapInArrow(read, "node long, text string")
+            asked_row, x = _flat(batch.column(1))
+            order = np.argsort(asked_row.astype(np.int64) << 32 | x["line"], kind="stable")
+            asked_row, line, node = asked_row[order], x["line"][order], x["node"][order]
+            for data, start, end, row, number in lines_of(batch.column(0)):
+                if len(row):
+                    mine = slice(*np.searchsorted(asked_row, (row[0], row[-1] + 1)).tolist())
+                    at = np.searchsorted(row.astype(np.int64) << 32 | number, asked_row[mine].astype(np.int64) << 32 | line[mine])
+                    texts = [data[a:b].tobytes() for a, b in zip(start[at].tolist(), end[at].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array(texts, pa.binary()).cast(pa.string())], ["node", "text"])
+
+    found = rows.select("k1", "k2", "text").join(marks, ["k1", "k2"]).select("text", "marks").mapInArrow(read, "node long, text string")
     return found.dropDuplicates(["node"])
 
 
@@ -149,51 +326,70 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return pairs.where(f"levenshtein(t_a, t_b, CAST({longest} * {100 - percent} DIV 100 AS INT)) >= 0").select("a", "b")
 
 
-def dropped_lines(documents: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The named rows of the documents, and (k1, k2, line) of every line that repeats an earlier one.
+def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """k1, k2 and ``dropped``, the numbers of a row's lines that repeat an earlier one; rows that keep all lines are left out.
 
-    Earlier means a smaller doc_id, then a smaller line number; a null doc_id comes first. Lines of fewer than
-    ``min_words`` words and MIN_BYTES bytes never go. A row that is there twice is one document.
+    Earlier means a smaller doc_id, then a smaller row name, then a smaller line number; a null doc_id comes
+    first. A row that is there twice is one row, lines of fewer than ``min_bytes`` bytes never go.
     """
     rows = keyed(documents)
-    lines = written(fingerprinted(rows, min_words), "lines")
-    nodes = written(lines.where("keyed").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
-    fits = f"100 * least(s.n, t.n) >= {percent} * greatest(s.n, t.n) AND (least(s.n, t.n) < {LONG} OR bit_count(s.bits ^ t.bits) <= {MAX_BITS})"
-    sizes = nodes.select("node", F.struct("n", "bits").alias("size"))
-    buckets = written(meeting(nodes.select(F.explode("keys").alias("key"), "node"), sizes, fits), "buckets")
-    texts = written(line_texts(rows, lines, buckets.select("node").distinct()), "texts")
-    groups = linked(buckets, lambda pairs: confirmed(pairs, texts, percent), fits)
-    placed = lines.select("k1", "k2", "line", "node")
+    lines = written(fingerprinted(rows, min_bytes), "lines")
+    n_parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() * 16 // PART_ENTRIES)
+    nodes = lines.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    met = written(buckets(rows, n_parts, min_bytes).join(nodes, "node"), "buckets")
+    met_by = met.join(met.groupBy("key").agg(F.count("*").alias("c")), "key")
+    small, large = met_by.where(f"c <= {SMALL}"), met_by.where(f"c > {SMALL}").drop("c")
+    names = ["n", "bits"]
+    first = within(small, ["key"], names, lambda x, a, b: near(x, a, b, percent)).union(centred(large, names, fits(percent)))
+    first = written(first.distinct(), "pairs")
+    asked = first.select(F.col("a").alias("node")).union(first.select("b")).union(large.select("node")).distinct()
+    texts = written(line_texts(rows, lines, asked), "texts")
+
+    def across(some: DataFrame) -> DataFrame:
+        return confirmed(within(celled(some), ["key", "i", "j"], names, lambda x, a, b: near(x, a, b, percent)).distinct(), texts, percent)
+
+    groups = linked(first, large, lambda pairs: confirmed(pairs, texts, percent), across)
+    placed = lines.select("doc_id", "k1", "k2", "line", "node", "n", "bits")
     if groups is not None:
-        placed = placed.join(groups, "node", "left").select("k1", "k2", "line", F.coalesce("component", "node").alias("group"))
+        placed = placed.join(groups, "node", "left")
     else:
-        placed = placed.withColumnRenamed("node", "group")
-    first = placed.groupBy("group").agg(F.min(F.struct("k1", "k2", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
-    return rows, placed.join(first, "group").where(F.struct("k1", "k2", "line") != F.col("first")).select("k1", "k2", "line")
-
-
-def counted(documents: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per document: doc_id, n_lines, n_dropped and the numbers of the dropped lines, from 0."""
-    rows, gone = dropped_lines(documents, percent, min_words)
-    gone = gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
-    size = rows.select("doc_id", "k1", "k2", F.size(F.split("text", "\n")).cast("long").alias("n_lines")).join(gone, ["k1", "k2"], "left")
-    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return size.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
+        placed = placed.withColumn("component", F.lit(None).cast("long"))
+    alone = lambda c: F.when(F.col("component").isNull(), F.col(c))  # noqa: E731  equal names of different lines stay apart
+    placed = placed.select(F.coalesce("component", "node").alias("group"), alone("n").alias("n"), alone("bits").alias("bits"), F.struct("doc_id", "k1", "k2", "line").alias("at"))
+    first_of = placed.groupBy("group", "n", "bits").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("group").alias("g"), F.col("n").alias("m"), F.col("bits").alias("b"), "first")
+    same = (F.col("group") == F.col("g")) & F.col("n").eqNullSafe(F.col("m")) & F.col("bits").eqNullSafe(F.col("b"))
+    gone = placed.join(first_of, same).where("at <> first").groupBy("at.k1", "at.k2").agg(F.sort_array(F.collect_set("at.line")).alias("dropped"))
+    gone = written(gone, "gone")
+    for x in (lines, met, first, texts, *([groups] if groups is not None else [])):
+        dropped(x)
+    return gone
+
+
+def counted(documents: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """A row per document: doc_id, n_lines, n_dropped and the numbers of the dropped lines, from 0.
+
+    A null text is an empty one, of one line. Very long texts and lines take part whole; equal rows get equal
+    results. Other columns of the table don't matter.
+    """
+    gone = repeated_lines(documents, percent, min_bytes)
+    rows = keyed(documents).select("doc_id", "k1", "k2", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    lost = F.coalesce("dropped", F.array().cast("array<int>"))
+    return rows.join(gone, ["k1", "k2"], "left").select("doc_id", "n_lines", F.size(lost).cast("long").alias("n_dropped"), lost.alias("dropped"))
 
 
-def deduplicated(documents: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(documents: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The documents without repeated lines, all columns kept; a document of which no word is left goes.
 
     A column n_chars, where there is one, gets the new length. Documents that lost nothing stay as they are,
     null and blank texts included.
     """
-    _, gone = dropped_lines(documents, percent, min_words)
-    gone = gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("_dropped"))
-    k1, k2 = row_keys()
-    named = documents.withColumn("_k1", k1).withColumn("_k2", k2)
-    held = named.join(gone.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), ["_k1", "_k2"], "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    held = held.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left)).where("_dropped IS NULL OR text RLIKE '\\\\S'")
+    k1, k2, lost = fresh(documents.columns, "k1", "k2", "dropped")
+    gone = repeated_lines(documents, percent, min_bytes).toDF(k1, k2, lost)
+    held = documents.withColumns(dict(zip((k1, k2), row_keys(), strict=True))).join(gone, [k1, k2], "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), lost)
+    left = F.transform(F.array(F.split("text", "\n")), lambda parts: F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))[0]
+    stays = F.col(lost).isNull()
+    held = held.withColumn("text", F.when(stays, F.col("text")).otherwise(left)).where(stays | F.col("text").rlike(r"\S"))
     if "n_chars" in documents.columns:
-        held = held.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
+        held = held.withColumn("n_chars", F.when(stays, F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
     return held.select(*documents.columns)

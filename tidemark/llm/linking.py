@@ -1,103 +1,142 @@
 """From shared buckets to connected groups without pairing everything in a bucket.
 
-Near copies meet in many buckets. Pairing all members of a bucket makes the square of a group's size, so
-members first meet one centre of their bucket each; what that proves equal becomes one group. Only members
-of different groups in one bucket can still add anything, so a few more centres and at last all pairs across
-groups in a bucket follow. No link between groups that a bucket shows is left unchecked.
+A bucket of up to SMALL members pairs them all, a few pairs a row. In a larger one members first meet their
+bucket's centre; what that proves equal becomes one group, and only members of different groups can still add
+anything. Those are dealt to cells of two blocks of BLOCK members each, and a task compares a cell's members by
+their sketches: no pair leaves it that can't be a link. No link that a bucket shows is left unchecked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import dropped, written
 
-#: Further rounds of centres, while pairs across groups are more than so many times the rows.
-ROUNDS, PAIRS_A_ROW = 0, 200
+SMALL, BLOCK, CHUNK, CHUNK_BYTES = 8, 512, 1 << 19, 16 << 20
+PAIR = "a long, b long"
+Fits = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 
 
 def shared(buckets: DataFrame) -> DataFrame:
-    """Rows (key, node, ...) of the buckets that hold several nodes."""
-    several = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    """Rows (key, node, ...) of the buckets that hold several nodes, with c, how many rows the bucket has."""
+    several = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("c")).where("low < high").select("key", "c")
     return buckets.join(several, "key")
 
 
-def meeting(buckets: DataFrame, sizes: DataFrame, fits: str) -> DataFrame:
-    """Rows (key, node, size) of shared buckets whose node has a partner there that ``fits``; the others can't have a link.
-
-    ``sizes`` is (node, size). Each row only asks whether a partner exists, so no pairs come out.
-    """
-    rows = shared(buckets).join(sizes, "node").select("key", "node", F.col("size").alias("s"))
-    mates = rows.select("key", F.col("node").alias("mate"), F.col("s").alias("t"))
-    return rows.join(mates, (rows.key == mates.key) & F.expr(f"node <> mate AND {fits}"), "left_semi").withColumnRenamed("s", "size")
-
-
-def _grouped(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Buckets with the group of each node, of which a bucket shows more than one."""
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows that are sorted by ``keys``, many at a time, with the group's number of each row."""
+    held: list[pa.RecordBatch] = []
+    size = weight = 0
+
+    def cut(final: bool):
+        nonlocal held, size, weight
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.logical_or.reduce([(c := table.column(k).to_numpy())[1:] != c[:-1] for k in keys])
+        end = table.num_rows if final else int(np.flatnonzero(new)[-1])
+        held, size, weight = table.slice(end).to_batches(), table.num_rows - end, 0
+        return table.slice(0, end), np.cumsum(new[:end]) - 1
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size, weight = size + batch.num_rows, weight + batch.nbytes
+        if size > CHUNK // 8 or weight > CHUNK_BYTES:
+            out = cut(False)
+            if out[0].num_rows:
+                yield out
+    if size:
+        yield cut(True)
+
+
+def pairs_in(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within each group of a sorted array of group numbers, in pieces."""
+    n = len(group)
+    last = np.searchsorted(group, group, side="right")
+    more = last - np.arange(n) - 1
+    ends = np.cumsum(more)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
+        left = np.repeat(np.arange(at, to), more[at:to])
+        right = left + 1 + np.arange(len(left)) - np.repeat(ends[at:to] - more[at:to] - (ends[at - 1] if at else 0), more[at:to])
+        yield left, right
+        at = to
+
+
+def within(rows: DataFrame, keys: list[str], names: list[str], fits: Fits) -> DataFrame:
+    """(a, b) for the pairs of nodes in a group of bounded size that fit; with blocks or components, across those alone."""
+    extra = [x for x in ("component", "block", "i", "j") if x in rows.columns]
+
+    def compare(batches):
+        for table, group in groups_of(batches, keys):
+            x = {c: table.column(c).to_numpy() for c in ["node", *names, *extra]}
+            for a, b in pairs_in(group):
+                keep = x["node"][a] != x["node"][b]
+                if "component" in x:
+                    keep &= x["component"][a] != x["component"][b]
+                if "block" in x:
+                    keep &= (x["i"][a] == x["j"][a]) | (x["block"][a] != x["block"][b])
+                a, b = a[keep], b[keep]
+                keep = fits(x, a, b)
+                p, q = x["node"][a[keep]], x["node"][b[keep]]
+                if len(p):
+                    found = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+
+    return rows.select(*dict.fromkeys([*keys, "node", *names, *extra])).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, PAIR)
+
+
+def mixed_rows(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Rows with the component of each node, of the buckets that show more than one."""
     if groups is None:
         return buckets.withColumn("component", F.col("node"))
     named = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return named.join(mixed, "key")
+    several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return named.join(several, "key")
 
 
-def _centred(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each bucket's centre with the members of other groups; every turn picks another centre."""
-    rank = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-    of = lambda df: F.struct(rank.alias("rank"), *(df[c] for c in ("node", "size", "component")))
-    centre = rows.groupBy("key").agg(F.min(of(rows)).alias("c")).select("key", *(F.col(f"c.{x}").alias(f"{x}_c") for x in ("node", "size", "component")))
-    pairs = rows.join(centre, "key").where("component <> component_c")
-    return pairs.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b"), F.col("size").alias("s"), F.col("size_c").alias("t"))
+def celled(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each row once for every cell (key, i, j) of blocks that its own block meets in its bucket."""
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """All pairs of members of different groups in one bucket."""
-    other = rows.select("key", *(F.col(x).alias(f"{x}_c") for x in ("node", "size", "component")))
-    pairs = rows.join(other, "key").where("component < component_c")
-    return pairs.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b"), F.col("size").alias("s"), F.col("size_c").alias("t"))
+def centred(rows: DataFrame, names: list[str], fits: str) -> DataFrame:
+    """Pairs of each bucket's smallest node with its members, as far as they fit."""
+    s = rows.select("key", "node", F.struct(*names).alias("s"))
+    centre = s.groupBy("key").agg(F.min(F.struct("node", "s")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.s").alias("t"))
+    pairs = s.join(centre, "key").where("node <> centre").where(fits)
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: str, tighten: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+def linked(first: DataFrame, large: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(node, component) of the nodes that have a link, or None if none has.
 
-    ``buckets`` (key, node, size) is what ``meeting`` returns, as a scratch table; ``verify`` takes pairs (a, b) and
-    returns those that are links; ``fits`` is a condition on the sizes s and t, or whatever else ``size``
-    holds of a node, that every link obeys. ``tighten`` takes the rows that are left after the first centres
-    and returns those that may still link to any other of them, with better sizes.
+    ``first`` are pairs (a, b) to verify; ``large`` (key, node, ...) are the rows of the buckets whose members
+    met their centre alone. ``across`` takes those of them that show several components, and returns the
+    links (a, b) between different components.
     """
-    if buckets.isEmpty():
-        return None
-    links, tried, groups = [], None, None
-    turn = 0
-    while True:
-        rows = _grouped(buckets, groups)
-        last = False
-        if turn:
-            rows = written(tighten(rows) if tighten else rows, "mixed")
-            counts = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            n, pairs = counts.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()
-            if not n:
-                break
-            last = pairs <= PAIRS_A_ROW * n or turn > ROUNDS
-        pairs = (_across(rows) if last else _centred(rows, turn)).where(fits).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = written(verify(pairs), "links")
-        if turn:
-            dropped(rows)
-        links.append(found)
-        if not found.isEmpty():
-            every = links[0]
-            for x in links[1:]:
-                every = every.union(x)
-            groups = written(components(every), "groups")
-        if last:
-            break
-        turn += 1
+    links = written(verify(first.distinct()), "links")
+    groups = None if links.isEmpty() else written(components(links), "groups")
+    rows = written(mixed_rows(large, groups), "mixed")
+    if not rows.isEmpty():
+        more = written(across(rows), "links")
+        dropped(rows)
+        if not more.isEmpty():
+            if groups is not None:
+                dropped(groups)
+            groups = written(components(links.union(more)), "groups")
+        dropped(more)
+    else:
+        dropped(rows)
+    dropped(links)
     return groups

@@ -8,7 +8,7 @@ become bucket keys, and full shingle sets confirm what buckets suggest.
 
 With bands of 4 of 128 coordinates two sets of similarity 0.75 share no band with a chance of about 5e-6. One
 bit of each coordinate comes along: sets of similarity 0.75 differ in 16 of the 128 bits on average, in more
-than 32 with a chance of about 2e-5, and such pairs are not confirmed further.
+than 36 with a chance below 1e-6, and such pairs are not confirmed further.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .flat import FOLD, SPACES, U, fold_windows, mixed, parts, prefix, spans, words
-from .linking import linked, meeting
+from .linking import SMALL, celled, centred, groups_of, linked, pairs_in, shared, within
+from .rows import keyed, row_keys
 from .scratch import dropped, written
 
-SHINGLE, SIMILAR, COORDINATES, BANDS, MAX_BITS, SLICE = 5, 75, 128, 32, 32, 1 << 20
+SHINGLE, SIMILAR, COORDINATES, BANDS, MAX_BITS, SLICE = 5, 75, 128, 32, 36, 1 << 20
+#: Documents in a block of a cell whose texts are compared in one task.
+TEXTS = 128
 FULL = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -78,12 +82,14 @@ def banded(filled: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketched(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the shingle set, its band keys, and a bit of each coordinate."""
+    """doc_id, k1, k2, n_shingles, a 128-bit name of the shingle set, its band keys, and a bit of each coordinate."""
+    rows = keyed(documents).select("doc_id", "k1", "k2", "text")
+    schema = T.StructType([*rows.schema.fields[:3], *T._parse_datatype_string("n_shingles long, set_a long, set_b long, bands array<long>, bits_a long, bits_b long").fields])
 
     def sketch(batches):
         for batch in batches:
             sizes, names, others, keys, bits = [], [], [], [], []
-            for a, b, row, found in shingles(batch.column(1)):
+            for a, b, row, found in shingles(batch.column(3)):
                 n = b - a
                 sizes.append(np.bincount(row, minlength=n))
                 name, other = np.zeros(n, U), np.zeros(n, U)
@@ -98,18 +104,18 @@ def sketched(documents: DataFrame) -> DataFrame:
             bands = join(keys).reshape(-1).view(np.int64)
             half = join(bits).astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(join(sizes).astype(np.int64)), pa.array(join(names).view(np.int64)), pa.array(join(others).view(np.int64)),
+                *batch.columns[:3], pa.array(join(sizes).astype(np.int64)), pa.array(join(names).view(np.int64)), pa.array(join(others).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), pa.array(bands)),
                 pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()),
-            ], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits_a", "bits_b"])
+            ], schema.names)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits_a long, bits_b long")
+    return rows.mapInArrow(sketch, schema)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have an intersection of ``similar`` hundredths of their union."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def compare(batches):
         for batch in batches:
@@ -130,8 +136,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def near(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    """Whether two sets' sizes and bits allow a link."""
+    low, high = np.minimum(x["n"][a], x["n"][b]), np.maximum(x["n"][a], x["n"][b])
+    apart = sum(np.bitwise_count((x[c][a] ^ x[c][b]).view(U)).astype(np.int64) for c in ("bits_a", "bits_b"))
+    return (100 * low >= similar * high) & (apart <= MAX_BITS)
+
+
+def fits(similar: int) -> str:
+    return f"100 * least(s.n, t.n) >= {similar} * greatest(s.n, t.n) AND bit_count(s.bits_a ^ t.bits_a) + bit_count(s.bits_b ^ t.bits_b) <= {MAX_BITS}"
+
+
+NAMES = ["n", "bits_a", "bits_b"]
+
+
 def covered(rows: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The rows whose node shares enough shingles with all other nodes together to have a link, size.c being how many.
+    """The rows whose node shares enough shingles with all other nodes together to have a link.
 
     A link needs an intersection of similar / (100 + similar) of both sizes, and no intersection is larger
     than the part of a set that any other set has too. Counting shingles tells that without pairs.
@@ -144,35 +164,90 @@ def covered(rows: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a + row]), pa.array(found.view(np.int64))], ["node", "shingle"])
 
     nodes = rows.select("node").distinct()
-    each = texts.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", "text").mapInArrow(cut, "node long, shingle long")
+    each = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(cut, "node long, shingle long")
     common = each.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("shingle")
-    counts = each.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("c"))
-    held = rows.join(counts, "node").where(f"{100 + similar} * c >= {similar} * (size.n + ceil(size.n * {similar} / 100))")
-    return held.withColumn("size", F.struct("size.n", "size.a", "size.b", "c")).drop("c")
+    counts = each.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    return rows.join(counts, "node").where(f"{100 + similar} * shared >= {similar} * (n + ceil(n * {similar} / 100))").drop("shared")
+
+
+def across(rows: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The links (a, b) between different components of a bucket, on full sets, a cell of two blocks at a time.
+
+    A cell counts the common shingles of all its members at once, as a product of the matrix of members and
+    those shingles that several of them have. Only links leave the task.
+    """
+
+    def compare(batches):
+        for table, group in groups_of(batches, ["key", "i", "j"]):
+            x = {c: table.column(c).to_numpy() for c in ("node", "component", "block", "i", "j", *NAMES)}
+            asked = []
+            for a, b in pairs_in(group):
+                keep = (x["component"][a] != x["component"][b]) & ((x["i"][a] == x["j"][a]) | (x["block"][a] != x["block"][b]))
+                a, b = a[keep], b[keep]
+                keep = near(x, a, b, similar)
+                asked.append((a[keep], b[keep]))
+            left, right = (np.concatenate(y) for y in zip(*asked, strict=True)) if asked else (np.zeros(0, np.int64),) * 2
+            if not len(left):
+                continue
+            used = np.unique(np.r_[left, right])
+            texts_ = table.column("text").combine_chunks().take(pa.array(used))
+            row, found = next(iter(shingles(texts_, limit=1 << 60)))[2:]
+            row = used[row]
+            edges = np.searchsorted(row, np.arange(table.num_rows + 1))
+            out = []
+            for g in np.unique(group[left]).tolist():
+                mine = (group[left] == g) if len(asked) else None
+                a, b = left[mine], right[mine]
+                members = np.unique(np.r_[a, b])
+                lo, hi = edges[members[0]], edges[members[-1] + 1]
+                keep = np.isin(row[lo:hi], members)
+                own, name = np.searchsorted(members, row[lo:hi][keep]), np.unique(found[lo:hi][keep], return_inverse=True)[1]
+                often = np.bincount(name) > 1
+                own, name = own[often[name]], (np.cumsum(often) - 1)[name[often[name]]]
+                both = np.zeros((len(members), len(members)), np.float32)
+                for v in range(0, int(often.sum()), 4096):
+                    part = (name >= v) & (name < v + 4096)
+                    m = np.zeros((len(members), 4096), np.float32)
+                    m[own[part], name[part] - v] = 1
+                    both += m @ m.T
+                common = both[np.searchsorted(members, a), np.searchsorted(members, b)].astype(np.int64)
+                good = 100 * common >= similar * (x["n"][a] + x["n"][b] - common)
+                out.append(np.stack([x["node"][a[good]], x["node"][b[good]]], axis=1))
+            found_ = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found_[:, 0].copy()), pa.array(found_[:, 1].copy())], ["a", "b"])
+
+    cells = celled(covered(rows, texts, similar), TEXTS).select("key", "i", "j", "block", "node", "component", *NAMES).join(texts, "node")
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
 def grouped(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, kept.
 
-    Documents with the same set of shingles are one node from the start, named by their smallest doc_id, so
-    exact copies never meet in buckets. A text without words or a null one is linked with nothing. Rows that
-    share a doc_id are one document of the graph. A row without doc_id has no component and is kept.
+    Rows with the same set of shingles are one node from the start, so exact copies never meet in buckets. A text
+    without words or a null one is linked with nothing. Rows that share a doc_id are one document: what any of
+    their texts links to, all do. A row without doc_id links others, and is kept under no component. Texts of any
+    length take part whole; doc_id may be of any type that has an order.
     """
     rows = written(sketched(documents), "sketches")
-    real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    mine = real.join(nodes.select("set_a", "set_b", F.col("node").alias("doc_id")), ["doc_id", "set_a", "set_b"], "left_semi")
-    sizes = mine.select(F.col("doc_id").alias("node"), F.struct(F.col("n_shingles").alias("n"), F.col("bits_a").alias("a"), F.col("bits_b").alias("b"), F.col("n_shingles").alias("c")).alias("size"))
-    fits = f"100 * least(s.n, t.n) >= {similar} * greatest(s.n, t.n) AND bit_count(s.a ^ t.a) + bit_count(s.b ^ t.b) <= {MAX_BITS} AND {100 + similar} * least(s.c, t.c) >= {similar} * (s.n + t.n)"
-    buckets = written(meeting(mine.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key")), sizes.dropDuplicates(["node"]), fits), "buckets")
-    asked = buckets.select(F.col("node").alias("doc_id")).distinct()
-    texts = written(documents.select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    groups = linked(buckets, lambda pairs: confirmed(pairs, texts, similar), fits, lambda rows: covered(rows, texts, similar))
-    named = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(nodes, ["set_a", "set_b"], "left")
+    real = rows.where("n_shingles > 0")
+    nodes = real.select(F.col("set_a").alias("node"), F.col("n_shingles").alias("n"), "bits_a", "bits_b", "bands").dropDuplicates(["node"])
+    met = written(shared(nodes.select("node", *NAMES, F.explode("bands").alias("key"))), "buckets")
+    small, large = met.where(f"c <= {SMALL}"), met.where(f"c > {SMALL}").drop("c")
+    first = within(small, ["key"], NAMES, lambda x, a, b: near(x, a, b, similar)).union(centred(large, NAMES, fits(similar)))
+    first = written(first.distinct(), "pairs")
+    asked = first.select(F.col("a").alias("node")).union(first.select("b")).union(large.select("node")).distinct()
+    at = real.select(F.col("set_a").alias("node"), "k1", "k2").join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"))
+    k1, k2 = row_keys()
+    texts = documents.select("text", k1.alias("k1"), k2.alias("k2")).join(at.select("node", "at.k1", "at.k2"), ["k1", "k2"]).select("node", "text")
+    texts = written(texts.dropDuplicates(["node"]), "texts")
+    twins = real.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("z"), F.collect_set("set_a").alias("all")).where("a < z").select("a", F.explode("all").alias("b")).where("a < b")
+    groups = linked(first, large, lambda pairs: confirmed(pairs, texts, similar).union(twins), lambda some: across(some, texts, similar))
+    for x in (met, first, texts):
+        dropped(x)
+    named = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("node"))
     if groups is not None:
-        named = named.join(groups, "node", "left")
-    else:
-        named = named.withColumn("component", F.lit(None).cast("long"))
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
+        named = named.join(groups, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+    smallest = named.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = named.join(smallest, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -22,27 +22,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import U, parts, prefix, spans
+from .rows import keyed
 from .scratch import dropped, written
 
 SPAN, LEAD, SLICE = 400, 200, 1 << 20
 CHOICES = SPAN - LEAD + 1
 #: Splitters come from the suffixes of about so many documents.
 SAMPLE_DOCUMENTS = 2000
-NONE = np.iinfo(np.int64).min
-
-
-def row_keys() -> tuple[Column, Column]:
-    """Two numbers that name a row of documents: rows that agree in both are the same row repeated."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), F.hash(F.coalesce("text", F.lit(""))).cast("long")
-
-
-def keyed(documents: DataFrame) -> DataFrame:
-    k1, k2 = row_keys()
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
 
 
 def anchors(data: np.ndarray, sums: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
