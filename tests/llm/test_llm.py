@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from tidemark.llm import chat, decontamination, fuzzy_lines, html_text, mixing, near_duplicates, quality, secrets, substrings, token_counts
+from tidemark.llm.edits import distance
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, node string"
 
@@ -162,7 +163,7 @@ def test_lines_that_differ_in_fewer_features_than_classes_share_a_block():
             assert set(keys[0].tolist()) & set(keys[1].tolist())
 
 
-def edits(a, b):
+def edits_between(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -171,6 +172,19 @@ def edits(a, b):
     return row[-1]
 
 
+def test_edit_distance():
+    r = random.Random(2)
+    for _ in range(300):
+        a = "".join(r.choice("abcdé今") for _ in range(r.choice((0, 1, 5, 63, 64, 65, 130))))
+        b = list(a)
+        for _ in range(r.randint(0, 12)):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 1)] = r.choice(("", "a", "x"))
+        b = "".join(b)
+        want = edits_between(a, b)
+        assert distance(a, b) == want and (distance(a, b, 4) <= 4) == (want <= 4)
+
+
 def test_line_dedup_against_brute_force(spark):
     """Lines that differ after normalisation: edited one to three times, in chains, and in a bucket beyond SMALL."""
     r = random.Random(5)
@@ -203,7 +217,7 @@ def test_line_dedup_against_brute_force(spark):
         for j in range(i):
             b = place[j][2]
             most = max(len(a), len(b)) // 10
-            if abs(len(a) - len(b)) <= most and edits(a, b) <= most:
+            if abs(len(a) - len(b)) <= most and edits_between(a, b) <= most:
                 links += 1
                 group[max(find(i), find(j))] = min(find(i), find(j))
     want = {(d, k) for i, (d, k, _) in enumerate(place) if find(i) != i}
@@ -218,9 +232,9 @@ def test_line_keys_that_are_frequent_are_settled_in_their_task():
     keys = np.concatenate([r.integers(0, 1 << 63, 500, dtype=np.uint64), np.full(300, 12345 << 41, np.uint64)])
     nodes = np.arange(800, dtype=np.uint64)
     sent = list(fuzzy_lines.flushed(keys, nodes, 7))
-    settled = [np.frombuffer(d, np.uint64) for _, s, d in sent if s]
-    assert sum(len(x) // 2 for x in settled) == 300 and len({p for p, s, _ in sent if s}) == 7
-    alone = [fuzzy_lines.unpacked(p, d) for p, s, d in sent if not s]
+    settled = [np.frombuffer(d, np.uint64) for _, s, d in sent if s == fuzzy_lines.SETTLED]
+    assert sum(len(x) // 2 for x in settled) == 300 and len({p for p, s, _ in sent if s == fuzzy_lines.SETTLED}) == 7
+    alone = [fuzzy_lines.unpacked(p, d) for p, s, d in sent if s == fuzzy_lines.KEYS]
     assert sum(len(k) for k, _ in alone) == 501 and {int(k[0]) for x in settled for k in [x[: len(x) // 2]]} <= {int(k) for ks, _ in alone for k in ks}
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .edits import distance
 from .flat import U, mixed, parts, prefix, spans
 from .linking import SMALL, celled, centred, linked, within
 from .near_duplicates import sketches
@@ -35,7 +36,7 @@ PERCENT, MIN_BYTES = 90, 6
 #: Lengths in characters: up to TINY deletions are keys, below SHORT sketches, from LONG on blocks.
 TINY, SHORT, LONG, COORDINATES, MAX_BITS = 19, 96, 86, 64, 24
 #: (shortest line, classes, dealings); a line belongs to every tier that lines of nine tenths to all of its length reach.
-TIERS = ((96, 5, 6), (128, 9, 3), (256, 18, 1), (512, 28, 1), (1024, 40, 1))
+TIERS = ((96, 5, 5), (128, 9, 2), (256, 16, 1), (512, 24, 1), (1024, 32, 1))
 #: A block speaks for a line if its features have so many bytes beyond two each.
 LEAST = 9
 STEP = U(0x9E3779B97F4A7C15)
@@ -57,7 +58,7 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def lines_of(column: pa.Array, limit: int = 1 << 20):
+def lines_of(column: pa.Array, limit: int = 1 << 18):
     """(bytes, start, end, row, number) of the normalised lines of slices of a column; a line end stands after each."""
     for a, b, data, ends in parts(pc.utf8_lower(column.cast(pa.large_string())), limit):
         data = folded(data)
@@ -144,8 +145,8 @@ def bands(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = 3,
     return mixed(keys + np.arange(1, n + 1, dtype=U) * STEP + U(width))
 
 
-def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line and bucket key of all keys of some lines, and each line's SimHash."""
+def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line and bucket key of all keys of some lines, and each line's SimHash and characters."""
     size = characters(data, start, end)
     line, found, bytes_ = features(data, start, end)
     rows, keys = [], []
@@ -168,14 +169,14 @@ def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
         rows.append(np.full(len(less), i))
         keys.append(mixed(spans(prefix(np.frombuffer(b"".join(less), np.uint8)), ends[:-1], ends[1:]) + U(TINY)))
     none = np.zeros(0, np.int64)
-    return np.concatenate([*rows, none]), np.concatenate([*keys, none.view(U)]), simhash(line, found, bytes_, len(start))
+    return np.concatenate([*rows, none]), np.concatenate([*keys, none.view(U)]), simhash(line, found, bytes_, len(start)), size
 
 
 def bucket_keys(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """The bucket keys and the SimHash of each normalised line."""
     made = [x.encode("utf-8", "surrogatepass") for x in lines]
     end = np.cumsum([len(x) + 1 for x in made]) - 1
-    rows, keys, bits = line_keys(np.frombuffer(b"".join(x + b"\n" for x in made), np.uint8), end - [len(x) for x in made], end)
+    rows, keys, bits, _ = line_keys(np.frombuffer(b"".join(x + b"\n" for x in made), np.uint8), end - [len(x) for x in made], end)
     order = np.argsort(rows, kind="stable")
     return np.split(keys[order], np.searchsorted(rows[order], np.arange(1, len(lines)))), bits
 
@@ -190,25 +191,25 @@ def fits(percent: int) -> str:
     return f"100 * least(s.n, t.n) >= {percent} * greatest(s.n, t.n) AND (least(s.n, t.n) < {LONG} OR bit_count(s.bits ^ t.bits) <= {MAX_BITS})"
 
 
-def fingerprinted(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, k1, k2, line number, name, characters and SimHash of every line of ``min_bytes`` bytes and more."""
-    schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("k1 long, k2 long, line int, node long, n int, bits long").fields])
+def placed_lines(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """doc_id, k1, k2, line number, name and characters of every line of ``min_bytes`` bytes and more."""
+    schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("k1 long, k2 long, line int, node long, n int").fields])
 
     def scan(batches):
         for batch in batches:
             for data, start, end, row, number in lines_of(batch.column(3)):
                 keep = np.flatnonzero(end - start >= min_bytes)
-                start, end, row = start[keep], end[keep], row[keep]
-                bits = simhash(*features(data, start, end), len(start))
-                node = spans(prefix(data), start, end)
-                at = pa.array(row)
-                cols = [number[keep].astype(np.int32), node.view(np.int64), characters(data, start, end).astype(np.int32), bits.view(np.int64)]
+                start, end = start[keep], end[keep]
+                at = pa.array(row[keep])
+                cols = [number[keep].astype(np.int32), spans(prefix(data), start, end).view(np.int64), characters(data, start, end).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *map(pa.array, cols)], schema.names)
 
     return rows.select("doc_id", "k1", "k2", "text").mapInArrow(scan, schema)
 
 
-#: Entries of a packed part: five bytes of the key, whose others name the part, and the node. HEAVY: so often in one
+#: Kinds of packed parts: keys, settled keys, and lines with their SimHash, characters and 1.
+KEYS, SETTLED, LINES = range(3)
+#: Entries of a packed part of keys: five bytes of the key, whose others name the part, and the node. HEAVY: so often in one
 #: flush, a key is settled there. SEEN: places of a task's memory of lines whose keys it has sent.
 ENTRY, FLUSH, HEAVY, SEEN, PART_ENTRIES = 13, 1 << 19, 64, 1 << 18, 1 << 21
 
@@ -228,7 +229,7 @@ def unpacked(part: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def flushed(keys: np.ndarray, nodes: np.ndarray, n_parts: int):
-    """(part, settled, bytes) for entries: those of frequent keys go to their node's part, settled, but for the first of each."""
+    """(part, kind, bytes) for entries: those of frequent keys go to their node's part, settled, but for the first of each."""
     keys = (keys >> U(40)) % U(n_parts) << U(40) | keys & U((1 << 40) - 1)
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
@@ -236,26 +237,35 @@ def flushed(keys: np.ndarray, nodes: np.ndarray, n_parts: int):
     size = np.diff(np.r_[np.flatnonzero(new), len(keys)])
     heavy = np.repeat(size >= HEAVY, size)
     part = keys >> U(40)
-    for settled, mine in ((False, ~heavy | new), (True, heavy)):
-        where = nodes % U(n_parts) if settled else part
+    for kind, mine in ((KEYS, ~heavy | new), (SETTLED, heavy)):
         at = np.flatnonzero(mine)
-        at = at[np.argsort(where[at], kind="stable")]
-        edges = np.flatnonzero(np.r_[True, where[at][1:] != where[at][:-1]]) if len(at) else at
-        for some in np.split(at, edges[1:]) if len(at) else []:
-            data = packed(keys[some], nodes[some]) if not settled else keys[some].tobytes() + nodes[some].tobytes()
-            yield int(where[some[0]]), settled, data
+        for p, some in parted(nodes[at] % U(n_parts) if kind == SETTLED else part[at]):
+            some = at[some]
+            yield p, kind, keys[some].tobytes() + nodes[some].tobytes() if kind == SETTLED else packed(keys[some], nodes[some])
+
+
+def parted(part: np.ndarray):
+    """(part, places) of each part."""
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else order
+    return [(int(part[some[0]]), some) for some in np.split(order, edges[1:])] if len(order) else []
 
 
 def buckets(rows: DataFrame, n_parts: int, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(key, node) of every key that several lines share."""
+    """(key, node) of every key that several lines share, and (node, n, bits, times) of every line.
+
+    ``times`` is how many tasks or slices met the line, which is enough to know the frequent ones.
+    """
 
     def send(batches):
         seen = np.zeros(SEEN, np.int64)
-        keys, nodes, held = [], [], 0
+        keys, nodes, lines, held = [], [], [], 0
 
         def flush():
             out = list(flushed(np.concatenate(keys), np.concatenate(nodes), n_parts)) if held else []
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], ["part", "settled", "data"])
+            own = np.concatenate([np.zeros((0, 3), U), *lines])
+            out += [(p, LINES, own[some].tobytes()) for p, some in parted(own[:, 0] % U(n_parts))]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["part", "kind", "data"])
 
         for batch in batches:
             for data, start, end, _, _ in lines_of(batch.column(0)):
@@ -265,24 +275,25 @@ def buckets(rows: DataFrame, n_parts: int, min_bytes: int = MIN_BYTES) -> DataFr
                 first = np.unique(node, return_index=True)[1]
                 first = np.sort(first[seen[node[first] & (SEEN - 1)] != node[first]])
                 seen[node[first] & (SEEN - 1)] = node[first]
-                row, key, _ = line_keys(data, start[first], end[first])
+                row, key, bits, size = line_keys(data, start[first], end[first])
                 keys.append(key)
                 nodes.append(node[first][row].view(U))
+                lines.append(np.stack([node[first].view(U), bits, size.astype(U)], axis=1))
                 held += len(key)
                 if held >= FLUSH:
                     yield flush()
-                    keys, nodes, held = [], [], 0
+                    keys, nodes, lines, held = [], [], [], 0
         yield flush()
 
     def meet(batches):
         none = np.zeros(0, U)
-        sent: dict[bool, list] = {False: [(none, none)], True: [(none, none)]}
+        sent: dict[int, list] = {KEYS: [(none, none)], SETTLED: [(none, none)], LINES: [np.zeros((0, 3), U)]}
         for batch in batches:
-            for part, settled, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                both = np.frombuffer(data, U) if settled else None
-                sent[settled].append((both[: len(both) // 2], both[len(both) // 2 :]) if settled else unpacked(part, data))
-        for settled, some in sent.items():
-            k, v = (np.concatenate(x) for x in zip(*some, strict=True))
+            for part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                both = np.frombuffer(data, U) if kind != KEYS else None
+                sent[kind].append(unpacked(part, data) if kind == KEYS else both.reshape(-1, 3) if kind == LINES else (both[: len(both) // 2], both[len(both) // 2 :]))
+        for kind in (KEYS, SETTLED):
+            k, v = (np.concatenate(x) for x in zip(*sent.pop(kind), strict=True))
             order = np.lexsort((v, k))
             k, v = k[order], v[order]
             keep = np.ones(len(k), bool)
@@ -290,11 +301,17 @@ def buckets(rows: DataFrame, n_parts: int, min_bytes: int = MIN_BYTES) -> DataFr
             k, v = k[keep], v[keep]
             same = k[1:] == k[:-1]
             on = np.r_[False, same] | np.r_[same, False] if len(k) else np.zeros(0, bool)
-            on |= settled
-            yield pa.RecordBatch.from_arrays([pa.array(k[on].view(np.int64)), pa.array(v[on].view(np.int64))], ["key", "node"])
+            on |= kind == SETTLED
+            n = int(on.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(k[on].view(np.int64)), pa.array(v[on].view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names)
+        own = np.concatenate(sent[LINES])
+        _, first, times = np.unique(own[:, 0], return_index=True, return_counts=True)
+        node, bits, size = own[first].T
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), *map(pa.array, (node.astype(np.int64), size.astype(np.int32), bits.astype(np.int64), times.astype(np.int32)))], names)
 
-    sent = rows.select("text").mapInArrow(send, "part int, settled boolean, data binary")
-    return sent.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "key long, node long")
+    names = ["key", "node", "n", "bits", "times"]
+    sent = rows.select("text").mapInArrow(send, "part int, kind int, data binary")
+    return sent.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "key long, node long, n int, bits long, times int")
 
 
 def line_texts(rows: DataFrame, lines: DataFrame, asked: DataFrame) -> DataFrame:
@@ -322,8 +339,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     """The pairs (a, b) of ``percent`` hundredths of edit similarity."""
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"t_{side}")), side)
-    longest = "greatest(length(t_a), length(t_b))"
-    return pairs.where(f"levenshtein(t_a, t_b, CAST({longest} * {100 - percent} DIV 100 AS INT)) >= 0").select("a", "b")
+
+    def compare(batches):
+        for batch in batches:
+            texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            most = [(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in texts]
+            yield batch.filter(pa.array([distance(x, y, m) <= m for x, y, m in most], pa.bool_())).select(["a", "b"])
+
+    return pairs.select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long")
 
 
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -333,10 +356,11 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     first. A row that is there twice is one row, lines of fewer than ``min_bytes`` bytes never go.
     """
     rows = keyed(documents)
-    lines = written(fingerprinted(rows, min_bytes), "lines")
+    lines = written(placed_lines(rows, min_bytes), "lines")
     n_parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() * 16 // PART_ENTRIES)
-    nodes = lines.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    met = written(buckets(rows, n_parts, min_bytes).join(nodes, "node"), "buckets")
+    sent = written(buckets(rows, n_parts, min_bytes), "keys")
+    met = written(sent.where("key IS NOT NULL").select("key", "node").join(sent.where("key IS NULL").select("node", "n", "bits", "times"), "node"), "buckets")
+    dropped(sent)
     met_by = met.join(met.groupBy("key").agg(F.count("*").alias("c")), "key")
     small, large = met_by.where(f"c <= {SMALL}"), met_by.where(f"c > {SMALL}").drop("c")
     names = ["n", "bits"]
@@ -348,17 +372,16 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     def across(some: DataFrame) -> DataFrame:
         return confirmed(within(celled(some), ["key", "i", "j"], names, lambda x, a, b: near(x, a, b, percent)).distinct(), texts, percent)
 
-    groups = linked(first, large, lambda pairs: confirmed(pairs, texts, percent), across)
-    placed = lines.select("doc_id", "k1", "k2", "line", "node", "n", "bits")
+    groups = linked(first, large, names, fits(percent), lambda pairs: confirmed(pairs, texts, percent), across)
+    placed = lines
     if groups is not None:
         placed = placed.join(groups, "node", "left")
     else:
         placed = placed.withColumn("component", F.lit(None).cast("long"))
-    alone = lambda c: F.when(F.col("component").isNull(), F.col(c))  # noqa: E731  equal names of different lines stay apart
-    placed = placed.select(F.coalesce("component", "node").alias("group"), alone("n").alias("n"), alone("bits").alias("bits"), F.struct("doc_id", "k1", "k2", "line").alias("at"))
-    first_of = placed.groupBy("group", "n", "bits").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").select(F.col("group").alias("g"), F.col("n").alias("m"), F.col("bits").alias("b"), "first")
-    same = (F.col("group") == F.col("g")) & F.col("n").eqNullSafe(F.col("m")) & F.col("bits").eqNullSafe(F.col("b"))
-    gone = placed.join(first_of, same).where("at <> first").groupBy("at.k1", "at.k2").agg(F.sort_array(F.collect_set("at.line")).alias("dropped"))
+    alone = F.when(F.col("component").isNull(), F.col("n"))  # equal names of different lengths stay apart
+    placed = placed.select(F.coalesce("component", "node").alias("group"), F.coalesce(alone, F.lit(0)).alias("n"), F.struct("doc_id", "k1", "k2", "line").alias("at"))
+    first_of = placed.groupBy("group", "n").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").select("group", "n", "first")
+    gone = placed.join(first_of, ["group", "n"]).where("at <> first").groupBy("at.k1", "at.k2").agg(F.sort_array(F.collect_set("at.line")).alias("dropped"))
     gone = written(gone, "gone")
     for x in (lines, met, first, texts, *([groups] if groups is not None else [])):
         dropped(x)

@@ -2,7 +2,7 @@
 
 A bucket of up to SMALL members pairs them all, a few pairs a row. In a larger one members first meet their
 bucket's centre; what that proves equal becomes one group, and only members of different groups can still add
-anything. Those are dealt to cells of two blocks of BLOCK members each, and a task compares a cell's members by
+anything. After a few more centres those are dealt to cells of two blocks of BLOCK members each, and a task compares a cell's members by
 their sketches: no pair leaves it that can't be a link. No link that a bucket shows is left unchecked.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import dropped, written
 
-SMALL, BLOCK, CHUNK, CHUNK_BYTES = 8, 512, 1 << 19, 16 << 20
+SMALL, BLOCK, CHUNK, CHUNK_BYTES, TURNS = 8, 512, 1 << 19, 4 << 20, 2
 PAIR = "a long, b long"
 Fits = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 
@@ -110,33 +110,50 @@ def celled(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def centred(rows: DataFrame, names: list[str], fits: str) -> DataFrame:
-    """Pairs of each bucket's smallest node with its members, as far as they fit."""
-    s = rows.select("key", "node", F.struct(*names).alias("s"))
-    centre = s.groupBy("key").agg(F.min(F.struct("node", "s")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.s").alias("t"))
-    pairs = s.join(centre, "key").where("node <> centre").where(fits)
+def centred(rows: DataFrame, names: list[str], fits: str, turn: int = 0) -> DataFrame:
+    """Pairs of each bucket's centre with its members of other components, as far as they fit.
+
+    The centre is the node that stands for most ``times``: what copies were made of links to more than they do to
+    each other. After the first turn it is one outside of the bucket's largest component, another each turn.
+    """
+    s = rows.select("key", "node", "times", F.struct(*names).alias("s"), *(["component"] if turn else [F.col("node").alias("component")]))
+    some = s
+    if turn:
+        size = s.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("x")).select("key", F.col("x.component").alias("big"))
+        some = s.join(size, "key").where("component <> big")
+    order = F.struct("times", F.xxhash64(F.lit(turn), "node").alias("h"), "node", "s", "component")
+    centre = some.groupBy("key").agg(F.max(order).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.s").alias("t"), F.col("c.component").alias("there"))
+    pairs = s.join(centre, "key").where("component <> there").where(fits)
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
 
 
-def linked(first: DataFrame, large: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def linked(first: DataFrame, large: DataFrame, names: list[str], fits: str, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(node, component) of the nodes that have a link, or None if none has.
 
-    ``first`` are pairs (a, b) to verify; ``large`` (key, node, ...) are the rows of the buckets whose members
-    met their centre alone. ``across`` takes those of them that show several components, and returns the
-    links (a, b) between different components.
+    ``first`` are pairs (a, b) to verify; ``large`` (key, node, times, ...) are the rows of the buckets whose
+    members met their centre alone. After TURNS further centres ``across`` takes those rows whose bucket still
+    shows several components, and returns all links (a, b) between them.
     """
-    links = written(verify(first.distinct()), "links")
-    groups = None if links.isEmpty() else written(components(links), "groups")
-    rows = written(mixed_rows(large, groups), "mixed")
-    if not rows.isEmpty():
-        more = written(across(rows), "links")
-        dropped(rows)
-        if not more.isEmpty():
-            if groups is not None:
-                dropped(groups)
-            groups = written(components(links.union(more)), "groups")
-        dropped(more)
-    else:
-        dropped(rows)
-    dropped(links)
+    links, groups = None, None
+    for turn in range(TURNS + 2):
+        rows = None
+        if turn:
+            rows = written(mixed_rows(large, groups), "mixed")
+            if rows.isEmpty():
+                dropped(rows)
+                break
+        pairs = first if not turn else centred(rows, names, fits, turn).distinct() if turn <= TURNS else None
+        more = written(verify(pairs) if pairs is not None else across(rows), "links")
+        if rows is not None:
+            dropped(rows)
+        if more.isEmpty():
+            dropped(more)
+            continue
+        every = more if links is None else written(links.union(more), "links")
+        for x in (links, groups, more if links is not None else None):
+            if x is not None:
+                dropped(x)
+        links, groups = every, written(components(every), "groups")
+    if links is not None:
+        dropped(links)
     return groups

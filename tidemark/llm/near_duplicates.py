@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .flat import FOLD, SPACES, U, fold_windows, mixed, parts, prefix, spans, words
 from .linking import SMALL, celled, centred, groups_of, linked, pairs_in, shared, within
-from .rows import keyed, row_keys
+from .rows import fresh, keyed, row_keys
 from .scratch import dropped, written
 
 SHINGLE, SIMILAR, COORDINATES, BANDS, MAX_BITS, SLICE = 5, 75, 128, 32, 36, 1 << 20
@@ -58,6 +58,12 @@ def shingles(column: pa.Array, width: int = SHINGLE, limit: int = SLICE):
         yield a, b, row[new], found[new]
 
 
+def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of a whole column's shingles, made in slices."""
+    found = [(a + row, hashes) for a, _, row, hashes in shingles(column)]
+    return np.concatenate([x[0] for x in found] or [np.zeros(0, np.int64)]), np.concatenate([x[1] for x in found] or [np.zeros(0, U)])
+
+
 def sketches(row: np.ndarray, found: np.ndarray, n_rows: int, t: int = COORDINATES) -> np.ndarray:
     """Sketch of each row's set; rows with an empty set stay unfilled."""
     out = np.full(n_rows * t, FULL, U)
@@ -123,9 +129,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> Dat
             for lo in range(0, batch.num_rows, 64):
                 some = batch.slice(lo, 64)
                 n = some.num_rows
-                sides = [list(shingles(some.column(i), limit=1 << 60))[0] for i in (2, 3)]
-                sizes = [np.bincount(row, minlength=n) for _, _, row, _ in sides]
-                row, found = np.concatenate([s[2] for s in sides]), np.concatenate([s[3] for s in sides])
+                sides = [sets(some.column(i)) for i in (2, 3)]
+                sizes = [np.bincount(row, minlength=n) for row, _ in sides]
+                row, found = np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides])
                 order = np.lexsort((found, row))
                 row, found = row[order], found[order]
                 twice = np.flatnonzero((row[1:] == row[:-1]) & (found[1:] == found[:-1]))
@@ -191,12 +197,12 @@ def across(rows: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFra
                 continue
             used = np.unique(np.r_[left, right])
             texts_ = table.column("text").combine_chunks().take(pa.array(used))
-            row, found = next(iter(shingles(texts_, limit=1 << 60)))[2:]
+            row, found = sets(texts_)
             row = used[row]
             edges = np.searchsorted(row, np.arange(table.num_rows + 1))
             out = []
             for g in np.unique(group[left]).tolist():
-                mine = (group[left] == g) if len(asked) else None
+                mine = group[left] == g
                 a, b = left[mine], right[mine]
                 members = np.unique(np.r_[a, b])
                 lo, hi = edges[members[0]], edges[members[-1] + 1]
@@ -220,18 +226,12 @@ def across(rows: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFra
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
-def grouped(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, kept.
-
-    Rows with the same set of shingles are one node from the start, so exact copies never meet in buckets. A text
-    without words or a null one is linked with nothing. Rows that share a doc_id are one document: what any of
-    their texts links to, all do. A row without doc_id links others, and is kept under no component. Texts of any
-    length take part whole; doc_id may be of any type that has an order.
-    """
+def _placed(documents: DataFrame, similar: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``grouped`` with the names k1 and k2 of each row, and the scratch tables that it reads."""
     rows = written(sketched(documents), "sketches")
     real = rows.where("n_shingles > 0")
-    nodes = real.select(F.col("set_a").alias("node"), F.col("n_shingles").alias("n"), "bits_a", "bits_b", "bands").dropDuplicates(["node"])
-    met = written(shared(nodes.select("node", *NAMES, F.explode("bands").alias("key"))), "buckets")
+    nodes = real.groupBy(F.col("set_a").alias("node")).agg(F.first("n_shingles").alias("n"), *(F.first(x).alias(x) for x in ("bits_a", "bits_b", "bands")), F.count("*").alias("times"))
+    met = written(shared(nodes.select("node", "times", *NAMES, F.explode("bands").alias("key"))), "buckets")
     small, large = met.where(f"c <= {SMALL}"), met.where(f"c > {SMALL}").drop("c")
     first = within(small, ["key"], NAMES, lambda x, a, b: near(x, a, b, similar)).union(centred(large, NAMES, fits(similar)))
     first = written(first.distinct(), "pairs")
@@ -241,13 +241,39 @@ def grouped(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     texts = documents.select("text", k1.alias("k1"), k2.alias("k2")).join(at.select("node", "at.k1", "at.k2"), ["k1", "k2"]).select("node", "text")
     texts = written(texts.dropDuplicates(["node"]), "texts")
     twins = real.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("z"), F.collect_set("set_a").alias("all")).where("a < z").select("a", F.explode("all").alias("b")).where("a < b")
-    groups = linked(first, large, lambda pairs: confirmed(pairs, texts, similar).union(twins), lambda some: across(some, texts, similar))
+    groups = linked(first, large, NAMES, fits(similar), lambda pairs: confirmed(pairs, texts, similar).union(twins), lambda some: across(some, texts, similar))
     for x in (met, first, texts):
         dropped(x)
-    named = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("node"))
+    named = rows.select("doc_id", "k1", "k2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("node"))
     if groups is not None:
         named = named.join(groups, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
     smallest = named.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = named.join(smallest, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = named.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return found, [rows, *([groups] if groups is not None else [])]
+
+
+def grouped(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id, kept.
+
+    Rows with the same set of shingles are one node from the start, so exact copies never meet in buckets. A text
+    without words or a null one is linked with nothing. Rows that share a doc_id are one document: what any of
+    their texts links to, all do. A row without doc_id links others, and is kept under no component. Texts of any
+    length take part whole; doc_id may be of any type that has an order.
+    """
+    return _placed(documents, similar)[0].drop("k1", "k2")
+
+
+def deduplicated(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The kept rows with the columns they had: one document of each group, and one of rows that are equal in doc_id and text.
+
+    Different texts of one kept doc_id all stay, as do rows without doc_id.
+    """
+    found, scratch = _placed(documents, similar)
+    kept = written(found.where("kept").select("k1", "k2").distinct(), "kept")
+    for x in scratch:
+        dropped(x)
+    k1, k2 = fresh(documents.columns, "k1", "k2")
+    named = documents.withColumns(dict(zip((k1, k2), row_keys(), strict=True))).join(kept.toDF(k1, k2), [k1, k2], "left_semi")
+    return named.dropDuplicates([k1, k2]).select(*documents.columns)
