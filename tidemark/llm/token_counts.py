@@ -8,6 +8,7 @@ of blocks first, then sums within each block, so that no single task orders all
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -15,9 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import written
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenising pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: Fixed value: the characters that the pattern's \\s stands for.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{WHITE}]{{1000,}}")
 BLOCK = 1024
 
 
@@ -31,19 +37,38 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def n_tokens(text: str | None, encoding) -> int:
+    """Encoded length of a whole text. Long runs of white space are cut out, for the pattern backtracks over every place of one.
+
+    Of a run the pattern takes all but the last character as one piece, at the end of a text all of it, so the
+    parts encode as the whole does.
+    """
+    n = at = 0
+    for run in LONG_RUN.finditer(text or ""):
+        end = run.end() - (run.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:])) if text else 0
+
+
 def lengths(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
-    """n_tokens of every whole text; a null text has none. Special tokens in a text are ordinary text."""
+    """n_tokens of every whole text, one row each; a null text has none. Special tokens in a text are ordinary text.
+
+    Equal rows count each, other columns of the table don't matter. ``vocabulary`` is a rank file that all
+    executors can open; tasks need the package tiktoken.
+    """
 
     def count(batches):
-        encode = encoder(vocabulary).encode_ordinary
+        encoding = encoder(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(x)) if x else 0 for x in (v.as_py() for v in batch.column(0))], pa.int64())], ["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([n_tokens(v.as_py(), encoding) for v in batch.column(0)], pa.int64())], ["n_tokens"])
 
     return documents.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long")
 
 
 def histogram(found: DataFrame) -> DataFrame:
-    return found.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """(n_tokens, n_docs), written once: it is small, and what reads it must not encode the corpus again."""
+    return written(found.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram")
 
 
 def curve(counts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -71,17 +96,15 @@ def curve(counts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def truncated(found: DataFrame, limits: list[int]) -> DataFrame:
-    """Total tokens when each document is cut to a limit, for any limits, from the curve's rows.
+    """Total tokens when each document is cut to a limit, for any limits, from the curve's sums.
 
-    The documents longer than a limit lie at or above the first length beyond it; all others count whole.
+    At the first length that isn't below a limit stand the documents to be cut and the tokens of all others.
     """
-    out = [
-        F.struct(
-            F.lit(int(x)).cast("long").alias("context_limit"),
-            (F.sum(F.when(F.col("n_tokens") <= x, F.col("n_tokens") * F.col("n_docs")).otherwise(F.lit(int(x)) * F.col("n_docs")))).alias("total"),
-        )
-        for x in limits
-    ]
+    out = []
+    for x in limits:
+        at = F.min(F.when(F.col("n_tokens") >= x, F.struct("n_tokens", "docs_ge", (F.col("tokens_le") - F.col("n_tokens") * F.col("n_docs")).alias("below"))))
+        total = F.coalesce(at["below"] + F.lit(int(x)) * at["docs_ge"], F.max("tokens_le"))
+        out.append(F.struct(F.lit(int(x)).cast("long").alias("context_limit"), total.alias("total")))
     return found.agg(F.array(*out).alias("x")).selectExpr("inline(x)")
 
 
