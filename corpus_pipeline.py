@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, fuzzy_lines, mixing, near_duplicates, quality
-from tidemark.llm.scratch import written
+from tidemark.llm.scratch import dropped, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdict = quality.judged(docs).where("kept").select(F.col("doc_id").alias("k1"), F.col("text_key").alias("k2"))
-    return docs.join(verdict, docs.doc_id.eqNullSafe(verdict.k1) & (quality.text_key() == verdict.k2), "left_semi")
+    return quality.passing(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +19,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, of rows that share a doc_id one; rows without doc_id stay unless they repeat."""
-    kept = near_duplicates.grouped(docs).where("kept").select(F.col("doc_id").alias("k"))
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(kept.k), "left_semi").withColumn("_own", F.when(F.col("doc_id").isNull(), quality.text_key()))
-    return rows.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    """One document of each group of near copies; different texts that share a doc_id stay together."""
+    return near_duplicates.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +49,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents; what each returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
