@@ -10,6 +10,7 @@ import pytest
 from tidemark.llm import chat, decontamination, fuzzy_lines, html_text, mixing, near_duplicates, quality, secrets, substrings, token_counts
 from tidemark.llm.edits import distance
 
+TESTS_OF = decontamination.tests_of
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, node string"
 
 
@@ -113,6 +114,44 @@ def test_decontamination(spark, docs):
     assert decontamination.clean(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_longest_matches_and_passes(spark, docs):
+    """Against brute force: each item's and each document's longest match, short ones too; several passes change nothing."""
+    pool = [t for _, t in rows_of(docs) if len(t.split()) > 40]
+    items = [(1, " ".join(pool[0].split()[5:33]) + " zzz"), (2, "zzz " + " ".join(pool[3].split()[7:11])), (3, "nothing of this"), (5, pool[5] + " zzz")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    split = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(s or ""))
+
+    def longest(a, b):
+        run, out = [0] * (len(b) + 1), 0
+        for x in a:
+            run = [0] + [run[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+            out = max(out, *run)
+        return out
+
+    texts = [(d, split(t)) for d, t in rows_of(docs)]
+    tests = [(str(i), split(t)) for i, t in items]
+    got = {r.item_id: r for r in decontamination.matches(docs, benchmark).collect()}
+    assert {i: r.words for i, r in got.items()} == {i: n for i, w in tests if (n := max(longest(t, w) for _, t in texts))}
+    by_id = dict(texts)
+    for i, w in tests:
+        if i in got:
+            part = by_id[got[i].doc_id][got[i].at : got[i].at + got[i].words]
+            assert any(w[k : k + len(part)] == part for k in range(len(w)))
+    one = decontamination.scanned(docs, benchmark).collect()
+    want = sorted((str(d), max(longest(t, w) for _, w in tests)) for d, t in texts)
+    assert sorted((str(r.doc_id), r.longest_match) for r in one) == want
+
+
+def test_passes_of_a_large_benchmark_agree(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontamination, "tests_of", lambda b, window=10, block_bytes=0, max_bytes=0: TESTS_OF(b, window, 400, max_bytes))
+    pool = [t for _, t in rows_of(docs) if len(t.split()) > 40]
+    benchmark = spark.createDataFrame([(i, " ".join(t.split()[3:40])) for i, t in enumerate(pool[:9])], "item_id long, text string")
+    one = decontamination.scanned(docs, benchmark, max_bytes=1 << 20).collect()
+    several = decontamination.scanned(docs, benchmark, max_bytes=900).collect()
+    assert sorted(map(str, one)) == sorted(map(str, several)) and sum(r.contaminated for r in one) > 5
+    assert decontamination.clean(docs, benchmark, max_bytes=900).count() == sum(not r.contaminated for r in one)
+
+
 def test_line_dedup(spark):
     long = "this line of many words about the sea and the shore stands in several documents of the corpus with a number in it here and there too"
     rows = [(1, f"{long} 17\nshort\nonly once in the first text", "x"), (2, f"short\n{long.upper()} 94!\nshort", "y"), (3, f"{long} 11", "z"), (4, None, "n"), (5, "", "e"), (6, "short\nshort", "s")]
