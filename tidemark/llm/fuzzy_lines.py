@@ -6,7 +6,7 @@ touches the classes of the few features that it takes or brings, so two lines th
 they have classes agree in a block for certain (pigeonhole); several dealings make that likely for more. Lines
 that share a block are candidates, the distance of whole SimHashes thins them out, and the edit similarity of
 their texts decides. Short lines have too few words: those up to SHORT characters meet by sketches of their runs
-of three bytes, those up to TINY when they share a key among the line and the line less one character.
+of four bytes, those up to TINY when they share a key among the line and the line less one character.
 
 Block keys travel as packed bytes, a part for each range of keys. Keys that are frequent within a task are
 settled there, so that no part gathers a frequent key.
@@ -34,7 +34,7 @@ from .substrings import _flat
 #: Lines of fewer bytes are layout (brackets, dashes, "no"): their repeats say nothing, so they never go.
 PERCENT, MIN_BYTES = 90, 6
 #: Lengths in characters: up to TINY deletions are keys, below SHORT sketches, from LONG on blocks.
-TINY, SHORT, LONG, COORDINATES, MAX_BITS = 19, 96, 86, 64, 24
+TINY, SHORT, LONG, COORDINATES, MAX_BITS = 19, 96, 86, 128, 24
 #: (shortest line, classes, dealings); a line belongs to every tier that lines of nine tenths to all of its length reach.
 TIERS = ((96, 5, 5), (128, 9, 2), (256, 16, 1), (512, 24, 1), (1024, 32, 1))
 #: A block speaks for a line if its features have so many bytes beyond two each.
@@ -132,7 +132,7 @@ def blocks(line: np.ndarray, found: np.ndarray, size: np.ndarray, n: int, tier:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def bands(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = 3, rows: int = 3) -> np.ndarray:
+def bands(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = 4, rows: int = 4) -> np.ndarray:
     """Band keys of the sketches of each line's runs of ``width`` bytes."""
     n = COORDINATES // rows
     count = np.maximum(end - start - width + 1, 0)
