@@ -21,7 +21,7 @@ def at(minutes):
 def attempts(spark, rows, spec, end="2025-06-30 00:00:00"):
     events = spark.createDataFrame([("u", f"e{i}", at(m), n) for i, (m, n) in enumerate(rows)], EVENTS)
     users = spark.createDataFrame([("u",)], "user_id string")
-    return funnel.attempts(users, funnel.histories(events), spec, end).collect()
+    return funnel.attempts(users, events, [spec], end).collect()
 
 
 SPEC = funnel.Funnel("rec", (funnel.Stage("shown", ("shown",)), funnel.Stage("clicked", ("clicked",)), funnel.Stage("accepted", ("accepted",))), 45)

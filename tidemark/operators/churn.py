@@ -36,7 +36,7 @@ def features(points: DataFrame, events: DataFrame, names: list[str], failures: l
     near = near.withColumn("gap", F.coalesce(F.datediff("ts", F.lag("ts").over(day)), F.lit(0)))
     good = ~F.col("event_name").isin(failures)
     got = near.groupBy("user_id").agg(
-        F.count("*").alias("n_events"), F.countDistinct(F.to_date("ts")).alias("active_days"), F.max(F.when(good, F.col("ts"))).alias("last_good"), F.max("gap").alias("longest_gap"), F.count_if(F.col("gap") > 1).alias("resurrections"),
+        F.count("*").alias("n_events"), F.countDistinct(F.to_date("ts")).alias("active_days"), F.max(F.when(good, F.col("ts"))).alias("last_good"), F.max("gap").alias("longest_gap"), F.count_if(F.col("gap") > 7).alias("resurrections"),
         F.countDistinct("k").alias("n_features"), F.bround(F.sum("value"), 2).alias("value"), *(F.count_if(F.col("event_name") == n).alias(f"n_{n}") for n in names),
     )
     counts = ["n_events", "active_days", "longest_gap", "resurrections", "n_features", *(f"n_{n}" for n in names)]
@@ -96,9 +96,15 @@ def capacity(scored: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def calibration(scored: DataFrame, bins: int = 4) -> DataFrame:
-    """Equal-width bins, the last one closed: rows, mean score and observed rate."""
+    """Equal-width bins, the last one closed, each with its row: bounds, rows, mean score and observed rate, 0 where it is empty."""
+    each = [F.struct(F.lit(i).alias("bin"), F.lit(i / bins).alias("lower"), F.lit((i + 1) / bins).alias("upper")) for i in range(bins)]
+    sums = []
+    for i in range(bins):
+        here = F.col("slot") == i
+        sums.append(F.struct(each[i].alias("b"), F.count_if(here).alias("n"), F.coalesce(F.bround(F.avg(F.when(here, F.col("score"))), 6), F.lit(0.0)).alias("mean_score"), F.coalesce(F.bround(F.avg(F.when(here, F.col("churned"))), 6), F.lit(0.0)).alias("observed_rate")))
     slot = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
-    return scored.groupBy(slot.alias("bin")).agg(F.count("*").alias("n"), F.bround(F.avg("score"), 6).alias("mean_score"), F.bround(F.avg("churned"), 6).alias("observed_rate"))
+    rows = scored.withColumn("slot", slot).agg(F.array(*sums).alias("x")).selectExpr("inline(x)")
+    return rows.select("b.*", "n", "mean_score", "observed_rate")
 
 
 def evaluation(scored: DataFrame, threshold: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import add_periods, fingerprint, period_index, period_label, rate, unpivoted
+from ..functions.scalars import add_periods, days_floor, fingerprint, period_index, period_label, rate, unpivoted
 
 
 def memberships(events: DataFrame, anchors: dict[str, tuple[str, ...]], unit: str) -> DataFrame:
@@ -32,7 +32,7 @@ def user_periods(members: DataFrame, events: DataFrame, unit: str, horizon: int,
 
 
 def long(periods: DataFrame, suppression: int) -> DataFrame:
-    """Classic and rolling retention per definition, cohort and period; small cohorts keep counts and lose rates.
+    """Classic and rolling retention per definition, cohort and period; where fewer than ``suppression`` are observed, counts stay and rates go.
 
     A member is rolling-retained in a period if it is active there or in any later one: the last active
     period of each member, counted from the end.
@@ -42,7 +42,7 @@ def long(periods: DataFrame, suppression: int) -> DataFrame:
     rows = rows.groupBy("definition_id", "cohort", "period").agg(
         F.count("*").alias("cohort_size"), F.count_if("observed").alias("observed"), F.count_if("active").alias("retained"), F.count_if(F.col("observed") & (F.col("last_active") >= F.col("period"))).alias("rolling_retained")
     )
-    shown = F.col("cohort_size") >= suppression
+    shown = F.col("observed") >= suppression
     return rows.select("definition_id", "cohort", "period", "cohort_size", "observed", (F.col("cohort_size") - F.col("observed")).alias("censored"), "retained", "rolling_retained", F.when(shown, rate("retained", "observed")).alias("rate"), F.when(shown, rate("rolling_retained", "observed")).alias("rolling_rate"))
 
 
@@ -52,43 +52,66 @@ def matrix(table: DataFrame, horizon: int) -> DataFrame:
 
 
 def member_summary(periods: DataFrame) -> DataFrame:
-    """Per member: first return, active periods, whether active again after an inactive observed period."""
+    """Per member: first return as a period and in whole days from the anchor, active periods, whether active again after an inactive observed period."""
     active, quiet = F.col("active"), F.col("observed") & ~F.col("active")
+    back = active & (F.col("period") > 0)
     return periods.groupBy("definition_id", "cohort", "user_id").agg(
-        F.min(F.when(active & (F.col("period") > 0), F.col("period"))).alias("first_return"), F.count_if(active).alias("active_periods"), F.count_if(~F.col("observed")).alias("censored_periods"),
+        F.min(F.when(back, F.col("period"))).alias("first_return"), F.min(F.when(back, days_floor("anchor_ts", "period_start"))).alias("days_to_return"),
+        F.count_if(active).alias("active_periods"), F.count_if(~F.col("observed")).alias("censored_periods"),
         F.coalesce(F.max(F.when(active, F.col("period"))) > F.min(F.when(quiet, F.col("period"))), F.lit(False)).alias("resurrected"),
-        (F.count_if(quiet) > 0).alias("was_inactive"),
     )
 
 
 def cohort_summary(periods: DataFrame) -> DataFrame:
-    """Per cohort: members, returned, medians cut to whole numbers, inactive, resurrected and censored members."""
+    """Per cohort: members, returned, medians cut to whole numbers, never active, resurrected and censored members."""
     rows = member_summary(periods).groupBy("definition_id", "cohort").agg(
-        F.count("*").alias("members"), F.count("first_return").alias("returned"), F.percentile("first_return", 0.5).cast("int").alias("median_first_return"), F.percentile("active_periods", 0.5).cast("int").alias("median_active_periods"),
-        F.count_if("was_inactive").alias("inactive"), F.count_if("resurrected").alias("resurrected"), F.count_if(F.col("censored_periods") > 0).alias("censored"),
+        F.count("*").alias("members"), F.count("first_return").alias("returned"), F.percentile("days_to_return", 0.5).cast("int").alias("median_days_to_return"), F.percentile("active_periods", 0.5).cast("int").alias("median_active_periods"),
+        F.count_if(F.col("active_periods") == 0).alias("inactive"), F.count_if("resurrected").alias("resurrected"), F.count_if(F.col("censored_periods") > 0).alias("censored"),
     )
     return rows.withColumn("return_rate", rate("returned", "members"))
 
 
 def segments(periods: DataFrame, users: DataFrame, dimensions: list[str], suppression: int) -> DataFrame:
-    rows = unpivoted(periods.select("definition_id", "user_id", "period", "observed", "active").join(users.select("user_id", *dimensions), "user_id"), ["definition_id", "period", "observed", "active"], dimensions)
-    rows = rows.groupBy("definition_id", "dimension", "value", "period").agg(F.count("*").alias("members"), F.count_if("observed").alias("observed"), F.count_if("active").alias("retained"))
-    return rows.withColumn("rate", F.when(F.col("members") >= suppression, rate("retained", "observed")))
+    """Retention by cohort, period and one dimension at a time; where fewer than ``suppression`` are observed, the rate goes."""
+    keep = ["definition_id", "cohort", "period"]
+    rows = unpivoted(periods.select(*keep, "user_id", "observed", "active").join(users.select("user_id", *dimensions), "user_id"), [*keep, "observed", "active"], dimensions)
+    rows = rows.groupBy(*keep, "dimension", "value").agg(F.count_if("observed").alias("observed"), F.count_if("active").alias("retained"))
+    shown = F.col("observed") >= suppression
+    return rows.withColumn("rate", F.when(shown, rate("retained", "observed"))).withColumn("status", F.when(shown, "shown").otherwise("suppressed"))
 
 
 def lifecycle(periods: DataFrame, inactive_after: int, churned_after: int) -> DataFrame:
     """State of each member in each period: new, active, inactive, resurrected, churned_descriptive or censored.
 
-    Observed periods come first, so the quiet streak is the distance to the last active period before.
+    The quiet streak counts observed periods since the last active one, so it stands still once periods are
+    censored; quiet_periods is the streak before an active period and one more in any other.
     """
     before = Window.partitionBy("definition_id", "user_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.coalesce(F.max(F.when(F.col("active"), F.col("period"))).over(before), F.lit(-1))
-    rows = periods.withColumn("streak_before", F.col("period") - last - 1)
+    last = lambda c: F.coalesce(F.max(F.when(F.col(c), F.col("period"))).over(before), F.lit(-1))
+    rows = periods.withColumn("streak_before", last("observed") - last("active"))
+    active, first = F.col("active"), F.col("period") == 0
     state: Column = (
-        F.when(~F.col("observed"), "censored").when(F.col("active") & (F.col("period") == 0), "new").when(F.col("active") & (F.col("streak_before") >= inactive_after), "resurrected")
-        .when(F.col("active"), "active").when(F.col("streak_before") + 1 >= churned_after, "churned_descriptive").otherwise("inactive")
+        F.when(~F.col("observed"), "censored").when(first, F.when(active, "new").otherwise("inactive")).when(active & (F.col("streak_before") >= inactive_after), "resurrected")
+        .when(active, "active").when(F.col("streak_before") + 1 >= churned_after, "churned_descriptive").otherwise("inactive")
     )
-    return rows.select("definition_id", "user_id", "cohort", "period", state.alias("state"), F.when(F.col("active"), 0).otherwise(F.col("streak_before") + 1).alias("quiet_periods"))
+    return rows.select("definition_id", "user_id", "cohort", "period", state.alias("state"), (F.col("streak_before") + F.when(active, 0).otherwise(1)).alias("quiet_periods"))
+
+
+def broken_retention(table: DataFrame) -> DataFrame:
+    """(definition_id, cohort, period, rule) of rows that don't reconcile."""
+    rules = F.array(
+        F.when(F.col("observed") + F.col("censored") != F.col("cohort_size"), F.lit("OBSERVED_PLUS_CENSORED")), F.when(F.col("retained") > F.col("observed"), F.lit("RETAINED_ABOVE_OBSERVED")),
+        F.when(F.col("rolling_retained") < F.col("retained"), F.lit("ROLLING_BELOW_CLASSIC")), *(F.when(~F.col(r).between(0, 1), F.lit(f"RATE_RANGE:{r}")) for r in ("rate", "rolling_rate")),
+    )
+    return table.select("definition_id", "cohort", "period", F.explode(F.array_compact(rules)).alias("rule"))
+
+
+def diagnostics(members: DataFrame, periods: DataFrame, segment_rows: DataFrame) -> DataFrame:
+    """One row: definitions, memberships, member-periods, those censored, and suppressed segment rows."""
+    a = members.agg(F.countDistinct("definition_id").alias("definitions"), F.count("*").alias("memberships"))
+    b = periods.agg(F.count("*").alias("user_periods"), F.count_if(~F.col("observed")).alias("censored_periods"))
+    c = segment_rows.agg(F.count_if(F.col("status") == "suppressed").alias("suppressed_segments"))
+    return a.join(F.broadcast(b)).join(F.broadcast(c))  # one row each
 
 
 def resurrection_summary(states: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def first_rule(rules: dict[str, str], default: str) -> Column:
@@ -30,12 +31,10 @@ def profiles(rows: DataFrame, group: str, metrics: list[str]) -> DataFrame:
 
 
 def differentiating(profile: DataFrame, group: str, k: int = 3) -> DataFrame:
-    """The k metrics of each group that lie farthest from the overall mean, relative to it."""
-    from pyspark.sql.window import Window
-
-    rows = profile.withColumn("lift", F.bround(F.abs("difference") / F.greatest(F.abs("overall"), F.lit(1e-6)), 6))
-    order = Window.partitionBy(group).orderBy(F.col("lift").desc(), "metric")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(group, "rank", "metric", "lift")
+    """The k metrics of each group that lie farthest from the overall mean, the later name first among equals, and on which side."""
+    order = Window.partitionBy(group).orderBy(F.abs("difference").desc(), F.desc("metric"))
+    side = F.concat("metric", F.when(F.col("difference") > 0, ":above_population").otherwise(":below_population"))
+    return profile.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(group, "rank", "metric", F.abs("difference").alias("distance"), side.alias("label"))
 
 
 def distribution(rows: DataFrame, group: str, value: str) -> DataFrame:

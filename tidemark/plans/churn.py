@@ -43,7 +43,7 @@ def churn_subgroups(spark, sf):
 _P = f"""SELECT user_id, signup_ts, persona, w AS snapshot_ts, w - INTERVAL {LOOKBACK} DAY AS feature_start, w + INTERVAL {LABEL} DAY AS label_end FROM (SELECT *, greatest(signup_ts + INTERVAL {LOOKBACK} DAY, TIMESTAMP '{START}') AS w FROM u)
     WHERE w + INTERVAL {LABEL} DAY <= TIMESTAMP '{END}'"""
 _N = "SELECT e.*, coalesce(date_diff('day', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts), 0) AS gap, snapshot_ts FROM e JOIN p USING (user_id) WHERE ts BETWEEN feature_start AND snapshot_ts"
-_F = """SELECT user_id, signup_ts, persona, p.snapshot_ts, feature_start, label_end, count(n.ts) AS n_events, count(DISTINCT CAST(n.ts AS DATE)) AS active_days, coalesce(max(gap), 0) AS longest_gap, count(*) FILTER (gap > 1) AS resurrections,
+_F = """SELECT user_id, signup_ts, persona, p.snapshot_ts, feature_start, label_end, count(n.ts) AS n_events, count(DISTINCT CAST(n.ts AS DATE)) AS active_days, coalesce(max(gap), 0) AS longest_gap, count(*) FILTER (gap > 7) AS resurrections,
     count(DISTINCT k) AS n_features, coalesce(round_even(sum(value), 2), 0) AS value, """ + ", ".join(f"count(*) FILTER (event_name = '{x}') AS n_{x}" for x in NAMES) + """,
     coalesce(floor(date_sub('second', max(n.ts) FILTER (event_name <> 'error'), p.snapshot_ts) / 86400)::BIGINT, 999) AS days_since_activity, coalesce(round_even(count(*) FILTER (event_name = 'error') / nullif(count(n.ts), 0), 6), 0) AS failure_share,
     coalesce(round_even(count(n.ts) / nullif(count(DISTINCT CAST(n.ts AS DATE)), 0), 6), 0) AS events_per_day FROM p LEFT JOIN n USING (user_id) GROUP BY user_id, signup_ts, persona, p.snapshot_ts, feature_start, label_end"""
@@ -69,7 +69,8 @@ QUERIES = {
         count(*) FILTER (score < threshold AND churned = 1) AS fn, count(*) FILTER (score < threshold AND churned = 0) AS tn FROM sc, (SELECT unnest({LEVELS}::DOUBLE[]) AS threshold) GROUP BY ALL)""")),
     "churn_capacity": (lambda spark, sf: op.capacity(scored(spark, sf), CAPACITY), _over(f"""SELECT capacity, cutoff, count(*) FILTER (score >= cutoff) AS flagged, sum(churned) FILTER (score >= cutoff)::BIGINT AS true_positives FROM sc,
         (SELECT capacity, (SELECT (list(score ORDER BY score DESC))[greatest(1, ceil(count(*) * capacity))::INT] FROM sc) AS cutoff FROM (SELECT unnest({CAPACITY}::DOUBLE[]) AS capacity)) GROUP BY ALL""")),
-    "churn_calibration": (lambda spark, sf: op.calibration(scored(spark, sf)), _over("SELECT least(floor(score * 4), 3)::INT AS bin, count(*) AS n, round_even(avg(score), 6) AS mean_score, round_even(avg(churned), 6) AS observed_rate FROM sc GROUP BY ALL")),
+    "churn_calibration": (lambda spark, sf: op.calibration(scored(spark, sf)), _over("""SELECT bin::INT AS bin, bin / 4 AS lower, (bin + 1) / 4 AS upper, count(score) AS n, coalesce(round_even(avg(score), 6), 0) AS mean_score, coalesce(round_even(avg(churned), 6), 0) AS observed_rate
+        FROM (SELECT unnest(range(4)) AS bin) LEFT JOIN sc ON least(floor(score * 4), 3) = bin GROUP BY ALL""")),
     "churn_eval_metrics": (lambda spark, sf: op.evaluation(scored(spark, sf), 0.5), _over("""SELECT count(*) AS n, round_even(avg(churned), 6) AS prevalence, round_even(avg(((score >= 0.5)::INT = churned)::INT), 6) AS accuracy, round_even(avg((score - churned) * (score - churned)), 6) AS brier,
         round_even(avg(-churned * ln(least(greatest(score, 1e-6), 1 - 1e-6)) - (1 - churned) * ln(1 - least(greatest(score, 1e-6), 1 - 1e-6))), 6) AS log_loss,
         (SELECT round_even(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 6) FROM sc a, sc b WHERE a.churned = 1 AND b.churned = 0) AS roc_auc,

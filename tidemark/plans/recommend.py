@@ -91,7 +91,7 @@ QUERIES = {
     "segment_rules": (lambda spark, sf: assigned(spark, sf).select("user_id", "exclusion", "segment"), _users("SELECT user_id, exclusion, segment FROM sg")),
     "segment_profiles": (lambda spark, sf: seg.profiles(assigned(spark, sf).where("segment IS NOT NULL"), "segment", METRICS), _users(_PROFILE)),
     "segment_differentiating": (lambda spark, sf: seg.differentiating(seg.profiles(assigned(spark, sf).where("segment IS NOT NULL"), "segment", METRICS), "segment"), _users(
-        "SELECT segment, rank, metric, lift FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY lift DESC, metric) AS rank FROM (SELECT *, round_even(abs(difference) / greatest(abs(overall), 1e-6), 6) AS lift FROM pr)) WHERE rank <= 3", pr=_PROFILE)),
+        "SELECT segment, rank, metric, abs(difference) AS distance, metric || CASE WHEN difference > 0 THEN ':above_population' ELSE ':below_population' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY abs(difference) DESC, metric DESC) AS rank FROM pr) WHERE rank <= 3", pr=_PROFILE)),
     "segment_distribution": (lambda spark, sf: seg.distribution(assigned(spark, sf).where("segment IS NOT NULL"), "segment", "persona"), _users(
         "SELECT segment, string_agg(persona || ':' || printf('%.4f', round_even(n / total, 4)), '|' ORDER BY persona) AS distribution FROM (SELECT segment, persona, count(*) AS n, sum(count(*)) OVER (PARTITION BY segment) AS total FROM sg WHERE segment IS NOT NULL GROUP BY segment, persona) GROUP BY ALL")),
     "segment_mode": (lambda spark, sf: seg.modal(assigned(spark, sf).where("segment IS NOT NULL"), "segment", "persona"), _users(
