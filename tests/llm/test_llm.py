@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from tidemark.llm import chat, decontamination, fuzzy_lines, html_text, mixing, near_duplicates, quality, secrets, substrings, token_counts
+from tidemark.llm import chat, components, decontamination, fuzzy_lines, html_text, mixing, near_duplicates, quality, secrets, substrings, token_counts
 from tidemark.llm.edits import distance
 
 TESTS_OF = decontamination.tests_of
@@ -277,6 +277,26 @@ def test_line_keys_that_are_frequent_are_settled_in_their_task():
     assert sum(len(k) for k, _ in alone) == 501 and {int(k[0]) for x in settled for k in [x[: len(x) // 2]]} <= {int(k) for ks, _ in alone for k in ks}
 
 
+def test_components_in_one_part_and_in_many(spark, monkeypatch):
+    r = random.Random(4)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
+    group = {x: x for e in edges for x in e}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in edges:
+        group[max(find(a), find(b))] = min(find(a), find(b))
+    want = {(x, find(x)) for e in edges if e[0] != e[1] for x in e}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for part in (1 << 20, 40):
+        monkeypatch.setattr(components, "PART", part)
+        got = [tuple(x) for x in components.components(table).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_rows_of_any_doc_id(spark):
     """Text ids, null ids and ids that several texts share, in all operators that name rows; columns with their inner names."""
     texts = ["one two three four five six seven eight nine ten " * 9, "unlike " + " ".join(f"w{i}" for i in range(80))]

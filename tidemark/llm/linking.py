@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import dropped, written
 
-SMALL, BLOCK, CHUNK, CHUNK_BYTES, TURNS = 8, 512, 1 << 19, 4 << 20, 2
+SMALL, BLOCK, CHUNK, CHUNK_BYTES, TURNS = 8, 512, 1 << 19, 4 << 20, 1
 PAIR = "a long, b long"
 Fits = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 
@@ -131,7 +131,7 @@ def linked(first: DataFrame, large: DataFrame, names: list[str], fits: str, veri
     """(node, component) of the nodes that have a link, or None if none has.
 
     ``first`` are pairs (a, b) to verify; ``large`` (key, node, times, ...) are the rows of the buckets whose
-    members met their centre alone. After TURNS further centres ``across`` takes those rows whose bucket still
+    members met their centre alone. After TURNS further centres each ``across`` takes those rows whose bucket still
     shows several components, and returns all links (a, b) between them.
     """
     links, groups = None, None
