@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,19 +42,219 @@ def similar_items(pairs: DataFrame, k: int = 5) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: A catalogue is offered to every user, so its size is checked before it is broadcast.
+MAX_CATALOGUE = 10_000
+
+
+def shelf(items: DataFrame, *order: Column | str) -> DataFrame:
+    """One row, ``items``: the catalogue in some order. A larger one than MAX_CATALOGUE is an error."""
+    n = items.count()
+    if n > MAX_CATALOGUE:
+        raise ValueError(f"{n} items; a catalogue of more than {MAX_CATALOGUE} isn't offered item by item")
+    named = {o for o in order if isinstance(o, str)}
+    fields = [c for c in items.columns if c not in named]
+    return items.agg(F.array_sort(F.collect_list(F.struct(*(o if isinstance(o, str) else o.alias(f"o{k}") for k, o in enumerate(order)), *fields))).alias("items"))
+
+
+def interaction_mapping(rows: dict[str, tuple[str, str | None, str]], weights: dict[str, float]) -> dict[str, tuple[str, str | None, float]]:
+    """Event name to (item, feature, weight); a strength without weight is an error."""
+    if bad := sorted({s for _, _, s in rows.values()} - set(weights)):
+        raise ValueError(f"no weight for {', '.join(bad)}")
+    return {event: (item, feature, weights[strength]) for event, (item, feature, strength) in rows.items()}
+
+
+def mapped(events: DataFrame, mapping: dict[str, tuple[str, str | None, float]], feature: str) -> DataFrame:
+    """(user_id, item, ts, weight) of events that stand for an item; one whose feature is another than the mapping's drops out."""
+    item, expected, weight = (F.create_map(*(x for name, row in mapping.items() for x in (F.lit(name), F.lit(row[k])))) for k in range(3))
+    rows = events.where(F.col("event_name").isin(list(mapping))).withColumn("_f", expected[F.col("event_name")])
+    rows = rows.where(F.col("_f").isNull() | F.col(feature).isNull() | (F.col("_f") == F.col(feature).cast("string")))
+    return rows.select("user_id", item[F.col("event_name")].alias("item"), "ts", weight[F.col("event_name")].alias("weight"))
+
+
+def known_inputs(rows: DataFrame, users: DataFrame, until: str) -> DataFrame:
+    """Interactions of known users who had signed up by the moment, not before their signup and not after the moment."""
+    at = F.lit(until).cast("timestamp_ntz")
+    people = users.where(F.col("signup_ts") <= at).select("user_id", "signup_ts")
+    return rows.join(people, "user_id").where((F.col("ts") >= F.col("signup_ts")) & (F.col("ts") <= at)).drop("signup_ts")
+
+
+def consumed(found: DataFrame, never: list[str], least: int = 1) -> DataFrame:
+    """Interactions with consumed: items of some prefixes never are, others after ``least`` interactions."""
+    free = F.lit(False)
+    for prefix in never:
+        free |= F.col("item").startswith(prefix)
+    return found.withColumn("consumed", ~free & (F.col("n") >= least))
+
+
+def current_plan(users: DataFrame, periods: DataFrame, at: str, value: str = "plan", default: str = "initial_plan") -> DataFrame:
+    """user_id and ``value`` of the period that runs at a moment, the latest start and of equal starts the first id; else the default."""
+    moment = F.lit(at).cast("timestamp_ntz")
+    live = periods.where((F.col("start_ts") <= moment) & (F.col("end_ts").isNull() | (F.col("end_ts") >= moment)))
+    best = live.groupBy("user_id").agg(F.min_by(value, F.struct((-F.unix_seconds(F.col("start_ts").cast("timestamp"))).alias("s"), "subscription_id")).alias("_now"))
+    return users.join(best, "user_id", "left").select("user_id", F.coalesce("_now", default).alias(value))
+
+
+def eligible(users: DataFrame, catalogue: DataFrame, found: DataFrame) -> DataFrame:
+    """Items that a user may be offered: active, for their plan, persona and size, not consumed unless repeatable, with all required and no incompatible earlier items.
+
+    ``users`` has plan, persona and size, ``catalogue`` active, repeatable and the arrays plans, personas, sizes,
+    required and incompatible (empty personas and sizes admit all), ``found`` consumed. The catalogue is small
+    (see MAX_CATALOGUE); what a user has had comes as one array of at most as many items.
+    """
+    had = found.groupBy("user_id").agg(F.collect_set("item").alias("had"), F.collect_set(F.when(F.col("consumed"), F.col("item"))).alias("done"))
+    nothing = F.array().cast("array<string>")
+    rows = users.join(had, "user_id", "left").withColumns({c: F.coalesce(c, nothing) for c in ("had", "done")}).join(F.broadcast(shelf(catalogue, "item")))
+
+    def admits(x: Column) -> Column:
+        among = lambda c, v: (F.size(x[c]) == 0) | F.array_contains(x[c], F.col(v))
+        fresh = x["repeatable"] | ~F.array_contains("done", x["item"])
+        prior = (F.size(F.array_except(x["required"], F.col("had"))) == 0) & ~F.arrays_overlap(x["incompatible"], F.col("had"))
+        return x["active"] & F.array_contains(x["plans"], F.col("plan")) & among("personas", "persona") & among("sizes", "size") & fresh & prior
+
+    rows = rows.select("user_id", "done", F.explode(F.filter("items", admits)).alias("x"))
+    return rows.select("user_id", "x.item", F.array_contains("done", F.col("x.item")).cast("int").alias("already_consumed"))
+
+
+def popular_lists(users: DataFrame, found: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """Each user's k best scored items that they have not had: (user_id, item, score). No user meets the whole catalogue as rows."""
+    had = found.groupBy("user_id").agg(F.collect_set("item").alias("had"))
+    best = scores.select("item", "score")
+    rows = users.select("user_id").distinct().join(had, "user_id", "left").join(F.broadcast(shelf(best, (-F.col("score")), "item")))
+    open_ = F.filter("items", lambda x: ~F.coalesce(F.array_contains("had", x["item"]), F.lit(False)))
+    return rows.select("user_id", F.explode(F.slice(open_, 1, k)).alias("x")).select("user_id", "x.item", (-F.col("x.o0")).alias("score"))
+
+
 def candidates(users: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
-    """Every item of the catalogue, which is small, that a user has not had."""
-    shelf = items.select("item").distinct().agg(F.collect_list("item").alias("items"))  # one row: the catalogue
-    rows = users.select("user_id").distinct().join(F.broadcast(shelf)).select("user_id", F.explode("items").alias("item"))
-    return rows.join(found.select("user_id", "item"), ["user_id", "item"], "left_anti")
-
-
-def by_history(open_: DataFrame, found: DataFrame, pairs: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Score of a candidate: the largest similarity times weight over the user's history, else a hundredth of the fallback's share."""
-    reach = found.select("user_id", F.col("item").alias("other"), "weight").join(pairs.select("item", "other", "similarity"), "other").groupBy("user_id", "item").agg(F.max(F.col("similarity") * F.col("weight")).alias("score"))
-    rows = open_.join(reach, ["user_id", "item"], "left").join(fallback.select("item", "share"), "item", "left")
-    score = F.when(F.col("score") > 0, F.col("score")).otherwise(F.coalesce("share", F.lit(0.0)) * 0.01)
-    return rows.select("user_id", "item", F.bround(score, 6).alias("score"), F.when(F.col("score") > 0, "item_item").otherwise("catalogue_fallback").alias("source"))
+    """Every item of the catalogue, which is small (see MAX_CATALOGUE), that a user has not had."""
+    had = found.groupBy("user_id").agg(F.collect_set("item").alias("had"))
+    rows = users.select("user_id").distinct().join(had, "user_id", "left").join(F.broadcast(shelf(items.select("item").distinct(), "item")))
+    open_ = F.filter("items", lambda x: ~F.coalesce(F.array_contains("had", x["item"]), F.lit(False)))
+    return rows.select("user_id", F.explode(open_).alias("x")).select("user_id", "x.item")
+
+
+def history_segment(items: Column) -> Column:
+    """Segment from the names of the items that a user has had."""
+    return (
+        F.when(F.exists(items, lambda x: x.startswith("automation")), "automation_power_user").when(F.exists(items, lambda x: x.contains("collaboration") | x.contains("invite")), "collaboration_adopter")
+        .when(F.size(items) == 0, "cold_start").otherwise("core_engaged")
+    )
+
+
+def with_segment(users: DataFrame, segments: DataFrame, default: str = "unknown") -> DataFrame:
+    return users.join(segments.select("user_id", "segment"), "user_id", "left").withColumn("segment", F.coalesce("segment", F.lit(default)))
+
+
+def by_segment(users: DataFrame, found: DataFrame, segment_scores: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """Each user's k best items by the score in their segment, by the score at large where the segment has none; with the source."""
+    every = scores.select("item", F.col("score").alias("all"))
+    names = users.select("segment").distinct().join(F.broadcast(shelf(every, "item"))).select("segment", F.explode("items").alias("x")).select("segment", "x.item", "x.all")
+    own = names.join(segment_scores.select("segment", "item", "score"), ["segment", "item"], "left")
+    own = own.select("segment", "item", F.when(F.col("score") > 0, F.col("score")).otherwise(F.col("all")).alias("score"), F.when(F.col("score") > 0, "segment_popularity").otherwise("segment_global_fallback").alias("source"))
+    lists = own.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "item", "source"))).alias("items"))  # a list of the catalogue for each segment
+    had = found.groupBy("user_id").agg(F.collect_set("item").alias("had"))
+    rows = users.select("user_id", "segment").join(had, "user_id", "left").join(lists, "segment")
+    open_ = F.filter("items", lambda x: ~F.coalesce(F.array_contains("had", x["item"]), F.lit(False)))
+    return rows.select("user_id", F.explode(F.slice(open_, 1, k)).alias("x")).select("user_id", "x.item", (-F.col("x.o")).alias("score"), "x.source")
+
+
+def related(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(user_id, item, score, best): what a user's history is similar to, by the largest similarity times weight, and the item that gives it."""
+    reach = found.select("user_id", F.col("item").alias("other"), "weight").join(pairs.select("item", "other", "similarity"), "other").withColumn("s", F.col("similarity") * F.col("weight"))
+    best = reach.groupBy("user_id", "item").agg(F.min(F.struct((-F.col("s")).alias("s"), "other")).alias("b"))
+    return best.select("user_id", "item", (-F.col("b.s")).alias("score"), F.col("b.other").alias("best")).join(found.select("user_id", "item"), ["user_id", "item"], "left_anti")
+
+
+def by_similarity(users: DataFrame, found: DataFrame, pairs: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """Scores of the items that a user's history leads to, and of the k most popular others as fallback, at a hundredth of their share."""
+    near = related(found, pairs).where("score > 0").select("user_id", "item", F.bround("score", 6).alias("score"), F.lit("item_item").alias("source"))
+    taken = found.select("user_id", "item").unionByName(near.select("user_id", "item"))
+    rest = popular_lists(users, taken, scores.select("item", F.coalesce(F.col("share"), F.lit(0.0)).alias("score")), k)
+    return near.unionByName(rest.select("user_id", "item", F.bround(F.col("score") * 0.01, 6).alias("score"), F.lit("catalogue_fallback").alias("source")))
+
+
+def relationship(pairs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Pairs of items with how the catalogue relates them: same_category, else same_feature_family, else co_interaction."""
+    side = lambda name, p: catalogue.select(F.col("item").alias(name), F.col("category").alias(f"{p}c"), F.col("feature").alias(f"{p}f"))
+    rows = pairs.join(side("item", "a"), "item").join(side("other", "b"), "other")
+    kind = F.when(F.col("ac") == F.col("bc"), "same_category").when(F.col("af") == F.col("bf"), "same_feature_family").otherwise("co_interaction")
+    return rows.withColumn("relationship", kind).drop("ac", "af", "bc", "bf")
+
+
+def reasons(ranked: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """A row per recommendation: reason codes (the primary one of its source, and the source) and the reason as a sentence."""
+    primary = F.create_map(*(F.lit(x) for row in texts.items() for x in row))[F.col("source")]
+    return ranked.select("user_id", "item", "rank", F.array(primary, F.col("source")).alias("codes"), sentence_of(primary).alias("reason"))
+
+
+def sentence_of(code: Column) -> Column:
+    words = F.replace(code, F.lit("_"), F.lit(" "))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substr(words, F.lit(2))))
+
+
+def segment_measures(ranked: DataFrame, held_out: DataFrame, users: DataFrame, k: int) -> DataFrame:
+    """Users with a list, and mean precision, recall and hits of those with held-out items, by segment."""
+    rows = list_measures(ranked, held_out, k).join(users.select("user_id", "segment"), "user_id").groupBy("segment").agg(*(F.bround(F.avg(m), 6).alias(m) for m in ("precision", "recall", "hit")))
+    counts = ranked.select("user_id").distinct().join(users.select("user_id", "segment"), "user_id").groupBy("segment").agg(F.count("*").alias("users"))
+    return counts.join(rows, "segment", "left").na.fill(0.0, ["precision", "recall", "hit"])
+
+
+def cold_start(ranked: DataFrame, found: DataFrame, held_out: DataFrame) -> DataFrame:
+    """One row about listed users without any interaction: how many, their recommendations, and those with held-out items."""
+    cold = ranked.select("user_id").distinct().join(found.select("user_id"), "user_id", "left_anti")
+    lists = ranked.join(cold, "user_id").agg(F.count("*").alias("recommendations"), F.countDistinct("user_id").alias("listed"))
+    seen = cold.join(held_out.select("user_id").distinct(), "user_id", "left_semi").agg(F.count("*").alias("evaluated_users"))
+    rows = cold.agg(F.count("*").alias("cold_users")).join(F.broadcast(lists)).join(F.broadcast(seen))  # one row each
+    return rows.select("cold_users", F.coalesce(rate("listed", "cold_users"), F.lit(0.0)).alias("coverage"), "recommendations", "evaluated_users")
+
+
+def all_users(found: DataFrame, held_out: DataFrame) -> DataFrame:
+    """Who interacted or has held-out items."""
+    return found.select("user_id").union(held_out.select("user_id")).distinct()
+
+
+def diversity(ranked: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
+    """Mean share of different categories in a list."""
+    rows = ranked.where(F.col("rank") <= k).join(F.broadcast(catalogue.select("item", "category").limit(MAX_CATALOGUE + 1)), "item", "left")
+    lists = rows.groupBy("user_id").agg(rate(F.countDistinct("category"), F.count("*")).alias("d"))
+    return lists.agg(F.bround(F.avg("d"), 6).alias("diversity"))
+
+
+SIMPLICITY = {"global_popularity": 4, "recent_popularity": 3, "segment_popularity": 2, "item_item_cf": 1}
+
+
+def compared(models: dict[str, DataFrame], held_out: DataFrame, items: DataFrame, popular: DataFrame, k: int) -> DataFrame:
+    """A row per model: mean measures at k, catalogue coverage, novelty and the share of fallback items."""
+    out = None
+    for name, ranked in models.items():
+        one = averages(list_measures(ranked, held_out, k)).join(F.broadcast(coverage(ranked, items, k).select("coverage"))).join(F.broadcast(novelty(ranked, popular, k).select("novelty")))  # one row each
+        back = ranked.where(F.col("rank") <= k).agg(F.coalesce(rate(F.count_if(F.col("source").contains("fallback")), F.count("*")), F.lit(0.0)).alias("fallback_rate"))
+        one = one.join(F.broadcast(back)).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def chosen(comparison: DataFrame, least_coverage: float) -> DataFrame:
+    """The comparison with selected: of models with enough coverage, or of all if none has, the best by NDCG, recall and simplicity."""
+    simple = F.create_map(*(F.lit(x) for row in SIMPLICITY.items() for x in row))[F.col("model")]
+    enough = (F.col("coverage") >= least_coverage).cast("int")
+    order = Window.orderBy(F.desc(enough), F.desc("ndcg"), F.desc("recall"), F.desc(F.coalesce(simple, F.lit(0))))  # a row per model
+    return comparison.withColumn("selected", F.row_number().over(order) == 1)
+
+
+def broken_recommendations(ranked: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(user_id, rule) of lists that can't be: ranks that don't run from 1, items twice or unknown, scores that rise, too long."""
+    order = Window.partitionBy("user_id").orderBy("rank")
+    rows = ranked.join(items.select("item").distinct().withColumn("_known", F.lit(True)), "item", "left").withColumn("_rises", F.col("score") > F.lag("score").over(order)).withColumn("_gap", F.col("rank") != F.row_number().over(order))
+    got = rows.groupBy("user_id").agg(F.bool_or(F.col("_gap")).alias("RANK_GAP"), F.bool_or("_rises").alias("SCORE_RISES"), F.bool_or(F.col("_known").isNull()).alias("UNKNOWN_ITEM"), (F.count("*") > F.countDistinct("item")).alias("ITEM_TWICE"), (F.count("*") > k).alias("LIST_TOO_LONG"))
+    names = ["RANK_GAP", "SCORE_RISES", "UNKNOWN_ITEM", "ITEM_TWICE", "LIST_TOO_LONG"]
+    return got.select("user_id", F.explode(F.array_compact(F.array(*(F.when(F.col(n), F.lit(n)) for n in names)))).alias("rule"))
+
+
+def broken_catalogue(catalogue: DataFrame) -> DataFrame:
+    """(item, rule) of catalogue rows that repeat an item, admit no plan, or require and exclude the same item."""
+    again = catalogue.groupBy("item").agg(F.count("*").alias("n")).where("n > 1").select("item", F.lit("ITEM_TWICE").alias("rule"))
+    rules = F.array(F.when(F.size("plans") == 0, F.lit("NO_PLAN")), F.when(F.arrays_overlap("required", "incompatible"), F.lit("REQUIRED_AND_EXCLUDED")))
+    return catalogue.select("item", F.explode(F.array_compact(rules)).alias("rule")).unionByName(again)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import recommend as op
 from ..operators import segmentation as seg
-from . import churn
+from . import churn, inputs
 from .inputs import sql, table
 
 SNAPSHOT, RECENT, SUPPORT, K = "1999-12-31 00:00:00", 365, 20, 5
@@ -45,9 +45,59 @@ def held_out(spark, sf):
 
 def ranked(spark, sf):
     """Top lists by recent popularity of what a user has not had."""
-    open_ = op.candidates(found(spark, sf), items(spark, sf), found(spark, sf))
-    scored = open_.join(popular(spark, sf).select("item", F.col("recent_score").alias("score")), "item")
-    return op.top(scored, K)
+    have = found(spark, sf)
+    return op.top(op.popular_lists(have, have, popular(spark, sf).select("item", F.col("recent_score").alias("score")), K), K)
+
+
+def by_score(spark, sf):
+    have = found(spark, sf)
+    return op.top(op.popular_lists(have, have, popular(spark, sf), K), K).withColumn("source", F.lit("global_popularity"))
+
+
+def segments(spark, sf):
+    return table(spark, sf, "customer").where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+
+
+def by_segment(spark, sf):
+    have = found(spark, sf)
+    users = op.with_segment(have.select("user_id").distinct(), segments(spark, sf))
+    return op.top(op.by_segment(users, have, op.segment_popularity(have, segments(spark, sf)), popular(spark, sf), K), K)
+
+
+def by_similarity(spark, sf):
+    have = found(spark, sf)
+    return op.top(op.by_similarity(have, have, pairs(spark, sf), popular(spark, sf), K), K)
+
+
+def models(spark, sf):
+    return {"global_popularity": by_score(spark, sf), "recent_popularity": ranked(spark, sf).withColumn("source", F.lit("recent_popularity")), "segment_popularity": by_segment(spark, sf), "item_item_cf": by_similarity(spark, sf)}
+
+
+def catalogue(spark, sf):
+    """Brands as a catalogue whose rules follow their number."""
+    n = F.regexp_extract("item", "([0-9]+)$", 1).cast("int")
+    none, strings = F.array().cast("array<string>"), lambda c: c.cast("array<string>")
+    rows = items(spark, sf).withColumn("n", n)
+    return rows.select(
+        "item", F.concat(F.lit("c"), F.col("n") % 4).alias("category"), F.concat(F.lit("f"), F.col("n") % 3).alias("feature"), (F.col("n") % 7 != 3).alias("active"), (F.col("n") % 5 == 1).alias("repeatable"),
+        strings(F.filter(F.array(*map(F.lit, range(1, 6))), lambda p: p >= F.col("n") % 5)).alias("plans"),
+        F.when(F.col("n") % 6 == 2, strings(F.array(F.lit("BUILDING"), F.lit("MACHINERY")))).otherwise(none).alias("personas"), F.when(F.col("n") % 8 == 5, strings(F.array(F.lit("small")))).otherwise(none).alias("sizes"),
+        F.when(F.col("n") % 9 == 4, strings(F.array(F.concat(F.lit("Brand#"), F.col("n") + 1)))).otherwise(none).alias("required"), F.when(F.col("n") % 10 == 6, strings(F.array(F.concat(F.lit("Brand#"), F.col("n") - 1)))).otherwise(none).alias("incompatible"),
+    )
+
+
+def context(spark, sf):
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("persona"), F.when(F.col("c_acctbal") < 2000, "small").otherwise("large").alias("size"), F.lit("0").alias("initial_plan"))
+    plans = op.current_plan(people, inputs.subscriptions(spark, sf).withColumn("plan", F.col("plan").cast("string")), SNAPSHOT)
+    return people.join(plans, "user_id")
+
+
+def eligible(spark, sf):
+    return op.eligible(context(spark, sf), catalogue(spark, sf), op.consumed(found(spark, sf), ["Brand#2"], 2))
+
+
+MAPPING = op.interaction_mapping({"view": ("item_view", None, "weak"), "click": ("item_click", "7", "medium"), "purchase": ("item_buy", None, "strong")}, {"weak": 1.0, "medium": 2.0, "strong": 5.0})
+REASONS = {"segment_popularity": "popular_in_your_segment", "segment_global_fallback": "cold_start_popular_item"}
 
 
 def assigned(spark, sf):
@@ -74,6 +124,12 @@ _I = {
     "ca": "SELECT user_id, item FROM (SELECT DISTINCT user_id FROM it), (SELECT DISTINCT p_brand AS item FROM part) WHERE (user_id, item) NOT IN (SELECT user_id, item FROM it)",
     "ra": f"SELECT *, round_even(score / nullif(max(score) OVER (PARTITION BY user_id), 0), 6) AS relative FROM (SELECT user_id, item, recent_score AS score, row_number() OVER (PARTITION BY user_id ORDER BY recent_score DESC, item) AS rank FROM ca JOIN po USING (item)) WHERE rank <= {K}",
     "ho": f"SELECT DISTINCT user_id, item FROM li WHERE ts > TIMESTAMP '{SNAPSHOT}'",
+    "gl": f"SELECT *, round_even(score / nullif(max(score) OVER (PARTITION BY user_id), 0), 6) AS relative, 'global_popularity' AS source FROM (SELECT user_id, item, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM ca JOIN po USING (item)) WHERE rank <= {K}",
+    "us": "SELECT DISTINCT user_id, coalesce(c_mktsegment, 'unknown') AS segment FROM it LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 11 <> 0) ON c_custkey = user_id",
+    "sp": "SELECT c_mktsegment AS segment, item, round_even(sum(weight), 6) AS score FROM it JOIN customer ON c_custkey = user_id WHERE c_custkey % 11 <> 0 GROUP BY ALL",
+    "sl": f"""SELECT user_id, item, score, rank, round_even(score / nullif(max(score) OVER (PARTITION BY user_id), 0), 6) AS relative, source FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM (
+        SELECT user_id, ca.item, CASE WHEN sp.score > 0 THEN sp.score ELSE po.score END AS score, CASE WHEN sp.score > 0 THEN 'segment_popularity' ELSE 'segment_global_fallback' END AS source
+        FROM ca JOIN us USING (user_id) JOIN po ON po.item = ca.item LEFT JOIN sp ON sp.segment = us.segment AND sp.item = ca.item)) WHERE rank <= {K}""",
     "hi": "SELECT ra.*, CASE WHEN ho.item IS NULL THEN 0 ELSE 1 END AS hit FROM ra LEFT JOIN ho USING (user_id, item)",
     "ms": f"""SELECT user_id, round_even(hits / least({K}, listed), 6) AS precision, round_even(hits / wanted, 6) AS recall, (hits > 0)::INT AS hit, coalesce(round_even(1 / first_hit, 6), 0) AS mrr, round_even(gain / least(wanted, {K}), 6) AS map,
         round_even(dcg / list_sum(list_transform(range(1, least(wanted, {K}) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM (SELECT user_id, count(*) AS wanted FROM ho GROUP BY ALL) JOIN (
@@ -85,7 +141,35 @@ def _items(body: str, *names: str) -> str:
     return "WITH " + ", ".join(f"{k} AS ({_I[k]})" for k in names) + " " + body
 
 
-_ALL = tuple(_I)
+_ALL = tuple(k for k in _I if k not in ("gl", "us", "sp", "sl"))
+
+
+def _measures(lists: str) -> str:
+    """Mean measures of a table of lists, one row."""
+    return f"""SELECT count(*) AS users, {', '.join(f'round_even(avg({m}), 6) AS {m}' for m in ('precision', 'recall', 'hit', 'mrr', 'map', 'ndcg'))} FROM ({_I['ms'].replace('FROM hi)', f'FROM (SELECT x.*, CASE WHEN ho.item IS NULL THEN 0 ELSE 1 END AS hit FROM {lists} x LEFT JOIN ho USING (user_id, item)))')})"""
+
+
+def _about(model: str, lists: str) -> str:
+    return f"""SELECT '{model}' AS model, *, (SELECT round_even(count(DISTINCT item) / (SELECT count(DISTINCT p_brand) FROM part), 6) FROM {lists}) AS coverage,
+        (SELECT round_even(avg(-log2(coalesce(share, 0) + 0.01)), 6) FROM {lists} LEFT JOIN po USING (item)) AS novelty, (SELECT round_even(count(*) FILTER (source LIKE '%fallback%') / count(*), 6) FROM {lists}) AS fallback_rate FROM ({_measures(lists)})"""
+
+
+_CF = f"""SELECT *, round_even(score / nullif(max(score) OVER (PARTITION BY user_id), 0), 6) AS relative FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM (
+        SELECT user_id, ca.item, round_even(CASE WHEN s > 0 THEN s ELSE share * 0.01 END, 6) AS score, CASE WHEN s > 0 THEN 'item_item' ELSE 'catalogue_fallback' END AS source
+        FROM ca LEFT JOIN (SELECT it.user_id, si.item, max(similarity * weight) AS s FROM it JOIN si ON si.other = it.item GROUP BY ALL) h USING (user_id, item) LEFT JOIN po ON po.item = ca.item)) WHERE rank <= {K}"""
+_MODELS = {"global_popularity": "gl", "recent_popularity": "rs", "segment_popularity": "sl", "item_item_cf": "cf"}
+_COMPARED = " UNION ALL ".join(_about(m, t) for m, t in _MODELS.items())
+
+
+def _every(body: str) -> str:
+    more = {"rs": "SELECT *, 'recent_popularity' AS source FROM ra", "cf": _CF, "cm": _COMPARED}
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in (_I | more).items()) + " " + body
+
+
+_CATALOGUE = """SELECT item, 'c' || n % 4 AS category, 'f' || n % 3 AS feature, n % 7 <> 3 AS active, n % 5 = 1 AS repeatable, n % 5 AS least_plan, CASE WHEN n % 6 = 2 THEN ['BUILDING', 'MACHINERY'] END AS personas, n % 8 = 5 AS small_only,
+    CASE WHEN n % 9 = 4 THEN 'Brand#' || (n + 1) END AS required, CASE WHEN n % 10 = 6 THEN 'Brand#' || (n - 1) END AS incompatible FROM (SELECT DISTINCT p_brand AS item, regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS n FROM part)"""
+_PLAN = f"""SELECT c_custkey AS user_id, coalesce((SELECT max_by(plan, (start_ts, -subscription_id)) FROM ({inputs.CTES['b']}) b WHERE b.user_id = c_custkey AND start_ts <= TIMESTAMP '{SNAPSHOT}' AND (end_ts IS NULL OR end_ts >= TIMESTAMP '{SNAPSHOT}')), 0) AS plan,
+    c_mktsegment AS persona, c_acctbal < 2000 AS small FROM customer"""
 QUERIES = {
     "segment_exclusions": (lambda spark, sf: assigned(spark, sf).groupBy("exclusion").agg(F.count("*").alias("users")), _users("SELECT exclusion, count(*) AS users FROM sg GROUP BY ALL")),
     "segment_rules": (lambda spark, sf: assigned(spark, sf).select("user_id", "exclusion", "segment"), _users("SELECT user_id, exclusion, segment FROM sg")),
@@ -103,7 +187,7 @@ QUERIES = {
     "item_similarity": (pairs, _items("SELECT * FROM si", "li", "it", "si")),
     "similar_items": (lambda spark, sf: op.similar_items(pairs(spark, sf)), _items("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY similarity DESC, support DESC, other DESC) AS rank FROM si) WHERE rank <= 5", "li", "it", "si")),
     "candidates": (lambda spark, sf: op.candidates(found(spark, sf), items(spark, sf), found(spark, sf)), _items("SELECT * FROM ca", "li", "it", "ca")),
-    "recommendations_item_item": (lambda spark, sf: op.top(op.by_history(op.candidates(found(spark, sf), items(spark, sf), found(spark, sf)), found(spark, sf), pairs(spark, sf), popular(spark, sf)), K), _items(f"""
+    "recommendations_item_item": (lambda spark, sf: by_similarity(spark, sf), _items(f"""
         SELECT *, round_even(score / nullif(max(score) OVER (PARTITION BY user_id), 0), 6) AS relative FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM (
         SELECT user_id, ca.item, round_even(CASE WHEN s > 0 THEN s ELSE share * 0.01 END, 6) AS score, CASE WHEN s > 0 THEN 'item_item' ELSE 'catalogue_fallback' END AS source
         FROM ca LEFT JOIN (SELECT it.user_id, si.item, max(similarity * weight) AS s FROM it JOIN si ON si.other = it.item GROUP BY ALL) h USING (user_id, item) LEFT JOIN po ON po.item = ca.item)) WHERE rank <= {K}""", "li", "it", "po", "si", "ca")),
@@ -112,4 +196,30 @@ QUERIES = {
     "ranking_metrics_at_k": (lambda spark, sf: op.averages(op.list_measures(ranked(spark, sf), held_out(spark, sf), K)), _items("SELECT count(*) AS users, " + ", ".join(f"round_even(avg({m}), 6) AS {m}" for m in ("precision", "recall", "hit", "mrr", "map", "ndcg")) + " FROM ms", *_ALL)),
     "catalogue_coverage": (lambda spark, sf: op.coverage(ranked(spark, sf), items(spark, sf), K), _items("SELECT count(DISTINCT item) AS listed, (SELECT count(DISTINCT p_brand) FROM part) AS catalogue, round_even(count(DISTINCT item) / (SELECT count(DISTINCT p_brand) FROM part), 6) AS coverage FROM ra", "li", "it", "po", "ca", "ra")),
     "recommendation_novelty": (lambda spark, sf: op.novelty(ranked(spark, sf), popular(spark, sf), K), _items("SELECT count(*) AS listed, round_even(avg(-log2(coalesce(share, 0) + 0.01)), 6) AS novelty FROM ra LEFT JOIN po USING (item)", "li", "it", "po", "ca", "ra")),
+    "recommendations_global": (by_score, _items("SELECT * FROM gl", "li", "it", "po", "ca", "gl")),
+    "recommendations_segment": (by_segment, _items("SELECT * FROM sl", "li", "it", "po", "ca", "us", "sp", "sl")),
+    "recommendation_plan_at": (lambda spark, sf: context(spark, sf).select("user_id", "plan"), f"SELECT user_id, plan::VARCHAR AS plan FROM ({_PLAN})"),
+    "recommendation_eligible": (eligible, "WITH " + ", ".join(f"{k} AS ({_I[k]})" for k in ("li", "it")) + f""", cat AS ({_CATALOGUE}), p AS ({_PLAN}), done AS (SELECT user_id, item FROM it WHERE n >= 2 AND item NOT LIKE 'Brand#2%')
+        SELECT user_id, item, EXISTS (SELECT 1 FROM done d WHERE d.user_id = p.user_id AND d.item = cat.item)::INT AS already_consumed FROM p, cat WHERE active AND plan >= greatest(least_plan, 1) AND (personas IS NULL OR list_contains(personas, persona)) AND (NOT small_only OR small)
+        AND (repeatable OR NOT EXISTS (SELECT 1 FROM done d WHERE d.user_id = p.user_id AND d.item = cat.item)) AND (required IS NULL OR EXISTS (SELECT 1 FROM it WHERE it.user_id = p.user_id AND it.item = required)) AND NOT (incompatible IS NOT NULL AND EXISTS (SELECT 1 FROM it WHERE it.user_id = p.user_id AND it.item = incompatible))"""),
+    "recommendation_mapped": (lambda spark, sf: op.mapped(inputs.events(spark, sf), MAPPING, "k"), sql("SELECT user_id, CASE event_name WHEN 'view' THEN 'item_view' WHEN 'click' THEN 'item_click' ELSE 'item_buy' END AS item, ts, CASE event_name WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0 ELSE 5.0 END::DOUBLE AS weight FROM e WHERE event_name IN ('view', 'purchase') OR (event_name = 'click' AND (k IS NULL OR k = 7))", "e")),
+    "recommendation_inputs": (lambda spark, sf: op.known_inputs(inputs.events(spark, sf).select("user_id", "event_id", "ts"), inputs.users(spark, sf).withColumn("signup_ts", (F.col("signup_ts") + F.expr("INTERVAL 5 DAYS")).cast("timestamp_ntz")), "2024-01-20 00:00:00"), sql(
+        "SELECT user_id, event_id, ts FROM e JOIN u USING (user_id) WHERE signup_ts + INTERVAL 5 DAY <= TIMESTAMP '2024-01-20' AND ts >= signup_ts + INTERVAL 5 DAY AND ts <= TIMESTAMP '2024-01-20'", "e", "u")),
+    "recommendation_users": (lambda spark, sf: op.all_users(found(spark, sf), held_out(spark, sf)), _items("SELECT user_id FROM it UNION SELECT user_id FROM ho", "li", "it", "ho")),
+    "recommendation_history_segment": (lambda spark, sf: op.mapped(inputs.events(spark, sf), {"view": ("invite_page", None, 1.0), "error": ("automation_run", "3", 1.0), "click": ("notes", None, 1.0)}, "k").groupBy("user_id").agg(op.history_segment(F.collect_set("item")).alias("segment")), sql(
+        "SELECT user_id, CASE WHEN count(*) FILTER (event_name = 'error' AND k = 3) > 0 THEN 'automation_power_user' WHEN count(*) FILTER (event_name = 'view') > 0 THEN 'collaboration_adopter' ELSE 'core_engaged' END AS segment FROM e WHERE event_name IN ('view', 'click') OR (event_name = 'error' AND k = 3) GROUP BY ALL", "e")),
+    "item_relationship": (lambda spark, sf: op.relationship(pairs(spark, sf), catalogue(spark, sf)), "WITH " + ", ".join(f"{k} AS ({_I[k]})" for k in ("li", "it", "si")) + f""", cat AS ({_CATALOGUE}) SELECT si.*, CASE WHEN a.category = b.category THEN 'same_category' WHEN a.feature = b.feature THEN 'same_feature_family' ELSE 'co_interaction' END AS relationship
+        FROM si JOIN cat a ON a.item = si.item JOIN cat b ON b.item = si.other"""),
+    "recommendation_reasons": (lambda spark, sf: op.reasons(by_segment(spark, sf), REASONS).select("user_id", "item", "rank", F.array_join("codes", "|").alias("codes"), "reason"), _items(
+        "SELECT user_id, item, rank, CASE source WHEN 'segment_popularity' THEN 'popular_in_your_segment' ELSE 'cold_start_popular_item' END || '|' || source AS codes, CASE source WHEN 'segment_popularity' THEN 'Popular in your segment' ELSE 'Cold start popular item' END AS reason FROM sl", "li", "it", "po", "ca", "us", "sp", "sl")),
+    "recommendation_segment_measures": (lambda spark, sf: op.segment_measures(by_segment(spark, sf), held_out(spark, sf), op.with_segment(found(spark, sf).select("user_id").distinct(), segments(spark, sf)), K), _every(
+        f"SELECT segment, users, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, coalesce(hit, 0) AS hit FROM (SELECT segment, count(DISTINCT user_id) AS users FROM sl JOIN us USING (user_id) GROUP BY ALL) LEFT JOIN (SELECT segment, round_even(avg(precision), 6) AS precision, round_even(avg(recall), 6) AS recall, round_even(avg(hit), 6) AS hit FROM ({_I['ms'].replace('FROM hi)', 'FROM (SELECT x.*, CASE WHEN ho.item IS NULL THEN 0 ELSE 1 END AS hit FROM sl x LEFT JOIN ho USING (user_id, item)))')}) JOIN us USING (user_id) GROUP BY ALL) USING (segment)")),
+    "recommendation_cold_start": (lambda spark, sf: op.cold_start(ranked(spark, sf), found(spark, sf).where("user_id % 3 <> 0"), held_out(spark, sf)), _items(
+        "SELECT count(DISTINCT user_id) AS cold_users, 1.0::DOUBLE AS coverage, count(*) AS recommendations, count(DISTINCT user_id) FILTER (user_id IN (SELECT user_id FROM ho)) AS evaluated_users FROM ra WHERE user_id NOT IN (SELECT user_id FROM it WHERE user_id % 3 <> 0)", *_ALL)),
+    "recommendation_diversity": (lambda spark, sf: op.diversity(ranked(spark, sf), catalogue(spark, sf), K), "WITH " + ", ".join(f"{k} AS ({_I[k]})" for k in ("li", "it", "po", "ca", "ra")) + f", cat AS ({_CATALOGUE}) SELECT round_even(avg(d), 6) AS diversity FROM (SELECT user_id, round_even(count(DISTINCT category) / count(*), 6) AS d FROM ra JOIN cat USING (item) GROUP BY ALL)"),
+    "recommendation_comparison": (lambda spark, sf: op.compared(models(spark, sf), held_out(spark, sf), items(spark, sf), popular(spark, sf), K), _every("SELECT * FROM cm")),
+    "recommendation_model_choice": (lambda spark, sf: op.chosen(op.compared(models(spark, sf), held_out(spark, sf), items(spark, sf), popular(spark, sf), K), 0.5).select("model", "ndcg", "selected"), _every(
+        "SELECT model, ndcg, row_number() OVER (ORDER BY (coverage >= 0.5)::INT DESC, ndcg DESC, recall DESC, CASE model WHEN 'global_popularity' THEN 4 WHEN 'recent_popularity' THEN 3 WHEN 'segment_popularity' THEN 2 ELSE 1 END DESC) = 1 AS selected FROM cm")),
+    "recommendation_invariants": (lambda spark, sf: op.broken_recommendations(by_segment(spark, sf), items(spark, sf), K - 1).groupBy("rule").agg(F.count("*").alias("users")), _items("SELECT 'LIST_TOO_LONG' AS rule, count(*) AS users FROM (SELECT user_id FROM sl GROUP BY user_id HAVING count(*) > 4)", "li", "it", "po", "ca", "us", "sp", "sl")),
+    "recommendation_catalogue_checks": (lambda spark, sf: op.broken_catalogue(catalogue(spark, sf).withColumn("incompatible", F.when(F.col("item") == "Brand#13", F.col("required")).otherwise(F.col("incompatible")))), "SELECT DISTINCT p_brand AS item, 'REQUIRED_AND_EXCLUDED' AS rule FROM part WHERE p_brand = 'Brand#13'"),
 }
