@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.scalars import rate
+from ..functions.scalars import rate, unpivoted
 
 
 def integrity(assignments: DataFrame, users: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
@@ -92,15 +92,94 @@ def guardrails(rows: DataFrame, limits: dict[str, tuple[str, float, bool]]) -> D
     return kept.select("experiment", "treatment", "metric", "absolute_effect", harm.alias("harmed"), out.alias("status"))
 
 
-def decisions(primary: DataFrame, guards: DataFrame, ratios: DataFrame, least_effect: float, critical_z: float, max_ratio: float) -> DataFrame:
-    """Ordered rules: broken ratio, failed guardrail, adverse, ship, caution, continue, no evidence; by the statistic of the primary metric."""
+def selected(assignments: DataFrame, variants: dict[str, list[str]], wanted: list[str] | None = None) -> DataFrame:
+    """Assignments of the wanted experiments, all without a wish; an unknown one is an error."""
+    if bad := sorted(set(wanted or []) - set(variants)):
+        raise ValueError(f"unknown experiment {', '.join(bad)}")
+    return assignments.where(F.col("experiment").isin(list(wanted or variants)))
+
+
+def roles(rows: DataFrame, primary: str, guarded: list[str]) -> DataFrame:
+    return rows.withColumn("role", F.when(F.col("metric") == primary, "primary").when(F.col("metric").isin(guarded), "guardrail").otherwise("secondary"))
+
+
+def statuses(rows: DataFrame, directions: dict[str, tuple[str, float]], alpha: float = 0.05) -> DataFrame:
+    """Tested effects with significance, practical (the effect passes its threshold in the good direction) and data quality."""
+    sign, least = F.lit(1.0), F.lit(0.0)
+    for metric, (good, threshold) in directions.items():
+        here = F.col("metric") == metric
+        sign = F.when(here, 1.0 if good == "increase" else -1.0).otherwise(sign)
+        least = F.when(here, float(threshold)).otherwise(least)
+    quality = F.when((F.col("control_n") == 0) | (F.col("treatment_n") == 0), "zero_denominator").when((F.col("control_n") < 2) | (F.col("treatment_n") < 2), "small_sample_warning").otherwise("ok")
+    return rows.select("*", F.when(F.col("adjusted_p") < alpha, "significant").otherwise("not_significant").alias("significance"), F.when(sign * F.col("absolute_effect") >= least, "met").otherwise("not_met").alias("practical"), quality.alias("quality"))
+
+
+def decisions(primary: DataFrame, guards: DataFrame, ratios: DataFrame, excluded: DataFrame, least_effect: float, needed: DataFrame, alpha: float = 0.05, max_ratio: float = 6.634897) -> DataFrame:
+    """Ordered rules with reason codes for each treatment's primary metric, of which more is better.
+
+    ``primary`` has adjusted_p, ``needed`` users_per_arm by experiment; an experiment with excluded assignments
+    or a broken ratio is invalid.
+    """
     failed = guards.groupBy("experiment", "treatment").agg(F.count_if(F.col("status") == "fail").alias("failed"))
     rows = primary.join(failed, ["experiment", "treatment"], "left").join(ratios.select("experiment", F.col("statistic").alias("ratio")), "experiment", "left")
-    sure, up, big = F.abs("statistic") >= critical_z, F.col("absolute_effect") > 0, F.col("absolute_effect") >= least_effect
-    choice = (
-        F.when(F.col("ratio") > max_ratio, "invalid").when(F.coalesce("failed", F.lit(0)) > 0, "do_not_ship").when(sure & ~up, "do_not_ship").when(sure & big, "ship").when(sure, "ship_with_caution").when(big, "continue").otherwise("no_clear_evidence")
+    rows = rows.join(excluded.groupBy("experiment").agg(F.count("*").alias("excluded")), "experiment", "left").join(needed.select("experiment", "users_per_arm"), "experiment", "left")
+    effect, sure, big = F.col("absolute_effect"), F.col("adjusted_p") < alpha, F.col("absolute_effect") >= least_effect
+    enough = F.least("control_n", "treatment_n") >= F.coalesce("users_per_arm", F.lit(0))
+    choices = [
+        ((F.col("ratio") > max_ratio) | (F.coalesce("excluded", F.lit(0)) > 0), "invalid_experiment", "integrity_or_srm_blocker"), (F.coalesce("failed", F.lit(0)) > 0, "do_not_ship", "critical_guardrail_harm"),
+        ((effect < -least_effect) & sure, "do_not_ship", "primary_metric_degradation"), ((effect > 0) & sure & big & enough, "ship", "statistical_and_practical_primary_lift"),
+        ((effect > 0) & big & enough, "ship_with_caution", "practical_lift_without_full_statistical_confidence"), ((effect > 0) & big, "continue_experiment", "promising_underpowered_effect"),
+    ]
+    pick = lambda k, last: F.coalesce(*(F.when(c, F.lit((d, r)[k])) for c, d, r in choices), F.lit(last))
+    return rows.select("experiment", "treatment", "absolute_effect", "adjusted_p", "ratio", F.coalesce("failed", F.lit(0)).alias("failed"), F.coalesce("excluded", F.lit(0)).alias("excluded"), pick(0, "no_clear_evidence").alias("decision"), F.array(pick(1, "primary_metric_not_statistically_or_practically_clear")).alias("reason_codes"))
+
+
+def segment_effects(values: DataFrame, users: DataFrame, dimensions: list[str], metric: str, control: str, suppression: int) -> DataFrame:
+    """The effect on a binary metric by one dimension at a time, of those assigned; hidden where either arm has fewer than ``suppression``."""
+    rows = values.where((F.col("population") == "intention_to_treat") & (F.col("metric") == metric)).join(users.select("user_id", *dimensions), "user_id")
+    rows = unpivoted(rows.select("experiment", "variant", "value", *dimensions).withColumnRenamed("value", "v"), ["experiment", "variant", "v"], dimensions)
+    by = rows.groupBy("experiment", "dimension", "value", "variant").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    keys = ["experiment", "dimension", "value"]
+    groups = by.select(*keys).distinct()
+    left = by.where(F.col("variant") == control).select(*keys, F.col("n").alias("c_n"), F.col("total").alias("c_total"))
+    treated = by.where(F.col("variant") != control).select(*keys, F.col("variant").alias("treatment"), F.col("n").alias("t_n"), F.col("total").alias("t_total"))
+    rows = groups.join(left, keys, "left").join(treated, keys).na.fill(0, ["c_n", "t_n"]).na.fill(0.0, ["c_total", "t_total"])
+    p = stats.proportion_columns("c_total", "c_n", "t_total", "t_n")
+    hidden = F.least("c_n", "t_n") < suppression
+    return rows.select(*keys, "treatment", F.col("c_n").alias("control_n"), F.col("t_n").alias("treatment_n"), *(F.when(~hidden, F.bround(p[x], 6)).alias(x) for x in ("absolute_effect", "statistic")), F.when(hidden, "suppressed").otherwise("shown").alias("status"))
+
+
+def decision_counts(decided: DataFrame) -> DataFrame:
+    return decided.groupBy("decision").agg(F.count("*").alias("n"))
+
+
+def guardrail_summary(guards: DataFrame) -> DataFrame:
+    """Per experiment and treatment: passed, or which guardrails failed."""
+    names = F.array_sort(F.collect_list(F.when(F.col("status") == "fail", F.col("metric"))))
+    return guards.groupBy("experiment", "treatment").agg(F.when(F.size(names) == 0, "passed").otherwise(F.concat(F.lit("failed "), F.array_join(names, ", "))).alias("guardrails"))
+
+
+def diagnostics(judged: DataFrame, valid: DataFrame, rows: DataFrame, ratios: DataFrame, segments: DataFrame, guards: DataFrame, decided: DataFrame, max_ratio: float = 6.634897) -> DataFrame:
+    """One row of findings over all experiments, and passed, passed_with_warnings or failed."""
+    parts = [
+        judged.agg(F.count("*").alias("assignments"), F.count_if(F.size("reasons") == 0).alias("valid"), F.count_if(F.array_contains("reasons", "unknown_variant")).alias("invalid_variants")),
+        valid.agg(F.count_if(F.col("exposure_ts").isNull()).alias("missing_exposures")), ratios.agg(F.count_if(F.col("statistic") > max_ratio).alias("ratio_findings")),
+        rows.agg(F.count_if(F.least("control_n", "treatment_n") < 2).alias("small_samples")), segments.agg(F.count_if(F.col("status") == "suppressed").alias("suppressed_segments")),
+        guards.agg(F.count_if(F.col("status") == "fail").alias("guardrail_failures")), decided.agg(F.count_if(F.col("decision") == "invalid_experiment").alias("blocked")),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.join(F.broadcast(x))  # one row each
+    return out.withColumn("status", F.when(F.col("blocked") > 0, "failed").when(F.col("ratio_findings") + F.col("small_samples") + F.col("suppressed_segments") > 0, "passed_with_warnings").otherwise("passed"))
+
+
+def broken_outputs(tests: DataFrame, binary: list[str]) -> DataFrame:
+    """(experiment, metric, rule) of tested effects that can't be."""
+    rules = F.array(
+        F.when(~F.col("p_value").between(0, 1), F.lit("P_RANGE")), F.when(~F.col("adjusted_p").between(0, 1), F.lit("ADJUSTED_P_RANGE")), F.when(F.col("adjusted_p") < F.col("p_value"), F.lit("ADJUSTED_BELOW_P")), F.when(F.col("low") > F.col("high"), F.lit("INTERVAL_ORDER")),
+        F.when(F.col("metric").isin(binary) & ~(F.col("control_value").between(0, 1) & F.col("treatment_value").between(0, 1)), F.lit("RATE_RANGE")),
     )
-    return rows.select("experiment", "treatment", "absolute_effect", "statistic", "ratio", F.coalesce("failed", F.lit(0)).alias("failed"), choice.alias("decision"))
+    return tests.select("experiment", "metric", F.explode(F.array_compact(rules)).alias("rule"))
 
 
 def counts(rows: DataFrame) -> DataFrame:
