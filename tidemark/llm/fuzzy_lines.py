@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .edits import distance
 from .flat import U, mixed, parts, prefix, spans
-from .linking import SMALL, celled, centred, linked, within
+from .linking import celled, centred, groups_of, linked, pairs_in
 from .near_duplicates import sketches
 from .rows import fresh, keyed, row_keys
 from .scratch import dropped, written
@@ -37,6 +37,7 @@ PERCENT, MIN_BYTES = 90, 6
 TINY, SHORT, LONG, COORDINATES, MAX_BITS = 19, 96, 86, 128, 24
 #: (shortest line, classes, dealings); a line belongs to every tier that lines of nine tenths to all of its length reach.
 TIERS = ((96, 5, 5), (128, 9, 2), (256, 16, 1), (512, 24, 1), (1024, 32, 1))
+FEW = 6
 #: A block speaks for a line if its features have so many bytes beyond two each.
 LEAST = 9
 STEP = U(0x9E3779B97F4A7C15)
@@ -157,7 +158,8 @@ def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
             r, k = blocks(line[mine], found[mine], bytes_[mine], len(start), t)
             rows.append(r)
             keys.append(k)
-    short = np.flatnonzero((size >= TINY - 1) & (size < SHORT))
+    told = np.bincount(np.concatenate(rows), minlength=len(start)) if rows else np.zeros(len(start), np.int64)
+    short = np.flatnonzero((size >= TINY - 1) & ((size < SHORT) | (told < FEW)))  # lines of few different words have few blocks
     if len(short):
         k = bands(data, start[short], end[short])
         rows.append(np.repeat(short, k.shape[1]))
@@ -181,6 +183,11 @@ def bucket_keys(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return np.split(keys[order], np.searchsorted(rows[order], np.arange(1, len(lines)))), bits
 
 
+NAMES = ["n", "bits"]
+#: Lines in a block of a cell whose texts are compared in one task.
+BLOCK = 512
+
+
 def near(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether two lines' lengths and SimHashes allow a link."""
     low, high = np.minimum(x["n"][a], x["n"][b]), np.maximum(x["n"][a], x["n"][b])
@@ -349,6 +356,36 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return pairs.select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long")
 
 
+def across(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The links (a, b) between different components of a bucket, a cell of two blocks at a time; only links leave the task.
+
+    A pair is compared in the smallest bucket that it shares.
+    """
+    keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    cells = celled(rows, BLOCK, "n").select("key", "i", "j", "block", "node", "component", *NAMES).join(texts, "node").join(keys, "node")
+
+    def compare(batches):
+        for table, group in groups_of(batches, ["key", "i", "j"]):
+            x = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "component", *NAMES)}
+            lines, mine = table.column("text"), table.column("keys")
+            said, own = {}, {}
+            out = set()
+            for a, b in pairs_in(group):
+                keep = (x["component"][a] != x["component"][b]) & ((x["i"][a] == x["j"][a]) | (x["block"][a] != x["block"][b]))
+                a, b = a[keep], b[keep]
+                keep = near(x, a, b, percent)
+                for p, q in zip(a[keep].tolist(), b[keep].tolist()):
+                    for k in (p, q):
+                        if k not in said:
+                            said[k], own[k] = lines[k].as_py(), frozenset(mine[k].as_py())
+                    if min(own[p] & own[q]) == x["key"][p] and distance(said[p], said[q], most := max(len(said[p]), len(said[q])) * (100 - percent) // 100) <= most:
+                        out.add(tuple(sorted((int(x["node"][p]), int(x["node"][q])))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
+
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
+
+
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
     """k1, k2 and ``dropped``, the numbers of a row's lines that repeat an earlier one; rows that keep all lines are left out.
 
@@ -361,18 +398,9 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     sent = written(buckets(rows, n_parts, min_bytes), "keys")
     met = written(sent.where("key IS NOT NULL").select("key", "node").join(sent.where("key IS NULL").select("node", "n", "bits", "times"), "node"), "buckets")
     dropped(sent)
-    met_by = met.join(met.groupBy("key").agg(F.count("*").alias("c")), "key")
-    small, large = met_by.where(f"c <= {SMALL}"), met_by.where(f"c > {SMALL}").drop("c")
-    names = ["n", "bits"]
-    first = within(small, ["key"], names, lambda x, a, b: near(x, a, b, percent)).union(centred(large, names, fits(percent)))
-    first = written(first.distinct(), "pairs")
-    asked = first.select(F.col("a").alias("node")).union(first.select("b")).union(large.select("node")).distinct()
-    texts = written(line_texts(rows, lines, asked), "texts")
-
-    def across(some: DataFrame) -> DataFrame:
-        return confirmed(within(celled(some), ["key", "i", "j"], names, lambda x, a, b: near(x, a, b, percent)).distinct(), texts, percent)
-
-    groups = linked(first, large, names, fits(percent), lambda pairs: confirmed(pairs, texts, percent), across)
+    first = written(centred(met, NAMES, fits(percent)).distinct(), "pairs")
+    texts = written(line_texts(rows, lines, met.select("node").distinct()), "texts")
+    groups = linked(first, met, NAMES, fits(percent), lambda pairs: confirmed(pairs, texts, percent), lambda some: across(some, texts, percent))
     placed = lines
     if groups is not None:
         placed = placed.join(groups, "node", "left")

@@ -2,7 +2,7 @@
 
 A bucket of up to SMALL members pairs them all, a few pairs a row. In a larger one members first meet their
 bucket's centre; what that proves equal becomes one group, and only members of different groups can still add
-anything. After a few more centres those are dealt to cells of two blocks of BLOCK members each, and a task compares a cell's members by
+anything. After a few more centres those are dealt to cells of two blocks of bounded size, and a task compares a cell's members by
 their sketches: no pair leaves it that can't be a link. No link that a bucket shows is left unchecked.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import dropped, written
 
-SMALL, BLOCK, CHUNK, CHUNK_BYTES, TURNS = 8, 512, 1 << 19, 4 << 20, 1
+SMALL, CHUNK, CHUNK_BYTES, BLOCK_WEIGHT, TURNS = 8, 1 << 19, 4 << 20, 1 << 20, 1
 PAIR = "a long, b long"
 Fits = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 
@@ -102,9 +102,12 @@ def mixed_rows(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
     return named.join(several, "key")
 
 
-def celled(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Each row once for every cell (key, i, j) of blocks that its own block meets in its bucket."""
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+def celled(rows: DataFrame, block: int, weight: str) -> DataFrame:
+    """Each row once for every cell (key, i, j) of blocks that its own block meets in its bucket.
+
+    A block has about ``block`` members, and fewer if they weigh more than BLOCK_WEIGHT together.
+    """
+    counts = rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(weight) / BLOCK_WEIGHT)).cast("int").alias("blocks"))
     rows = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")

@@ -26,7 +26,7 @@ from .scratch import dropped, written
 
 SHINGLE, SIMILAR, COORDINATES, BANDS, MAX_BITS, SLICE = 5, 75, 128, 32, 36, 1 << 20
 #: Documents in a block of a cell whose texts are compared in one task.
-TEXTS = 128
+TEXTS = 512
 FULL = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -222,7 +222,7 @@ def across(rows: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> DataFra
             found_ = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found_[:, 0].copy()), pa.array(found_[:, 1].copy())], ["a", "b"])
 
-    cells = celled(covered(rows, texts, similar), TEXTS).select("key", "i", "j", "block", "node", "component", *NAMES).join(texts, "node")
+    cells = celled(covered(rows, texts, similar), TEXTS, "n").select("key", "i", "j", "block", "node", "component", *NAMES).join(texts, "node")
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
