@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import churn, experiments, funnels, models, quality, recommend, retention
+    from . import churn, experiments, funnels, models, quality, recommend, reporting, retention
 
-    return [funnels, retention, quality, churn, recommend, experiments, models]
+    return [funnels, retention, quality, churn, recommend, experiments, models, reporting]
 
 
 def queries() -> dict:

@@ -87,10 +87,10 @@ def power(spark, sf):
 def product_health(spark, sf):
     """The mean of funnel completion, mean cohort return and ranking quality."""
     a = funnels.funnel_summary(spark, sf).agg(F.avg("completion_rate").alias("completion"))
-    b = retention.op.cohort_summary(retention.periods(spark, sf)).agg(F.avg("return_rate").alias("returning"))
+    b = retention.op.cohort_summary(retention.periods(spark, sf)).agg(F.avg("return_rate").alias("back"))
     c = recommend.op.averages(recommend.op.list_measures(recommend.ranked(spark, sf), recommend.held_out(spark, sf), recommend.K)).select("ndcg")
     rows = a.join(F.broadcast(b)).join(F.broadcast(c))  # one row each
-    return rows.select(F.bround("completion", 6).alias("completion"), F.bround("returning", 6).alias("returning"), "ndcg", F.bround((F.bround("completion", 6) + F.bround("returning", 6) + F.col("ndcg")) / 3, 6).alias("health"))
+    return rows.select(F.bround("completion", 6).alias("completion"), F.bround("back", 6).alias("back"), "ndcg", F.bround((F.bround("completion", 6) + F.bround("back", 6) + F.col("ndcg")) / 3, 6).alias("health"))
 
 
 _A = """SELECT experiment, user_id, variant, signup_ts AS assigned_ts, exposure_ts, list_filter([CASE WHEN variant = 'unknown' THEN 'unknown_variant' END, CASE WHEN exposure_ts < signup_ts THEN 'exposed_before_assignment' END], lambda x: x IS NOT NULL) AS reasons FROM (
@@ -159,5 +159,6 @@ QUERIES = {
     "experiment_guardrails": (guards, _over("SELECT * FROM gd", *_EF, "gd")),
     "experiment_power": (power, _over(f"SELECT experiment, control_value, ceil({(stats.NORMAL.inv_cdf(0.975) + stats.NORMAL.inv_cdf(0.8)) ** 2!r}::DOUBLE * 2 * control_value * (1 - control_value) / (0.05::DOUBLE * 0.05::DOUBLE))::BIGINT AS users_per_arm FROM ({_PRIMARY}) WHERE control_value > 0", *_EF)),
     "experiment_decisions": (lambda spark, sf: decisions(spark, sf).withColumn("reason", F.array_join("reason_codes", "|")).drop("reason_codes"), _over("SELECT * FROM dc", *_EF, "gd", "rt", "pv", "dc")),
-    "report_product_health": (product_health, None),
+    "report_product_health": (product_health, f"""SELECT completion, back, ndcg, round_even((completion + back + ndcg) / 3, 6) AS health FROM (SELECT (SELECT round_even(avg(completion_rate), 6) FROM ({funnels.QUERIES['funnel_summary'][1]})) AS completion,
+        (SELECT round_even(avg(return_rate), 6) FROM ({retention.QUERIES['retention_cohort_summary'][1]})) AS back, (SELECT ndcg FROM ({recommend.QUERIES['ranking_metrics_at_k'][1]})) AS ndcg)"""),
 }
