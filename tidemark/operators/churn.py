@@ -124,3 +124,66 @@ def evaluation(scored: DataFrame, threshold: float) -> DataFrame:
         F.col("all_n").alias("n"), rate("all_pos", "all_n").alias("prevalence"), rate("correct", "all_n").alias("accuracy"), rate("square", "all_n").alias("brier"), rate("loss", "all_n").alias("log_loss"),
         F.bround(F.col("wins") / F.nullif(pairs, F.lit(0)), 6).alias("roc_auc"), F.when(pairs > 0, rate("gain", "all_pos")).alias("average_precision"),
     )
+
+
+#: Ranks of plans by name, which churn and segmentation order differently; any other plan ranks 0.
+CHURN_RANKS, SEGMENT_RANKS = {"free": 0, "starter": 1, "pro": 2, "business": 3, "enterprise": 4}, {"free": 0, "starter": 1, "team": 2, "business": 3, "enterprise": 4}
+
+
+def plan_rank(plan: Column, ranks: dict[str, int]) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for row in ranks.items() for x in row))[plan], F.lit(0))
+
+
+def risk_band(score: Column) -> Column:
+    return F.when(score >= 0.7, "high").when(score >= 0.4, "medium").otherwise("low")
+
+
+def stage_reached(stages: list[tuple[int, list[str]]]) -> Column:
+    """The first level, highest first, of which a count column is above 0; else 0."""
+    out = F.lit(0)
+    for level, names in sorted(stages):
+        reached = F.lit(False)
+        for n in names:
+            reached |= F.col(n) > 0
+        out = F.when(reached, level).otherwise(out)
+    return out
+
+
+def prefix_counts(events: DataFrame, usage: DataFrame, prefixes: list[str], feature: str, amount: str) -> DataFrame:
+    """Per user and prefix, events of features that start so, plus the amounts of such usage."""
+    both = events.select("user_id", F.col(feature).cast("string").alias("f"), F.lit(1).cast("long").alias("n")).unionByName(usage.select("user_id", F.col(feature).cast("string").alias("f"), F.col(amount).cast("long").alias("n")))
+    return both.groupBy("user_id").agg(*(F.coalesce(F.sum(F.when(F.col("f").startswith(p), F.col("n"))), F.lit(0)).alias(f"n_{p}") for p in prefixes))
+
+
+def downgrades(points: DataFrame, periods: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """user_id, the plans at the snapshot and at the end of the label window, and whether the later one ranks below."""
+    before = as_of(points, periods, "snapshot_ts", "plan", "subscription_id").select("user_id", "label_end", F.col("plan").alias("plan_before"))
+    after = as_of(before, periods, "label_end", "plan", "subscription_id").withColumnRenamed("plan", "plan_after")
+    return after.select("user_id", "plan_before", "plan_after", F.coalesce(plan_rank(F.col("plan_after"), ranks) < plan_rank(F.col("plan_before"), ranks), F.lit(False)).alias("downgraded"))
+
+
+def confusion(scored: DataFrame, threshold: float) -> DataFrame:
+    """One row: confusion counts, precision, recall, F1 and balanced accuracy at a threshold; null where there is one class."""
+    hit, bad = F.col("score") >= threshold, F.col("churned") == 1
+    got = scored.agg(F.count_if(hit & bad).alias("tp"), F.count_if(hit & ~bad).alias("fp"), F.count_if(~hit & bad).alias("fn"), F.count_if(~hit & ~bad).alias("tn"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    balance = F.bround((tp / F.nullif(tp + fn, F.lit(0)) + tn / F.nullif(tn + fp, F.lit(0))) / 2, 6)
+    return got.select("*", safe_div(tp, tp + fp).alias("precision"), safe_div(tp, tp + fn).alias("recall"), safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"), balance.alias("balanced_accuracy"))
+
+
+def best_threshold(table: DataFrame) -> DataFrame:
+    """The threshold with the best F1, the highest of equals."""
+    return table.agg(F.max(F.struct("f1", "threshold")).alias("x")).select("x.threshold", "x.f1")
+
+
+def best_model(measured: DataFrame, preferred: str = "logistic") -> DataFrame:
+    """Of (model, average_precision, brier) the best by precision, then the smaller error, then the preferred one, then the last name."""
+    order = F.struct(F.coalesce("average_precision", F.lit(0.0)).alias("a"), (-F.coalesce("brier", F.lit(1.0))).alias("b"), (F.col("model") == preferred).cast("int").alias("p"), "model")
+    return measured.agg(F.max(order).alias("x")).select("x.model")
+
+
+def score_importance(rows: DataFrame, names: list[str], score: str = "score") -> DataFrame:
+    """feature, correlation and its size of each feature with a score, the largest first; a constant one has none."""
+    got = rows.agg(*(F.bround(F.corr(F.col(n).cast("double"), F.col(score).cast("double")), 6).alias(n) for n in names))
+    long = got.unpivot([], names, "feature", "correlation").withColumn("correlation", F.nanvl("correlation", F.lit(None).cast("double")))
+    return long.where("correlation IS NOT NULL").withColumn("importance", F.abs("correlation"))

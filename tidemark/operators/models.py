@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -56,6 +57,41 @@ def clustered(rows: DataFrame, names: list[str], k: int, tries: int = 5) -> Data
     return out.select(*rows.columns, names_[F.col("_c")].alias("cluster"))
 
 
+def cluster_candidates(rows: DataFrame, names: list[str], ks: list[int], least_size: int, seeds: int = 3) -> DataFrame:
+    """(k, silhouette, stability, smallest, status) of each number of clusters; more than there are different rows is rejected at once.
+
+    Stability is the mean adjusted Rand index between the fit and those of other seeds.
+    """
+    from .segmentation import adjusted_rand, chosen_clusters
+
+    spark = rows.sparkSession
+    made = VectorAssembler(inputCols=names, outputCol="_x").transform(standardised(rows.withColumns({c: F.col(c).cast("double") for c in names}), names)).persist()
+    try:
+        different, found = made.select(*names).distinct().count(), []
+        for k in ks:
+            if k > different:
+                found.append((k, None, None, 0))
+                continue
+            fits = [KMeans(k=k, seed=SEED + i, featuresCol="_x", predictionCol=f"_c{i}").fit(made) for i in range(seeds)]
+            labelled = made
+            for f in fits:
+                labelled = f.transform(labelled)
+            score = ClusteringEvaluator(featuresCol="_x", predictionCol="_c0").evaluate(labelled)
+            alike = [adjusted_rand(labelled, "_c0", f"_c{i}").first()[0] for i in range(1, seeds)]
+            found.append((k, round(score, 6), round(sum(alike) / len(alike), 6) if alike else 1.0, min(fits[0].summary.clusterSizes)))
+    finally:
+        made.unpersist()
+    return chosen_clusters(spark.createDataFrame(found, "k int, silhouette double, stability double, smallest long"), least_size)
+
+
+def importance(rows: DataFrame, names: list[str], label: str, split: str) -> DataFrame:
+    """feature and importance of a logistic model: the size of the coefficient of each standardised feature."""
+    train = standardised(rows.where(F.col(split) == "train").withColumns({c: F.col(c).cast("double") for c in names}), names).withColumn("_y", F.col(label).cast("double"))
+    n = train.count()
+    model = LogisticRegression(regParam=1 / max(n, 1), featuresCol="_x", labelCol="_y").fit(VectorAssembler(inputCols=names, outputCol="_x").transform(train))
+    return rows.sparkSession.createDataFrame([(f, round(abs(float(c)), 6)) for f, c in zip(names, model.coefficients, strict=True)], "feature string, importance double")
+
+
 def components(rows: DataFrame, names: list[str], k: int = 2) -> DataFrame:
     """Rows with the first principal components of the standardised columns; their signs are arbitrary."""
     made = VectorAssembler(inputCols=names, outputCol="_x").transform(standardised(rows.withColumns({c: F.col(c).cast("double") for c in names}), names))

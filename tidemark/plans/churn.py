@@ -57,6 +57,18 @@ def _over(body: str) -> str:
     return sql(body, "e", "u", **_ALL)
 
 
+LATER = "1998-07-01 00:00:00"
+_NAMED = "SELECT user_id, arg_max(CASE plan WHEN 1 THEN 'free' WHEN 2 THEN 'pro' WHEN 3 THEN 'team' WHEN 4 THEN 'business' ELSE 'enterprise' END, (start_ts, subscription_id)) AS plan, arg_max(CASE plan WHEN 2 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 4 ELSE 0 END, (start_ts, subscription_id)) AS r FROM b WHERE start_ts <= TIMESTAMP '{0}' AND (end_ts IS NULL OR end_ts >= TIMESTAMP '{0}') GROUP BY user_id"
+
+
+def plan_names(spark, sf):
+    return inputs.subscriptions(spark, sf).withColumn("plan", F.element_at(F.array(*map(F.lit, ("free", "pro", "team", "business", "enterprise"))), F.col("plan")))
+
+
+def plan_points(spark, sf):
+    return inputs.subscriptions(spark, sf).select("user_id").distinct().withColumn("snapshot_ts", op.ts(AS_OF)).withColumn("label_end", op.ts(LATER))
+
+
 QUERIES = {
     "asof_subscription": (asof_subscription, sql(f"SELECT user_id, plan FROM (SELECT DISTINCT user_id FROM b) LEFT JOIN (SELECT user_id, arg_max(plan, (start_ts, subscription_id)) AS plan FROM b WHERE start_ts <= TIMESTAMP '{AS_OF}' AND (end_ts IS NULL OR end_ts >= TIMESTAMP '{AS_OF}') GROUP BY user_id) USING (user_id)", "b")),
     "churn_features": (features, _over("SELECT * FROM f")),
@@ -76,4 +88,15 @@ QUERIES = {
         (SELECT round_even(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END), 6) FROM sc a, sc b WHERE a.churned = 1 AND b.churned = 0) AS roc_auc,
         (SELECT round_even(avg((SELECT sum(b.churned) / count(*) FROM sc b WHERE b.score >= a.score)), 6) FROM sc a WHERE a.churned = 1) AS average_precision FROM sc""")),
     "churn_subgroups": (churn_subgroups, _over("SELECT persona, count(*) AS n, sum(churned)::BIGINT AS positives, round_even(avg(score), 6) AS mean_score FROM sc GROUP BY ALL")),
+    "churn_risk_bands": (lambda spark, sf: scored(spark, sf).groupBy(op.risk_band(F.col("score")).alias("band")).agg(F.count("*").alias("n")), _over("SELECT CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM sc GROUP BY ALL")),
+    "churn_confusion": (lambda spark, sf: op.confusion(scored(spark, sf), 0.5), _over("""SELECT tp, fp, fn, tn, coalesce(round_even(tp / nullif(tp + fp, 0), 6), 0) AS precision, coalesce(round_even(tp / nullif(tp + fn, 0), 6), 0) AS recall, coalesce(round_even(2 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) AS f1,
+        round_even((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy FROM (SELECT count(*) FILTER (score >= 0.5 AND churned = 1) AS tp, count(*) FILTER (score >= 0.5 AND churned = 0) AS fp, count(*) FILTER (score < 0.5 AND churned = 1) AS fn, count(*) FILTER (score < 0.5 AND churned = 0) AS tn FROM sc)""")),
+    "churn_threshold_choice": (lambda spark, sf: op.best_threshold(op.thresholds(scored(spark, sf), LEVELS)), _over(f"""SELECT threshold, f1 FROM (SELECT threshold, coalesce(round_even(2 * count(*) FILTER (score >= threshold AND churned = 1) / nullif(2 * count(*) FILTER (score >= threshold AND churned = 1) + count(*) FILTER ((score >= threshold) <> (churned = 1)), 0), 6), 0) AS f1
+        FROM sc, (SELECT unnest({LEVELS}::DOUBLE[]) AS threshold) GROUP BY threshold) ORDER BY f1 DESC, threshold DESC LIMIT 1""")),
+    "churn_prefix_counts": (lambda spark, sf: op.prefix_counts(inputs.events(spark, sf).withColumnRenamed("k", "feature"), inputs.usage(spark, sf), ["1", "2", "9"], "feature", "usage_count"), sql(
+        "SELECT user_id, " + ", ".join(f"coalesce(sum(n) FILTER (f LIKE '{p}%'), 0)::BIGINT AS n_{p}" for p in "129") + " FROM (SELECT user_id, k::VARCHAR AS f, 1 AS n FROM e UNION ALL SELECT user_id, feature::VARCHAR, usage_count FROM g) GROUP BY ALL", "e", "g")),
+    "churn_activation_stage": (lambda spark, sf: features(spark, sf).select("user_id", op.stage_reached([(4, ["n_purchase"]), (3, ["n_click", "n_error"]), (1, ["n_view"])]).alias("stage")), _over("SELECT user_id, CASE WHEN n_purchase > 0 THEN 4 WHEN n_click > 0 OR n_error > 0 THEN 3 WHEN n_view > 0 THEN 1 ELSE 0 END AS stage FROM f")),
+    "churn_downgrades": (lambda spark, sf: op.downgrades(plan_points(spark, sf), plan_names(spark, sf), op.CHURN_RANKS), sql(f"""SELECT user_id, a.plan AS plan_before, z.plan AS plan_after, coalesce(z.r < a.r, false) AS downgraded FROM (SELECT DISTINCT user_id FROM b) LEFT JOIN ({_NAMED.format(AS_OF)}) a USING (user_id) LEFT JOIN ({_NAMED.format(LATER)}) z USING (user_id)""", "b")),
+    "churn_plan_ranks": (lambda spark, sf: plan_names(spark, sf).select("subscription_id", op.plan_rank(F.col("plan"), op.CHURN_RANKS).alias("churn_rank"), op.plan_rank(F.col("plan"), op.SEGMENT_RANKS).alias("segment_rank")), sql("SELECT subscription_id, CASE plan WHEN 2 THEN 2 WHEN 3 THEN 0 WHEN 4 THEN 3 WHEN 5 THEN 4 ELSE 0 END AS churn_rank, CASE plan WHEN 2 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 4 ELSE 0 END AS segment_rank FROM b", "b")),
+    "churn_importance": (lambda spark, sf: op.score_importance(features(spark, sf).join(scored(spark, sf).select("user_id", "score"), "user_id"), ["n_events", "active_days", "longest_gap"]), _over(" UNION ALL ".join(f"SELECT '{c}' AS feature, round_even(corr({c}, score), 6) AS correlation, abs(round_even(corr({c}, score), 6)) AS importance FROM f JOIN sc USING (user_id)" for c in ("n_events", "active_days", "longest_gap")))),
 }

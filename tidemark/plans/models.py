@@ -23,5 +23,7 @@ QUERIES = {
     "model_churn_logistic": (_model("logistic"), None),
     "model_churn_forest": (_model("forest"), None),
     "model_user_clusters": (lambda spark, sf: op.clustered(churn.features(spark, sf).select("user_id", *NAMES), NAMES, 3), None),
+    "model_cluster_choice": (lambda spark, sf: op.cluster_candidates(churn.features(spark, sf).select("user_id", *NAMES), NAMES, [2, 3, 4], 5), None),
+    "model_churn_importance": (lambda spark, sf: op.importance(labelled(spark, sf), NAMES, "churned", "split"), None),
     "model_user_components": (lambda spark, sf: op.components(churn.features(spark, sf).select("user_id", *NAMES), NAMES), None),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as op
+from ..sources import ingestion
 from ..sources.contracts import Contract, Field, typed
 from . import inputs
 from .inputs import sql, table
@@ -90,6 +91,26 @@ def _dedup_sql(policy):
     return sql(f"SELECT event_id, CASE WHEN {rank} = 1 THEN 'accepted' ELSE 'discarded' END AS outcome FROM e", "e")
 
 
+LINES = Contract("lines", (Field("o_orderkey", "integer"), Field("o_totalprice", "integer")), ("o_orderkey",), "jsonl")
+
+
+def lines(spark, sf):
+    """Orders as JSON lines, some of them broken."""
+    n = F.col("o_orderkey")
+    good = F.concat(F.lit('{"o_orderkey":'), n, F.lit(',"o_totalprice":'), F.when(n % 109 == 0, F.lit('"x"')).otherwise((n * 2).cast("string")), F.lit("}"))
+    value = F.when(n % 101 == 0, " ").when(n % 103 == 0, "{bad").when(n % 107 == 0, "[1]").otherwise(good)
+    return table(spark, sf, "orders").select(F.lit("orders").alias("file"), n.alias("line"), value.alias("value"))
+
+
+def cross_rules(spark, sf):
+    """Orders that break rules across tables: the first one moves a record, all are counted."""
+    orders = table(spark, sf, "orders")
+    records = orders.withColumn("rules", F.when(F.col("o_orderkey") % 13 == 0, F.array(F.lit("RECORD_RULE"))).otherwise(F.array().cast("array<string>")))
+    price = orders.where("o_totalprice > 400000").select("o_orderkey", F.lit("PRICE_ABOVE").alias("rule"), F.lit(1).alias("number"))
+    orphans = dq_fk_anti(spark, sf).select("o_orderkey", F.lit("FK_USER_ID").alias("rule"), F.lit(0).alias("number"))
+    return ingestion.moved(records, orphans.unionByName(price), ["o_orderkey"]).select("o_orderkey", F.coalesce(F.get("rules", F.lit(0)), F.lit("")).alias("rule"), "cross_failures")
+
+
 _ARRAY = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in RULES.items()) + "], lambda x: x IS NOT NULL)"
 _R = f"SELECT *, {_ARRAY} AS rules FROM e"
 QUERIES = {
@@ -113,4 +134,7 @@ QUERIES = {
         count(*) FILTER (list_contains(rules, '{CRITICAL[0]}')) AS critical FROM r)""", "e", r=_R)),
     "sessionize": (inputs.sessions, sql("SELECT * FROM s", "s")),
     "feature_usage_rollup": (inputs.usage, sql("SELECT * FROM g", "g")),
+    "ingest_lines": (lambda spark, sf: ingestion.of_lines(lines(spark, sf), LINES).select("line", F.array_join("rules", ",").alias("rules"), "o_totalprice"), """SELECT o_orderkey AS line, CASE WHEN o_orderkey % 101 = 0 THEN 'JSONL_BLANK_LINE' WHEN o_orderkey % 103 = 0 THEN 'JSONL_MALFORMED' WHEN o_orderkey % 107 = 0 THEN 'JSONL_NON_OBJECT' WHEN o_orderkey % 109 = 0 THEN 'FIELD_TYPE_INVALID:o_totalprice' ELSE '' END AS rules,
+        CASE WHEN o_orderkey % 101 = 0 OR o_orderkey % 103 = 0 OR o_orderkey % 107 = 0 OR o_orderkey % 109 = 0 THEN NULL ELSE o_orderkey * 2 END AS o_totalprice FROM orders"""),
+    "ingest_cross_rules": (cross_rules, sql("""SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'RECORD_RULE' WHEN o_custkey NOT IN (SELECT user_id FROM u) THEN 'FK_USER_ID' WHEN o_totalprice > 400000 THEN 'PRICE_ABOVE' ELSE '' END AS rule, (o_custkey NOT IN (SELECT user_id FROM u))::INT + (o_totalprice > 400000)::INT AS cross_failures FROM orders""", "u")),
 }

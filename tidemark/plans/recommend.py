@@ -15,6 +15,7 @@ RULES = {
     "at_risk": "days_since_activity >= 2 AND n_events >= 8", "troubled": "failure_share >= 0.3", "buyer": "n_purchase >= 5 AND value >= 800", "explorer": "n_features >= 14",
     "returning": "resurrections >= 2", "power": "n_events >= 18", "browser": "n_view > n_click",
 }
+NAMING = {"buyers": "g_n_purchase > p_n_purchase", "high_friction_users": "g_failure_share > p_failure_share", "high_engagement_power_users": "g_n_events > p_n_events", "inactive_or_declining_users": "g_days_since_activity > p_days_since_activity"}
 METRICS = ["n_events", "active_days", "n_purchase", "failure_share", "value", "days_since_activity"]
 
 
@@ -222,4 +223,13 @@ QUERIES = {
         "SELECT model, ndcg, row_number() OVER (ORDER BY (coverage >= 0.5)::INT DESC, ndcg DESC, recall DESC, CASE model WHEN 'global_popularity' THEN 4 WHEN 'recent_popularity' THEN 3 WHEN 'segment_popularity' THEN 2 ELSE 1 END DESC) = 1 AS selected FROM cm")),
     "recommendation_invariants": (lambda spark, sf: op.broken_recommendations(by_segment(spark, sf), items(spark, sf), K - 1).groupBy("rule").agg(F.count("*").alias("users")), _items("SELECT 'LIST_TOO_LONG' AS rule, count(*) AS users FROM (SELECT user_id FROM sl GROUP BY user_id HAVING count(*) > 4)", "li", "it", "po", "ca", "us", "sp", "sl")),
     "recommendation_catalogue_checks": (lambda spark, sf: op.broken_catalogue(catalogue(spark, sf).withColumn("incompatible", F.when(F.col("item") == "Brand#13", F.col("required")).otherwise(F.col("incompatible")))), "SELECT DISTINCT p_brand AS item, 'REQUIRED_AND_EXCLUDED' AS rule FROM part WHERE p_brand = 'Brand#13'"),
+    "segment_centroids": (lambda spark, sf: seg.centroids(assigned(spark, sf).where("segment IS NOT NULL"), "segment", METRICS), _users(" UNION ALL ".join(f"SELECT segment, '{m}' AS feature, round_even(avg({m}::DOUBLE), 6) AS centroid FROM sg WHERE segment IS NOT NULL GROUP BY ALL" for m in METRICS))),
+    "segment_varying_features": (lambda spark, sf: seg.varying(assigned(spark, sf), [*METRICS, "resurrections"]), _users("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS feature, round_even(stddev_pop({m}::DOUBLE), 6) AS deviation FROM sg" for m in [*METRICS, "resurrections"]) + ") WHERE deviation > 0")),
+    "segment_names": (lambda spark, sf: seg.named(assigned(spark, sf).where("segment IS NOT NULL").select("segment", *METRICS), "segment", NAMING, "new_or_exploratory_users"), _users(
+        "SELECT segment, CASE WHEN g_n_purchase > p_n_purchase THEN 'buyers' WHEN g_failure_share > p_failure_share THEN 'high_friction_users' WHEN g_n_events > p_n_events THEN 'high_engagement_power_users' WHEN g_days_since_activity > p_days_since_activity THEN 'inactive_or_declining_users' ELSE 'new_or_exploratory_users' END AS name FROM (SELECT segment, "
+        + ", ".join(f"round_even(avg({m}::DOUBLE), 6) AS g_{m}" for m in METRICS) + " FROM sg WHERE segment IS NOT NULL GROUP BY ALL), (SELECT " + ", ".join(f"round_even(avg({m}::DOUBLE), 6) AS p_{m}" for m in METRICS) + " FROM sg WHERE segment IS NOT NULL)")),
+    "segment_confidence": (lambda spark, sf: seg.confidence(assigned(spark, sf).where("segment IS NOT NULL"), "segment", METRICS), _users("SELECT user_id, segment, round_even(d, 6) AS distance, round_even(1 / (1 + d), 6) AS confidence FROM (SELECT user_id, segment, sqrt(" + " + ".join(f"coalesce(pow(({m} - c_{m}) / nullif(s_{m}, 0), 2), 0)" for m in METRICS) + ") AS d FROM (SELECT * FROM sg WHERE segment IS NOT NULL) JOIN (SELECT segment, "
+        + ", ".join(f"avg({m}::DOUBLE) AS c_{m}" for m in METRICS) + " FROM sg WHERE segment IS NOT NULL GROUP BY ALL) USING (segment), (SELECT " + ", ".join(f"stddev_pop({m}::DOUBLE) AS s_{m}" for m in METRICS) + " FROM sg WHERE segment IS NOT NULL))")),
+    "segment_adjusted_rand": (lambda spark, sf: seg.adjusted_rand(assigned(spark, sf).where("segment IS NOT NULL"), "segment", "persona"), _users("""SELECT round_even(coalesce((b - l * r / nullif(t, 0)) / nullif((l + r) / 2 - l * r / nullif(t, 0), 0), 1), 6) AS adjusted_rand FROM (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM sg WHERE segment IS NOT NULL GROUP BY segment, persona)) AS b,
+        (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM sg WHERE segment IS NOT NULL GROUP BY segment)) AS l, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM sg WHERE segment IS NOT NULL GROUP BY persona)) AS r, (SELECT count(*) * (count(*) - 1) / 2 FROM sg WHERE segment IS NOT NULL) AS t)""")),
 }
