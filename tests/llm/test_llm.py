@@ -441,3 +441,102 @@ def test_empty_tables(spark, docs):
     benchmark = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     for found in (near_duplicates.grouped(none), substrings.deduplicated(none), fuzzy_lines.counted(none), fuzzy_lines.deduplicated(none), quality.judged(none), mixing.mixed(none), secrets.scanned(none), decontamination.scanned(none, benchmark), token_counts.curve(token_counts.histogram(token_counts.lengths(none)))):
         assert found.count() == 0
+
+
+def test_quality_distances_against_brute_force(spark):
+    """Both distances by hand, and a text without common words goes."""
+    import math
+
+    r = random.Random(6)
+    common = quality.COMMON["en"]
+    lexicon = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 9))) for _ in range(600)]
+    texts = [" ".join(r.choice(common) if r.random() < 0.25 else r.choice(lexicon) for _ in range(r.randint(60, 300))) + ". Éa 12 #" for _ in range(30)]
+    texts += [" ".join(r.choice(lexicon) for _ in range(120)), " ".join(x + "###" for x in r.sample(lexicon, 90)), "short text of the language"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id int, text string, lang string")
+    got = {x.doc_id: x for x in quality.judged(docs).collect()}
+
+    def bins(t):
+        kinds = [r"[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()-]", r"[\x00-\x08\x0E-\x1F#*$%&|<>+/=@\[\]\\^_`{}~\x7F]"]
+        chars = [len(re.findall(k, t)) for k in kinds]
+        words = [w.lower() for w in t.split()]
+        own = [words.count(w) for w in common]
+        return chars + [len(t) - sum(chars)], own + [len(words) - sum(own)]
+
+    made = {i: bins(t) for i, t in enumerate(texts)}
+    profile = [[sum(x) for x in zip(*(made[i][side] for i in made if not got[i].base_failed))] for side in (0, 1)]
+
+    def js(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        return math.sqrt(sum((x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q)) / 2)
+
+    for i in made:
+        c, w = js(made[i][0], profile[0]), js(made[i][1], profile[1])
+        assert abs(got[i].char_distance - c) < 1e-9 and abs(got[i].word_distance - w) < 1e-9
+        assert got[i].kept == (not got[i].base_failed and not (c > quality.MAX_CHAR_DISTANCE or w > quality.MAX_WORD_DISTANCE))
+    assert [got[i].kept for i in (30, 31, 32)] == [False, False, False] and all(got[i].kept for i in range(30))
+    clash = docs.withColumns({"row": docs.doc_id, "kept": docs.lang, "n_words": docs.lang})
+    assert quality.passing(clash).columns == clash.columns and quality.passing(clash).count() == 30
+
+
+def test_long_texts_take_time_that_follows_their_length(spark):
+    """Megabytes of one thing, in seconds each; most of these took minutes or failed when time grew with the square."""
+    import time
+
+    encoding = token_counts.encoder(token_counts.VOCABULARY)
+    assert token_counts.n_tokens("a" + " " * 3_000_000 + "b", encoding) == 3_000_001 and token_counts.n_tokens(" " * 1_000_000, encoding) == 1_000_000
+    for text in ("a \n\n b", " x" * 999 + " " * 1500 + "y", "\n" * 1200 + " z", "　" * 1100 + "q"):
+        assert token_counts.n_tokens(text, encoding) == len(encoding.encode_ordinary(text))
+    began = time.time()
+    many = ("password=" + "a1" * 10 + " ") * 20_000
+    base = secrets.base_spans(many)
+    assert len(base) == 40_000
+    assert secrets.candidates(many, base) == [] and len(secrets.around("x" * 1_000_000, 0, 1_000_000)) == 20_833
+    for page in ('<a title="x ' * 50_000, "<a " * 300_000, "<div>" * 100_000, "<table><tr><td>" + "w" * 50_000 + "<td>z" + "<tr><td>a<td>b" * 20_000, "<table><tr>" + "<td rowspan=0>c" * 500 + "<tr><td>e" * 3000, "<" * 500_000):
+        assert len(html_text.rendered(page)) <= 8 * len(page) + 100_000
+    assert time.time() - began < 60
+    line = "the same line of some words " * 40_000
+    docs = spark.createDataFrame([(1, line + "\nx y z 12 of it"), (2, line[:-3] + "\nmore here to read")], "doc_id int, text string")
+    assert {x.doc_id: x.n_dropped for x in fuzzy_lines.counted(docs).collect()} == {1: 0, 2: 1}
+    assert {x.doc_id: x.component_id for x in near_duplicates.grouped(docs).collect()} == {1: 1, 2: 2}  # six shingles in common of some twenty
+
+
+def test_quantiles_and_truncated_totals(spark):
+    r = random.Random(3)
+    lengths = [r.choice((0, 1, 5, r.randint(0, 3000))) for _ in range(400)]
+    found = token_counts.curve(token_counts.histogram(spark.createDataFrame([(x,) for x in lengths], "n_tokens long")), 64)
+    limits = [0, 1, 3, 700, 2999, 5000]
+    assert {x.context_limit: x.total for x in token_counts.truncated(found, limits).collect()} == {n: sum(min(x, n) for x in lengths) for n in limits}
+    ordered = sorted(lengths)
+    assert {x.level: x.n_tokens for x in token_counts.quantiles(found, [0.01, 0.5, 0.99, 1.0]).collect()} == {q: ordered[-(-int(q * 400 * 100) // 100) - 1] for q in (0.01, 0.5, 0.99, 1.0)}
+
+
+def test_html_row_spans_style_rules_and_details():
+    assert html_text.rendered("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>") == "A | b\n  | c\nd | e"
+    page = "<style>.h{display:none} @media print{.p{display:none}} #q,td.z{visibility:hidden}</style><p class='a h'>no<p class=p>yes<p id=q>no<p>end<details><summary>S</summary>hid<p>hid</details><details open><summary>T</summary>shown</details>"
+    assert html_text.rendered(page) == "yes\n\nend\n\nS\nT\nshown"
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Every stage on null, empty and repeated rows, ids shared by different texts, and columns with inner names; an empty table too."""
+    import corpus_pipeline
+
+    base = spark.createDataFrame([(i, t) for i, t in enumerate(made(3, 20))] + [(5, "another text of the same id " * 12), (None, "no id " * 60), (None, None)], "doc_id long, text string")
+    docs = base.selectExpr("doc_id", "text", "'en' AS lang", "'src1' AS source", "length(text) AS n_chars", "1 AS k1", "'x' AS dropped", "2 AS _dropped", "3 AS row")
+    spark.createDataFrame([("i", "never seen")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, docs.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns and out.count() <= now.count()
+                now = out
+            else:
+                assert out.count() <= now.count()
+    table = docs.where("doc_id = 5 OR doc_id IS NULL")
+    assert near_duplicates.deduplicated(table.union(table)).count() == table.distinct().count()
+
+
+def test_empty_tables_of_the_other_operators(spark):
+    assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert near_duplicates.deduplicated(spark.createDataFrame([], "doc_id string, text string")).count() == 0
