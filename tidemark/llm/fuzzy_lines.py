@@ -436,7 +436,7 @@ def deduplicated(documents: DataFrame, percent: int = PERCENT, min_bytes: int =
     """
     k1, k2, lost = fresh(documents.columns, "k1", "k2", "dropped")
     gone = repeated_lines(documents, percent, min_bytes).toDF(k1, k2, lost)
-    held = documents.withColumns(dict(zip((k1, k2), row_keys(), strict=True))).join(gone, [k1, k2], "left")
+    held = documents.withColumns(dict(zip((k1, k2), row_keys(documents), strict=True))).join(gone, [k1, k2], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), lost)
     left = F.transform(F.array(F.split("text", "\n")), lambda parts: F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))[0]
     stays = F.col(lost).isNull()

@@ -237,7 +237,7 @@ def _placed(documents: DataFrame, similar: int) -> tuple[DataFrame, list[DataFra
     first = written(first.distinct(), "pairs")
     asked = first.select(F.col("a").alias("node")).union(first.select("b")).union(large.select("node")).distinct()
     at = real.select(F.col("set_a").alias("node"), "k1", "k2").join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"))
-    k1, k2 = row_keys()
+    k1, k2 = row_keys(documents)
     texts = documents.select("text", k1.alias("k1"), k2.alias("k2")).join(at.select("node", "at.k1", "at.k2"), ["k1", "k2"]).select("node", "text")
     texts = written(texts.dropDuplicates(["node"]), "texts")
     twins = real.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_a").alias("a"), F.max("set_a").alias("z"), F.collect_set("set_a").alias("all")).where("a < z").select("a", F.explode("all").alias("b")).where("a < b")
@@ -275,5 +275,5 @@ def deduplicated(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     for x in scratch:
         dropped(x)
     k1, k2 = fresh(documents.columns, "k1", "k2")
-    named = documents.withColumns(dict(zip((k1, k2), row_keys(), strict=True))).join(kept.toDF(k1, k2), [k1, k2], "left_semi")
+    named = documents.withColumns(dict(zip((k1, k2), row_keys(documents), strict=True))).join(kept.toDF(k1, k2), [k1, k2], "left_semi")
     return named.dropDuplicates([k1, k2]).select(*documents.columns)
