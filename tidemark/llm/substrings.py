@@ -167,7 +167,7 @@ def repeated_suffixes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _listed(rows: DataFrame, *names: str) -> DataFrame:
-    return rows.groupBy("k1", "k2").agg(F.collect_list(F.struct(*names)).alias("marks"))
+    return rows.groupBy("k1", "k2").agg(F.collect_set(F.struct(*names)).alias("marks"))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
