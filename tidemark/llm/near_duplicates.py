@@ -277,3 +277,17 @@ def deduplicated(documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     k1, k2 = fresh(documents.columns, "k1", "k2")
     named = documents.withColumns(dict(zip((k1, k2), row_keys(documents), strict=True))).join(kept.toDF(k1, k2), [k1, k2], "left_semi")
     return named.dropDuplicates([k1, k2]).select(*documents.columns)
+
+
+#: The same by all shared shingles and transitive closure, for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+n AS (SELECT doc_id, len(g) AS size FROM s),
+x AS (SELECT doc_id, hash(h) AS h FROM (SELECT doc_id, unnest(g) AS h FROM s)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.size + nb.size - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a)
+SELECT n.doc_id, size AS n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, size
+"""

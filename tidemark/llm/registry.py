@@ -55,4 +55,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_chat_format, op2_quality_rules, op3_line_dedup, op4_near_duplicates, op5_mixing, op6_token_counts, op7_decontamination, op8_secret_scan, op9_repeated_substrings, op10_html_extraction)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.oracle(), "op5_mixing": mixing.oracle()}
+ORACLES = {"op1_chat_format": chat.ORACLE, "op4_near_duplicates": near_duplicates.ORACLE, "op2_quality_rules": quality.oracle(), "op5_mixing": mixing.oracle()}
