@@ -400,7 +400,9 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     dropped(sent)
     first = written(centred(met, NAMES, fits(percent)).distinct(), "pairs")
     texts = written(line_texts(rows, lines, met.select("node").distinct()), "texts")
-    groups = linked(first, met, NAMES, fits(percent), lambda pairs: confirmed(pairs, texts, percent), lambda some: across(some, texts, percent))
+    several = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 2").select("key")  # the one pair of others has met its centre
+    large = written(met.join(several, "key"), "large")
+    groups = linked(first, large, NAMES, fits(percent), lambda pairs: confirmed(pairs, texts, percent), lambda some: across(some, texts, percent))
     placed = lines
     if groups is not None:
         placed = placed.join(groups, "node", "left")
@@ -411,7 +413,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     first_of = placed.groupBy("group", "n").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").select("group", "n", "first")
     gone = placed.join(first_of, ["group", "n"]).where("at <> first").groupBy("at.k1", "at.k2").agg(F.sort_array(F.collect_set("at.line")).alias("dropped"))
     gone = written(gone, "gone")
-    for x in (lines, met, first, texts, *([groups] if groups is not None else [])):
+    for x in (lines, met, large, first, texts, *([groups] if groups is not None else [])):
         dropped(x)
     return gone
 
