@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fuzzy_lines, html_text, mixing, near_duplicates, quality, secrets, substrings, token_counts
+from . import byte_bpe, chat, decontamination, fuzzy_lines, html_text, mixing, near_duplicates, quality, secrets, spelling, substrings, token_alignment, token_counts
+
+#: The driver alone reads it.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
-_ALL = (op1_chat_format, op2_quality_rules, op3_line_dedup, op4_near_duplicates, op5_mixing, op6_token_counts, op7_decontamination, op8_secret_scan, op9_repeated_substrings, op10_html_extraction)
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.scored(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_chat_format, op2_quality_rules, op3_line_dedup, op4_near_duplicates, op5_mixing, op6_token_counts, op7_decontamination, op8_secret_scan, op9_repeated_substrings, op10_html_extraction, op11_token_alignment, op12_byte_bpe, op13_spelling_variants)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op1_chat_format": chat.ORACLE, "op4_near_duplicates": near_duplicates.ORACLE, "op2_quality_rules": quality.oracle(), "op5_mixing": mixing.oracle()}
+ORACLES = {"op1_chat_format": chat.ORACLE, "op4_near_duplicates": near_duplicates.ORACLE, "op2_quality_rules": quality.oracle(), "op5_mixing": mixing.oracle(), "op13_spelling_variants": spelling.ORACLE}
