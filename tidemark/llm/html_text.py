@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 #: Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe noembed noframes audio video canvas datalist param source track area base annotation annotation-xml".split())
+HIDDEN = frozenset("head rp script style template noscript title meta link iframe noembed noframes audio video canvas datalist param source track area base annotation annotation-xml".split())
 #: Parts of a drawing that describe or define and aren't drawn themselves.
 UNDRAWN = frozenset("desc defs metadata symbol".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset menu hr".split())
@@ -31,8 +31,10 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "body": ({"head"}, set()),
+    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
+#: Start tags that may stand in a head; any other, and text that isn't blank, ends an open one.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 SCOPE = frozenset("table td th caption button object template html".split())
 
 #: One pass from left to right: a quote that nothing closes runs to the end, and a tag that nothing closes shows nothing.
@@ -113,9 +115,14 @@ def events(html: str):
         m = TOKEN.match(html, at)
         at = m.end()
         if m[5] is not None:
-            yield "text", unescape(m[5]), None
+            words = unescape(m[5])
+            if stack.names and stack.names[-1] == "head" and words.strip(" \t\n\r\f"):
+                yield from close_to(len(stack.names) - 1)
+            yield "text", words, None
         elif m[2] and m[4]:
             tag = m[2].lower()
+            if stack.names and stack.names[-1] == "head" and (tag == "br" if m[1] else tag not in IN_HEAD):
+                yield from close_to(len(stack.names) - 1)
             if m[1]:
                 if stack.at[tag]:
                     i = stack.last(tag) if tag in SCOPE else stack.in_scope(tag)
@@ -134,6 +141,8 @@ def events(html: str):
                 yield "close", tag, None
                 continue
             stack.push(tag)
+            if tag in ("pre", "listing"):  # a line break right after the tag is not part of the text
+                at += 2 * html.startswith("\r\n", at) or html.startswith("\n", at)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                 words = html[at : end.start() if end else len(html)]
