@@ -113,3 +113,31 @@ def test_components_and_validity_against_numpy(spark):
     assert abs(found.calinski_harabasz - (sizes * (means**2).sum(1)).sum() / 2 / (inner / 57)) < 1e-5 and abs(found.davies_bouldin - np.mean(worst)) < 1e-5
     one = models.validity(rows.withColumn("g", rows.g * 0), ["a", "b"], "g").first()
     assert one.calinski_harabasz is None and one.davies_bouldin is None
+
+
+def test_candidates_measure_the_best_of_many_starts(spark):
+    rows = table(spark, 40)
+    got = {r.k: r for r in models.cluster_candidates(rows, ["a", "b"], [2, 3, 50], 2, seeds=2, starts=4).collect()}
+    assert got[50].status == "rejected" and got[50].davies_bouldin is None and got[50].smallest == 0
+    assert got[2].calinski_harabasz > 0 and got[3].davies_bouldin > 0 and sum(r.status == "selected" for r in got.values()) == 1
+
+
+def test_lines_are_numbered_in_folders_of_files(spark, tmp_path):
+    from tidemark.sources.ingestion import numbered
+
+    for name, n in (("a", 3000), ("b", 4000), ("c", 1)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i:05d}\n" for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = numbered(spark.read.text(str(tmp_path))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 7001 and all(int(r.value[1:]) == r.line and r.file.endswith(f"{r.value[0]}.txt") for r in got)
+
+
+def test_diversity_of_a_large_catalogue(spark):
+    from tidemark.operators import recommend
+
+    items = spark.range(12000).selectExpr("cast(id AS int) AS item", "cast(id AS string) AS category")
+    ranked = spark.range(12000).selectExpr("cast(id DIV 4 AS int) AS user_id", "cast(id AS int) AS item", "cast(id % 4 + 1 AS int) AS rank")
+    assert recommend.diversity(ranked, items, 4).first().diversity == 1.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -81,10 +81,11 @@ def clustered(rows: DataFrame, names: list[str], k: int, tries: int = 5) -> Data
     return out.select(*rows.columns, names_[F.col("_c")].alias("cluster"))
 
 
-def cluster_candidates(rows: DataFrame, names: list[str], ks: list[int], least_size: int, seeds: int = 3) -> DataFrame:
-    """(k, silhouette, stability, smallest, status) of each number of clusters; more than there are different rows is rejected at once.
+def cluster_candidates(rows: DataFrame, names: list[str], ks: list[int], least_size: int, seeds: int = 3, starts: int = 20) -> DataFrame:
+    """(k, silhouette, stability, davies_bouldin, calinski_harabasz, smallest, status) of each number of clusters.
 
-    Stability is the mean adjusted Rand index between the fit and those of other seeds.
+    The measures are those of the fit of least cost over ``starts`` seeds; more clusters than there are different rows
+    are rejected at once. Stability is the mean adjusted Rand index between that fit and those of further seeds.
     """
     from .segmentation import adjusted_rand, chosen_clusters
 
@@ -94,18 +95,23 @@ def cluster_candidates(rows: DataFrame, names: list[str], ks: list[int], least_s
         different, found = made.select(*names).distinct().count(), []
         for k in ks:
             if k > different:
-                found.append((k, None, None, 0))
+                found.append((k, None, None, None, None, 0))
                 continue
-            fits = [KMeans(k=k, seed=SEED + i, featuresCol="_x", predictionCol=f"_c{i}").fit(made) for i in range(seeds)]
-            labelled = made
-            for f in fits:
-                labelled = f.transform(labelled)
+
+            def fit(seed: int, column: str, k: int = k) -> KMeansModel:
+                return KMeans(k=k, seed=SEED + seed, featuresCol="_x", predictionCol=column).fit(made)
+
+            best = min((fit(i, "_c0") for i in range(starts)), key=lambda m: m.summary.trainingCost)
+            labelled = best.transform(made)
+            for i in range(1, seeds):
+                labelled = fit(starts + i, f"_c{i}").transform(labelled)
             score = ClusteringEvaluator(featuresCol="_x", predictionCol="_c0").evaluate(labelled)
             alike = [adjusted_rand(labelled, "_c0", f"_c{i}").first()[0] for i in range(1, seeds)]
-            found.append((k, round(score, 6), round(sum(alike) / len(alike), 6) if alike else 1.0, min(fits[0].summary.clusterSizes)))
+            shape = validity(labelled, names, "_c0").first()
+            found.append((k, round(score, 6), round(sum(alike) / len(alike), 6) if alike else 1.0, shape["davies_bouldin"], shape["calinski_harabasz"], min(best.summary.clusterSizes)))
     finally:
         made.unpersist()
-    return chosen_clusters(spark.createDataFrame(found, "k int, silhouette double, stability double, smallest long"), least_size)
+    return chosen_clusters(spark.createDataFrame(found, "k int, silhouette double, stability double, davies_bouldin double, calinski_harabasz double, smallest long"), least_size)
 
 
 def importance(rows: DataFrame, names: list[str], label: str, split: str, kind: str = "logistic", categories: list[str] | None = None) -> DataFrame:

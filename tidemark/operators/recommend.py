@@ -214,7 +214,7 @@ def all_users(found: DataFrame, held_out: DataFrame) -> DataFrame:
 
 def diversity(ranked: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
     """Mean share of different categories in a list."""
-    rows = ranked.where(F.col("rank") <= k).join(F.broadcast(catalogue.select("item", "category").limit(MAX_CATALOGUE + 1)), "item", "left")
+    rows = ranked.where(F.col("rank") <= k).join(catalogue.select("item", "category"), "item", "left")
     lists = rows.groupBy("user_id").agg(rate(F.countDistinct("category"), F.count("*")).alias("d"))
     return lists.agg(F.bround(F.avg("d"), 6).alias("diversity"))
 

@@ -18,15 +18,16 @@ POLICIES = {"reject": "reject", "keep-first": "keep_first", "keep-last": "keep_l
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """file, line (from 1 within the file) and value of text files, without ordering rows: parts are counted, then offset."""
+    """file, line (from 1 within the file) and value of text files, without ordering rows: lines of each block of a file are counted, then offset.
+
+    A task may read blocks of several files in any order, but each block whole and from its start.
+    """
     place = F.monotonically_increasing_id()
-    rows = lines.select(F.input_file_name().alias("file"), F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"), "value")
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per input split
-    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = rows.join(sizes, "_part").withColumn("_i", F.col("_before") + F.col("_at"))
-    first = rows.groupBy("file").agg(F.min("_i").alias("_first"))
-    return rows.join(first, "file").select("file", (F.col("_i") - F.col("_first") + 1).alias("line"), "value")
+    rows = lines.select(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("_block"), place.alias("_at"), "value")
+    sizes = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    sizes = sizes.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(sizes, ["file", "_block"]).select("file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"), "value")
 
 
 @dataclass(frozen=True)
