@@ -15,6 +15,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ from .token_counts import LONG_RUN, encoder
 RANKS_A, FILE_A, FILE_B = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 HOT = 1 << 16
 SHIFT = 32
+#: Ids of either side have fewer bits than this; the rest of 63 numbers the texts of a slice.
+ID_BITS = 20
 #: Bytes of text that are tokenized and aligned at once; one long text stands alone.
 SLICE = 1 << 20
 
@@ -81,13 +84,15 @@ def overlaps(a_start: np.ndarray, a_row: np.ndarray, b_start: np.ndarray, b_row:
     """All pairs (a, b) of tokens whose bytes overlap, once each, in order."""
     from_a, from_b = covering(a_start, a_row, b_start, b_row), covering(b_start, b_row, a_start, a_row)
     width = max(len(b_start), 1)
-    pairs = np.unique(np.concatenate([np.arange(len(a_start)) * width + from_a, from_b * width + np.arange(len(b_start))]))
+    more = np.flatnonzero(a_start[from_b] != b_start)  # where both start together, A's pair is the same
+    pairs, further = np.arange(len(a_start)) * width + from_a, from_b[more] * width + more
+    pairs = np.insert(pairs, np.searchsorted(pairs, further), further)  # both are in order
     return pairs // width, pairs % width
 
 
 def _written_out(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Decimal ids, each followed by its separator's byte, as one byte array; and where each ends in it."""
-    digits = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 10))
+    digits = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 7))
     ends = np.cumsum(digits + 1)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
     out[ends - 1] = after
@@ -114,7 +119,7 @@ def aligned(texts: list[str | None], ranks: str = RANKS_A, path_a: str = FILE_A,
 
     def laid(all_ids: list[list[int]], pieces: list[bytes]) -> tuple[np.ndarray, ...]:
         counts = np.fromiter(map(len, all_ids), np.int64, len(all_ids))
-        ids = np.fromiter((i for x in all_ids for i in x), np.int64, int(counts.sum()))
+        ids = np.fromiter(chain.from_iterable(all_ids), np.int64, int(counts.sum()))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))[ids]
         ends = np.cumsum(sizes)
         return ids, counts, ends - sizes, ends, np.repeat(np.arange(len(counts)), counts)
@@ -126,16 +131,19 @@ def aligned(texts: list[str | None], ranks: str = RANKS_A, path_a: str = FILE_A,
     link_a, link_b = over_a[together], over_b[together]
     n_docs, link_row = len(texts), a_row[link_a]
     links = np.bincount(link_row, minlength=n_docs)
-    cuts = np.unique(a_end[link_a])  # where groups end
+    cuts = a_end[link_a]  # where groups end, in order
     # tokens of both sides in the order of the groups' text: a group's A tokens, then its B tokens
-    group = np.concatenate([np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)])
-    ids, rows, end = np.concatenate([a_id, b_id]), np.concatenate([a_row, b_row]), np.concatenate([a_end, b_end])
-    order = np.argsort(group * 2 + (np.arange(len(ids)) >= len(a_id)), kind="stable")
-    side_b = (np.arange(len(ids)) >= len(a_id))[order]
-    last = np.isin(end, cuts)[order]
-    data, ends = _written_out(ids[order], np.where(last, np.where(side_b, ord(";"), ord("|")), ord(",")).astype(np.uint8))
-    doc_end = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n_docs))])]
-    code, times = np.unique(np.stack([link_row, (a_id[link_a] << SHIFT) | b_id[link_b]]), axis=1, return_counts=True) if len(link_a) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+    group_a, group_b = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
+    at_a, at_b = np.arange(len(a_id)) + np.searchsorted(group_b, group_a), np.arange(len(b_id)) + np.searchsorted(group_a, group_b, side="right")
+    ids, after = np.empty(len(a_id) + len(b_id), np.int64), np.full(len(a_id) + len(b_id), ord(","), np.uint8)
+    ids[at_a], ids[at_b] = a_id, b_id
+    after[at_a[link_a]], after[at_b[link_b]] = ord("|"), ord(";")
+    data, ends = _written_out(ids, after)
+    doc_end = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_a + n_b)])]
+    linked = np.sort(link_row << 2 * ID_BITS | a_id[link_a] << ID_BITS | b_id[link_b])
+    firsts = np.flatnonzero(np.concatenate([[True], linked[1:] != linked[:-1]])) if len(linked) else np.zeros(0, np.int64)
+    times, code = np.diff(np.concatenate([firsts, [len(linked)]])), linked[firsts]
+    code = np.stack([code >> 2 * ID_BITS, (code >> ID_BITS & (1 << ID_BITS) - 1) << SHIFT | code & (1 << ID_BITS) - 1])
     edges = np.searchsorted(code[0], np.arange(n_docs + 1))
     return {
         "n_a": n_a.tolist(), "n_b": n_b.tolist(), "n_groups": links.tolist(), "n_links": links.tolist(),
