@@ -156,8 +156,8 @@ def test_line_dedup(spark):
     long = "this line of many words about the sea and the shore stands in several documents of the corpus with a number in it here and there too"
     rows = [(1, f"{long} 17\nshort\nonly once in the first text", "x"), (2, f"short\n{long.upper()} 94!\nshort", "y"), (3, f"{long} 11", "z"), (4, None, "n"), (5, "", "e"), (6, "short\nshort", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
-    assert {r.doc_id: list(r.dropped) for r in fuzzy_lines.counted(docs).collect()} == {1: [], 2: [1], 3: [0], 4: [], 5: [], 6: []}
-    kept = {r.doc_id: r.text for r in fuzzy_lines.deduplicated(docs).collect()}
+    assert {r.doc_id: list(r.dropped) for r in fuzzy_lines.counted(docs, min_bytes=6).collect()} == {1: [], 2: [1], 3: [0], 4: [], 5: [], 6: []}
+    kept = {r.doc_id: r.text for r in fuzzy_lines.deduplicated(docs, min_bytes=6).collect()}
     assert kept == {1: rows[0][1], 2: "short\nshort", 4: None, 5: "", 6: "short\nshort"}
 
 
@@ -186,7 +186,15 @@ def test_line_dedup_without_spaces_and_with_one_word_changed(spark):
     text = "the old harbour town had a market where people from many villages sold their bread"
     rows = [(1, "今日は天気がいいですね\nhttps://example.org/a/very/long/path\n" + text), (2, "今日は天気がいいですね\nhttps://example.org/a/very/long/path\n" + text.replace("bread", "wool")), (3, "new entry page\nno"), (4, "new entry pages\nno")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: list(r.dropped) for r in fuzzy_lines.counted(docs).collect()} == {1: [], 2: [0, 1, 2], 3: [], 4: [0]}
+    assert {r.doc_id: list(r.dropped) for r in fuzzy_lines.counted(docs, min_bytes=6).collect()} == {1: [], 2: [0, 1, 2], 3: [], 4: [0]}
+
+
+def test_lines_of_other_numbers_and_signs_stay(spark):
+    rule = "-" * 90
+    lines = ["Invoice 1042 due on 2023-01-05: 311.20", "Invoice 9999 due on 1999-12-31: 000.01", "a[0] = x + 1;", "a(5) = x * 7", "12.50 | 13.75 | 8.00", "99.95 | 10.20 | 7.45", "x", "", "}", "今", rule + " a word", "10.0.0.1 GET /index 200 17ms", "10.0.9.8 PUT /users 404 92ms"]
+    again = ["INVOICE 1042  due on\t2023-01-05: 311.20", "}", "X", "今", "", rule + " a ward", "{"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(again))], "doc_id long, text string")
+    assert {r.doc_id: list(r.dropped) for r in fuzzy_lines.counted(docs).collect()} == {1: [], 2: [0, 1, 2, 3, 5]}
 
 
 def test_lines_that_differ_in_fewer_features_than_classes_share_a_block():

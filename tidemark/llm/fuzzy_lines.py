@@ -1,11 +1,12 @@
 """Line dedup: keep one occurrence of every group of nearly equal lines.
 
-Lines are normalised, and equal ones become one node before anything is compared. A line's SimHash comes in
-blocks: its features, which are its words, are dealt to classes by hash, and each class is one block. An edit
-touches the classes of the few features that it takes or brings, so two lines that differ in fewer features than
-they have classes agree in a block for certain (pigeonhole); several dealings make that likely for more. Lines
-that share a block are candidates, the distance of whole SimHashes thins them out, and the edit similarity of
-their texts decides. Short lines have too few words: those up to SHORT characters meet by sketches of their runs
+Lines are normalised, which changes case and white space alone, and equal ones become one node before anything is
+compared; digits and signs count as other characters do, so rows of a table or a log link only where nine tenths of
+their characters agree. A line's SimHash comes in blocks: its features, which are its words, are dealt to classes by
+hash, and each class is one block. An edit touches the classes of the few features that it takes or brings, so two
+lines that differ in fewer features than they have classes agree in a block for certain (pigeonhole); several
+dealings make that likely for more. Lines that share a block are candidates, the distance of whole SimHashes thins
+them out, and the edit similarity of their texts decides. Short lines have too few words: those up to SHORT characters meet by sketches of their runs
 of four bytes, those up to TINY when they share a key among the line and the line less one character.
 
 Block keys travel as packed bytes, a part for each range of keys. Keys that are frequent within a task are
@@ -31,8 +32,8 @@ from .rows import fresh, keyed, row_keys
 from .scratch import dropped, written
 from .substrings import _flat
 
-#: Lines of fewer bytes are layout (brackets, dashes, "no"): their repeats say nothing, so they never go.
-PERCENT, MIN_BYTES = 90, 6
+#: Lines with fewer bytes than the last never go. One edit of nine characters is more than a tenth: such lines link when equal.
+PERCENT, MIN_BYTES = 90, 1
 #: Lengths in characters: up to TINY deletions are keys, below SHORT sketches, from LONG on blocks.
 TINY, SHORT, LONG, COORDINATES, MAX_BITS = 19, 96, 86, 128, 24
 #: (shortest line, classes, dealings); a line belongs to every tier that lines of nine tenths to all of its length reach.
@@ -41,20 +42,22 @@ FEW = 6
 #: A block speaks for a line if its features have so many bytes beyond two each.
 LEAST = 9
 STEP = U(0x9E3779B97F4A7C15)
-FOLD = np.full(256, 32, np.uint8)  # what is no letter, digit or line end becomes a space, a digit 0
-FOLD[[10, *range(97, 123), *range(128, 256)]] = [10, *range(97, 123), *range(128, 256)]
-FOLD[65:91], FOLD[48:58] = np.arange(97, 123), 48
+FOLD = np.arange(256, dtype=np.uint8)  # white space but line ends becomes a space, A-Z lower case
+FOLD[[*range(10), *range(11, 32), 127]] = 32
+FOLD[65:91] += 32
+#: Bytes between words: spaces, line ends and ASCII punctuation, which stays in the text that is compared.
+BETWEEN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 PACK = np.array([sum((v >> j & 1) << (10 * j) for j in range(5)) for v in range(32)], np.float64)
 
 
 def folded(data: np.ndarray) -> np.ndarray:
-    """Lower-case bytes with spaces for punctuation, that of other scripts included."""
+    """Lower-case bytes with spaces for white space, no-break and ideographic spaces included; digits and signs stay."""
     out = FOLD[data]
     near = np.r_[data[1:], np.zeros(2, np.uint8)]
-    wide = np.flatnonzero((data == 0xE2) & ((near[: len(data)] | 1) == 0x81) | (data == 0xE3) & (near[: len(data)] == 0x80) | (data == 0xEF) & (near[: len(data)] == 0xBC) & (near[1:] < 0x90))
+    wide = np.flatnonzero((data == 0xE3) & (near[:-1] == 0x80) & (near[1:] == 0x80))
     for k in range(3):
         out[wide + k] = 32
-    latin = np.flatnonzero((data == 0xC2) & (near[: len(data)] >= 0xA0) & ~np.isin(near[: len(data)], (0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA)))
+    latin = np.flatnonzero((data == 0xC2) & (near[:-1] == 0xA0))
     out[latin] = out[latin + 1] = 32
     return out
 
@@ -85,7 +88,7 @@ def characters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Line, hash and bytes of each feature: words, which also end where four bytes hash low, one place in sixteen."""
     n = len(data)
-    inside = (data != 32) & (data != 10)
+    inside = ~BETWEEN[data]
     x = data.astype(np.uint32)
     four = x.copy()
     for k in range(1, 4):
@@ -171,7 +174,9 @@ def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
         rows.append(np.full(len(less), i))
         keys.append(mixed(spans(prefix(np.frombuffer(b"".join(less), np.uint8)), ends[:-1], ends[1:]) + U(TINY)))
     none = np.zeros(0, np.int64)
-    return np.concatenate([*rows, none]), np.concatenate([*keys, none.view(U)]), simhash(line, found, bytes_, len(start)), size
+    bits = simhash(line, found, bytes_, len(start))
+    bits[2 * np.bincount(line[bytes_ >= 4], bytes_[bytes_ >= 4], len(start)) < end - start] = 0  # mostly signs or short words
+    return np.concatenate([*rows, none]), np.concatenate([*keys, none.view(U)]), bits, size
 
 
 def bucket_keys(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -189,13 +194,13 @@ BLOCK = 512
 
 
 def near(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Whether two lines' lengths and SimHashes allow a link."""
+    """Whether two lines' lengths and SimHashes, where both have one that tells, allow a link."""
     low, high = np.minimum(x["n"][a], x["n"][b]), np.maximum(x["n"][a], x["n"][b])
-    return (100 * low.astype(np.int64) >= percent * high.astype(np.int64)) & ((low < LONG) | (np.bitwise_count((x["bits"][a] ^ x["bits"][b]).view(U)) <= MAX_BITS))
+    return (100 * low.astype(np.int64) >= percent * high.astype(np.int64)) & ((low < LONG) | (x["bits"][a] == 0) | (x["bits"][b] == 0) | (np.bitwise_count((x["bits"][a] ^ x["bits"][b]).view(U)) <= MAX_BITS))
 
 
 def fits(percent: int) -> str:
-    return f"100 * least(s.n, t.n) >= {percent} * greatest(s.n, t.n) AND (least(s.n, t.n) < {LONG} OR bit_count(s.bits ^ t.bits) <= {MAX_BITS})"
+    return f"100 * least(s.n, t.n) >= {percent} * greatest(s.n, t.n) AND (least(s.n, t.n) < {LONG} OR s.bits = 0 OR t.bits = 0 OR bit_count(s.bits ^ t.bits) <= {MAX_BITS})"
 
 
 def placed_lines(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -390,7 +395,8 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     """k1, k2 and ``dropped``, the numbers of a row's lines that repeat an earlier one; rows that keep all lines are left out.
 
     Earlier means a smaller doc_id, then a smaller row name, then a smaller line number; a null doc_id comes
-    first. A row that is there twice is one row, lines of fewer than ``min_bytes`` bytes never go.
+    first. A row that is there twice is one row, lines of fewer than ``min_bytes`` bytes never go, nor do blank ones.
+    Lines are equal if they are so in lower case with white space collapsed; else edit similarity of that form decides.
     """
     rows = keyed(documents)
     lines = written(placed_lines(rows, min_bytes), "lines")
