@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,24 +96,30 @@ def current_plan(users: DataFrame, periods: DataFrame, at: str, value: str = "pl
     return users.join(best, "user_id", "left").select("user_id", F.coalesce("_now", default).alias(value))
 
 
+def histories(users: DataFrame, found: DataFrame) -> DataFrame:
+    """``users`` with had, the items of their interactions, and done, those consumed; empty for users without any."""
+    had = found.groupBy("user_id").agg(F.collect_set("item").alias("had"), F.collect_set(F.when(F.col("consumed"), F.col("item"))).alias("done"))
+    nothing = F.array().cast("array<string>")
+    return users.join(had, "user_id", "left").withColumns({c: F.coalesce(c, nothing) for c in ("had", "done")})
+
+
+def admits(item: Callable[[str], Column]) -> Column:
+    """Whether a row of ``histories`` may be offered an item, of which ``item`` names a field."""
+    among = lambda c, v: (F.size(item(c)) == 0) | F.array_contains(item(c), F.col(v))
+    fresh = item("repeatable") | ~F.array_contains("done", item("item"))
+    prior = (F.size(F.array_except(item("required"), F.col("had"))) == 0) & ~F.arrays_overlap(item("incompatible"), F.col("had"))
+    return item("active") & F.array_contains(item("plans"), F.col("plan")) & among("personas", "persona") & among("sizes", "size") & fresh & prior
+
+
 def eligible(users: DataFrame, catalogue: DataFrame, found: DataFrame) -> DataFrame:
     """Items that a user may be offered: active, for their plan, persona and size, not consumed unless repeatable, with all required and no incompatible earlier items.
 
     ``users`` has plan, persona and size, ``catalogue`` active, repeatable and the arrays plans, personas, sizes,
     required and incompatible (empty personas and sizes admit all), ``found`` consumed. The catalogue is small
-    (see MAX_CATALOGUE); what a user has had comes as one array of at most as many items.
+    (see MAX_CATALOGUE), for every pair is a row; ``offers`` ranks the items of larger ones.
     """
-    had = found.groupBy("user_id").agg(F.collect_set("item").alias("had"), F.collect_set(F.when(F.col("consumed"), F.col("item"))).alias("done"))
-    nothing = F.array().cast("array<string>")
-    rows = users.join(had, "user_id", "left").withColumns({c: F.coalesce(c, nothing) for c in ("had", "done")}).join(F.broadcast(shelf(catalogue, "item")))
-
-    def admits(x: Column) -> Column:
-        among = lambda c, v: (F.size(x[c]) == 0) | F.array_contains(x[c], F.col(v))
-        fresh = x["repeatable"] | ~F.array_contains("done", x["item"])
-        prior = (F.size(F.array_except(x["required"], F.col("had"))) == 0) & ~F.arrays_overlap(x["incompatible"], F.col("had"))
-        return x["active"] & F.array_contains(x["plans"], F.col("plan")) & among("personas", "persona") & among("sizes", "size") & fresh & prior
-
-    rows = rows.select("user_id", "done", F.explode(F.filter("items", admits)).alias("x"))
+    rows = histories(users, found).join(F.broadcast(shelf(catalogue, "item")))
+    rows = rows.select("user_id", "done", F.explode(F.filter("items", lambda x: admits(lambda c: x[c]))).alias("x"))
     return rows.select("user_id", "x.item", F.array_contains("done", F.col("x.item")).cast("int").alias("already_consumed"))
 
 
@@ -140,7 +148,8 @@ def history_segment(items: Column) -> Column:
     )
 
 
-def with_segment(users: DataFrame, segments: DataFrame, default: str = "unknown") -> DataFrame:
+def with_segment(users: DataFrame, segments: DataFrame, default: str | Column = "unknown") -> DataFrame:
+    """``users`` with their segment; for those without, a fixed name or one by their columns, as ``history_segment`` gives."""
     return users.join(segments.select("user_id", "segment"), "user_id", "left").withColumn("segment", F.coalesce("segment", F.lit(default)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import offers
 from ..operators import recommend as op
 from ..operators import segmentation as seg
 from . import churn, inputs
@@ -97,6 +98,34 @@ def eligible(spark, sf):
     return op.eligible(context(spark, sf), catalogue(spark, sf), op.consumed(found(spark, sf), ["Brand#2"], 2))
 
 
+#: Offers are made early, when most users are new and few pairs of items share users.
+EARLY, EARLY_SUPPORT = "1995-02-01 00:00:00", 2
+
+
+def offer_inputs(spark, sf):
+    """What the models of offers read: users with plan and history, the catalogue, interactions and item scores."""
+    have = op.consumed(op.interactions(lines(spark, sf), EARLY), ["Brand#2"], 2)
+    items = catalogue(spark, sf).withColumn("priority", (F.regexp_extract("item", "([0-9]+)$", 1).cast("int") % 9 + 1).cast("double"))
+    people = op.with_segment(offers.people(context(spark, sf), have), segments(spark, sf), op.history_segment(F.col("had")))
+    return people, items, have, have.groupBy("item").agg(F.bround(F.sum("weight"), 6).alias("score")).where(F.col("item") != "Brand#11")
+
+
+def offers_global(spark, sf):
+    people, items, _, scores = offer_inputs(spark, sf)
+    return op.top(offers.by_popularity(people, items, scores, K), K)
+
+
+def offers_segment(spark, sf):
+    people, items, have, scores = offer_inputs(spark, sf)
+    own = op.with_segment(have, segments(spark, sf), op.history_segment(F.array("item"))).groupBy("segment", "item").agg(F.bround(F.sum("weight"), 6).alias("score"))
+    return op.top(offers.by_segment(people, items, own, scores, K), K)
+
+
+def offers_item_item(spark, sf):
+    people, items, have, scores = offer_inputs(spark, sf)
+    return op.top(offers.by_similarity(people, items, have, op.similarity(have, EARLY_SUPPORT), scores, K), K)
+
+
 MAPPING = op.interaction_mapping({"view": ("item_view", None, "weak"), "click": ("item_click", "7", "medium"), "purchase": ("item_buy", None, "strong")}, {"weak": 1.0, "medium": 2.0, "strong": 5.0})
 REASONS = {"segment_popularity": "popular_in_your_segment", "segment_global_fallback": "cold_start_popular_item"}
 
@@ -171,6 +200,26 @@ _CATALOGUE = """SELECT item, 'c' || n % 4 AS category, 'f' || n % 3 AS feature,
     CASE WHEN n % 9 = 4 THEN 'Brand#' || (n + 1) END AS required, CASE WHEN n % 10 = 6 THEN 'Brand#' || (n - 1) END AS incompatible FROM (SELECT DISTINCT p_brand AS item, regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS n FROM part)"""
 _PLAN = f"""SELECT c_custkey AS user_id, coalesce((SELECT max_by(plan, (start_ts, -subscription_id)) FROM ({inputs.CTES['b']}) b WHERE b.user_id = c_custkey AND start_ts <= TIMESTAMP '{SNAPSHOT}' AND (end_ts IS NULL OR end_ts >= TIMESTAMP '{SNAPSHOT}')), 0) AS plan,
     c_mktsegment AS persona, c_acctbal < 2000 AS small FROM customer"""
+_ELIGIBLE = """SELECT user_id, item, EXISTS (SELECT 1 FROM done d WHERE d.user_id = p.user_id AND d.item = cat.item)::INT AS already_consumed FROM p, cat WHERE active AND plan >= greatest(least_plan, 1) AND (personas IS NULL OR list_contains(personas, persona)) AND (NOT small_only OR small)
+    AND (repeatable OR NOT EXISTS (SELECT 1 FROM done d WHERE d.user_id = p.user_id AND d.item = cat.item)) AND (required IS NULL OR EXISTS (SELECT 1 FROM it WHERE it.user_id = p.user_id AND it.item = required)) AND NOT (incompatible IS NOT NULL AND EXISTS (SELECT 1 FROM it WHERE it.user_id = p.user_id AND it.item = incompatible))"""
+_OFFERS = {
+    "li": _I["li"], "it": _I["it"].replace(SNAPSHOT, EARLY), "cat": _CATALOGUE, "p": _PLAN, "done": "SELECT user_id, item FROM it WHERE n >= 2 AND item NOT LIKE 'Brand#2%'", "el": _ELIGIBLE,
+    "pr": "SELECT item, ((regexp_extract(item, '([0-9]+)$', 1)::INT % 9 + 1) * 0.01::DOUBLE) AS priority FROM cat",
+    "gs": "SELECT item, round_even(sum(weight), 6) AS score FROM it WHERE item <> 'Brand#11' GROUP BY ALL",
+    "us": "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment WHEN c_custkey IN (SELECT user_id FROM it) THEN 'core_engaged' ELSE 'cold_start' END AS segment FROM customer",
+    "ss": "SELECT CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment ELSE 'core_engaged' END AS segment, item, round_even(sum(weight), 6) AS score FROM it JOIN customer ON c_custkey = user_id GROUP BY ALL",
+    "si": _I["si"].replace(f">= {SUPPORT}", f">= {EARLY_SUPPORT}"),
+    "nr": "SELECT user_id, item, max(s) AS s, arg_min(other, (-s, other)) AS best FROM (SELECT it.user_id, si.item, si.other, round_even(similarity * weight, 6) AS s FROM it JOIN si ON si.other = it.item) WHERE s > 0 GROUP BY ALL",
+}
+
+
+def _offers(score: str, source: str, joins: str) -> str:
+    """Eligible items in order of a score, each user's first K."""
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in _OFFERS.items()) + f"""
+        SELECT *, round_even(score / nullif(max(score) OVER (PARTITION BY user_id), 0), 6) AS relative FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM (
+        SELECT el.user_id, el.item, round_even({score}, 6) AS score, {source} AS source FROM el JOIN pr USING (item) LEFT JOIN gs ON gs.item = el.item {joins})) WHERE rank <= {K}"""
+
+
 QUERIES = {
     "segment_exclusions": (lambda spark, sf: assigned(spark, sf).groupBy("exclusion").agg(F.count("*").alias("users")), _users("SELECT exclusion, count(*) AS users FROM sg GROUP BY ALL")),
     "segment_rules": (lambda spark, sf: assigned(spark, sf).select("user_id", "exclusion", "segment"), _users("SELECT user_id, exclusion, segment FROM sg")),
@@ -203,6 +252,11 @@ QUERIES = {
     "recommendation_eligible": (eligible, "WITH " + ", ".join(f"{k} AS ({_I[k]})" for k in ("li", "it")) + f""", cat AS ({_CATALOGUE}), p AS ({_PLAN}), done AS (SELECT user_id, item FROM it WHERE n >= 2 AND item NOT LIKE 'Brand#2%')
         SELECT user_id, item, EXISTS (SELECT 1 FROM done d WHERE d.user_id = p.user_id AND d.item = cat.item)::INT AS already_consumed FROM p, cat WHERE active AND plan >= greatest(least_plan, 1) AND (personas IS NULL OR list_contains(personas, persona)) AND (NOT small_only OR small)
         AND (repeatable OR NOT EXISTS (SELECT 1 FROM done d WHERE d.user_id = p.user_id AND d.item = cat.item)) AND (required IS NULL OR EXISTS (SELECT 1 FROM it WHERE it.user_id = p.user_id AND it.item = required)) AND NOT (incompatible IS NOT NULL AND EXISTS (SELECT 1 FROM it WHERE it.user_id = p.user_id AND it.item = incompatible))"""),
+    "recommendation_offers_global": (offers_global, _offers("CASE WHEN gs.score > 0 THEN gs.score ELSE priority END", "CASE WHEN gs.score > 0 THEN 'global_popularity' ELSE 'catalogue_fallback' END", "")),
+    "recommendation_offers_segment": (offers_segment, _offers("CASE WHEN ss.score > 0 THEN ss.score WHEN gs.score > 0 THEN gs.score ELSE priority END", "CASE WHEN ss.score > 0 THEN 'segment_popularity' WHEN gs.score > 0 THEN 'segment_global_fallback' ELSE 'catalogue_fallback' END",
+        "JOIN us ON us.user_id = el.user_id LEFT JOIN ss ON ss.segment = us.segment AND ss.item = el.item")),
+    "recommendation_offers_item_item": (offers_item_item, _offers("CASE WHEN nr.s > 0 THEN nr.s WHEN gs.score > 0 THEN gs.score ELSE priority END", "CASE WHEN nr.s > 0 THEN 'item_similarity:' || best WHEN gs.score > 0 THEN 'cf_popularity_fallback' ELSE 'catalogue_fallback' END",
+        "LEFT JOIN nr ON nr.user_id = el.user_id AND nr.item = el.item")),
     "recommendation_mapped": (lambda spark, sf: op.mapped(inputs.events(spark, sf), MAPPING, "k"), sql("SELECT user_id, CASE event_name WHEN 'view' THEN 'item_view' WHEN 'click' THEN 'item_click' ELSE 'item_buy' END AS item, ts, CASE event_name WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0 ELSE 5.0 END::DOUBLE AS weight FROM e WHERE event_name IN ('view', 'purchase') OR (event_name = 'click' AND (k IS NULL OR k = 7))", "e")),
     "recommendation_inputs": (lambda spark, sf: op.known_inputs(inputs.events(spark, sf).select("user_id", "event_id", "ts"), inputs.users(spark, sf).withColumn("signup_ts", (F.col("signup_ts") + F.expr("INTERVAL 5 DAYS")).cast("timestamp_ntz")), "2024-01-20 00:00:00"), sql(
         "SELECT user_id, event_id, ts FROM e JOIN u USING (user_id) WHERE signup_ts + INTERVAL 5 DAY <= TIMESTAMP '2024-01-20' AND ts >= signup_ts + INTERVAL 5 DAY AND ts <= TIMESTAMP '2024-01-20'", "e", "u")),
