@@ -108,17 +108,17 @@ def says(phrases: list[str]) -> Column:
     return out
 
 
-def governance(insights: DataFrame, known: list[str]) -> DataFrame:
-    """One row of checks over all insights, and whether all passed."""
+def governance(insights: DataFrame, known: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row of checks over all insights (of each group by some columns), and whether all passed."""
     every = lambda c: F.coalesce(F.bool_and(c), F.lit(True))
     of = lambda kind: F.col("insight_type") == kind
     caveat = lambda kind, words: F.coalesce(F.bool_or(of(kind) & F.array_join("caveats", " ").contains(words)), F.lit(False))
-    out = insights.agg(
+    out = insights.groupBy(*by).agg(
         F.count("*").alias("insights"), every(F.size("supporting_evidence") > 0).alias("have_sources"), every(F.size(F.array_except("supporting_evidence", F.array(*map(F.lit, known)))) == 0).alias("sources_exist"), every(F.col("disclaimer") == DISCLAIMER).alias("disclaimer_present"),
         every(~says(["caused", "guaranteed"])).alias("no_causal_language"), every(~says(["will churn", "certain churn"])).alias("no_certain_churn"), every(~of("recommendation") | ~says(["probability", "will accept"])).alias("no_acceptance_probability"),
         caveat("segmentation", "analytical interpretations").alias("segment_caveat"), caveat("experiment", "sample-size").alias("experiment_caveat"),
     )
-    checks = [c for c in out.columns if c != "insights"]
+    checks = [c for c in out.columns if c not in ("insights", *by)]
     return out.withColumn("status", F.when(F.forall(F.array(*checks), lambda x: x), "passed").otherwise("failed"))
 
 

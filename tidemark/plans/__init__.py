@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import churn, experiments, features, funnels, models, quality, recommend, reporting, retention
+    from . import broken, churn, domains, experiments, features, funnels, models, quality, recommend, reporting, retention
 
-    return [funnels, retention, quality, churn, features, recommend, experiments, models, reporting]
+    return [funnels, retention, quality, churn, features, recommend, experiments, models, reporting, domains, broken]
 
 
 def queries() -> dict:

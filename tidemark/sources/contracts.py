@@ -103,3 +103,18 @@ def drift(contract: Contract, columns: list[str], policy: str = "strict") -> lis
             out.append(("MISSING_OPTIONAL", f.name, "error" if policy == "strict" else "warning") if f.optional else ("MISSING_REQUIRED", f.name, "error"))
     out += [("UNEXPECTED_COLUMN", c, "warning" if policy == "report-only" else "error") for c in columns if c not in contract.names]
     return out
+
+
+def loaded(text: str) -> dict[str, Contract]:
+    """Contracts by dataset from a JSON list of objects with the fields of ``Contract``; unknown keys and repeated datasets are errors."""
+    import json
+
+    out: dict[str, Contract] = {}
+    for given in json.loads(text):
+        fields = tuple(Field(**{k: tuple(v) if k == "allowed" else v for k, v in f.items()}) for f in given["fields"])
+        parents = {c: tuple(p) for c, p in given.get("foreign_keys", {}).items()}
+        made = Contract(**{**given, "fields": fields, "key": tuple(given["key"]), "foreign_keys": parents})
+        if made.dataset in out:
+            raise ValueError(f"{made.dataset} has two contracts")
+        out[made.dataset] = made
+    return out
