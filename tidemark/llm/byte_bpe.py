@@ -14,10 +14,10 @@ are single rows of bounded size, dealt into buckets because a map of Spark is se
 from __future__ import annotations
 
 import base64
-import json
 from collections.abc import Callable
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,25 +152,26 @@ class Codec:
     def __init__(self, spark: SparkSession, vocabulary: str):
         self.spark, tokens = spark, tokens_of(vocabulary)
         self.size = max(tokens.values()) + 1
-        dealt: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+        dealt: list[list[tuple[str, str]]] = [[] for _ in range(BUCKETS)]
         for token, rank in tokens.items():
             for k in range(1, len(token)):
                 x, y = tokens.get(token[:k]), tokens.get(token[k:])
                 if x is not None and y is not None:
                     x, y = character(x), character(y)
-                    dealt[(ord(x) * FACTOR + ord(y)) % BUCKETS][x + y] = character(rank)
+                    dealt[(ord(x) * FACTOR + ord(y)) % BUCKETS].append((x + y, character(rank)))
         pieces: list[str | None] = [None] * (self.size + JUMP)
         for token, rank in tokens.items():
             pieces[ord(character(rank))] = token.decode("latin-1")
-        self._pairs = self._one(dealt, "array<map<string,string>>").scalar()
-        self._pieces = self._one(pieces, "array<string>").scalar()
+        self._pairs = self._one(dealt, pa.list_(pa.map_(pa.string(), pa.string())), "pairs").scalar()
+        self._pieces = self._one(pieces, pa.list_(pa.string()), "pieces").scalar()
         self._bytes = "".join(map(chr, range(256))), "".join(character(tokens[bytes([b])]) for b in range(256)).replace("\0", NOT_NUL)
         whole = [(w, character(rank)) for token, rank in tokens.items() if (w := token.decode("utf-8", "ignore")).encode() == token]
-        self._whole = spark.createDataFrame(whole, "word string, tokens string")
+        self._whole = written(spark.createDataFrame(pa.table({"word": [w for w, _ in whole], "tokens": [c for _, c in whole]})), "vocabulary")
         self.dictionary: Column | None = None
 
-    def _one(self, value: list, kind: str) -> DataFrame:
-        return self.spark.range(1).select(F.from_json(F.lit(json.dumps(value)), kind).alias("x"))
+    def _one(self, value: list, kind: pa.DataType, name: str) -> DataFrame:
+        """One row of a value, from a scratch table: as a literal it would stand in every plan, and in what the driver keeps of plans."""
+        return written(self.spark.createDataFrame(pa.table({"x": pa.array([value], kind)})), name)
 
     def _folds(self, word: Column, pairs: Column) -> Column:
         raw = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), *self._bytes)
@@ -222,8 +223,8 @@ class Codec:
     def decoded(self, documents: DataFrame, tokens: str, name: str) -> DataFrame:
         """The documents and the bytes of a column of token strings: the tokens' pieces, joined as characters of one byte each."""
         (p,) = fresh(documents.columns, "pieces")
-        parts = F.filter(F.split(tokens, ""), lambda c: c != "")
-        out = let(F.col(p), lambda pieces: F.encode(F.array_join(F.transform(parts, lambda c: F.get(pieces, F.ascii(c))), ""), "ISO-8859-1"))
+        text = F.array_join(F.transform(F.split(tokens, ""), lambda c: F.get(F.col(p), F.ascii(c))), "")
+        out = F.encode(F.when(F.col(tokens) == "", F.lit("")).otherwise(text), "ISO-8859-1")
         return documents.select("*", self._pieces.alias(p)).select(*documents.columns, out.alias(name))
 
     def packed(self, tokens: Column) -> Column:
