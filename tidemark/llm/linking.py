@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -117,15 +117,17 @@ def centred(rows: DataFrame, names: list[str], fits: str, turn: int = 0) -> Data
     """Pairs of each bucket's centre with its members of other components, as far as they fit.
 
     The centre is the node that stands for most ``times``: what copies were made of links to more than they do to
-    each other. After the first turn it is one outside of the bucket's largest component, another each turn.
+    each other. After the first turn it is one of the bucket's second largest component, another each turn.
     """
     s = rows.select("key", "node", "times", F.struct(*names).alias("s"), *(["component"] if turn else [F.col("node").alias("component")]))
-    some = s
-    if turn:
-        size = s.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("x")).select("key", F.col("x.component").alias("big"))
-        some = s.join(size, "key").where("component <> big")
     order = F.struct("times", F.xxhash64(F.lit(turn), "node").alias("h"), "node", "s", "component")
-    centre = some.groupBy("key").agg(F.max(order).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.s").alias("t"), F.col("c.component").alias("there"))
+    if turn:
+        parts = s.groupBy("key", "component").agg(F.count("*").alias("n"), F.max(order).alias("c"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), F.desc("component")))
+        centre = parts.withColumn("rank", rank).where("rank <= 2").where("rank = 2")  # a task sends two a key
+    else:
+        centre = s.groupBy("key").agg(F.max(order).alias("c"))
+    centre = centre.select("key", F.col("c.node").alias("centre"), F.col("c.s").alias("t"), F.col("c.component").alias("there"))
     pairs = s.join(centre, "key").where("component <> there").where(fits)
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
 
