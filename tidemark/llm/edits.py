@@ -4,6 +4,27 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+import pyarrow as pa
+
+BINS = 32
+
+
+def tallies(texts: pa.Array) -> np.ndarray:
+    """A row per text: how many of its characters fall into each of BINS classes, by the first byte of each."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    row = np.repeat(np.arange(len(texts)), np.diff(ends))
+    first = (data & 0xC0) != 0x80
+    return np.bincount(row[first] * BINS + (data[first] & (BINS - 1)), minlength=len(texts) * BINS).reshape(len(texts), BINS).astype(np.int32)
+
+
+def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A bound from below for the edit distance of the texts of each two tallies: an edit takes one character away and brings one."""
+    more = a - b
+    return np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+
 
 def distance(a: str, b: str, most: int | None = None) -> int:
     """Edit distance; where it exceeds ``most``, any number above that. Common start and end are cut off first."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .edits import distance
+from .edits import distance, least, tallies
 from .flat import U, mixed, parts, prefix, spans
 from .linking import celled, centred, groups_of, linked, pairs_in
 from .near_duplicates import sketches
@@ -189,8 +189,8 @@ def bucket_keys(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 NAMES = ["n", "bits"]
-#: Lines in a block of a cell whose texts are compared in one task.
-BLOCK = 512
+#: Lines in a block of a cell whose texts are compared in one task, and pairs whose distance is bounded at once.
+BLOCK, SLICE = 512, 1 << 14
 
 
 def near(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -354,6 +354,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
     def compare(batches):
         for batch in batches:
+            counts = [tallies(batch.column(k)) for k in (2, 3)]
+            size = np.maximum(*(c.sum(axis=1) for c in counts))
+            batch = batch.filter(pa.array(least(*counts) <= size * (100 - percent) // 100))
             texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             most = [(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in texts]
             yield batch.filter(pa.array([distance(x, y, m) <= m for x, y, m in most], pa.bool_())).select(["a", "b"])
@@ -364,27 +367,33 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 def across(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The links (a, b) between different components of a bucket, a cell of two blocks at a time; only links leave the task.
 
-    A pair is compared in the smallest bucket that it shares.
+    What characters two lines have bounds their distance; few pairs of unlike lines get beyond that.
     """
-    keys = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    cells = celled(rows, BLOCK, "n").select("key", "i", "j", "block", "node", "component", *NAMES).join(texts, "node").join(keys, "node")
+    cells = celled(rows, BLOCK, "n").select("key", "i", "j", "block", "node", "component", *NAMES).join(texts, "node")
 
     def compare(batches):
         for table, group in groups_of(batches, ["key", "i", "j"]):
             x = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "component", *NAMES)}
-            lines, mine = table.column("text"), table.column("keys")
-            said, own = {}, {}
+            lines = pa.concat_arrays(table.column("text").chunks)
+            counts, said = tallies(lines), {}
+            size = counts.sum(axis=1)
             out = set()
             for a, b in pairs_in(group):
                 keep = (x["component"][a] != x["component"][b]) & ((x["i"][a] == x["j"][a]) | (x["block"][a] != x["block"][b]))
                 a, b = a[keep], b[keep]
                 keep = near(x, a, b, percent)
-                for p, q in zip(a[keep].tolist(), b[keep].tolist()):
+                a, b = a[keep], b[keep]
+                most = np.maximum(size[a], size[b]) * (100 - percent) // 100
+                keep = np.concatenate([least(counts[a[i : i + SLICE]], counts[b[i : i + SLICE]]) for i in range(0, max(1, len(a)), SLICE)]) <= most
+                for p, q, m in zip(a[keep].tolist(), b[keep].tolist(), most[keep].tolist()):
+                    pair = tuple(sorted((int(x["node"][p]), int(x["node"][q]))))
+                    if pair in out:
+                        continue
                     for k in (p, q):
                         if k not in said:
-                            said[k], own[k] = lines[k].as_py(), frozenset(mine[k].as_py())
-                    if min(own[p] & own[q]) == x["key"][p] and distance(said[p], said[q], most := max(len(said[p]), len(said[q])) * (100 - percent) // 100) <= most:
-                        out.add(tuple(sorted((int(x["node"][p]), int(x["node"][q])))))
+                            said[k] = lines[k].as_py()
+                    if distance(said[p], said[q], m) <= m:
+                        out.add(pair)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
 
@@ -408,6 +417,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     texts = written(line_texts(rows, lines, met.select("node").distinct()), "texts")
     several = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 2").select("key")  # the one pair of others has met its centre
     large = written(met.join(several, "key"), "large")
+    dropped(met)
     groups = linked(first, large, NAMES, fits(percent), lambda pairs: confirmed(pairs, texts, percent), lambda some: across(some, texts, percent))
     placed = lines
     if groups is not None:
@@ -419,7 +429,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     first_of = placed.groupBy("group", "n").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").select("group", "n", "first")
     gone = placed.join(first_of, ["group", "n"]).where("at <> first").groupBy("at.k1", "at.k2").agg(F.sort_array(F.collect_set("at.line")).alias("dropped"))
     gone = written(gone, "gone")
-    for x in (lines, met, large, first, texts, *([groups] if groups is not None else [])):
+    for x in (lines, large, first, texts, *([groups] if groups is not None else [])):
         dropped(x)
     return gone
 
