@@ -110,8 +110,10 @@ def publish(spark: SparkSession, folder: str, verb: str, config: dict, outputs:
     head = {"verb": verb, "run_id": run_id or f"{verb.split('-')[-1]}_{marks[:16]}", "config": config, "config_fingerprint": marks, "inputs": inputs or {}, "run_time": at}
     ingestion.write_document(spark, head | {"status": "unfinished"}, f"{folder}/{MANIFEST}", overwrite)
     written = {name: write(spark, out, f"{folder}/{name}", overwrite) for name, out in outputs.items()}
-    parts = listing(spark, folder).where(F.col("output").isin(*outputs))
-    in_order(parts, ("output", "part")).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(f"{folder}/{LISTING}")
+    parts = listing(spark, folder).where(F.col("output").isin(*outputs)).cache()
+    few = parts.repartitionByRange(1 + parts.count() // PART_ROWS, "output", "part").sortWithinPartitions("output", "part")
+    few.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(f"{folder}/{LISTING}")
+    parts.unpersist()
     sums = totals(stored(spark, folder))
     found = head | {"status": "passed", "outputs": {n: said | sums.get(n, {"parts": 0, "bytes": 0, "digest": None}) for n, said in written.items()}, "lineage": {n: sorted(inputs or {}) for n in outputs}}
     ingestion.write_document(spark, found, f"{folder}/{MANIFEST}", True)
