@@ -21,10 +21,13 @@ def folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    Columns ``by`` become folders, so that a filter on them reads no other rows.
+    """
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back

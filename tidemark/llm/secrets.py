@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a small character network over every other token that might be one.
 
 One pass over the texts keeps, per document, the findings of the fixed patterns and every further candidate
-with its surrounding characters; texts are then done with. The network learns on a bounded sample of those
-findings and candidates, its scores are calibrated on held-out ones, and the threshold is the highest that
-still finds the asked share of held-out secrets. All candidates of all documents are then scored.
+with its surrounding characters; texts are then done with. The network learns from all of those findings and
+candidates but a fifth, which is held out by token: they are dealt to chunks by hash, tasks take steps over chunks,
+and after each round the networks of its chunks are averaged. Scores are calibrated on everything held out, and the
+threshold is the highest that still finds the asked share of held-out secrets. All candidates of all documents are
+then scored.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import logging
 import re
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import written
+from .linking import groups_of
+from .scratch import dropped, written
 
 LOG = logging.getLogger(__name__)
 #: Fixed patterns: what each finds, and which part of a match must have how many characters.
@@ -31,8 +36,15 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 CONTEXT, WIDTH, FILTERS, EMBED = 24, 5, 16, 8
 #: Tokens are scored in pieces of PIECE characters, each STRIDE on; a token counts as its highest piece.
 PIECE, STRIDE = 96, 48
-#: Bounds of the training sample: findings and other candidates, and the recall that the threshold must keep.
-MAX_FOUND, MAX_OTHER, MIN_RECALL, EPOCHS, SEED = 1500, 1500, 0.95, 8, 7
+#: Windows of a chunk (on average) and of a step; parts of the chunks, of which each round takes one, and rounds of each network;
+#: the recall that the threshold must keep.
+CHUNK, BATCH, SLICES, MIN_RECALL, SEED = 4096, 64, 8, 0.95, 7
+#: Kinds of windows: candidates, findings, made tokens. Made ones stand in for a quarter of the candidates, or MADE in all if that is more.
+OTHER, KNOWN, MADE_UP = range(3)
+MADE, MADE_SHARE, MAX_WEIGHT = 300, 0.25, 100.0
+#: Scores go by steps of 1 / GRID up to LIMIT; LOST stands for secrets that are no candidates. Sums of networks are whole numbers of 1 / UNIT.
+GRID, LIMIT, LOST, UNIT, LARGEST = 1024, 30, -(1 << 20), 1 << 34, 1 << 11
+LETTERS = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
 
 WINDOW = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("left", T.StringType()), T.StructField("token", T.StringType()), T.StructField("right", T.StringType())])
 SCAN = "n_assign long, n_access long, n_hex long, base_sha256 string, base array<string>"
@@ -105,7 +117,7 @@ class Network:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
-    #: Of held-out windows; precision counts a secret that no pattern knows as a wrong finding.
+    #: Of held-out windows by their weights; precision counts a secret that no pattern knows as a wrong finding.
     recall: float | None = None
     precision: float | None = None
 
@@ -126,9 +138,9 @@ class Network:
         feature = np.concatenate([np.take_along_axis(h, top[:, None], 1)[:, 0], h.sum(axis=1) / count], axis=1)
         return feature @ self.w["o"] + self.w["c"][0], (cols, h, live, top, count, feature)
 
-    def gradients(self, ids, inside, y):
+    def gradients(self, ids, inside, y, weight):
         z, (cols, h, live, top, count, feature) = self.forward(ids, inside)
-        d = (1 / (1 + np.exp(-z)) - y) / len(y)
+        d = (weight * (1 / (1 + np.exp(-np.clip(z, -LIMIT, LIMIT))) - y) / len(y)).astype(np.float32)
         g = {"o": feature.T @ d, "c": np.array([d.sum()], np.float32)}
         df = d[:, None] * self.w["o"]
         dh = np.repeat((df[:, FILTERS:] / count)[:, None], h.shape[1], axis=1)
@@ -137,100 +149,277 @@ class Network:
         flat = dh.reshape(-1, FILTERS)
         g["k"], g["b"] = cols.reshape(len(flat), -1).T @ flat, flat.sum(axis=0)
         dcols = (flat @ self.w["k"].T).reshape(*dh.shape[:2], WIDTH, EMBED + 1)[..., :EMBED]
-        ge = np.zeros_like(self.w["e"])
+        dx = np.zeros((*ids.shape, EMBED), np.float32)
         for k in range(WIDTH):
-            np.add.at(ge, ids[:, k : k + dh.shape[1]].ravel(), dcols[:, :, k].reshape(-1, EMBED))
+            dx[:, k : k + dh.shape[1]] += dcols[:, :, k]
+        ge = np.stack([np.bincount(ids.ravel(), dx[..., j].ravel(), 128) for j in range(EMBED)], axis=1)
         ge[0] = 0
         return g | {"e": ge}
 
-    def probability(self, windows: list[tuple[str, str, str]]) -> np.ndarray:
-        """Calibrated probabilities; windows of about equal length go through together."""
-        out = np.zeros(len(windows))
+    def scores(self, windows: list[tuple[str, str, str]]) -> np.ndarray:
+        """Scores in steps of 1 / GRID, as whole numbers; windows of about equal length go through together."""
+        out = np.zeros(len(windows), np.int64)
         order = sorted(range(len(windows)), key=lambda i: sum(map(len, windows[i])))
         at = 0
         while at < len(order):
             width = sum(map(len, windows[order[at]])) + 32
             some = order[at : at + max(1, 20_000 // width)]
             some = [i for i in some if sum(map(len, windows[i])) <= 2 * width]
-            z, _ = self.forward(*encoded([windows[i] for i in some]))
-            out[some] = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+            out[some] = stepped(self.forward(*encoded([windows[i] for i in some]))[0])
             at += len(some)
         return out
 
+    def calibrated(self, scores: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * (scores / GRID) + self.shift, -LIMIT, LIMIT)))
 
-def fitted(data: list[tuple[tuple[str, str, str], float]], seed: int) -> Network:
-    """A network trained on labelled windows, by Adam's steps over shuffled batches."""
-    r = np.random.default_rng(seed)
-    net = Network.fresh(seed)
-    state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
-    step = 0
-    for _ in range(EPOCHS):
-        for some in np.array_split(r.permutation(len(data)), max(1, len(data) // 64)):
-            ids, inside = encoded([data[i][0] for i in some])
-            g = net.gradients(ids, inside, np.array([data[i][1] for i in some], np.float32))
-            step += 1
-            for k, (m, v) in state.items():
-                m += 0.1 * (g[k] - m)
-                v += 0.01 * (g[k] ** 2 - v)
-                net.w[k] = (net.w[k] - 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return net
+    def probability(self, windows: list[tuple[str, str, str]]) -> np.ndarray:
+        return self.calibrated(self.scores(windows))
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.w.values()]).astype(np.float64)
+
+    @staticmethod
+    def of(vector: np.ndarray) -> Network:
+        net = Network.fresh()
+        ends = np.cumsum([v.size for v in net.w.values()])
+        net.w = {k: x.reshape(v.shape).astype(np.float32) for (k, v), x in zip(net.w.items(), np.split(vector, ends[:-1]), strict=True)}
+        return net
 
 
-def trained(positive: list[tuple[str, str, str]], negative: list[tuple[str, str, str]], seed: int = SEED, min_recall: float = MIN_RECALL) -> Network:
-    """Fit on four fifths of the labelled windows, calibrate and set the threshold on the rest.
+def stepped(z: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(z, -LIMIT, LIMIT) * GRID).astype(np.int64)
+
+
+@dataclass
+class Chunk:
+    """Some windows, encoded: kinds, those held out, and those that are no candidates."""
+
+    ids: np.ndarray
+    inside: np.ndarray
+    kind: np.ndarray
+    held: np.ndarray
+    lost: np.ndarray
+
+    def some(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, inside = self.ids[at], self.inside[at]
+        width = max(WIDTH, int((ids > 0).any(axis=0).sum()))
+        return ids[:, :width].astype(np.int64), inside[:, :width].astype(np.float32)
+
+
+def chunk_of(windows: list[tuple[str, str, str]], known: list[bool], share: float, seed: int) -> Chunk:
+    """The windows and made tokens, ``share`` of them for each other candidate.
 
     Half of the secrets are shown without the words before them, and seeded random tokens stand in the
     surroundings of other candidates, so that the network learns what secrets look like and not only
-    what announces them. Other candidates may be secrets that no pattern knows: those that a first network
-    takes for one are left out of the second. The held-out fifth is set apart before the first.
+    what announces them. What is held out goes by the token, so no token is on both sides.
+    """
+    r = np.random.default_rng((SEED, seed))
+    pools = (LETTERS, LETTERS[:62], LETTERS[:52])  # with signs, without, and without digits
+    out: list[tuple[tuple[str, str, str], int, bool]] = []
+    for (a, b, c), secret in zip(windows, known, strict=True):
+        bare = (re.sub(r"^.*[=:\s\"']", "", b) or b) if secret else b
+        code = zlib.crc32(bare.encode("utf-8", "surrogatepass"))
+        out.append(((a, bare if secret and code >> 8 & 1 else b, c), KNOWN if secret else OTHER, code % 5 == 0))
+        for _ in range(0 if secret else int(share + r.random())):
+            made = "".join(r.choice(pools[r.integers(3)], r.integers(12, 44)))
+            out.append(((a, made, c), MADE_UP, zlib.crc32(made.encode()) % 5 == 0))
+    out = [out[i] for i in r.permutation(len(out))]
+    ids, inside = encoded([w for w, _, _ in out])
+    lost = [kind != OTHER and not RUN.search(w[1]) for w, kind, _ in out]
+    return Chunk(ids.astype(np.uint8), inside.astype(np.uint8), np.array([k for _, k, _ in out], np.uint8), np.array([h for _, _, h in out], bool), np.array(lost, bool))
+
+
+def plain_windows() -> list[tuple[str, str, str]]:
+    """Seeded words in place of candidates where a corpus has none."""
+    r = np.random.default_rng(SEED)
+    return [(" ", "".join(r.choice(LETTERS[26:52], r.integers(12, 20))), " ") for _ in range(200)]
+
+
+def weights_of(counts: list[int]) -> np.ndarray:
+    """Weight of a window of each kind: rare secrets come to weigh as much as other candidates, findings twice as much as made ones."""
+    share = np.array([1.0, 2 / 3 if counts[KNOWN] else 0.0, 1 / 3 if counts[KNOWN] else 1.0])
+    return np.clip(share * counts[OTHER] / np.maximum(counts, 1), 1.0, MAX_WEIGHT)
+
+
+def adam(state: np.ndarray, chunk: Chunk, weight: np.ndarray, first: Network | None, seed: int) -> np.ndarray:
+    """The state (weights, both moments, steps taken) after one pass over a chunk; what ``first`` takes for a secret among other candidates stays out."""
+    at = np.flatnonzero(~chunk.held)
+    if first is not None:
+        z = np.concatenate([np.zeros(0), *(first.forward(*chunk.some(at[i : i + 2 * BATCH]))[0] for i in range(0, len(at), 2 * BATCH))])
+        at = at[(chunk.kind[at] != OTHER) | (z < 0)]
+    if not len(at):
+        return state
+    r = np.random.default_rng((SEED, seed))
+    (vector, m, v), taken = state[:-1].reshape(3, -1).copy(), state[-1]
+    for some in np.array_split(r.permutation(at), max(1, len(at) // BATCH)):
+        kind = chunk.kind[some]
+        g = Network.of(vector).gradients(*chunk.some(some), (kind != OTHER).astype(np.float32), weight[kind])
+        flat = np.concatenate([g[k].ravel() for k in ("e", "k", "b", "o", "c")])
+        taken += 1
+        m += 0.1 * (flat - m)
+        v += 0.01 * (flat**2 - v)
+        vector -= 0.01 * (m / (1 - 0.9**taken)) / (np.sqrt(v / (1 - 0.99**taken)) + 1e-8)
+    return np.concatenate([vector, m, v, [taken]])
+
+
+def held_scores(net: Network, chunk: Chunk) -> Iterator[tuple[int, int, int]]:
+    """(kind, score, how many) of what is held out."""
+    at = np.flatnonzero(chunk.held)
+    z = np.concatenate([np.zeros(0, np.int64), *(stepped(net.forward(*chunk.some(at[i : i + 2 * BATCH]))[0]) for i in range(0, len(at), 2 * BATCH))])
+    z[chunk.lost[at]] = LOST
+    for kind in range(3):
+        for score, n in zip(*(x.tolist() for x in np.unique(z[chunk.kind[at] == kind], return_counts=True)), strict=True):
+            yield kind, score, n
+
+
+def whole(state: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(state, -LARGEST, LARGEST) * UNIT).astype(np.int64)
+
+
+#: What each chunk of a slice (all for None) gives, and their sum: (chunk number, chunk) to an array, by slice.
+Averaged = Callable[[int | None, Callable[[int, Chunk], np.ndarray]], tuple[np.ndarray, int]]
+
+
+def learned(averaged: Averaged, held: Callable[[Network], np.ndarray], counts: list[int], slices: int, min_recall: float = MIN_RECALL) -> Network:
+    """Two networks by rounds over slices of the chunks, each slice once where there are SLICES of them; the second is calibrated.
+
+    Other candidates may be secrets that no pattern knows: those that a first network takes for one are left
+    out of the second. The held-out fifth has no part in either.
     """
-    r = np.random.default_rng(seed)
-    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
-    around_ = negative or [(" ", "", " ")]
-    kinds = (letters, letters[:62], letters[:52])  # with signs, without, and without digits
-    made = [(around_[i % len(around_)][0], "".join(r.choice(kinds[i % 3], r.integers(12, 44))), around_[i % len(around_)][2]) for i in range(max(300, len(positive) // 2))]
-    plain = negative or [(" ", "".join(r.choice(letters[26:52], r.integers(12, 20))), " ") for _ in range(200)]
-    blind = [(a, re.sub(r"^.*[=:\s\"']", "", b) or b, c) if i % 2 else (a, b, c) for i, (a, b, c) in enumerate(positive)]
-    data = [(x, y) for some, y in ((blind + made, 1.0), (plain, 0.0)) for x in some]
-    data = [data[i] for i in r.permutation(len(data))]
-    held, rest = data[: max(1, len(data) // 5)], data[max(1, len(data) // 5) :]
-    first = fitted(rest, seed).probability([w for w, _ in rest])
-    net = fitted([x for x, p in zip(rest, first.tolist(), strict=True) if x[1] or p < 0.5], seed)
-    y = np.array([label for _, label in held])
-    z = np.concatenate([net.forward(*encoded([w for w, _ in held[i : i + 64]]))[0] for i in range(0, len(held), 64)])
-    scale, shift = 1.0, 0.0
-    for _ in range(300):  # logistic calibration of held-out scores
-        p = 1 / (1 + np.exp(-np.clip(scale * z + shift, -30, 30)))
-        scale, shift = scale - 0.1 * float(((p - y) * z).mean() / (1 + (z**2).mean())), shift - 0.5 * float((p - y).mean())
+    weight, first, seed = weights_of(counts), None, 0
+    for _ in range(2):
+        start = Network.fresh().vector()
+        state = np.concatenate([start, np.zeros(2 * len(start) + 1)])
+        for at in range(SLICES):
+            seed += 1
+            total, n = averaged(at % slices, lambda i, chunk, state=state, first=first, seed=seed: whole(adam(state, chunk, weight, first, seed * (1 << 24) + i)))
+            state = total / UNIT / n if n else state
+        net = Network.of(state[: len(start)])
+        first = first or net
+    return thresholded(net, held(net), weight, min_recall)
+
+
+def thresholded(net: Network, found: np.ndarray, weight: np.ndarray, min_recall: float) -> Network:
+    """Calibrate on the (kind, score, how many) of everything held out and set the threshold; kinds have the weights of training."""
+    kind, score, n = found.T
+    y, w = (kind != OTHER).astype(np.float64), weight[kind] * n
+    told = score != LOST
+    z, scale, shift = score[told] / GRID, 1.0, 0.0
+    if told.any():
+        part = w[told] / w[told].sum()
+        for _ in range(300):  # logistic calibration of held-out scores
+            p = 1 / (1 + np.exp(-np.clip(scale * z + shift, -LIMIT, LIMIT)))
+            off = part * (p - y[told])
+            scale, shift = scale - 0.1 * float((off * z).sum() / (1 + (part * z**2).sum())), shift - 0.5 * float(off.sum())
     net.scale, net.shift = scale, shift
-    p = net.probability([w for w, _ in held])  # as scoring computes it
-    p[[not RUN.search(b) for (_, b, _), _ in held]] = 0  # no candidate, so lost before scoring
-    ranked = np.sort(p[y > 0])
-    if len(ranked):
-        net.threshold = float(ranked[int((1 - min_recall) * len(ranked))])
+    p = np.where(told, net.calibrated(score), 0.0)
+    secret = np.flatnonzero(y > 0)
+    if len(secret):
+        order = secret[np.argsort(-p[secret], kind="stable")]
+        reached = np.cumsum(w[order])
+        net.threshold = float(p[order[np.searchsorted(reached, min_recall * reached[-1] * (1 - 1e-12))]])
         hit = p >= net.threshold
-        net.recall, net.precision = float(hit[y > 0].mean()), float(y[hit].mean())
+        net.recall, net.precision = float(w[hit & (y > 0)].sum() / w[y > 0].sum()), float(w[hit & (y > 0)].sum() / w[hit].sum())
         LOG.info("held-out recall %.3f, precision %.3f at threshold %.4f", net.recall, net.precision, net.threshold)
     return net
 
 
-def sample(rows: DataFrame, column: str, most: int) -> list[tuple[str, str, str]]:
-    """Up to ``most`` distinct windows, the same ones at every run: those with the smallest hashes."""
-    windows = rows.select(F.explode(column).alias("x")).select("x.left", "x.token", "x.right").distinct()
-    return [(r.left, r.token, r.right) for r in windows.orderBy(F.xxhash64("left", "token", "right"), "left", "token", "right").limit(most).collect()]
+def trained(positive: list[tuple[str, str, str]], negative: list[tuple[str, str, str]], min_recall: float = MIN_RECALL) -> Network:
+    """The network that ``learned`` gets from windows at hand, which are one chunk."""
+    negative = negative or plain_windows()
+    chunk = chunk_of(positive + negative, [True] * len(positive) + [False] * len(negative), made_share(len(negative)), 0)
+    counts = np.bincount(chunk.kind, minlength=3).tolist()
+    return learned(lambda _, f: (f(0, chunk), 1), lambda net: np.array(list(held_scores(net, chunk)), np.int64).reshape(-1, 3), counts, 1, min_recall)
+
+
+def made_share(n_other: int) -> float:
+    return max(MADE_SHARE, MADE / max(1, n_other))
+
+
+PACKED = "slice int, chunk long, n_other long, n_known long, n_made long, width int, ids binary, inside binary, kind binary, held binary, lost binary"
+
+
+def chunks(rows: DataFrame, n_chunks: int, n_other: int) -> DataFrame:
+    """All windows of all documents in packed chunks, dealt by hash and each in one order, whatever the partitions were."""
+    share = made_share(n_other)
+    both = rows.select("doc_id", F.size("known").alias("n"), F.posexplode(F.concat("known", "other")).alias("at", "x"))
+    each = both.select(F.xxhash64("doc_id", "x.start", "x.left", "x.token", "x.right").alias("h"), "x.left", "x.token", "x.right", (F.col("at") < F.col("n")).alias("known"))
+    if not n_other:
+        made = rows.sparkSession.createDataFrame(plain_windows(), "left string, token string, right string")
+        each = each.union(made.select(F.xxhash64("left", "token", "right"), "left", "token", "right", F.lit(False)))
+    each = each.withColumn("chunk", F.pmod("h", F.lit(n_chunks)))
+    order = ["chunk", "h", "left", "token", "right", "known"]
+
+    def pack(batches):
+        for table, group in groups_of(batches, ["chunk"]):
+            edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(group)], strict=True):
+                some = table.slice(a, b - a)
+                number = some.column("chunk")[0].as_py()
+                x = chunk_of(list(zip(*(some.column(c).to_pylist() for c in ("left", "token", "right")), strict=True)), some.column("known").to_pylist(), share, number)
+                n = np.bincount(x.kind, minlength=3).tolist()
+                yield pa.RecordBatch.from_pylist([{"slice": number % SLICES, "chunk": number, "n_other": n[OTHER], "n_known": n[KNOWN], "n_made": n[MADE_UP], "width": x.ids.shape[1], **{c: getattr(x, c).tobytes() for c in ("ids", "inside", "kind", "held", "lost")}}], schema=types)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    types = to_arrow_schema(T._parse_datatype_string(PACKED))
+    return each.repartition("chunk").sortWithinPartitions(*order).mapInArrow(pack, PACKED)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x = {c: batch.column(c)[i] for c in ("chunk", "width", "ids", "inside", "kind", "held", "lost")}
+            ids, inside, kind, held, lost = (np.frombuffer(x[c].as_buffer(), np.uint8) for c in ("ids", "inside", "kind", "held", "lost"))
+            width = x["width"].as_py()
+            yield x["chunk"].as_py(), Chunk(ids.reshape(-1, width), inside.reshape(-1, width), kind, held.astype(bool), lost.astype(bool))
+
+
+def trained_on(rows: DataFrame) -> Network:
+    """A network that learned from every window of every document but those held out; the driver gets sums alone."""
+    n_known, n_other = rows.agg(*(F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in ("known", "other"))).first()
+    n_chunks = -(-int((n_known + n_other * (1 + made_share(n_other))) or 1) // CHUNK)
+    table = written(chunks(rows, n_chunks, n_other), "windows", ["slice"])
+    counts = list(table.agg(*(F.sum(c) for c in ("n_other", "n_known", "n_made"))).first())
+
+    def averaged(at, f):
+        def run(batches):
+            total, n = 0, 0
+            for number, chunk in unpacked(batches):
+                total, n = total + f(number, chunk), n + 1
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) + 1)), pa.array(np.r_[total, n])], ["at", "value"])
+
+        some = table.where(F.col("slice") == at).mapInArrow(run, "at long, value long").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+        value = some.sort_by("at").column("value").to_numpy()
+        return (value[:-1], int(value[-1])) if len(value) else (value, 0)
+
+    def held(net):
+        def run(batches):
+            for _, chunk in unpacked(batches):
+                found = np.array(list(held_scores(net, chunk)), np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], ["kind", "score", "n"])
+
+        some = table.mapInArrow(run, "kind long, score long, n long").groupBy("kind", "score").agg(F.sum("n").alias("n")).toArrow()
+        some = some.sort_by([("kind", "ascending"), ("score", "ascending")])  # at most a few times GRID * LIMIT rows
+        return np.stack([some.column(c).to_numpy() for c in ("kind", "score", "n")], axis=1)
+
+    net = learned(averaged, held, [int(n or 0) for n in counts], min(SLICES, n_chunks))
+    dropped(table)
+    return net
 
 
-def scanned(documents: DataFrame, max_found: int = MAX_FOUND, max_other: int = MAX_OTHER) -> DataFrame:
+def scanned(documents: DataFrame) -> DataFrame:
     """A row per document: doc_id, counts and digest of the fixed findings, all spans, n_net, net_score and the network's figures.
 
     spans lists kind:start:end by start and then kind, those of the network as kind net. threshold, held_recall
     and held_precision are the same in all rows: what the network keeps, and what that finds of held-out
     windows. A null text is an empty one; texts and tokens of any length are scored whole, in time that follows
-    their length; equal rows get equal results. Training uses ``max_found`` findings and ``max_other`` other candidates at most. Without any
+    their length; equal rows get equal results. Training, calibration and threshold use every finding and every other candidate. Without any
     finding the network learns from made tokens alone.
     """
     rows = written(found(documents), "secrets")
-    net = trained(sample(rows, "known", max_found), sample(rows, "other", max_other))
+    net = trained_on(rows)
     held = rows.sparkSession.sparkContext.broadcast(net)  # a few thousand weights
     schema = T.StructType([rows.schema["doc_id"], *T._parse_datatype_string("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_net long, net_score double, threshold double, held_recall double, held_precision double").fields])
 
