@@ -1,36 +1,40 @@
-"""Byte-level BPE, encoding and decoding, as higher-order functions of Spark.
+"""Byte-level BPE, encoding and decoding: words by functions of Spark, merges and pieces in numpy.
 
-A token id is written as one character (``character`` below), so that a sequence of tokens is a string, smaller ids
-are smaller strings, and joining, counting and replacing tokens are string functions. A word starts as the
-characters of its bytes. Each step of the fold looks every neighbouring pair up in the rank map (pair to the token
-it merges to), takes the smallest, and merges it at its leftmost place; words of over ``LONG`` bytes merge all its
-places at once, which is checked to give the same tokens, and go through single merges where it would not.
+A token id is written as one character (``character`` below), so that a sequence of tokens is a string, and joining
+and counting tokens are string functions.
 
 Words that the vocabulary has whole, and up to ``COMMON`` words that are frequent in the corpus, are encoded once and
-looked up; all others are folded where they stand, so no word of a document is ever shuffled back to it. Both maps
-are single rows of bounded size, dealt into buckets because a map of Spark is searched from end to end.
+looked up; all others stand marked between the tokens and are merged where they stand, all of a batch together, so no
+word of a document is ever shuffled back to it. The dictionary is a single row of bounded size, dealt into buckets
+because a map of Spark is searched from end to end.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rows import fresh
 from .scratch import written
 
 #: Code points from here on that UTF-8 can't encode; ids from here on stand this many further.
 SURROGATES, JUMP = 0xD800, 0x800
-NOT_NUL = NONE = "\U0010ffff"
-LONG = 64
+#: Stands before and after the bytes of a word that is to be merged; no token has it, and such a word has characters of one byte.
+MARK = "\U0010fffe"
+#: No merge. Words of more than LONG bytes are merged one by one, shorter ones TOGETHER at a time.
+#: Tasks take ROWS texts at a time.
+NONE, LONG, TOGETHER, ROWS = 1 << 30, 64, 4096, 512
 COMMON = 1 << 18
-BUCKETS, WORD_BUCKETS = 65521, 131071
-FACTOR = 613
+WORD_BUCKETS = 131071
 
 #: White space, as the pattern's \\s has it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -81,102 +85,165 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _merged(pairs: Column, x: Column, y: Column) -> Column:
-    """The token that two neighbours merge to; null if none."""
-    bucket = F.pmod(F.ascii(x) * F.lit(FACTOR) + F.ascii(y), F.lit(BUCKETS))
-    return F.element_at(F.get(pairs, bucket), F.concat(x, y))
+class Merges:
+    """What neighbouring tokens merge to, in sorted arrays of bounded size."""
 
-
-def _lowest(pairs: Column, tokens: Column, then: Callable[[Column, Column], Column]) -> Column:
-    """``then`` of the lowest merge of a token string and its first place, from 1; both null where nothing merges."""
-    return let(
-        F.split(tokens, ""),
-        lambda parts: let(
-            F.transform(parts, lambda x, i: _merged(pairs, x, F.get(parts, i + 1))), lambda ranks: let(F.array_min(ranks), lambda low: then(low, F.array_position(ranks, low).cast("int")))
-        ),
-    )
-
-
-def folded(tokens: Column, pairs: Column) -> Column:
-    """A token string after all merges, one merge a step, lowest rank and then leftmost first.
-
-    Beside the tokens goes a string of what each neighbouring pair merges to (``NONE`` if it doesn't), of which a
-    merge changes the two entries beside its place.
-    """
-    none = F.lit(NONE)
-
-    def merge(s: Column, ranks: Column, low: Column, at: Column) -> Column:
-        left, right = F.substring(s, at - 1, F.lit(1)), F.substring(s, at + 2, F.lit(1))
-        before = F.when(at > 1, F.concat(F.substring(ranks, F.lit(1), at - 2), F.coalesce(_merged(pairs, left, low), none))).otherwise(F.lit(""))
-        after = F.when(right != "", F.concat(F.coalesce(_merged(pairs, low, right), none), F.substring(ranks, at + 2, F.length(ranks)))).otherwise(F.lit(""))
-        return F.struct(F.concat(F.substring(s, F.lit(1), at - 1), low, F.substring(s, at + 2, F.length(s))).alias("s"), F.concat(before, after).alias("ranks"))
-
-    def step(state: Column, _: Column) -> Column:
-        s, ranks = state["s"], state["ranks"]
-        return let(F.array_min(F.split(ranks, "")), lambda low: F.when((low == "") | (low == NONE), state).otherwise(let(F.instr(ranks, low), lambda at: merge(s, ranks, low, at))))
-
-    def all_of(parts: Column) -> Column:
-        return F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.coalesce(_merged(pairs, x, F.get(parts, i + 1)), none)), "")
-
-    ranks = let(F.split(tokens, ""), all_of)
-    return let(ranks, lambda r: F.aggregate(F.array_repeat(F.lit(0), F.length(r)), F.struct(tokens.alias("s"), r.alias("ranks")), step))["s"]
-
-
-def folded_long(tokens: Column, pairs: Column) -> Column:
-    """The same for long words: a step merges every place of its lowest pair.
-
-    That equals single merges as long as no pair that a merge brings about has a lower rank, at the end of the step or
-    between two places of it; where one has, the word is folded by single merges instead.
-    """
-    start = F.struct(tokens.alias("s"), F.lit("").alias("last"), F.lit(True).alias("sound"), F.lit(True).alias("open"))
-
-    def step(state: Column, _: Column) -> Column:
-        s = state["s"]
-
-        def merge(low: Column, at: Column) -> Column:
-            first = F.substring(s, at, F.lit(1))
-            sound = (low > state["last"]) & ~F.coalesce(_merged(pairs, low, first) <= low, F.lit(False))
-            done = F.struct(s.alias("s"), state["last"].alias("last"), state["sound"].alias("sound"), F.lit(False).alias("open"))
-            goes_on = F.struct(F.replace(s, F.substring(s, at, F.lit(2)), low).alias("s"), low.alias("last"), sound.alias("sound"), sound.alias("open"))
-            return F.when(low.isNull(), done).otherwise(goes_on)
-
-        return F.when(state["open"], _lowest(pairs, s, merge)).otherwise(state)
-
-    steps = F.array_repeat(F.lit(0), F.greatest(F.length(tokens) - 1, F.lit(0)))
-    return let(F.aggregate(steps, start, step), lambda end: F.when(end["sound"], end["s"]).otherwise(folded(tokens, pairs)))
+    def __init__(self, tokens: dict[bytes, int]):
+        found = {}
+        for token, rank in tokens.items():
+            for k in range(1, len(token)):
+                x, y = tokens.get(token[:k]), tokens.get(token[k:])
+                if x is not None and y is not None:
+                    found[x << 32 | y] = rank
+        self.keys = np.array(sorted(found), np.int64)
+        self.ranks = np.array([found[k] for k in self.keys.tolist()] + [NONE], np.int64)
+        self.bytes = np.array([tokens[bytes([b])] for b in range(256)], np.int64)
+
+    def of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The tokens that pairs merge to, NONE where they don't; -1 stands for no token."""
+        key = (x << 32) + y
+        at = np.searchsorted(self.keys, key)
+        return np.where(np.r_[self.keys, -NONE][at] == key, self.ranks[at], NONE)
+
+    def folded(self, words: list[bytes]) -> np.ndarray:
+        """A row of tokens for each word, filled up by -1: one merge of each word at a time, lowest rank and then leftmost first."""
+        size = np.array([len(w) for w in words])
+        tokens = np.full((len(words), int(size.max()) + 1), -1, np.int64)
+        place = np.arange(tokens.shape[1])
+        tokens[place < size[:, None]] = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        out, row, t = tokens, np.arange(len(words)), tokens
+        ranks = np.full(t.shape, NONE, np.int64)
+        ranks[:, :-1] = self.of(t[:, :-1], t[:, 1:])
+        while True:
+            at = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(row)), at]
+            on = low < NONE
+            out[row[~on], : t.shape[1]] = t[~on]
+            if not on.any():
+                return out
+            row, t, ranks, at, low = row[on], t[on], ranks[on], at[on], low[on]
+            each = np.arange(len(row))
+            t[each, at] = low
+            after = np.minimum(place + (place > at[:, None]), len(place) - 1)
+            t, ranks = np.take_along_axis(t, after, 1), np.take_along_axis(ranks, after, 1)
+            ranks[each, at] = self.of(low, t[each, at + 1])
+            left = np.flatnonzero(at)
+            ranks[left, at[left] - 1] = self.of(t[left, at[left] - 1], low[left])
+
+    def folded_long(self, word: bytes) -> np.ndarray:
+        """The tokens of one word, in time that follows its bytes: a heap of merges over linked places."""
+        tokens = self.bytes[np.frombuffer(word, np.uint8)]
+        n = len(tokens)
+        ranks = self.of(tokens[:-1], tokens[1:])
+        heap = [*((ranks << 32) + np.arange(n - 1))[ranks < NONE].tolist()]
+        heapify(heap)
+        t, before, after = array("q", tokens.tolist()), array("q", range(-1, n - 1)), array("q", range(1, n + 1))
+        merges = self.named if heap else {}
+        while heap:
+            rank, at = divmod(heappop(heap), 1 << 32)
+            if t[at] < 0 or after[at] >= n or merges.get(t[at] << 32 | t[after[at]]) != rank:
+                continue  # one of the two has merged since
+            gone = after[at]
+            t[at], t[gone], after[at] = rank, -1, after[gone]
+            if after[at] < n:
+                before[after[at]] = at
+                if (x := merges.get(rank << 32 | t[after[at]])) is not None:
+                    heappush(heap, x << 32 | at)
+            if before[at] >= 0 and (x := merges.get(t[before[at]] << 32 | rank)) is not None:
+                heappush(heap, x << 32 | before[at])
+        tokens = np.frombuffer(t, np.int64)
+        return tokens[tokens >= 0]
+
+    @cached_property
+    def named(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.ranks.tolist()))
+
+    def strings(self, words: list[bytes]) -> list[str]:
+        """The token string of each word."""
+        out = [""] * len(words)
+        order = sorted((i for i, w in enumerate(words) if len(w) <= LONG), key=lambda i: len(words[i]))
+        for a in range(0, len(order), TOGETHER):
+            some = order[a : a + TOGETHER]
+            tokens = self.folded([words[i] for i in some])
+            text = _characters(tokens[tokens >= 0])
+            ends = np.cumsum((tokens >= 0).sum(axis=1)).tolist()
+            for i, x, y in zip(some, [0, *ends], ends):
+                out[i] = text[x:y]
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = _characters(self.folded_long(w))
+        return out
+
+
+def _characters(tokens: np.ndarray) -> str:
+    return (tokens + JUMP * (tokens >= SURROGATES)).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _tokens(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return codes - JUMP * (codes >= SURROGATES)
+
+
+def _bytes_of(texts: list[str | None], data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The pieces of each token string, one after another."""
+    out = []
+    for text in texts:
+        ids = _tokens(text or "")
+        size = ends[ids + 1] - ends[ids]
+        last = np.cumsum(size)
+        place = np.repeat(ends[ids] - last + size, size) + np.arange(last[-1] if len(last) else 0)
+        out.append(None if text is None else data[place].tobytes())
+    return pa.array(out, pa.binary())
 
 
 class Codec:
     """Encoder and decoder of one rank file. ``vocabulary`` is read by the driver alone."""
 
     def __init__(self, spark: SparkSession, vocabulary: str):
-        self.spark, tokens = spark, tokens_of(vocabulary)
-        self.size = max(tokens.values()) + 1
-        dealt: list[list[tuple[str, str]]] = [[] for _ in range(BUCKETS)]
-        for token, rank in tokens.items():
-            for k in range(1, len(token)):
-                x, y = tokens.get(token[:k]), tokens.get(token[k:])
-                if x is not None and y is not None:
-                    x, y = character(x), character(y)
-                    dealt[(ord(x) * FACTOR + ord(y)) % BUCKETS].append((x + y, character(rank)))
-        pieces: list[str | None] = [None] * (self.size + JUMP)
-        for token, rank in tokens.items():
-            pieces[ord(character(rank))] = token.decode("latin-1")
-        self._pairs = self._one(dealt, pa.list_(pa.map_(pa.string(), pa.string())), "pairs").scalar()
-        self._pieces = self._one(pieces, pa.list_(pa.string()), "pieces").scalar()
-        self._bytes = "".join(map(chr, range(256))), "".join(character(tokens[bytes([b])]) for b in range(256)).replace("\0", NOT_NUL)
-        whole = [(w, character(rank)) for token, rank in tokens.items() if (w := token.decode("utf-8", "ignore")).encode() == token]
+        self.spark, self._tokens = spark, tokens_of(vocabulary)
+        self.size = max(self._tokens.values()) + 1
+        assert self.size + JUMP < ord(MARK)
+        pieces = [b""] * self.size
+        for token, rank in self._tokens.items():
+            pieces[rank] = token
+        self._merges = Merges(self._tokens)
+        share = spark.sparkContext.broadcast
+        self._shared_merges = share(self._merges)  # a few megabytes each
+        self._shared_pieces = share((np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum([len(x) for x in pieces])]))
+        whole = [(w, character(rank)) for token, rank in self._tokens.items() if (w := token.decode("utf-8", "ignore")).encode() == token]
         self._whole = written(spark.createDataFrame(pa.table({"word": [w for w, _ in whole], "tokens": [c for _, c in whole]})), "vocabulary")
         self.dictionary: Column | None = None
 
-    def _one(self, value: list, kind: pa.DataType, name: str) -> DataFrame:
-        """One row of a value, from a scratch table: as a literal it would stand in every plan, and in what the driver keeps of plans."""
-        return written(self.spark.createDataFrame(pa.table({"x": pa.array([value], kind)})), name)
-
-    def _folds(self, word: Column, pairs: Column) -> Column:
-        raw = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), *self._bytes)
-        raw = F.replace(raw, F.lit(NOT_NUL), F.lit("\0"))  # translate deletes what it maps to NUL
-        return F.when(F.octet_length(word) > LONG, let(raw, lambda s: folded_long(s, pairs))).otherwise(let(raw, lambda s: folded(s, pairs)))
+    @property
+    def _pairs(self) -> Column:
+        """The merges as one value for expressions, from a scratch table: as a literal it would stand in every plan."""
+        x, y = np.divmod(self._merges.keys, 1 << 32)
+        row = pa.array([[{"x": a, "y": b, "rank": c} for a, b, c in zip(x.tolist(), y.tolist(), self._merges.ranks.tolist())]])
+        return written(self.spark.createDataFrame(pa.table({"x": row})), "pairs").scalar()
+
+    def _marked(self, word: Column) -> Column:
+        return F.concat(F.lit(MARK), F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit(MARK))
+
+    def _settled(self, marked: DataFrame, name: str, back: str | None = None) -> DataFrame:
+        """The rows with each marked word of a column merged, equal words of some rows once; ``back`` names a column for what it decodes to."""
+        at, merges, pieces = marked.columns.index(name), self._shared_merges, self._shared_pieces
+        schema = T.StructType([*marked.schema.fields, *([T.StructField(back, T.BinaryType())] if back else [])])
+
+        def merge(batches):
+            for whole in batches:
+                for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                    parts = [None if x is None else x.split(MARK) for x in batch.column(at).to_pylist()]
+                    where = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts if p for w in p[1::2]))}
+                    made = merges.value.strings([w.encode("latin-1") for w in where])
+                    for p in parts:
+                        if p:
+                            p[1::2] = [made[where[w]] for w in p[1::2]]
+                    texts = [None if p is None else "".join(p) for p in parts]
+                    cols = [*batch.columns]
+                    cols[at] = pa.array(texts, batch.schema.field(at).type)
+                    yield pa.RecordBatch.from_arrays([*cols, *([_bytes_of(texts, *pieces.value)] if back else [])], schema.names)
+
+        return marked.mapInArrow(merge, schema)
 
     def learned(self, documents: DataFrame, text: str = "text", common: int = COMMON) -> Codec:
         """Fill the dictionary: the vocabulary's own words, and frequent words of the documents, each encoded once.
@@ -193,27 +260,27 @@ class Codec:
             if total > common:
                 break
             least = at
-        found = counts.where(F.col("step") >= least).select("word", self._pairs.alias("pairs"))
-        found = found.select("word", let(F.col("pairs"), lambda p: self._folds(F.col("word"), p)).alias("tokens")).union(self._whole)
+        found = self._settled(counts.where(F.col("step") >= least).select("word", self._marked(F.col("word")).alias("tokens")), "tokens").union(self._whole)
         dealt = found.groupBy(F.pmod(F.hash("word"), F.lit(WORD_BUCKETS)).alias("bucket")).agg(F.collect_list(F.struct("word", "tokens")).alias("entries"))
         every = self.spark.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(dealt, "bucket", "left")
         row = every.agg(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("entries", F.expr("cast(array() AS array<struct<word: string, tokens: string>>)")).alias("entries")))).alias("x"))
         self.dictionary = written(row.select(F.transform("x", lambda b: F.map_from_entries(b["entries"])).alias("x")), "dictionary").scalar()
         return self
 
-    def encoded(self, documents: DataFrame, text: Column, name: str) -> DataFrame:
+    def encoded(self, documents: DataFrame, text: Column, name: str, keep: list[str] | None = None, back: str | None = None) -> DataFrame:
         """The documents and the token strings of a text; each match of the pattern is encoded by itself. Null stays null.
 
-        The maps come in as columns that one expression reads, which the optimizer folds into it: no row carries them.
+        Of the documents the columns ``keep`` stay, or all; ``back`` names a column for the bytes that the tokens decode to.
+        The dictionary comes in as a column that one expression reads, which the optimizer folds into it: no row carries it.
         """
         assert self.dictionary is not None, "learn the dictionary first"
 
-        def word(known: Column, pairs: Column, w: Column) -> Column:
-            return F.coalesce(F.element_at(F.get(known, F.pmod(F.hash(w), F.lit(WORD_BUCKETS))), w), self._folds(w, pairs))
+        def word(known: Column, w: Column) -> Column:
+            return F.coalesce(F.element_at(F.get(known, F.pmod(F.hash(w), F.lit(WORD_BUCKETS))), w), self._marked(w))
 
-        k, p = fresh(documents.columns, "known", "pairs")
-        tokens = let(F.col(k), lambda known: let(F.col(p), lambda pairs: F.array_join(F.transform(words_of(text), lambda w: word(known, pairs, w)), "")))
-        return documents.select("*", self.dictionary.alias(k), self._pairs.alias(p)).select(*documents.columns, tokens.alias(name))
+        (k,) = fresh(documents.columns, "known")
+        tokens = let(F.col(k), lambda known: F.array_join(F.transform(words_of(text), lambda w: word(known, w)), ""))
+        return self._settled(documents.select("*", self.dictionary.alias(k)).select(*(documents.columns if keep is None else keep), tokens.alias(name)), name, back)
 
     def ids(self, tokens: Column) -> Column:
         """Array of token ids of a token string."""
@@ -221,11 +288,16 @@ class Codec:
         return F.when(tokens == "", F.expr("cast(array() AS array<int>)")).otherwise(F.transform(F.split(tokens, ""), of))
 
     def decoded(self, documents: DataFrame, tokens: str, name: str) -> DataFrame:
-        """The documents and the bytes of a column of token strings: the tokens' pieces, joined as characters of one byte each."""
-        (p,) = fresh(documents.columns, "pieces")
-        text = F.array_join(F.transform(F.split(tokens, ""), lambda c: F.get(F.col(p), F.ascii(c))), "")
-        out = F.encode(F.when(F.col(tokens) == "", F.lit("")).otherwise(text), "ISO-8859-1")
-        return documents.select("*", self._pieces.alias(p)).select(*documents.columns, out.alias(name))
+        """The documents and the bytes of a column of token strings: the tokens' pieces, one after another."""
+        at, shared = documents.columns.index(tokens), self._shared_pieces
+        schema = T.StructType([*documents.schema.fields, T.StructField(name, T.BinaryType())])
+
+        def decode(batches):
+            for whole in batches:
+                for batch in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, _bytes_of(batch.column(at).to_pylist(), *shared.value)], schema.names)
+
+        return documents.mapInArrow(decode, schema)
 
     def packed(self, tokens: Column) -> Column:
         """The ids as little-endian unsigned 32-bit integers.
@@ -253,7 +325,7 @@ def encoded(documents: DataFrame, vocabulary: str, text: str = "text", common: i
 
 def digests(documents: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: n_tokens, and digests of its ids and of what they decode to."""
-    found, codec, name = encoded(documents.select("doc_id", "text"), vocabulary)
-    tokens = F.col(name)
-    back = codec.decoded(found.select("doc_id", name), name, "decoded")
-    return back.select("doc_id", F.length(tokens).cast("long").alias("n_tokens"), F.sha2(codec.packed(tokens), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    codec = Codec(documents.sparkSession, vocabulary).learned(documents)
+    found = codec.encoded(documents.select("doc_id", "text"), F.coalesce("text", F.lit("")), "tokens", ["doc_id"], "decoded")
+    tokens = F.col("tokens")
+    return found.select("doc_id", F.length(tokens).cast("long").alias("n_tokens"), F.sha2(codec.packed(tokens), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
