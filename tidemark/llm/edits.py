@@ -20,20 +20,85 @@ def tallies(texts: pa.Array) -> np.ndarray:
     return np.bincount(row[first] * BINS + (data[first] & (BINS - 1)), minlength=len(texts) * BINS).reshape(len(texts), BINS).astype(np.int32)
 
 
-def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A bound from below for the edit distance of the texts of each two tallies: an edit takes one character away and brings one."""
+def least(a: np.ndarray, b: np.ndarray, longer: np.ndarray | None = None) -> np.ndarray:
+    """A bound from below for the edit distance of the texts of each two tallies: an edit takes one character away and brings one.
+
+    That is half of all differences and of what one text is ``longer``; small tallies may stand for greater ones.
+    """
     more = a - b
-    return np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+    if longer is None:
+        longer = np.abs(more.sum(axis=1))
+    return (added(np.abs(more, out=more)) + longer) >> 1
+
+
+#: Sums of BINS numbers up to this fit 16 bits.
+MOST = (1 << 15) // BINS - 1
+
+
+def small(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(counts, MOST).astype(np.int16)
+
+
+def added(x: np.ndarray) -> np.ndarray:
+    """Sums of rows of BINS numbers, by halves, as whole columns."""
+    width = x.shape[1]
+    while width > 1:
+        width //= 2
+        x = x[:, :width] + x[:, width:]
+    return x[:, 0].astype(np.int64)
+
+
+#: From so many characters on, runs of three are counted (in GRAMS classes) before texts are compared.
+LONG, GRAMS = 48, 1024
+
+
+def grams(text: str) -> np.ndarray:
+    """How many runs of three characters fall into each of GRAMS classes."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount((x[:-2] * np.uint32(961) + x[1:-1] * np.uint32(31) + x[2:]) % np.uint32(GRAMS), minlength=GRAMS)
+
+
+def apart(a: str, b: str) -> int:
+    """A bound from below for the edit distance: an edit takes three runs of three characters away and brings three at most."""
+    return -(-int(np.abs(grams(a) - grams(b)).sum()) // 6)
+
+
+def aligned(a: str, b: str, most: int) -> int:
+    """A bound from above for the edit distance, by words in order; where words differ it goes on at the next pair of words that agree."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, q = next(((p, q) for p, q in AHEAD if x[i + p : i + p + 1] == y[j + q : j + q + 1] != []), (1, 1))
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q) if p != q else max(len(" ".join(x[i : i + p])), len(" ".join(y[j : j + q])))
+        i, j = i + p, j + q
+        if cost > most:
+            return cost
+    return cost + sum(len(w) + 1 for w in x[i:]) + sum(len(w) + 1 for w in y[j:])
+
+
+#: Words to pass over on either side, the fewest first.
+AHEAD = sorted(((p, q) for p in range(4) for q in range(4) if p or q), key=lambda x: (sum(x), abs(x[0] - x[1])))
 
 
 def distance(a: str, b: str, most: int | None = None) -> int:
-    """Edit distance; where it exceeds ``most``, any number above that. Common start and end are cut off first."""
+    """Edit distance; where it exceeds ``most``, any number above that, and below ``most`` one that is at least the distance.
+
+    Common start and end are cut off first; of long texts, bounds may tell already on which side of ``most`` they are.
+    """
     n = len(os.path.commonprefix((a, b)))
     a, b = a[n:], b[n:]
     n = len(os.path.commonprefix((a[::-1], b[::-1])))
     a, b = a[: len(a) - n], b[: len(b) - n]
     if not a or not b:
         return len(a) + len(b)
+    if most is not None and min(len(a), len(b)) >= LONG:
+        if (bound := aligned(a, b, most)) <= most:
+            return bound
+        if (bound := apart(a, b)) > most:
+            return bound
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -54,4 +119,9 @@ def distance(a: str, b: str, most: int | None = None) -> int:
             return score
         up = up << 1 | 1
         plus, minus = (less << 1 | ~(down | up)) & full, up & down & full
+        if not left & 15 and left < len(a):  # what it costs to get to the last diagonal, which never falls along it
+            upto = (1 << (len(a) - left)) - 1
+            reached = len(b) - left + (plus & upto).bit_count() - (minus & upto).bit_count()
+            if reached > most:
+                return reached
     return score

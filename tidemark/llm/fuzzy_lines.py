@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .edits import distance, least, tallies
+from .edits import distance, least, small, tallies
 from .flat import U, mixed, parts, prefix, spans
 from .linking import celled, centred, groups_of, linked, pairs_in
 from .near_duplicates import sketches
@@ -376,7 +376,7 @@ def across(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFra
             x = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "component", *NAMES)}
             lines = pa.concat_arrays(table.column("text").chunks)
             counts, said = tallies(lines), {}
-            size = counts.sum(axis=1)
+            size, counts = counts.sum(axis=1), small(counts)
             out = set()
             for a, b in pairs_in(group):
                 keep = (x["component"][a] != x["component"][b]) & ((x["i"][a] == x["j"][a]) | (x["block"][a] != x["block"][b]))
@@ -384,7 +384,8 @@ def across(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFra
                 keep = near(x, a, b, percent)
                 a, b = a[keep], b[keep]
                 most = np.maximum(size[a], size[b]) * (100 - percent) // 100
-                keep = np.concatenate([least(counts[a[i : i + SLICE]], counts[b[i : i + SLICE]]) for i in range(0, max(1, len(a)), SLICE)]) <= most
+                longer = np.abs(size[a] - size[b])
+                keep = np.concatenate([least(counts[a[i : i + SLICE]], counts[b[i : i + SLICE]], longer[i : i + SLICE]) for i in range(0, max(1, len(a)), SLICE)]) <= most
                 for p, q, m in zip(a[keep].tolist(), b[keep].tolist(), most[keep].tolist()):
                     pair = tuple(sorted((int(x["node"][p]), int(x["node"][q]))))
                     if pair in out:
