@@ -16,6 +16,7 @@ settled there, so that no part gathers a frequent key.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .edits import distance, least, small, tallies
+from .edits import close, distance, least, small, tallies
 from .flat import U, mixed, parts, prefix, spans
 from .linking import celled, centred, groups_of, linked, pairs_in
 from .near_duplicates import sketches
@@ -189,8 +190,8 @@ def bucket_keys(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 NAMES = ["n", "bits"]
-#: Lines in a block of a cell whose texts are compared in one task, and pairs whose distance is bounded at once.
-BLOCK, SLICE = 512, 1 << 14
+#: Lines in a block of a cell whose texts are compared in one task, pairs whose distance is bounded at once, and pairs to compare at once.
+BLOCK, SLICE, TRIED = 512, 1 << 14, 1 << 18
 
 
 def near(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -356,14 +357,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
         for batch in batches:
             counts = [tallies(batch.column(k)) for k in (2, 3)]
             size = np.maximum(*(c.sum(axis=1) for c in counts))
-            batch = batch.filter(pa.array(least(*counts) <= size * (100 - percent) // 100))
-            texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            most = [(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in texts]
-            yield batch.filter(pa.array([distance(x, y, m) <= m for x, y, m in most], pa.bool_())).select(["a", "b"])
+            most = size * (100 - percent) // 100
+            keep = least(*counts) <= most
+            batch, most = batch.filter(pa.array(keep)), most[keep]
+            at = np.arange(len(most))
+            yield batch.filter(pa.array(close(pa.concat_arrays([batch.column(2), batch.column(3)]), at, at + len(at), most))).select(["a", "b"])
 
     return pairs.select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long")
 
 
+def close_nodes(node: np.ndarray, lines: pa.Array, tried: np.ndarray, one: Callable[[str, str, int], int]) -> pa.RecordBatch:
+    """The pairs of nodes whose lines are close, of columns (place, place, most); a pair that shares several buckets is compared once."""
+    a, b, most = tried
+    pair = np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1)
+    pair, once = np.unique(pair, axis=0, return_index=True)
+    found = np.flatnonzero(close(lines, a[once], b[once], most[once], one))
+    return pa.RecordBatch.from_arrays([pa.array(pair[found, k]) for k in (0, 1)], ["a", "b"])
+
+
 def across(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The links (a, b) between different components of a bucket, a cell of two blocks at a time; only links leave the task.
 
@@ -375,9 +386,9 @@ def across(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFra
         for table, group in groups_of(batches, ["key", "i", "j"]):
             x = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "component", *NAMES)}
             lines = pa.concat_arrays(table.column("text").chunks)
-            counts, said = tallies(lines), {}
+            counts = tallies(lines)
             size, counts = counts.sum(axis=1), small(counts)
-            out = set()
+            tried, held = [], 0
             for a, b in pairs_in(group):
                 keep = (x["component"][a] != x["component"][b]) & ((x["i"][a] == x["j"][a]) | (x["block"][a] != x["block"][b]))
                 a, b = a[keep], b[keep]
@@ -386,17 +397,13 @@ def across(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFra
                 most = np.maximum(size[a], size[b]) * (100 - percent) // 100
                 longer = np.abs(size[a] - size[b])
                 keep = np.concatenate([least(counts[a[i : i + SLICE]], counts[b[i : i + SLICE]], longer[i : i + SLICE]) for i in range(0, max(1, len(a)), SLICE)]) <= most
-                for p, q, m in zip(a[keep].tolist(), b[keep].tolist(), most[keep].tolist()):
-                    pair = tuple(sorted((int(x["node"][p]), int(x["node"][q]))))
-                    if pair in out:
-                        continue
-                    for k in (p, q):
-                        if k not in said:
-                            said[k] = lines[k].as_py()
-                    if distance(said[p], said[q], m) <= m:
-                        out.add(pair)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
+                tried.append(np.stack([a[keep], b[keep], most[keep]]))
+                held += len(tried[-1][0])
+                if held > TRIED:
+                    yield close_nodes(x["node"], lines, np.concatenate(tried, axis=1), distance)
+                    tried, held = [], 0
+            if held:
+                yield close_nodes(x["node"], lines, np.concatenate(tried, axis=1), distance)
 
     return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
 
