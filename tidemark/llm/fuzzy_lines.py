@@ -9,7 +9,8 @@ dealings make that likely for more. Lines that share a block are candidates, the
 them out, and the edit similarity of their texts decides. Short lines have too few words: those up to SHORT characters meet by sketches of their runs
 of four bytes, those up to TINY when they share a key among the line and the line less one character.
 
-Block keys travel as packed bytes, a part for each range of keys. Keys that are frequent within a task are
+Block keys travel as packed bytes with what thins out their lines, a part for each range of keys, and leave it as pairs
+that fit, or as rows where many lines share one. Keys that are frequent within a task are
 settled there, so that no part gathers a frequent key.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from .edits import close, distance, least, small, tallies
 from .flat import U, mixed, parts, prefix, spans
-from .linking import celled, centred, groups_of, linked, pairs_in
+from .linking import SMALL, celled, centred, groups_of, linked, pairs_in
 from .near_duplicates import sketches
 from .rows import fresh, keyed, row_keys
 from .scratch import dropped, written
@@ -220,11 +221,12 @@ def placed_lines(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return rows.select("doc_id", "k1", "k2", "text").mapInArrow(scan, schema)
 
 
-#: Kinds of packed parts: keys, settled keys, and lines with their SimHash, characters and 1.
-KEYS, SETTLED, LINES = range(3)
+#: Kinds of packed parts.
+KEYS, SETTLED = range(2)
 #: Entries of a packed part of keys: five bytes of the key, whose others name the part, and the node. HEAVY: so often in one
-#: flush, a key is settled there. SEEN: places of a task's memory of lines whose keys it has sent.
+#: flush, a key is settled there (ELSEWHERE marks its first entry). LENGTHY: the line is not below LONG. SEEN: places of a task's memory of lines whose keys it has sent.
 ENTRY, FLUSH, HEAVY, SEEN, PART_ENTRIES = 13, 1 << 19, 64, 1 << 18, 1 << 21
+ELSEWHERE, LENGTHY = 128, 127
 
 
 def packed(keys: np.ndarray, nodes: np.ndarray) -> bytes:
@@ -241,20 +243,40 @@ def unpacked(part: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys.view("<u8").ravel() | U(part << 40), np.ascontiguousarray(x[:, 5:]).view("<u8").ravel()
 
 
-def flushed(keys: np.ndarray, nodes: np.ndarray, n_parts: int):
-    """(part, kind, bytes) for entries: those of frequent keys go to their node's part, settled, but for the first of each."""
+def told(size: np.ndarray, bits: np.ndarray, elsewhere: np.ndarray) -> bytes:
+    """A byte per entry with its line's characters; what does not fit there, and the SimHash, follow for lines that thinning by it may touch."""
+    lengthy = size >= LONG
+    return (np.where(lengthy, LENGTHY, size) + ELSEWHERE * elsewhere).astype(np.uint8).tobytes() + size[lengthy].astype("<i4").tobytes() + bits[lengthy].astype("<u8").tobytes()
+
+
+def untold(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters, SimHash and whether the key is settled elsewhere, of the n entries of a part."""
+    first = np.frombuffer(data, np.uint8, n)
+    size, bits = (first & 127).astype(np.int32), np.zeros(n, U)
+    lengthy = np.flatnonzero(size == LENGTHY)
+    size[lengthy] = np.frombuffer(data, "<i4", len(lengthy), n)
+    bits[lengthy] = np.frombuffer(data, "<u8", len(lengthy), n + 4 * len(lengthy))
+    return size, bits, first >= ELSEWHERE
+
+
+def flushed(keys: np.ndarray, nodes: np.ndarray, n_parts: int, size: np.ndarray | None = None, bits: np.ndarray | None = None):
+    """(part, kind, bytes) for entries: those of frequent keys go to their node's part, settled, but for the first of each.
+
+    With characters and SimHash of each entry's line, a fourth item packs those.
+    """
     keys = (keys >> U(40)) % U(n_parts) << U(40) | keys & U((1 << 40) - 1)
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.r_[True, keys[1:] != keys[:-1]]
-    size = np.diff(np.r_[np.flatnonzero(new), len(keys)])
-    heavy = np.repeat(size >= HEAVY, size)
+    times = np.diff(np.r_[np.flatnonzero(new), len(keys)])
+    heavy = np.repeat(times >= HEAVY, times)
     part = keys >> U(40)
     for kind, mine in ((KEYS, ~heavy | new), (SETTLED, heavy)):
         at = np.flatnonzero(mine)
         for p, some in parted(nodes[at] % U(n_parts) if kind == SETTLED else part[at]):
             some = at[some]
-            yield p, kind, keys[some].tobytes() + nodes[some].tobytes() if kind == SETTLED else packed(keys[some], nodes[some])
+            data = keys[some].tobytes() + nodes[some].tobytes() if kind == SETTLED else packed(keys[some], nodes[some])
+            yield (p, kind, data) if size is None else (p, kind, data, told(size[order[some]], bits[order[some]], heavy[some]))
 
 
 def parted(part: np.ndarray):
@@ -264,21 +286,20 @@ def parted(part: np.ndarray):
     return [(int(part[some[0]]), some) for some in np.split(order, edges[1:])] if len(order) else []
 
 
-def buckets(rows: DataFrame, n_parts: int, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(key, node) of every key that several lines share, and (node, n, bits, times) of every line.
+def buckets(rows: DataFrame, n_parts: int, min_bytes: int = MIN_BYTES, percent: int = PERCENT) -> DataFrame:
+    """(node, other) of every pair of lines that share a key of up to SMALL lines and fit, and (key, node, n, bits, times) of keys of more.
 
-    ``times`` is how many tasks or slices met the line, which is enough to know the frequent ones.
+    ``times`` is how many tasks or slices met the line with this key, which is enough to know the frequent ones.
     """
 
     def send(batches):
         seen = np.zeros(SEEN, np.int64)
-        keys, nodes, lines, held = [], [], [], 0
+        held: list[list[np.ndarray]] = []
 
         def flush():
-            out = list(flushed(np.concatenate(keys), np.concatenate(nodes), n_parts)) if held else []
-            own = np.concatenate([np.zeros((0, 3), U), *lines])
-            out += [(p, LINES, own[some].tobytes()) for p, some in parted(own[:, 0] % U(n_parts))]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["part", "kind", "data"])
+            out = list(flushed(*(np.concatenate(x) for x in zip(*(h[:2] for h in held), strict=True)), n_parts, *(np.concatenate(x) for x in zip(*(h[2:] for h in held), strict=True)))) if held else []
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in (2, 3))], ["part", "kind", "data", "told"])
 
         for batch in batches:
             for data, start, end, _, _ in lines_of(batch.column(0)):
@@ -289,42 +310,48 @@ def buckets(rows: DataFrame, n_parts: int, min_bytes: int = MIN_BYTES) -> DataFr
                 first = np.sort(first[seen[node[first] & (SEEN - 1)] != node[first]])
                 seen[node[first] & (SEEN - 1)] = node[first]
                 row, key, bits, size = line_keys(data, start[first], end[first])
-                keys.append(key)
-                nodes.append(node[first][row].view(U))
-                lines.append(np.stack([node[first].view(U), bits, size.astype(U)], axis=1))
-                held += len(key)
-                if held >= FLUSH:
+                if len(key):
+                    held.append([key, node[first][row].view(U), size[row].astype(np.int32), bits[row]])
+                if sum(len(h[0]) for h in held) >= FLUSH:
                     yield flush()
-                    keys, nodes, lines, held = [], [], [], 0
         yield flush()
 
     def meet(batches):
-        none = np.zeros(0, U)
-        sent: dict[int, list] = {KEYS: [(none, none)], SETTLED: [(none, none)], LINES: [np.zeros((0, 3), U)]}
+        sent: dict[int, list] = {KEYS: [], SETTLED: []}
         for batch in batches:
-            for part, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                both = np.frombuffer(data, U) if kind != KEYS else None
-                sent[kind].append(unpacked(part, data) if kind == KEYS else both.reshape(-1, 3) if kind == LINES else (both[: len(both) // 2], both[len(both) // 2 :]))
+            for part, kind, data, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                both = np.frombuffer(data, U) if kind == SETTLED else None
+                k, v = unpacked(part, data) if kind == KEYS else (both[: len(both) // 2], both[len(both) // 2 :])
+                sent[kind].append((k, v, *untold(more, len(k))))
         for kind in (KEYS, SETTLED):
-            k, v = (np.concatenate(x) for x in zip(*sent.pop(kind), strict=True))
+            if not (some := sent.pop(kind)):
+                continue
+            k, v, n, bits, elsewhere = (np.concatenate(x) for x in zip(*some, strict=True))
+            del some
             order = np.lexsort((v, k))
             k, v = k[order], v[order]
-            keep = np.ones(len(k), bool)
-            keep[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-            k, v = k[keep], v[keep]
-            same = k[1:] == k[:-1]
-            on = np.r_[False, same] | np.r_[same, False] if len(k) else np.zeros(0, bool)
-            on |= kind == SETTLED
-            n = int(on.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(k[on].view(np.int64)), pa.array(v[on].view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names)
-        own = np.concatenate(sent[LINES])
-        _, first, times = np.unique(own[:, 0], return_index=True, return_counts=True)
-        node, bits, size = own[first].T
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), *map(pa.array, (node.astype(np.int64), size.astype(np.int32), bits.astype(np.int64), times.astype(np.int32)))], names)
-
-    names = ["key", "node", "n", "bits", "times"]
-    sent = rows.select("text").mapInArrow(send, "part int, kind int, data binary")
-    return sent.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "key long, node long, n int, bits long, times int")
+            keep = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
+            times = np.diff(np.r_[keep, len(k)]).astype(np.int32)
+            elsewhere = np.maximum.reduceat(elsewhere[order], keep)
+            k, v, n, bits = k[keep], v[keep].view(np.int64), n[order[keep]], bits[order[keep]].view(np.int64)
+            new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            c = np.diff(np.r_[new, len(k)])
+            large = np.repeat((c > SMALL) | (c > 1) & np.maximum.reduceat(elsewhere, new), c) | (kind == SETTLED)
+            at = np.flatnonzero(~large & np.repeat(c > 1, c))
+            found = [np.zeros((0, 2), np.int64)]
+            for a, b in pairs_in(k[at]):
+                fit = near({"n": n[at], "bits": bits[at]}, a, b, percent)
+                p, q = v[at[a[fit]]], v[at[b[fit]]]
+                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            made = [pa.array(x[large]) for x in (k.view(np.int64), v, n, bits, times)]
+            none = [pa.nulls(len(pairs), x.type) for x in made[2:]]
+            yield pa.RecordBatch.from_arrays([*made, pa.nulls(len(made[0]), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), *none, pa.array(pairs[:, 1])], names)
+
+    names = ["key", "node", *NAMES, "times", "other"]
+    sent = rows.select("text").mapInArrow(send, "part int, kind int, data binary, told binary")
+    return sent.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "key long, node long, n int, bits long, times int, other long")
 
 
 def line_texts(rows: DataFrame, lines: DataFrame, asked: DataFrame) -> DataFrame:
@@ -418,14 +445,12 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     rows = keyed(documents)
     lines = written(placed_lines(rows, min_bytes), "lines")
     n_parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() * 16 // PART_ENTRIES)
-    sent = written(buckets(rows, n_parts, min_bytes), "keys")
-    met = written(sent.where("key IS NOT NULL").select("key", "node").join(sent.where("key IS NULL").select("node", "n", "bits", "times"), "node"), "buckets")
-    dropped(sent)
-    first = written(centred(met, NAMES, fits(percent)).distinct(), "pairs")
-    texts = written(line_texts(rows, lines, met.select("node").distinct()), "texts")
-    several = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 2").select("key")  # the one pair of others has met its centre
-    large = written(met.join(several, "key"), "large")
-    dropped(met)
+    sent = written(buckets(rows, n_parts, min_bytes, percent), "keys")
+    large = sent.where("other IS NULL").select("key", "node", *NAMES, "times")
+    pairs = sent.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    first = written(pairs.union(centred(large, NAMES, fits(percent))).distinct(), "pairs")
+    asked = first.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    texts = written(line_texts(rows, lines, asked), "texts")
     groups = linked(first, large, NAMES, fits(percent), lambda pairs: confirmed(pairs, texts, percent), lambda some: across(some, texts, percent))
     placed = lines
     if groups is not None:
@@ -437,7 +462,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     first_of = placed.groupBy("group", "n").agg(F.min("at").alias("first"), F.count("*").alias("times")).where("times > 1").select("group", "n", "first")
     gone = placed.join(first_of, ["group", "n"]).where("at <> first").groupBy("at.k1", "at.k2").agg(F.sort_array(F.collect_set("at.line")).alias("dropped"))
     gone = written(gone, "gone")
-    for x in (lines, large, first, texts, *([groups] if groups is not None else [])):
+    for x in (lines, sent, first, texts, *([groups] if groups is not None else [])):
         dropped(x)
     return gone
 
