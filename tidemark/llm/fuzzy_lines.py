@@ -49,7 +49,8 @@ FOLD[[*range(10), *range(11, 32), 127]] = 32
 FOLD[65:91] += 32
 #: Bytes between words: spaces, line ends and ASCII punctuation, which stays in the text that is compared.
 BETWEEN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
-PACK = np.array([sum((v >> j & 1) << (10 * j) for j in range(5)) for v in range(32)], np.float64)
+#: A byte's bits as eight counts of a byte each.
+LANES = np.array([sum((v >> j & 1) << (8 * j) for j in range(8)) for v in range(256)], U)
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -66,12 +67,10 @@ def folded(data: np.ndarray) -> np.ndarray:
 
 def lines_of(column: pa.Array, limit: int = 1 << 18):
     """(bytes, start, end, row, number) of the normalised lines of slices of a column; a line end stands after each."""
-    for a, b, data, ends in parts(pc.utf8_lower(column.cast(pa.large_string())), limit):
-        data = folded(data)
-        place = np.arange(len(data)) + np.repeat(np.arange(b - a), np.diff(ends))
-        out = np.full(len(data) + b - a, 10, np.uint8)
-        out[place] = data
-        n_lines = np.add.reduceat(np.r_[out == 10, False].astype(np.int64), ends[:-1] + np.arange(b - a)) if b > a else np.zeros(0, np.int64)
+    column = pc.fill_null(pc.utf8_lower(column.cast(pa.large_string())), "")
+    for a, b, data, ends in parts(pc.binary_join_element_wise(column.cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary())), limit):
+        out = folded(data)
+        n_lines = np.diff(np.searchsorted(np.flatnonzero(out == 10), ends))
         gap = (out == 32) | (out == 10)
         out = out[(out != 32) | np.r_[False, ~gap[:-1]]]
         out = out[(out != 32) | np.r_[out[1:] != 10, True]]
@@ -87,7 +86,7 @@ def characters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return seen[end] - seen[start]
 
 
-def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Line, hash and bytes of each feature: words, which also end where four bytes hash low, one place in sixteen."""
     n = len(data)
     inside = ~BETWEEN[data]
@@ -108,19 +107,25 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     counts = np.searchsorted(first, end) - low
     mine = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
     first, last = first[mine], last[mine]
-    return np.repeat(np.arange(len(start)), counts), spans(prefix(data), first, last), last - first
+    return np.repeat(np.arange(len(start)), counts), spans(sums, first, last), last - first
 
 
 def simhash(line: np.ndarray, found: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
-    """64 bits of each line: whether most of its features of four bytes and more have the bit."""
+    """64 bits of each line: whether most of its features of four bytes and more have the bit. Features come in order of lines."""
     line, found = line[size >= 4], mixed(found[size >= 4] + U(5))
     counts = np.bincount(line, minlength=n)
     out = np.zeros(n, U)
-    many = 5 if counts.max(initial=0) < 1024 else 1  # bits that one sum of doubles holds
-    for g in range(0, 64, many):
-        sums = np.bincount(line, PACK[((found >> U(g)) & U((1 << many) - 1)).astype(np.int64)], n).astype(np.int64)
-        for j in range(min(many, 64 - g)):
-            out |= (2 * (sums >> (10 * j) & 1023 if many > 1 else sums) > counts).astype(U) << U(g + j)
+    if not len(line):
+        return out
+    mine = np.flatnonzero(counts)
+    first = (np.cumsum(counts) - counts)[mine]
+    lanes = LANES[found.view(np.uint8)].reshape(-1, 8)  # eight counts of a byte each, so parts of a line of up to 255 features
+    many = np.flatnonzero(counts[mine] > 255).tolist()
+    step = np.sort(np.concatenate([first, *(np.arange(first[i] + 255, first[i] + counts[mine[i]], 255) for i in many)]))
+    sums = np.add.reduceat(lanes, step, axis=0).view(np.uint8)
+    if len(step) > len(first):
+        sums = np.add.reduceat(sums, np.searchsorted(step, first), axis=0, dtype=np.int64)
+    out[mine] = np.packbits(2 * sums.astype(np.int64) > counts[mine, None], axis=1, bitorder="little").view(U).ravel()
     return out
 
 
@@ -138,23 +143,23 @@ def blocks(line: np.ndarray, found: np.ndarray, size: np.ndarray, n: int, tier:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def bands(data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = 4, rows: int = 4) -> np.ndarray:
+def bands(sums: np.ndarray, start: np.ndarray, end: np.ndarray, width: int = 4, rows: int = 4) -> np.ndarray:
     """Band keys of the sketches of each line's runs of ``width`` bytes."""
     n = COORDINATES // rows
     count = np.maximum(end - start - width + 1, 0)
     line = np.repeat(np.arange(len(start)), count)
     at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    split = sketches(line, spans(prefix(data), at, at + width), len(start), COORDINATES)[:, : n * rows].reshape(len(start), n, rows)
+    split = sketches(line, spans(sums, at, at + width), len(start), COORDINATES)[:, : n * rows].reshape(len(start), n, rows)
     keys = np.zeros((len(start), n), U)
     for k in range(rows):
         keys = mixed(keys * U(0xD1342543DE82EF95) + split[:, :, k])
     return mixed(keys + np.arange(1, n + 1, dtype=U) * STEP + U(width))
 
 
-def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Line and bucket key of all keys of some lines, and each line's SimHash and characters."""
+def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Line and bucket key of all keys of some lines, and each line's SimHash and characters; ``sums`` are the prefix sums of the bytes."""
     size = characters(data, start, end)
-    line, found, bytes_ = features(data, start, end)
+    line, found, bytes_ = features(data, start, end, sums)
     rows, keys = [], []
     for t, (low, _, _) in enumerate(TIERS):
         high = TIERS[t + 1][0] if t + 1 < len(TIERS) else math.inf
@@ -166,7 +171,7 @@ def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     told = np.bincount(np.concatenate(rows), minlength=len(start)) if rows else np.zeros(len(start), np.int64)
     short = np.flatnonzero((size >= TINY - 1) & ((size < SHORT) | (told < FEW)))  # lines of few different words have few blocks
     if len(short):
-        k = bands(data, start[short], end[short])
+        k = bands(sums, start[short], end[short])
         rows.append(np.repeat(short, k.shape[1]))
         keys.append(k.ravel())
     for i in np.flatnonzero((size >= 10) & (size <= TINY)).tolist():
@@ -185,7 +190,8 @@ def bucket_keys(lines: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """The bucket keys and the SimHash of each normalised line."""
     made = [x.encode("utf-8", "surrogatepass") for x in lines]
     end = np.cumsum([len(x) + 1 for x in made]) - 1
-    rows, keys, bits, _ = line_keys(np.frombuffer(b"".join(x + b"\n" for x in made), np.uint8), end - [len(x) for x in made], end)
+    data = np.frombuffer(b"".join(x + b"\n" for x in made), np.uint8)
+    rows, keys, bits, _ = line_keys(data, end - [len(x) for x in made], end, prefix(data))
     order = np.argsort(rows, kind="stable")
     return np.split(keys[order], np.searchsorted(rows[order], np.arange(1, len(lines)))), bits
 
@@ -305,11 +311,12 @@ def buckets(rows: DataFrame, n_parts: int, min_bytes: int = MIN_BYTES, percent:
             for data, start, end, _, _ in lines_of(batch.column(0)):
                 keep = end - start >= min_bytes
                 start, end = start[keep], end[keep]
-                node = spans(prefix(data), start, end).view(np.int64)
+                sums = prefix(data)
+                node = spans(sums, start, end).view(np.int64)
                 first = np.unique(node, return_index=True)[1]
                 first = np.sort(first[seen[node[first] & (SEEN - 1)] != node[first]])
                 seen[node[first] & (SEEN - 1)] = node[first]
-                row, key, bits, size = line_keys(data, start[first], end[first])
+                row, key, bits, size = line_keys(data, start[first], end[first], sums)
                 if len(key):
                     held.append([key, node[first][row].view(U), size[row].astype(np.int32), bits[row]])
                 if sum(len(h[0]) for h in held) >= FLUSH:
@@ -451,7 +458,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     first = written(pairs.union(centred(large, NAMES, fits(percent))).distinct(), "pairs")
     asked = first.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     texts = written(line_texts(rows, lines, asked), "texts")
-    groups = linked(first, large, NAMES, fits(percent), lambda pairs: confirmed(pairs, texts, percent), lambda some: across(some, texts, percent))
+    groups = linked(first, large, NAMES, fits(percent), lambda pairs: confirmed(pairs, texts, percent), lambda some: across(some, texts, percent), BLOCK // 8)
     placed = lines
     if groups is not None:
         placed = placed.join(groups, "node", "left")
