@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import components
 from .edits import close, distance, least, small, tallies
 from .flat import U, mixed, parts, prefix, spans
-from .linking import SMALL, celled, centred, groups_of, linked, pairs_in
+from .linking import BLOCK_WEIGHT, SMALL, celled, centred, groups_of, linked, pairs_in
 from .near_duplicates import sketches
 from .rows import fresh, keyed, row_keys
 from .scratch import dropped, written
@@ -293,8 +294,9 @@ def parted(part: np.ndarray):
 
 
 def buckets(rows: DataFrame, n_parts: int, min_bytes: int = MIN_BYTES, percent: int = PERCENT) -> DataFrame:
-    """(node, other) of every pair of lines that share a key of up to SMALL lines and fit, and (key, node, n, bits, times) of keys of more.
+    """(node, other) of every pair of lines that share a key of up to SMALL lines and fit, and (key, node, n, bits, times, bounded) of keys of more.
 
+    Bounded is a key of up to BLOCK lines, not too long together and all in one task, that are paired with their centre (of most ``times``) there already.
     ``times`` is how many tasks or slices met the line with this key, which is enough to know the frequent ones.
     """
 
@@ -341,24 +343,31 @@ def buckets(rows: DataFrame, n_parts: int, min_bytes: int = MIN_BYTES, percent:
             times = np.diff(np.r_[keep, len(k)]).astype(np.int32)
             elsewhere = np.maximum.reduceat(elsewhere[order], keep)
             k, v, n, bits = k[keep], v[keep].view(np.int64), n[order[keep]], bits[order[keep]].view(np.int64)
-            new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            c = np.diff(np.r_[new, len(k)])
-            large = np.repeat((c > SMALL) | (c > 1) & np.maximum.reduceat(elsewhere, new), c) | (kind == SETTLED)
-            at = np.flatnonzero(~large & np.repeat(c > 1, c))
-            found = [np.zeros((0, 2), np.int64)]
-            for a, b in pairs_in(k[at]):
-                fit = near({"n": n[at], "bits": bits[at]}, a, b, percent)
-                p, q = v[at[a[fit]]], v[at[b[fit]]]
+            new = np.r_[True, k[1:] != k[:-1]]
+            c = np.diff(np.r_[np.flatnonzero(new), len(k)])
+            elsewhere = np.repeat(np.maximum.reduceat(elsewhere, np.flatnonzero(new)), c)
+            heavy = np.repeat(np.add.reduceat(n.astype(np.int64), np.flatnonzero(new)) > BLOCK_WEIGHT, c)
+            c = np.repeat(c, c)
+            large = (kind == SETTLED) | (c > 1) & elsewhere | (c > BLOCK) | (c > SMALL) & heavy
+            bounded = ~large & (c > SMALL)
+            x, found = {"n": n, "bits": bits}, [np.zeros((0, 2), np.int64)]
+            few, some = np.flatnonzero(~large & (c > 1) & (c <= SMALL)), np.flatnonzero(bounded)
+            order = some[np.lexsort((mixed(v[some].view(U)), times[some], k[some]))]
+            last = np.flatnonzero(np.r_[k[order][1:] != k[order][:-1], True]) if len(some) else some
+            centre = np.repeat(order[last], np.diff(np.r_[-1, last]))
+            for a, b in (*((few[a], few[b]) for a, b in pairs_in(k[few])), (order[order != centre], centre[order != centre])):
+                fit = near(x, a, b, percent)
+                p, q = v[a[fit]], v[b[fit]]
                 found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
             pairs = np.unique(np.concatenate(found), axis=0)
-            made = [pa.array(x[large]) for x in (k.view(np.int64), v, n, bits, times)]
+            made = [pa.array(x[large | bounded]) for x in (k.view(np.int64), v, n, bits, times, bounded)]
             none = [pa.nulls(len(pairs), x.type) for x in made[2:]]
             yield pa.RecordBatch.from_arrays([*made, pa.nulls(len(made[0]), pa.int64())], names)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), *none, pa.array(pairs[:, 1])], names)
 
-    names = ["key", "node", *NAMES, "times", "other"]
+    names = ["key", "node", *NAMES, "times", "bounded", "other"]
     sent = rows.select("text").mapInArrow(send, "part int, kind int, data binary, told binary")
-    return sent.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "key long, node long, n int, bits long, times int, other long")
+    return sent.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "key long, node long, n int, bits long, times int, bounded boolean, other long")
 
 
 def line_texts(rows: DataFrame, lines: DataFrame, asked: DataFrame) -> DataFrame:
@@ -414,7 +423,12 @@ def across(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFra
 
     What characters two lines have bounds their distance; few pairs of unlike lines get beyond that.
     """
-    cells = celled(rows, BLOCK, "n").select("key", "i", "j", "block", "node", "component", *NAMES).join(texts, "node")
+    return compared(celled(rows, BLOCK, "n"), texts, percent)
+
+
+def compared(cells: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``across`` for rows of cells (key, i, j) with their block."""
+    cells = cells.select("key", "i", "j", "block", "node", "component", *NAMES).join(texts, "node")
 
     def compare(batches):
         for table, group in groups_of(batches, ["key", "i", "j"]):
@@ -453,12 +467,24 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_bytes: int
     lines = written(placed_lines(rows, min_bytes), "lines")
     n_parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() * 16 // PART_ENTRIES)
     sent = written(buckets(rows, n_parts, min_bytes, percent), "keys")
-    large = sent.where("other IS NULL").select("key", "node", *NAMES, "times")
+    many = sent.where("other IS NULL").select("key", "node", *NAMES, "times", "bounded")
+    large, bounded = many.where("NOT bounded").drop("bounded"), many.where("bounded").drop("bounded", "times")
     pairs = sent.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
     first = written(pairs.union(centred(large, NAMES, fits(percent))).distinct(), "pairs")
-    asked = first.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    asked = first.select(F.explode(F.array("a", "b")).alias("node")).union(many.select("node")).distinct()
     texts = written(line_texts(rows, lines, asked), "texts")
-    groups = linked(first, large, NAMES, fits(percent), lambda pairs: confirmed(pairs, texts, percent), lambda some: across(some, texts, percent), BLOCK // 8)
+    groups = linked(first, large, NAMES, fits(percent), lambda pairs: confirmed(pairs, texts, percent), lambda some: across(some, texts, percent))
+    one = F.lit(0)
+    named = bounded.join(groups, "node", "left") if groups is not None else bounded.withColumn("component", F.lit(None).cast("long"))
+    cells = named.withColumns({"component": F.coalesce("component", "node"), "i": one, "j": one, "block": one})
+    more = written(compared(cells, texts, percent), "links")
+    if not more.isEmpty():
+        every = more.union(groups.where("node <> component").select("node", "component")) if groups is not None else more
+        joined = written(components(every), "groups")
+        if groups is not None:
+            dropped(groups)
+        groups = joined
+    dropped(more)
     placed = lines
     if groups is not None:
         placed = placed.join(groups, "node", "left")

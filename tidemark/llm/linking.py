@@ -113,11 +113,6 @@ def celled(rows: DataFrame, block: int, weight: str) -> DataFrame:
     return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def above(rows: DataFrame, few: int) -> DataFrame:
-    """The rows of buckets of more than ``few`` rows."""
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > few).select("key"), "key") if few else rows
-
-
 def centred(rows: DataFrame, names: list[str], fits: str, turn: int = 0) -> DataFrame:
     """Pairs of each bucket's centre with its members of other components, as far as they fit.
 
@@ -137,33 +132,33 @@ def centred(rows: DataFrame, names: list[str], fits: str, turn: int = 0) -> Data
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
 
 
-def linked(first: DataFrame, large: DataFrame, names: list[str], fits: str, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], few: int = 0) -> DataFrame | None:
+def linked(first: DataFrame, large: DataFrame, names: list[str], fits: str, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(node, component) of the nodes that have a link, or None if none has.
 
     ``first`` are pairs (a, b) to verify; ``large`` (key, node, times, ...) are the rows of the buckets whose
-    members met their centre alone. After TURNS further centres, of buckets of more than ``few`` rows, each ``across``
-    takes those rows whose bucket still shows several components, and returns all links (a, b) between them.
+    members met their centre alone. After TURNS further centres each ``across`` takes those rows whose bucket still
+    shows several components, and returns all links (a, b) between them.
     """
-    links, groups, rows = None, None, None
+    links, groups = None, None
     for turn in range(TURNS + 2):
-        if turn and rows is None:
+        rows = None
+        if turn:
             rows = written(mixed_rows(large, groups), "mixed")
             if rows.isEmpty():
+                dropped(rows)
                 break
-        pairs = first if not turn else centred(above(rows, few), names, fits, turn).distinct() if turn <= TURNS else None
+        pairs = first if not turn else centred(rows, names, fits, turn).distinct() if turn <= TURNS else None
         more = written(verify(pairs) if pairs is not None else across(rows), "links")
+        if rows is not None:
+            dropped(rows)
         if more.isEmpty():
             dropped(more)
             continue
-        if rows is not None:
-            dropped(rows)
-            rows = None
         every = more if links is None else written(links.union(more), "links")
         for x in (links, groups, more if links is not None else None):
             if x is not None:
                 dropped(x)
         links, groups = every, written(components(every), "groups")
-    for x in (links, rows):
-        if x is not None:
-            dropped(x)
+    if links is not None:
+        dropped(links)
     return groups
