@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import probability
+from . import kmeans
 
 SEED = 1729
 
@@ -86,31 +87,36 @@ def cluster_candidates(rows: DataFrame, names: list[str], ks: list[int], least_s
 
     The measures are those of the fit of least cost over ``starts`` seeds; more clusters than there are different rows
     are rejected at once. Stability is the mean adjusted Rand index between that fit and those of further seeds.
+    All fits of all numbers share their passes over the rows (see ``kmeans``).
     """
-    from .segmentation import adjusted_rand, chosen_clusters
+    from .segmentation import chosen_clusters
 
     spark = rows.sparkSession
-    made = VectorAssembler(inputCols=names, outputCol="_x").transform(standardised(rows.withColumns({c: F.col(c).cast("double") for c in names}), names)).persist()
+    numbers = standardised(rows.withColumns({c: F.col(c).cast("double") for c in names}), names).withColumn("_key", F.xxhash64(*rows.columns))
+    made = VectorAssembler(inputCols=names, outputCol="_x").transform(numbers).select("_key", "_x", *names).persist()
+    held, found = [made], []
     try:
-        different, found = made.select(*names).distinct().count(), []
+        different = made.select(*names).distinct().count()
+        kept = [k for k in ks if k <= different]
+        fits = kmeans.fitted(made, names, "_key", [(k, SEED + i) for k in kept for i in range(starts + seeds - 1)])
+        named = {}
+        for k in kept:
+            own = [f for f in fits if f.k == k]
+            named |= {f"c{k}_{i}": f for i, f in enumerate([min(own[:starts], key=lambda f: f.cost), *own[starts:]])}
+        if kept:  # read once for each measure
+            held.append(VectorAssembler(inputCols=names, outputCol="_x").transform(kmeans.labelled(made, names, named)).persist())
+        alike = kmeans.agreements(held[1], [(f"c{k}_0", f"c{k}_{i}") for k in kept for i in range(1, seeds)])
         for k in ks:
-            if k > different:
+            if k not in kept:
                 found.append((k, None, None, None, None, 0))
                 continue
-
-            def fit(seed: int, column: str, k: int = k) -> KMeansModel:
-                return KMeans(k=k, seed=SEED + seed, featuresCol="_x", predictionCol=column).fit(made)
-
-            best = min((fit(i, "_c0") for i in range(starts)), key=lambda m: m.summary.trainingCost)
-            labelled = best.transform(made)
-            for i in range(1, seeds):
-                labelled = fit(starts + i, f"_c{i}").transform(labelled)
-            score = ClusteringEvaluator(featuresCol="_x", predictionCol="_c0").evaluate(labelled)
-            alike = [adjusted_rand(labelled, "_c0", f"_c{i}").first()[0] for i in range(1, seeds)]
-            shape = validity(labelled, names, "_c0").first()
-            found.append((k, round(score, 6), round(sum(alike) / len(alike), 6) if alike else 1.0, shape["davies_bouldin"], shape["calinski_harabasz"], min(best.summary.clusterSizes)))
+            score = ClusteringEvaluator(featuresCol="_x", predictionCol=f"c{k}_0").evaluate(held[1])
+            shape = validity(held[1], names, f"c{k}_0").first()
+            stable = [alike[f"c{k}_0", f"c{k}_{i}"] for i in range(1, seeds)]
+            found.append((k, round(score, 6), round(sum(stable) / len(stable), 6) if stable else 1.0, shape["davies_bouldin"], shape["calinski_harabasz"], min(named[f"c{k}_0"].sizes)))
     finally:
-        made.unpersist()
+        for one in held:
+            one.unpersist()
     return chosen_clusters(spark.createDataFrame(found, "k int, silhouette double, stability double, davies_bouldin double, calinski_harabasz double, smallest long"), least_size)
 
 
