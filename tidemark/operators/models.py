@@ -92,7 +92,8 @@ def cluster_candidates(rows: DataFrame, names: list[str], ks: list[int], least_s
     from .segmentation import chosen_clusters
 
     spark = rows.sparkSession
-    numbers = standardised(rows.withColumns({c: F.col(c).cast("double") for c in names}), names).withColumn("_key", F.xxhash64(*rows.columns))
+    keyed = rows.withColumn("_key", F.xxhash64(*rows.columns))  # of the values as they come, without the rounding of a mean
+    numbers = standardised(keyed.withColumns({c: F.col(c).cast("double") for c in names}), names)
     made = VectorAssembler(inputCols=names, outputCol="_x").transform(numbers).select("_key", "_x", *names).persist()
     held, found = [made], []
     try:
