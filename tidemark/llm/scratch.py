@@ -1,42 +1,5 @@
 """Scratch tables in the folder that driver and executors share."""
 
-from __future__ import annotations
+from ..sources.scratch import dropped, folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. A local session that names none gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors.
-
-    Columns ``by`` become folders, so that a filter on them reads no other rows.
-    """
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=by)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._scratch_path = path
-    return back
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the scratch table behind a frame that ``written`` returned, once nothing reads it any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+__all__ = ["dropped", "folder", "written"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import offers
 from ..operators import recommend as op
 from ..operators import segmentation as seg
+from ..sources import scratch
 from . import churn, inputs
 from .inputs import sql, table
 
@@ -33,6 +34,10 @@ def items(spark, sf):
     return table(spark, sf, "part").select(F.col("p_brand").alias("item")).distinct()
 
 
+def baskets(spark, sf):
+    return op.baskets(lines(spark, sf), SNAPSHOT, segments(spark, sf))
+
+
 def popular(spark, sf):
     return op.popularity(found(spark, sf), SNAPSHOT, RECENT)
 
@@ -66,9 +71,12 @@ def by_segment(spark, sf):
     return op.top(op.by_segment(users, have, op.segment_popularity(have, segments(spark, sf)), popular(spark, sf), K), K)
 
 
-def by_similarity(spark, sf):
-    have = found(spark, sf)
-    return op.top(op.by_similarity(have, have, pairs(spark, sf), popular(spark, sf), K), K)
+def by_similarity(spark, sf, held=None):
+    """From ``baskets``, popularity and pairs that are written once: the interactions are joined and grouped a single time."""
+    held = held or scratch.written(baskets(spark, sf), "baskets")
+    near = scratch.written(op.similarity_of(held, SUPPORT), "similar")
+    share = scratch.written(op.popularity(op.unpacked(held), SNAPSHOT, RECENT), "popular")
+    return op.top(op.similar_of(held.where("size(own) > 0"), near, share, K), K)
 
 
 def models(spark, sf):
