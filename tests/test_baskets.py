@@ -65,3 +65,23 @@ def test_lists_of_interactions_are_those_of_baskets(spark, sold, calls):
     have = plan.found(spark, "")
     flat = op.top(op.by_similarity(have, have, plan.pairs(spark, ""), plan.popular(spark, ""), K), K)
     assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, plan.by_similarity(spark, "").collect()))
+
+
+def test_comparison_reads_the_lines_once_and_measures_each_list_as_the_operators_on_rows_do(spark, sold, calls):
+    got = {r.model: r.asDict() for r in plan.QUERIES["recommendation_comparison"][0](spark, "").collect()}
+    assert len(calls) == 1, f"the lines were joined and grouped {len(calls)} times"
+    share, items = plan.popular(spark, ""), plan.items(spark, "")
+    lists = {"global_popularity": plan.by_score(spark, ""), "recent_popularity": plan.ranked(spark, ""), "segment_popularity": plan.by_segment(spark, ""), "item_item_cf": plan.by_similarity(spark, "")}
+    for model, ranked in lists.items():
+        want = op.averages(op.list_measures(ranked, plan.held_out(spark, ""), K)).first().asDict()
+        want |= {"coverage": op.coverage(ranked, items, K).first().coverage, "novelty": op.novelty(ranked, share, K).first().novelty}
+        assert {c: got[model][c] for c in want} == pytest.approx(want, abs=2e-6), model
+    assert got["segment_popularity"]["fallback_rate"] > 0 and got["item_item_cf"]["fallback_rate"] > 0 and got["global_popularity"]["fallback_rate"] == 0
+
+
+def test_measures_without_a_list_or_wanted_items_are_null(spark):
+    rows = spark.createDataFrame([(1, ["a"], []), (2, [], [("a", 1.0, "s")]), (3, ["a", "z"], [("b", 2.0, "s"), ("a", 1.0, "s")])], "user_id int, wanted array<string>, list array<struct<item string, score double, source string>>")
+    got = {r.user_id: tuple(r[m] for m in op.MEASURES) for r in op.measured(rows, 5).collect()}
+    assert got[1] == got[2] == (None,) * 6 and got[3] == (0.5, 0.5, 1.0, 0.5, 0.25, 0.386853)
+    empty = op.compared({"m": rows.where("user_id = 1")}, spark.createDataFrame([("a",)], "item string"), spark.createDataFrame([("a", 1.0)], "item string, share double"), 5).first()
+    assert (empty.users, empty.precision, empty.coverage, empty.novelty, empty.fallback_rate) == (0, None, 0.0, None, 0.0)

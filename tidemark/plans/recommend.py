@@ -71,16 +71,37 @@ def by_segment(spark, sf):
     return op.top(op.by_segment(users, have, op.segment_popularity(have, segments(spark, sf)), popular(spark, sf), K), K)
 
 
-def by_similarity(spark, sf, held=None):
+def by_similarity(spark, sf):
     """From ``baskets``, popularity and pairs that are written once: the interactions are joined and grouped a single time."""
-    held = held or scratch.written(baskets(spark, sf), "baskets")
-    near = scratch.written(op.similarity_of(held, SUPPORT), "similar")
-    share = scratch.written(op.popularity(op.unpacked(held), SNAPSHOT, RECENT), "popular")
-    return op.top(op.similar_of(held.where("size(own) > 0"), near, share, K), K)
+    held, share, near = written(spark, sf)
+    return op.top(op.with_similar(held, near, share, K).select("user_id", F.inline("list")), K)
 
 
-def models(spark, sf):
-    return {"global_popularity": by_score(spark, sf), "recent_popularity": ranked(spark, sf).withColumn("source", F.lit("recent_popularity")), "segment_popularity": by_segment(spark, sf), "item_item_cf": by_similarity(spark, sf)}
+def written(spark, sf):
+    """Scratch tables: ``baskets`` of who has interactions, popularity and similar pairs."""
+    held = scratch.written(baskets(spark, sf).where("size(own) > 0"), "baskets")
+    return held, scratch.written(op.popularity(op.unpacked(held), SNAPSHOT, RECENT), "popular"), scratch.written(op.similarity_of(held, SUPPORT), "similar")
+
+
+def models(held, share, near):
+    """Each model's lists as rows (user_id, wanted, list), from what ``written`` gives."""
+    rows = held.withColumns({"had": F.col("own.item"), "segment": F.coalesce("segment", F.lit("unknown"))})
+    own = op.segment_popularity(op.unpacked(held).where("segment IS NOT NULL").select("user_id", "item", "weight", "segment"))
+    return {
+        "global_popularity": op.with_popular(rows, share, K, "global_popularity"), "recent_popularity": op.with_popular(rows, share.select("item", F.col("recent_score").alias("score")), K, "recent_popularity"),
+        "segment_popularity": op.with_segment_list(rows, rows.select("segment").distinct(), own, share, K), "item_item_cf": op.best_first(op.with_similar(held, near, share, K), K),
+    }
+
+
+def comparison(spark, sf):
+    """A row per model, computed at once so that the scratch tables can go."""
+    tables = written(spark, sf)
+    try:
+        rows = op.compared(models(*tables), items(spark, sf), tables[1], K)
+        return spark.createDataFrame(rows.collect(), rows.schema)  # a row per model
+    finally:
+        for t in tables:
+            scratch.dropped(t)
 
 
 def catalogue(spark, sf):
@@ -280,8 +301,8 @@ QUERIES = {
     "recommendation_cold_start": (lambda spark, sf: op.cold_start(ranked(spark, sf), found(spark, sf).where("user_id % 3 <> 0"), held_out(spark, sf)), _items(
         "SELECT count(DISTINCT user_id) AS cold_users, 1.0::DOUBLE AS coverage, count(*) AS recommendations, count(DISTINCT user_id) FILTER (user_id IN (SELECT user_id FROM ho)) AS evaluated_users FROM ra WHERE user_id NOT IN (SELECT user_id FROM it WHERE user_id % 3 <> 0)", *_ALL)),
     "recommendation_diversity": (lambda spark, sf: op.diversity(ranked(spark, sf), catalogue(spark, sf), K), "WITH " + ", ".join(f"{k} AS ({_I[k]})" for k in ("li", "it", "po", "ca", "ra")) + f", cat AS ({_CATALOGUE}) SELECT round_even(avg(d), 6) AS diversity FROM (SELECT user_id, round_even(count(DISTINCT category) / count(*), 6) AS d FROM ra JOIN cat USING (item) GROUP BY ALL)"),
-    "recommendation_comparison": (lambda spark, sf: op.compared(models(spark, sf), held_out(spark, sf), items(spark, sf), popular(spark, sf), K), _every("SELECT * FROM cm")),
-    "recommendation_model_choice": (lambda spark, sf: op.chosen(op.compared(models(spark, sf), held_out(spark, sf), items(spark, sf), popular(spark, sf), K), 0.5).select("model", "ndcg", "selected"), _every(
+    "recommendation_comparison": (comparison, _every("SELECT * FROM cm")),
+    "recommendation_model_choice": (lambda spark, sf: op.chosen(comparison(spark, sf), 0.5).select("model", "ndcg", "selected"), _every(
         "SELECT model, ndcg, row_number() OVER (ORDER BY (coverage >= 0.5)::INT DESC, ndcg DESC, recall DESC, CASE model WHEN 'global_popularity' THEN 4 WHEN 'recent_popularity' THEN 3 WHEN 'segment_popularity' THEN 2 ELSE 1 END DESC) = 1 AS selected FROM cm")),
     "recommendation_invariants": (lambda spark, sf: op.broken_recommendations(by_segment(spark, sf), items(spark, sf), K - 1).groupBy("rule").agg(F.count("*").alias("users")), _items("SELECT 'LIST_TOO_LONG' AS rule, count(*) AS users FROM (SELECT user_id FROM sl GROUP BY user_id HAVING count(*) > 4)", "li", "it", "po", "ca", "us", "sp", "sl")),
     "recommendation_catalogue_checks": (lambda spark, sf: op.broken_catalogue(catalogue(spark, sf).withColumn("incompatible", F.when(F.col("item") == "Brand#13", F.col("required")).otherwise(F.col("incompatible")))), "SELECT DISTINCT p_brand AS item, 'REQUIRED_AND_EXCLUDED' AS rule FROM part WHERE p_brand = 'Brand#13'"),
