@@ -85,3 +85,8 @@ def test_measures_without_a_list_or_wanted_items_are_null(spark):
     assert got[1] == got[2] == (None,) * 6 and got[3] == (0.5, 0.5, 1.0, 0.5, 0.25, 0.386853)
     empty = op.compared({"m": rows.where("user_id = 1")}, spark.createDataFrame([("a",)], "item string"), spark.createDataFrame([("a", 1.0)], "item string, share double"), 5).first()
     assert (empty.users, empty.precision, empty.coverage, empty.novelty, empty.fallback_rate) == (0, None, 0.0, None, 0.0)
+
+
+def test_model_choice_reads_the_lines_once(spark, calls):
+    got = {r.model: r.selected for r in plan.QUERIES["recommendation_model_choice"][0](spark, "").collect()}
+    assert len(got) == 4 and sum(got.values()) == 1 and len(calls) == 1
